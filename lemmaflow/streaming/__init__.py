@@ -1,0 +1 @@
+"""Nothing streams in this engine: every input is a finite dump or artifact, so there is no streaming operator."""
