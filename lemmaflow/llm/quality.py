@@ -27,20 +27,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def grams(w: Column, buckets: int) -> Column:
-    """Buckets of every word and of every pair of neighbouring words."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
-    two = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(buckets)))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(h: Column, buckets: int) -> Column:
+    """Buckets of every word and of every pair of neighbouring words, from the words' hashes."""
+    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)))
+    two = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(buckets)))
     return F.concat(one, two)
 
 
-def repeated_words(df: DataFrame, w: str, out: str) -> DataFrame:
-    """Adds ``out``: how many words of ``w`` lie in a three-word window that occurs twice or more in the row.
+def repeated_words(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Adds ``out``: how many words lie in a three-word window that occurs twice or more in the row.
 
-    Windows are compared by a 64-bit hash; only rows with an equal pair sort their windows.
+    ``hashes`` holds the words' 64-bit hashes, and windows are compared by a hash of
+    three; only rows with an equal pair sort their windows.
     """
-    window = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(F.col(w), i), F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)))
-    df = df.withColumn("_h", F.when(F.size(w) >= 3, window).otherwise(F.array().cast("array<bigint>")))
+    later = F.slice(hashes, 3, F.greatest(F.size(hashes) - 2, F.lit(0)))
+    df = df.withColumn("_h", F.transform(later, lambda x, i: F.xxhash64(F.get(F.col(hashes), i), F.get(F.col(hashes), i + 1), x)))
     df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twin = lambda x, k: (F.get(F.col("_s"), k - 1)["h"] == x["h"]) | (F.get(F.col("_s"), k + 1)["h"] == x["h"])
     df = df.withColumn("_p", F.when(F.col("_s").isNotNull() & (F.size("_s") > 0), F.sort_array(F.transform(F.filter("_s", twin), lambda x: x["i"]))))
@@ -50,11 +55,11 @@ def repeated_words(df: DataFrame, w: str, out: str) -> DataFrame:
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the word array ``_w`` and the plain counts that judge a text on its own."""
+    """Adds the words' hashes ``_x`` and the plain counts that judge a text on its own."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_t", t).withColumn("_w", words(F.col("_t"))).withColumn("_l", lines)
-    df = repeated_words(df, "_w", "n_repeat_words")
+    df = docs.withColumn("_t", t).withColumn("_w", words(F.col("_t"))).withColumn("_l", lines).withColumn("_x", word_hashes(F.col("_w")))
+    df = repeated_words(df, "_x", "n_repeat_words")
     n = F.size("_w").cast("bigint")
     return df.withColumns({
         "n_words": n,
@@ -62,7 +67,7 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("bigint"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
         "base_failed": (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n),
-    }).drop("_l", "_t")
+    }).drop("_l", "_t", "_w")
 
 
 def trusted_rows(labels: DataFrame, rows: int) -> DataFrame:
@@ -75,7 +80,8 @@ def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int, target_rows: i
     """Per bucket: n-grams in all rows and in the trusted rows. The trusted ids are few by ``target_rows``, so they are broadcast."""
     trusted = F.broadcast(trusted_rows(labels, target_rows).withColumn("_target", F.lit(True)))
     rows = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    rows = rows.select("_target", words(F.coalesce("text", F.lit(""))).alias("_w")).select("_target", F.explode(grams(F.col("_w"), buckets)).alias("bucket"))
+    rows = rows.select("_target", word_hashes(words(F.coalesce("text", F.lit("")))).alias("_x"))
+    rows = rows.select("_target", F.explode(grams(F.col("_x"), buckets)).alias("bucket"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.count("_target").alias("n_target"))
 
 
@@ -104,7 +110,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ta
     docs = docs.drop(*added)
     ratios = log_ratios(gram_counts(docs, labels, buckets, target_rows), buckets, smoothing)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    df = base_rules(docs).withColumn("_g", grams(F.col("_w"), buckets))
+    df = base_rules(docs).withColumn("_g", grams(F.col("_x"), buckets))
     total = F.aggregate("_g", F.lit(0.0), lambda a, g: a + F.get(table, g))
     df = df.withColumn("llr", F.when(F.size("_g") > 0, F.round(total / F.size("_g"), 9)).otherwise(F.lit(0.0)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("_g", "_w")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("_g", "_x")
