@@ -5,17 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.exactspans import drop_repeated_spans
+from lemmaflow.llm.licenses import scan_licenses
+from lemmaflow.llm.mixing import mix_sources
+from lemmaflow.llm.neardup import near_duplicates
 from lemmaflow.llm.quality import score_quality
+from lemmaflow.llm.secrets import scan_secrets
 from lemmaflow.sources.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").cast("bigint").alias("n_detections"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def queries() -> dict:
-    return {"op4_quality": op4_quality}
+    return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op4_quality": op4_quality,
+        "op6_mixing": op6_mixing,
+        "op7_near_duplicates": op7_near_duplicates,
+        "op9_licenses": op9_licenses,
+        "op10_secrets": op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
