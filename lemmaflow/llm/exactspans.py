@@ -84,6 +84,8 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         for rows, starts, stops in pieces(at):
             sizes = stops - starts
+            if sizes.max() < WINDOW:
+                continue
             text = data[starts[0] : stops[0]] if len(rows) == 1 else np.concatenate([data[a:b] for a, b in zip(starts, stops, strict=True)])
             ends = np.cumsum(sizes)
             gram, place, first, last, record = anchors_of(text, ends)
@@ -110,25 +112,25 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(runs.field("fp").to_numpy()[ok]), pa.array(batch.column("doc").to_numpy()[row[ok]]), pa.array((start - at[row])[ok]), text], names=["fp", "doc", "start", "bytes"])
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` bytes at least, and each suffix's place in it.
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and each suffix's place in it. The order must be total, or Kasai's step doesn't hold.
 
     Larsson and Sadakane's refinement: groups with equal prefixes of length h are sorted
     by the groups of the suffixes h further on; suffixes alone in their group are done.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    for k in range(7):
+        key = (key << np.uint64(9)) | padded[k : k + n]
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     group = np.empty(n + 1, np.int64)
     group[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1
     group[n] = 0
-    h = 8
-    while h < depth:
+    h = 7
+    while True:
         alone = head & np.append(head[1:], True)
         open_places = np.flatnonzero(~alone)
         if not len(open_places):
@@ -179,7 +181,7 @@ def shard_repeats(table: pa.Table) -> pa.Table:
     data, at = buffers(table.column("bytes").combine_chunks())
     text = data[at[0] : at[-1]]
     firsts, sizes = at[:-1] - at[0], np.diff(at)
-    order, place = suffix_array(text, WINDOW)
+    order, place = suffix_array(text)
     shared = common_prefixes(text, order, place, firsts, sizes, WINDOW)
     doc, start, hot = table.column("doc").to_numpy(), table.column("start").to_numpy(), table.column("hot").to_numpy()
     record = np.repeat(np.arange(len(firsts)), sizes)
