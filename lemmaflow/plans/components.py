@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lemmaflow.plans.scratch import written
 
+#: Rounds over a small table use few tasks, however many partitions the session asks for.
+ROWS_PER_TASK = 200_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, label) for every end of an edge (a, b); the label is the least id of the component.
@@ -17,12 +20,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
+    parts = 1 + both.count() // ROWS_PER_TASK
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label").coalesce(parts), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
         low = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = low.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        fresh = written(low.join(jump, "label").select("id", "old", F.least("label", "further").alias("label")), "labels")
+        fresh = written(low.join(jump, "label").select("id", "old", F.least("label", "further").alias("label")).coalesce(parts), "labels")
         labels = fresh.select("id", "label")
         if fresh.where("old <> label").isEmpty():
             return labels
