@@ -2,7 +2,8 @@
 
 Documents are passages of 32 words, one every 16. Hashed words weighted by inverse
 document frequency make a sparse matrix; a randomised SVD over all passages and the
-benchmark gives a latent space. Passages whose cosine with a benchmark passage is high
+benchmark gives a latent space: every passage is added, with a random sign, to one of a
+fixed number of rows, and that sketch of the row space is decomposed. Passages whose cosine with a benchmark passage is high
 enough are candidates, and a longest common subsequence of words, with a look at the
 item's closing words as its answer, decides. The benchmark is a stated query set: its
 vectors go to every task, and every passage is compared with them in blocks.
@@ -14,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.bytescan import buffers, groups_of_rows, mixed, word_hashes
+from lemmaflow.llm.bytescan import ODD, buffers, groups_of_rows, mixed, word_hashes
 
 WIDTH = 1 << 14
 RANK = 256
@@ -30,25 +32,14 @@ SURE = 0.8
 SCAN_BYTES = 1 << 19
 MAX_ITEMS = 100_000
 LONG_WORDS = 1 << 16
+#: Parts of the sketch that one call sums.
+MERGED = 256
 
 
 def hashed(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(WIDTH - 1)).astype(np.int64)
 
 
-def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many rows each hashed word occurs; feature -1 counts the rows."""
-    total = np.zeros(WIDTH, np.int64)
-    rows = 0
-    for batch in batches:
-        data, at = buffers(batch.column("text"))
-        rows += len(batch)
-        for a, b in groups_of_rows(at):
-            words, row = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
-            total += np.bincount(np.unique(row * WIDTH + hashed(words)) % WIDTH, minlength=WIDTH)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(WIDTH), -1)), pa.array(np.append(total, rows))], names=["feature", "n"])
-
-
 def stretches(words: np.ndarray, row: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """Rows as they are, or one very long row in stretches that share a block: words, rows, rows' number, and words before."""
     if n_rows > 1 or len(words) <= LONG_WORDS:
@@ -68,94 +59,105 @@ def blocks_of(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.
     return first[owner] + number * STEP, owner, number
 
 
-def passage_vectors(words: np.ndarray, row: np.ndarray, n_rows: int, table: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of word vectors over each block and the one after it in the row; rows, block numbers, and squared lengths of the weighted words."""
+def passage_vectors(words: np.ndarray, row: np.ndarray, n_rows: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of word vectors over each block and the one after it in the row; rows and block numbers."""
     begin, owner, number = blocks_of(row, n_rows)
+    size = np.diff(np.append(begin, len(words)))
     feature = hashed(words)
-    block = np.add.reduceat(table[feature], begin, axis=0)
-    square = np.add.reduceat(idf[feature] ** 2, begin)
+    block = np.zeros((len(begin), table.shape[1]), np.float32)
+    for k in range(STEP):
+        long = np.flatnonzero(size > k)
+        if len(long) == len(begin):
+            block += table[feature[begin + k]]
+        else:
+            block[long] += table[feature[begin[long] + k]]
     follows = np.flatnonzero(owner[1:] == owner[:-1])
-    passage, length = block.copy(), square.copy()
+    passage = block.copy()
     passage[follows] += block[follows + 1]
-    length[follows] += square[follows + 1]
-    return passage, owner, number, length
+    return passage, owner, number
+
 
+def sketcher(wide: int) -> Callable:
+    """One task's sums of its passages' word counts: each passage goes, with a sign, to one of ``wide`` rows.
 
-def sketcher(idf: np.ndarray, rank: int) -> Callable:
-    """One round of the range finder: every task's share of the passages' transpose times the passages times a random matrix."""
+    Row and sign hang on the document's id and the passage's number, so a task that runs
+    again gives the same. Row ``wide`` holds in how many documents each feature occurs,
+    row ``wide`` + 1 the number of documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = random_matrix(rank)
-        weighted = start * idf[:, None].astype(np.float32)
-        total = np.zeros((WIDTH, rank), np.float32)
+        total = np.zeros((wide + 2) * WIDTH, np.int32)
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            for a, b in groups_of_rows(at, SCAN_BYTES):
-                for words, row, n, _ in stretches(*word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a]), b - a):
-                    add_sketch(total, words, row, n, weighted, idf)
-        used = np.flatnonzero(np.any(total != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([total[k].tobytes() for k in used], pa.binary())], names=["feature", "vector"])
+            ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)
+            total[(wide + 1) * WIDTH] += len(batch)
+            for a, b in groups_of_rows(at):
+                words, row = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                feature = hashed(words)
+                total[wide * WIDTH : (wide + 1) * WIDTH] += np.bincount(np.unique(row * WIDTH + feature) % WIDTH, minlength=WIDTH).astype(np.int32)
+                begin, owner, number = blocks_of(row, b - a)
+                h = mixed(mixed(ids[a:b][owner] + ODD) + number.astype(np.uint64) * ODD)
+                cell, sign = (h % np.uint64(wide)).astype(np.int64) * WIDTH, np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
+                block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
+                np.add.at(total, cell[block] + feature, sign[block])
+                inner = number[block] > 0
+                block, feature = block[inner] - 1, feature[inner]
+                np.add.at(total, cell[block] + feature, sign[block])
+        yield sparse_rows(total.reshape(-1, WIDTH), TaskContext.get().partitionId() // MERGED)
 
     return run
 
 
-def add_sketch(total: np.ndarray, words: np.ndarray, row: np.ndarray, n_rows: int, weighted: np.ndarray, idf: np.ndarray) -> None:
-    """Adds the share of some rows' passages, each scaled to unit length."""
-    if not len(words):
-        return
-    passage, owner, number, length = passage_vectors(words, row, n_rows, weighted, idf)
-    passage = (passage / np.maximum(length, 1e-9)[:, None]).astype(np.float32)
-    begin = blocks_of(row, n_rows)[0]
-    size = np.diff(np.append(begin, len(words)))
-    back = passage.copy()
-    later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-    back[later] += passage[later - 1]
-    block = np.repeat(np.arange(len(begin)), size)
-    feature = hashed(words)
-    order = np.argsort(feature, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(feature[order]) > 0]))
-    sums = np.add.reduceat(back[block[order]], cut, axis=0)
-    used = feature[order][cut]
-    total[used] += sums * idf[used][:, None].astype(np.float32)
-
-
-def random_matrix(rank: int) -> np.ndarray:
-    """The same signs in every task, from a hash of the place."""
-    return np.where(mixed(np.arange(1, WIDTH * rank + 1, dtype=np.uint64)) >> np.uint64(63), 1.0, -1.0).astype(np.float32).reshape(WIDTH, rank)
+def sparse_rows(total: np.ndarray, share: int) -> pa.RecordBatch:
+    """Rows that hold anything, as the places and values that aren't zero."""
+    rows = np.flatnonzero(total.any(axis=1))
+    used = [np.flatnonzero(total[k]) for k in rows]
+    places = pa.array([x.astype(np.int16).tobytes() for x in used], pa.binary())
+    values = pa.array([total[k, x].astype(np.int64).tobytes() for k, x in zip(rows, used, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(rows), share, np.int64)), places, values], names=["row", "share", "places", "sums"])
 
 
 def added(table: pa.Table) -> pa.Table:
-    """Sums of vectors by feature, for one share of the features."""
-    feature = table.column("feature").to_numpy()
-    vectors = np.stack([np.frombuffer(v, np.float32) for v in table.column("vector").to_pylist()])
-    order = np.argsort(feature, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(feature[order]) > 0]))
-    sums = np.add.reduceat(vectors[order], cut, axis=0)
-    return pa.table({"feature": feature[order][cut], "vector": pa.array([x.tobytes() for x in sums], pa.binary())})
+    """The sum of one row over up to ``MERGED`` parts."""
+    total = np.zeros((1, WIDTH), np.int64)
+    for places, sums in zip(table.column("places").to_pylist(), table.column("sums").to_pylist(), strict=True):
+        total[0, np.frombuffer(places, np.int16)] += np.frombuffer(sums, np.int64)
+    out = pa.Table.from_batches([sparse_rows(total, table.column("share")[0].as_py() // MERGED)])
+    return out.set_column(0, "row", pa.array(np.full(out.num_rows, table.column("row")[0].as_py(), np.int64)))
+
+
+def corpus_sketch(texts: DataFrame, wide: int) -> np.ndarray:
+    """The sketch of all passages and the document counts, ``wide`` + 2 rows. Parts are summed in two rounds, so that no task gets one of every task."""
+    kinds = "row bigint, share bigint, places binary, sums binary"
+    parts = texts.mapInArrow(sketcher(wide), kinds)
+    for _ in range(2):
+        parts = parts.groupBy("row", "share").applyInArrow(added, kinds)
+    out = np.zeros((wide + 2, WIDTH))
+    for r in parts.toLocalIterator():
+        out[r["row"], np.frombuffer(r["places"], np.int16)] += np.frombuffer(r["sums"], np.int64)
+    return out
 
 
-def latent_space(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
+def latent_space(sketch: np.ndarray, items: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
     """An orthonormal basis of the leading right singular space, features by ``rank``.
 
-    The sketch covers every passage; its size is fixed by the feature width. The
-    benchmark's own passages count as much as all documents together, so that the space
-    holds them.
+    The benchmark's passages get a sketch of their own that weighs as much as that of all
+    documents together, so that the space holds them.
     """
-    wide = rank + EXTRA
-    parts = texts.mapInArrow(sketcher(idf, wide), "feature bigint, vector binary")
-    parts = parts.withColumn("share", F.col("feature") % 64).groupBy("share").applyInArrow(added, "feature bigint, vector binary")
-    sketch = np.zeros((WIDTH, wide), np.float32)
-    for r in parts.toLocalIterator():
-        sketch[r["feature"]] = np.frombuffer(r["vector"], np.float32)
-    own = np.zeros_like(sketch)
-    if items:
-        words, row = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
-        add_sketch(own, words, row, len(items), random_matrix(wide) * idf[:, None].astype(np.float32), idf)
-        size = np.linalg.norm(own)
-        if size:
-            sketch += own * max(1.0, np.linalg.norm(sketch) / size)
-    basis, _, _ = np.linalg.svd(sketch, full_matrices=False)
-    return np.ascontiguousarray(basis[:, :rank], dtype=np.float32)
+    wide = len(sketch)
+    words, row = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
+    begin, owner, number = blocks_of(row, len(items))
+    block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
+    h = mixed(mixed(owner.astype(np.uint64)) + number.astype(np.uint64) * ODD)
+    own = np.zeros((wide, WIDTH))
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    np.add.at(own, ((h % np.uint64(wide)).astype(np.int64)[block], hashed(words)), sign[block])
+    sketch, own = sketch * idf, own * idf
+    both = np.concatenate([sketch, own * max(1.0, np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9))]).T
+    value, vector = np.linalg.eigh(both.T @ both)
+    value, vector = value[::-1][:rank], vector[:, ::-1][:, :rank]
+    real = value > 1e-9 * max(value[0], 1e-9)
+    return np.ascontiguousarray(both @ (vector[:, real] / np.sqrt(value[real])), dtype=np.float32)
 
 
 def common_subsequence(masks: dict[int, int], size: int, window: list[int]) -> int:
@@ -179,7 +181,7 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = basis * idf[:, None].astype(np.float32)
         row_of = np.repeat(np.arange(len(items)), [len(x) for x in items])
-        queries, owner, _, _ = passage_vectors(np.concatenate(items), row_of, len(items), table, idf)
+        queries, owner, _ = passage_vectors(np.concatenate(items), row_of, len(items), table)
         queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
         whole = [x.tolist() for x in items]
         tails = [x[-max(3, len(x) // 4) :] for x in whole]
@@ -193,7 +195,7 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
                     continue
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 for some, some_rows, n_rows, before in stretches(words, row, b - a):
-                    passages, place, number, _ = passage_vectors(some, some_rows, n_rows, table, idf)
+                    passages, place, number = passage_vectors(some, some_rows, n_rows, table)
                     passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
                     for part in range(0, len(passages), 4096):
                         close = passages[part : part + 4096] @ queries.T
@@ -239,13 +241,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cos
     if not full:
         return docs.sparkSession.createDataFrame([], kinds)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counts = texts.select("text").mapInArrow(document_counts, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    n = np.zeros(WIDTH + 1)
-    for r in counts.collect():
-        n[r["feature"]] = r["n"]
-    idf = np.log((n[-1] + 1) / (n[:-1] + 1)) + 1e-3
+    sketch = corpus_sketch(texts, rank + EXTRA)
+    idf = np.log((sketch[-1, 0] + 1) / (sketch[-2] + 1)) + 1e-3
     ids, items = [asked[k]["item_id"] for k in full], [items[k] for k in full]
-    basis = latent_space(texts.select("text"), items, idf, rank)
+    basis = latent_space(sketch[:-2], items, idf, rank)
     return texts.mapInArrow(searcher(ids, items, idf, basis, cosine), kinds)
 
 
