@@ -204,7 +204,11 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
                             n = len(whole[item])
                             begin = first[doc] + before + number[part + p] * STEP
                             window = words[max(first[doc], begin - n) : min(first[doc + 1], begin + 2 * STEP + n)].tolist()
+                            if sum(map(tests[item][0].__contains__, window)) / n < SUBSEQUENCE:
+                                continue
                             lcs = common_subsequence(tests[item][0], n, window) / n
+                            if lcs < SUBSEQUENCE:
+                                continue
                             answer = common_subsequence(tests[item][1], len(tails[item]), window) / len(tails[item])
                             if lcs >= SURE or (lcs >= SUBSEQUENCE and answer >= ANSWER):
                                 best = found.setdefault((a + doc, item), [0.0, 0.0, 0.0])
