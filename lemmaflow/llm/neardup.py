@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts share a class without being paired; between different texts every
     bucket's members are checked, first against its leader, then, for members outside
-    its class, against the others: all at once in buckets of up to ``SMALL_BUCKET``
-    texts, one more leader a round in larger ones, until a round finds no link. Words are runs other than space, tab,
+    its class, against the others: one by one in buckets of up to ``SMALL_BUCKET``
+    texts, through an exact prefix filter in larger ones. Words are runs other than space, tab,
     line breaks, vertical tab and form feed, with A to Z lower-cased; a text of one to
     four words is one shingle; null texts and texts without words are alone in their
     class. Rows that repeat an id count as that document again; a null id gets a null
@@ -222,14 +222,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     codes = written(coded.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingles")
     links = written(verified(pairs, codes), "links")
     classes = connected_components(links)
-    led = crowded.where("rep = lead").select("band", "rep")
-    while True:
-        pairs, led = straggler_pairs(crowded, classes, led)
-        fresh = written(verified(pairs, codes), "links")
-        if fresh.isEmpty():
-            break
-        links = links.union(fresh)
-        classes = connected_components(links)
+    fresh = written(verified(straggler_pairs(crowded, classes, codes).join(pairs, ["a", "b"], "left_anti"), codes), "links")
+    if not fresh.isEmpty():
+        classes = connected_components(links.union(fresh))
     by_text = reps.select("digest", "rep").join(classes.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     out = signs.select("doc_id", F.when(F.col("mass") > 0, F.col("digest")).alias("digest")).join(by_text, "digest", "left")
     out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
@@ -237,23 +232,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("is_kept"))
 
 
-def straggler_pairs(crowded: DataFrame, classes: DataFrame, led: DataFrame) -> tuple[DataFrame, DataFrame]:
+def straggler_pairs(crowded: DataFrame, classes: DataFrame, codes: DataFrame) -> DataFrame:
     """Pairs still to be checked: members of a bucket outside the class of its leader, against the others.
 
-    ``led`` has (band, rep) of those that have met their whole bucket. In buckets of at
-    most ``SMALL_BUCKET`` texts every member outside meets all others at once. In larger
-    ones the first by rank that hasn't led does, so that a round stays linear.
+    Two members inside are in one class already, so these are all. In buckets of at most
+    ``SMALL_BUCKET`` texts every member outside meets all others. In larger ones it meets
+    those that can be similar enough: the ones that share a code of both prefixes.
     """
     named = crowded.join(classes.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = named.withColumn("lead_label", F.min(F.when(F.col("rep") == F.col("lead"), F.col("label"))).over(Window.partitionBy("band")))
-    named = written(named.select("band", "rep", "mass", "rank", "n", "label", (F.col("label") != F.col("lead_label")).alias("outside")), "named")
-    outside = named.where("outside").join(led, ["band", "rep"], "left_anti").select("band", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), "rank", "n")
-    first = F.row_number().over(Window.partitionBy("band").orderBy("rank", "u"))
-    lead = outside.withColumn("first", first).where((F.col("first") == 1) | (F.col("n") <= SMALL_BUCKET)).select("band", "u", "u_label", "u_mass")
-    lead = written(lead, "lead")
-    met = named.select("band", "rep", "mass", "label").join(lead, "band").where("label <> u_label").where(sizes_fit("mass", "u_mass"))
-    pairs = met.select(F.least("u", "rep").alias("a"), F.greatest("u", "rep").alias("b")).distinct()
-    return written(pairs, "pairs"), written(led.union(lead.select("band", F.col("u").alias("rep"))), "led")
+    named = written(named.select("band", "rep", "mass", "n", "label", (F.col("label") != F.col("lead_label")).alias("outside")), "named")
+    outside = named.where("outside").select("band", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), "n")
+    small, large = outside.where(F.col("n") <= SMALL_BUCKET).drop("n"), outside.where(F.col("n") > SMALL_BUCKET)
+    met = named.select("band", "rep", "mass", "label").join(small, "band").where("label <> u_label").where(sizes_fit("mass", "u_mass"))
+    met = met.select("u", "rep")
+    bands = large.select("band").distinct()
+    members = named.join(bands, "band", "left_semi").groupBy("rep", "mass", "label").agg(F.max("outside").alias("outside"))
+    heads = written(prefixes(members, codes), "prefixes")
+    first = heads.where("outside").select("code", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), F.col("at").alias("u_at"))
+    shared = heads.join(first, "code").where("label <> u_label").where(sizes_fit("mass", "u_mass")).where(rest_fits())
+    pairs = met.union(shared.select("u", "rep")).select(F.least("u", "rep").alias("a"), F.greatest("u", "rep").alias("b")).distinct()
+    return written(pairs, "pairs")
+
+
+def prefixes(members: DataFrame, codes: DataFrame) -> DataFrame:
+    """(rep, mass, label, outside, code, at): each member's rarest codes, so many that two similar enough members share one.
+
+    Of two sets that overlap enough, each lacks at most a fifth of its own codes in the
+    other, so among a fifth and one more, in one order for all, there is a common one.
+    Codes that one member alone has come first in that order and are left out after.
+    """
+    a, b = SIMILARITY
+    spread = members.join(codes.select(F.col("doc_id").alias("rep"), "codes"), "rep").select("rep", F.explode("codes").alias("code"))
+    common = spread.groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
+    known = spread.join(common, "code").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("known"))
+    cut = members.join(known, "rep").withColumn("alone", F.col("mass") - F.size("known"))
+    length = F.col("mass") - F.expr(f"(mass * {a} + {b - 1}) div {b}") + 1 - F.col("alone")
+    head = cut.where(length > 0).select("rep", "mass", "label", "outside", "alone", F.posexplode(F.slice("known", F.lit(1), length.cast("int"))).alias("pos", "x"))
+    return head.select("rep", "mass", "label", "outside", F.col("x.code").alias("code"), (F.col("alone") + F.col("pos")).alias("at"))
+
+
+def rest_fits() -> Column:
+    """Whether the codes from a common one on suffice; it holds at the first common code of every pair that overlaps enough."""
+    a, b = SIMILARITY
+    return F.least(F.col("mass") - F.col("at"), F.col("u_mass") - F.col("u_at")) * (a + b) >= (F.col("mass") + F.col("u_mass")) * a
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

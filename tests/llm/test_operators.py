@@ -250,6 +250,20 @@ def test_near_duplicates(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_a_bucket_of_unlike_texts(spark, monkeypatch):
+    """Hundreds of texts of one template, all under 0.8, and one pair that ranks last, in one bucket."""
+    buckets = neardup.crowded_buckets
+    monkeypatch.setattr(neardup, "crowded_buckets", lambda reps: buckets(reps.selectExpr("digest", "rep", "mass", "array(0L) AS bands")))
+    shared = [f"t{j}" for j in range(75)]
+    rows = [(k, " ".join(shared + [f"u{k}x{j}" for j in range(25)])) for k in range(300)]
+    rows += [(1000 + k, " ".join(shared + [f"p{j}" for j in range(23)] + [f"q{k}", f"r{k}"])) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bags = {k: {tuple(t.split()[j : j + 5]) for j in range(96)} for k, t in rows}
+    similar = {(a, b) for a in bags for b in bags if a < b and len(bags[a] & bags[b]) * 5 >= len(bags[a] | bags[b]) * 4}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame).collect()}
+    assert {(a, b) for a in got for b in got if a < b and got[a] == got[b]} == similar == {(1000, 1001)}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     h = rng.integers(1, 1 << 52, 400).astype(np.uint64)
