@@ -4,7 +4,9 @@ Documents are passages of 32 words, one every 16. Hashed words weighted by inver
 document frequency make a sparse matrix; a randomised SVD over all passages and the
 benchmark gives a latent space: every passage is added, with a random sign, to one of a
 fixed number of rows, and that sketch of the row space is decomposed. Passages whose cosine with a benchmark passage is high
-enough are candidates, and a longest common subsequence of words, with a look at the
+enough are candidates, and so are those in which a few words of an item begin that follow
+each other as they do there: a short item's share of a passage may be too small for the
+cosine. A longest common subsequence of words, with a look at the
 item's closing words as its answer, decides. The benchmark is a stated query set: its
 vectors go to every task, and every passage is compared with them in blocks.
 """
@@ -26,6 +28,9 @@ RANK = 256
 EXTRA = 16
 STEP = 16
 COSINE = 0.5
+#: Words in a row that make a candidate whatever the cosine; a shorter item must occur whole.
+RUN = 4
+RUN_BITS = 22
 SUBSEQUENCE = 0.6
 ANSWER = 0.5
 SURE = 0.8
@@ -177,6 +182,49 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return out
 
 
+def runs(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` words in a row, and where each begins."""
+    n = max(0, len(words) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = mixed(h * ODD + words[k : k + n])
+    whole = np.flatnonzero(row[:n] == row[size - 1 : size - 1 + n])
+    return h[whole], whole
+
+
+class Runs:
+    """The benchmark's runs of ``RUN`` words, and whole items that are shorter, by hash."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.tables = []
+        lengths = np.array([len(x) for x in items])
+        for size in range(1, RUN + 1):
+            own = np.flatnonzero(lengths == size if size < RUN else lengths >= RUN)
+            if len(own):
+                row = np.repeat(own, lengths[own])
+                h, begin = runs(np.concatenate([items[k] for k in own]), row, size)
+                pairs = np.unique(np.stack([h, row[begin].astype(np.uint64)], axis=1), axis=0)
+                bits = np.zeros(1 << RUN_BITS, bool)
+                bits[pairs[:, 0] >> np.uint64(64 - RUN_BITS)] = True
+                self.tables.append((size, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), bits))
+
+    def met(self, words: np.ndarray, row: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, item): an item's run begins in the first block of the passage. ``first`` has each row's first passage."""
+        out: set[tuple[int, int]] = set()
+        start = np.searchsorted(row, np.arange(len(first)))
+        for size, known, item, bits in self.tables:
+            h, begin = runs(words, row, size)
+            maybe = bits[h >> np.uint64(64 - RUN_BITS)]
+            h, begin = h[maybe], begin[maybe]
+            low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+            n = high - low
+            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(begin, n)
+            passage = first[row[begin]] + (begin - start[row[begin]]) // STEP
+            out.update(zip(passage.tolist(), item[which].tolist(), strict=True))
+        return sorted(out)
+
+
 def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, cosine: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = basis * idf[:, None].astype(np.float32)
@@ -186,6 +234,8 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
         whole = [x.tolist() for x in items]
         tails = [x[-max(3, len(x) // 4) :] for x in whole]
         tests = [(masks_of(x), masks_of(t)) for x, t in zip(whole, tails, strict=True)]
+        verbatim = Runs(items)
+        own = np.searchsorted(owner, np.arange(len(items) + 1))
         for batch in batches:
             data, at = buffers(batch.column("text"))
             found: dict[tuple[int, int], list] = {}
@@ -197,22 +247,28 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
                 for some, some_rows, n_rows, before in stretches(words, row, b - a):
                     passages, place, number = passage_vectors(some, some_rows, n_rows, table)
                     passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
+                    pairs: dict[tuple[int, int], float] = {}
                     for part in range(0, len(passages), 4096):
                         close = passages[part : part + 4096] @ queries.T
                         for p, q in zip(*np.nonzero(close >= cosine), strict=True):
-                            item, doc = int(owner[q]), int(place[part + p])
-                            n = len(whole[item])
-                            begin = first[doc] + before + number[part + p] * STEP
-                            window = words[max(first[doc], begin - n) : min(first[doc + 1], begin + 2 * STEP + n)].tolist()
-                            if sum(map(tests[item][0].__contains__, window)) / n < SUBSEQUENCE:
-                                continue
-                            lcs = common_subsequence(tests[item][0], n, window) / n
-                            if lcs < SUBSEQUENCE:
-                                continue
-                            answer = common_subsequence(tests[item][1], len(tails[item]), window) / len(tails[item])
-                            if lcs >= SURE or (lcs >= SUBSEQUENCE and answer >= ANSWER):
-                                best = found.setdefault((a + doc, item), [0.0, 0.0, 0.0])
-                                found[a + doc, item] = [max(x, y) for x, y in zip(best, (float(close[p, q]), lcs, answer), strict=True)]
+                            key = part + int(p), int(owner[q])
+                            pairs[key] = max(pairs.get(key, -1.0), float(close[p, q]))
+                    for p, item in verbatim.met(some, some_rows, np.searchsorted(place, np.arange(n_rows))):
+                        if (p, item) not in pairs:
+                            pairs[p, item] = float((queries[own[item] : own[item + 1]] @ passages[p]).max())
+                    for (p, item), near in pairs.items():
+                        doc, n = int(place[p]), len(whole[item])
+                        begin = first[doc] + before + number[p] * STEP
+                        window = words[max(first[doc], begin - n) : min(first[doc + 1], begin + 2 * STEP + n)].tolist()
+                        if sum(map(tests[item][0].__contains__, window)) / n < SUBSEQUENCE:
+                            continue
+                        lcs = common_subsequence(tests[item][0], n, window) / n
+                        if lcs < SUBSEQUENCE:
+                            continue
+                        answer = common_subsequence(tests[item][1], len(tails[item]), window) / len(tails[item])
+                        if lcs >= SURE or (lcs >= SUBSEQUENCE and answer >= ANSWER):
+                            best = found.setdefault((a + doc, item), [0.0, 0.0, 0.0])
+                            found[a + doc, item] = [max(x, y) for x, y in zip(best, (near, lcs, answer), strict=True)]
             keys = sorted(found)
             doc_ids = batch.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64()))
             values = [found[k] for k in keys]

@@ -183,6 +183,20 @@ def test_benchmark_leaks(spark, empty):
     assert decontaminate.benchmark_leaks(empty, benchmark).count() == 0
 
 
+def test_short_items_are_found_verbatim_at_every_alignment(spark):
+    """Items of 2 to 16 words, copied whole among rarer words that outweigh them."""
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate([2, 3, 4, 5, 6, 8, 10, 12, 14, 16] * 30)]
+    rows, planted = [(k, sentence(rng, 60), "en", "s", 0) for k in range(10**4, 10**4 + 100)], set()
+    for k, (item, text) in enumerate(items):
+        rare = [f"r{k}x{j}" for j in range(80)]
+        at = k % 33
+        rows.append((k, " ".join(rare[:at] + text.split() + rare[at:]), "en", "s", 0))
+        planted.add((k, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert not planted - got
+
+
 def test_common_subsequence():
     rng = random.Random(7)
     for _ in range(50):
