@@ -2,7 +2,7 @@
 
 Each page scores its containers and names the tag-class path of the best one; Spark
 counts these votes per host; then every page is read again along its host's winning
-path. A page that lacks the path, or has little text there, falls back on its own best.
+path, and what a page's own best container holds beside it is kept too.
 """
 
 from __future__ import annotations
@@ -130,18 +130,25 @@ class Page:
         return out
 
     def best(self) -> tuple[str, float] | None:
-        """Path and score of the deepest container that holds nearly all of the best score."""
+        """Path and score of the container of the main text.
+
+        From the deepest container that holds nearly all of the best score it climbs to the
+        outermost article or main around it; without one, to any that scores more.
+        """
         scores = self.scores()
         if not scores or max(scores) <= 0:
             return None
         top = max(scores)
         k = max((c for c in range(len(scores)) if scores[c] >= 0.9 * top), key=lambda c: (self.containers[c][1], scores[c], -c))
+        around = [*next(a[: a.index(k)] for _, _, a in self.blocks if k in a), k]
+        core = [c for c in around if self.containers[c][0].rsplit(">", 1)[-1].split(".")[0] in ("article", "main")]
+        k = core[0] if core else max(around, key=lambda c: (scores[c], self.containers[c][1]))
         return self.containers[k][0], scores[k]
 
-    def along(self, path: str | None) -> str:
-        """Text of the blocks within containers of that path, or of every block."""
-        chosen = {k for k, (p, _) in enumerate(self.containers) if p == path}
-        return "\n".join(text for text, _, around in self.blocks if path is None or not chosen.isdisjoint(around))
+    def along(self, paths: set[str]) -> str:
+        """Text of the blocks within containers of those paths, or of every block if there are none."""
+        chosen = {k for k, (p, _) in enumerate(self.containers) if p in paths}
+        return "\n".join(text for text, _, around in self.blocks if not paths or not chosen.isdisjoint(around))
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +163,9 @@ def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True):
             page = Page(source)
             own = page.best()
-            text = page.along(path) if path is not None else ""
-            if own and len(text) < 0.25 * own[1]:
-                text = page.along(own[0])
-            elif not text:
-                text = page.along(None)
+            text = page.along({x for x in (path, own and own[0]) if x is not None})
+            if not text:
+                text = page.along(set())
             texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

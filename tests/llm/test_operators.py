@@ -107,6 +107,18 @@ def test_main_text(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_main_text_keeps_the_whole_article(spark):
+    """Title, lead and closing words outside the article's body, and a page whose template differs from its host's."""
+    body = " ".join(["words of the body"] * 120)
+    nested = f"<body><article><h1>Title</h1><p>lead</p><div class='body'><p>{body}</p></div><p>end</p></article><div>after</div></body>"
+    plain = f"<body><div class='page'><h1>Title</h1><div class='body'><p>{body}</p></div><p>end</p></div></body>"
+    other = f"<body><main><h2>Other</h2><div><p>{body}</p></div></main><article><p>{body[:700]}</p></article></body>"
+    rows = [(1, "http://a.x/1", nested), (2, "http://a.x/2", nested), (3, "http://a.x/3", other), (4, "http://b.x/1", plain)]
+    got = {r.page_id: r.text for r in mainhtml.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == f"Title\nlead\n{body}\nend"
+    assert got[3] == f"Other\n{body}\n{body[:700].strip()}" and got[4] == f"Title\n{body}\nend"
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(1)
