@@ -19,6 +19,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NOISE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|sidebar|side-?nav|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|disqus|respond|footer|site-?header|masthead|topbar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|popup|modal|overlay|pagination|pager|widget|toolbar|skip-?link)(?:$|[-_ ])", re.I)
 DIGITS = re.compile(r"\d+")
+#: Class names that say what a page has or lacks, not what the element is.
+STATE = re.compile(r"(?<!\S)(?:has|no|with|without|is)-\S+", re.I)
 
 # HTML tags by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,23 +28,35 @@ RAW = frozenset("script style noscript template svg math iframe object canvas au
 NOISE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset".split())
 CONTAINERS = frozenset("body main article section div td table blockquote ul ol dl center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr th thead tbody tfoot caption pre address header hr figure figcaption details summary hgroup".split())
+# Noise whatever it holds; other noise may turn out to be a wrapper of the page. Only code runs to the end of a page if unclosed.
+HARD = NOISE_TAGS - {"form", "fieldset"}
+CODE = frozenset(["script", "style"])
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 
 
 class Page:
-    """Blocks of text, each with the containers around it; ``containers`` has (path, depth) by number."""
+    """Blocks of text, each with the containers around it; ``containers`` has (path, depth) by number.
+
+    Text keeps the noise marks around it until the page is read. A class name, form,
+    fieldset or header is no noise if it wraps a main, or the page's only articles, or, on
+    a page without either outside noise, most of the text outside links.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.containers: list[tuple[str, int]] = []
         self.stack: list[list] = []
-        self.noise = 0
+        self.marks: tuple[int, ...] = ()
+        self.soft: list[bool] = []
+        self.cores: list[tuple[str, tuple[int, ...]]] = []
         self.link = 0
-        self.parts: list[tuple[str, bool]] = []
+        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.pieces: list[tuple[list[tuple[str, bool, tuple[int, ...]]], tuple[int, ...]]] = []
         self.read(source)
         self.flush()
+        self.settle()
 
     def read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -61,22 +75,40 @@ class Page:
             elif tag in RAW:
                 if not m[3].rstrip().endswith("/"):
                     end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                    at = end.end() if end else n if tag in CODE else at
             else:
                 self.open(tag, m[3])
 
     def text(self, raw: str) -> None:
-        if raw and not self.noise:
-            self.parts.append((raw, self.link > 0))
+        if raw:
+            self.parts.append((raw, self.link > 0, self.marks))
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join(entities.unescape("".join(p for p, _ in self.parts)).split())
+            self.pieces.append((self.parts, tuple(e[2] for e in self.stack if e[2] is not None)))
+            self.parts = []
+
+    def settle(self) -> None:
+        """Decides which marks are noise and makes the blocks from the text outside them."""
+        void = {m for tag, marks in self.cores if tag == "main" for m in marks if self.soft[m]}
+        if not any(void.issuperset(marks) for _, marks in self.cores):
+            void |= {m for _, marks in self.cores for m in marks if self.soft[m]}
+        if not any(void.issuperset(marks) for _, marks in self.cores):
+            share, total = [0] * len(self.soft), 0
+            for parts, _ in self.pieces:
+                for raw, linked, marks in parts:
+                    if not linked and all(self.soft[m] for m in marks):
+                        size = len("".join(raw.split()))
+                        total += size
+                        for m in marks:
+                            share[m] += size
+            void |= {m for m in range(len(self.soft)) if self.soft[m] and 2 * share[m] > total}
+        for parts, around in self.pieces:
+            kept = [(raw, linked) for raw, linked, marks in parts if void.issuperset(marks)]
+            text = " ".join(entities.unescape("".join(raw for raw, _ in kept)).split())
             if text:
-                linked = sum(len(p) for p, inside in self.parts if inside)
-                around = tuple(e[2] for e in self.stack if e[2] is not None)
+                linked = sum(len(raw) for raw, inside in kept if inside)
                 self.blocks.append((text, min(linked, len(text)), around))
-            self.parts = []
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -93,18 +125,24 @@ class Page:
         inside = {e[0] for e in self.stack}
         label = f"{given.get('class', '')} {given.get('id', '')}".strip()
         core = tag in ("body", "html", "main", "article") or tag in HEADING
-        noisy = tag in NOISE_TAGS or (tag == "header" and not inside & {"article", "main"}) or (not core and bool(label) and bool(NOISE.search(label)))
-        noisy = noisy or "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ("navigation", "banner", "contentinfo", "complementary", "dialog", "alert", "search")
+        noisy = tag in NOISE_TAGS or (tag == "header" and not inside & {"article", "main"}) or (not core and bool(label) and bool(NOISE.search(STATE.sub(" ", label))))
+        hard = tag in HARD or "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ("navigation", "banner", "contentinfo", "complementary", "dialog", "alert", "search")
+        mark = None
+        if noisy or hard:
+            mark = len(self.soft)
+            self.soft.append(not hard)
+            self.marks += (mark,)
+        if tag in ("article", "main"):
+            self.cores.append((tag, self.marks))
         number = None
-        if tag in CONTAINERS and not self.noise and not noisy:
+        if tag in CONTAINERS:
             above = next((self.containers[e[2]][0] for e in reversed(self.stack) if e[2] is not None), "")
             classes = ".".join(sorted(DIGITS.sub("#", given.get("class", "")).split()))
             step = tag + (f".{classes}" if classes else "")
             number = len(self.containers)
             self.containers.append((f"{above}>{step}" if above else step, sum(e[2] is not None for e in self.stack)))
-        self.noise += noisy
         self.link += tag == "a"
-        self.stack.append([tag, noisy, number])
+        self.stack.append([tag, mark, number])
 
     def close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -116,8 +154,8 @@ class Page:
             return
         if any(e[0] in BLOCKS for e in self.stack[k:]):
             self.flush()
-        for _, noisy, _ in self.stack[k:]:
-            self.noise -= noisy
+        gone = {e[1] for e in self.stack[k:]}
+        self.marks = tuple(m for m in self.marks if m not in gone)
         self.link -= sum(e[0] == "a" for e in self.stack[k:])
         del self.stack[k:]
 
@@ -186,7 +224,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     A block's white space becomes one space, and blocks are joined by line feeds in page
     order. Null or empty html, and pages with nothing but menus and the like, give empty
-    text. Pages without a host vote together. Repeated rows vote and are answered each.
+    text; a noise-like class that holds most of a page's unlinked text counts as a wrapper. Pages without a host vote together. Repeated rows vote and are answered each.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     out = rows.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path")

@@ -119,6 +119,18 @@ def test_main_text_keeps_the_whole_article(spark):
     assert got[3] == f"Other\n{body}\n{body[:700].strip()}" and got[4] == f"Title\n{body}\nend"
 
 
+def test_main_text_inside_what_looks_like_noise():
+    """Wrappers of the whole page are no noise, and an unclosed embedded object ends nothing."""
+    story = " ".join(["words of the story"] * 40)
+    article, plain = f"<article><p>{story}</p></article>", f"<div><p>{story}</p></div>"
+    for start in ("<form>", "<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div class='with-comments'>", "<div class='page-overlay'>", "<canvas>", "<iframe src=x>", "<object>", "<svg>"):
+        for inner in (article, article.replace("article", "main"), plain):
+            page = mainhtml.Page(f"<body><nav>menu</nav>{start}{inner}<div class='comments'>a reply</div><button>go</button></body>")
+            assert page.along(set()) == story, (start, inner)
+    for page in (f"<div class='comments'><article>{story}</article></div><article>short</article>", f"<div class='comments'>{story}</div><article>short</article>", "<article>short</article><form>f</form>"):
+        assert mainhtml.Page(page).along(set()) == "short"
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(1)
