@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over normalised words.
 
 A text becomes lower-case words joined by single spaces. One regular expression gates
-whole texts, a keyword gates each rule, and only then do the rule's patterns run. Places
+whole texts, keywords gate each rule, and only then do the rule's patterns run. Places
 are word positions; a sweep over them drops detections contained in another one of the
 same or a stronger priority. All of it is DataFrame work on single rows: no shuffle, no
 Python on executors.
@@ -19,23 +19,23 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# License label, keyword, and the name as a pattern over normalised words.
+# License label, keywords (every alternative of the pattern has one as a whole word), and the name as a pattern over normalised words.
 NAMES = [
     ("apache-2.0", "apache", r"apache (?:software )?licen[cs]e(?: v(?:ersion)?)? ?2(?: 0)?"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e(?: v(?:ersion)?)? ?1(?: 1)?"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
     ("mit", "mit", r"mit(?: x11)? licen[cs]e"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[cs]e"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[cs]e"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd) licen[cs]e"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd) licen[cs]e"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?"),
+    ("0bsd", "bsd 0bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e(?: v(?:ersion)?)? ?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: v(?:ersion)?)? ?2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: v(?:ersion)?)? ?3(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public licen[cs]e"),
     ("gpl-2.0", "general", r"(?:gnu )?general public licen[cs]e(?: v(?:ersion)?)? ?2(?: 0)?"),
     ("gpl-3.0", "general", r"(?:gnu )?general public licen[cs]e(?: v(?:ersion)?)? ?3(?: 0)?"),
     ("gpl-1.0", "general", r"(?:gnu )?general public licen[cs]e(?: v(?:ersion)?)? ?1(?: 0)?"),
@@ -46,7 +46,7 @@ NAMES = [
     ("mpl", "mozilla", r"mozilla public licen[cs]e"),
     ("epl-1.0", "eclipse", r"eclipse public licen[cs]e(?: v(?:ersion)?)? ?1(?: 0)?"),
     ("epl-2.0", "eclipse", r"eclipse public licen[cs]e(?: v(?:ersion)?)? ?2(?: 0)?"),
-    ("cddl-1.0", "cddl", r"cddl(?: ?1 [01])?(?: licen[cs]e)?"),
+    ("cddl-1.0", "cddl cddl1", r"cddl(?: ?1 [01])?(?: licen[cs]e)?"),
     ("cddl", "development", r"common development and distribution licen[cs]e"),
     ("cpl-1.0", "common", r"common public licen[cs]e"),
     ("isc", "isc", r"isc licen[cs]e"),
@@ -62,7 +62,7 @@ NAMES = [
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
     ("osl-3.0", "open", r"open software licen[cs]e(?: v(?:ersion)?)?(?: ?3 0)?"),
     ("afl-3.0", "academic", r"academic free licen[cs]e(?: v(?:ersion)?)?(?: ?3 0)?"),
-    ("python-2.0", "python", r"(?:python software foundation|psf|python) licen[cs]e(?: v(?:ersion)?)?(?: ?2(?: 0)?)?"),
+    ("python-2.0", "python psf", r"(?:python software foundation|psf|python) licen[cs]e(?: v(?:ersion)?)?(?: ?2(?: 0)?)?"),
     ("ruby", "ruby", r"ruby licen[cs]e"),
     ("php-3.01", "php", r"php licen[cs]e(?: v(?:ersion)?)?(?: ?3 0 ?1?)?"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e"),
@@ -90,10 +90,10 @@ NAMES = [
 GRANTS = [r"(?:licensed|relicensed|sublicensed) under", r"(?:released|published|distributed|redistributed) under", r"(?:available|provided|made available) under", r"(?:governed by|subject to|covered by)"]
 TERMS = r" (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 
-# Notices that name no license: label, keyword, pattern, score.
+# Notices that name no license: label, keywords, pattern, score.
 NOTICES = [
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-    ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
+    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 0.9),
     ("warranty-disclaimer", "warranty", r"without warranty of any kind", 0.5),
     ("warranty-disclaimer", "warranties", r"without warranties or conditions of any kind", 0.5),
@@ -105,21 +105,21 @@ NOTICES = [
     ("public-domain", "domain", r"dedicated to the public domain", 0.9),
 ]
 
-GATE = r"licen[cs]|copyright|spdx|rights reserved|creative commons|cc[\W_]{1,3}(?:by|0)|cc0|general public|public domain|permission|redistribution|warrant|proprietary|confidential|free software|wtfpl|0bsd|cddl|no attribution"
+GATE = r"licen[cs]|copyright|spdx|rights reserved|creative commons|cc[\W_]{1,3}(?:by|0)|cc0|general public|public domain|permission|redistribution|warrant|proprietary|confidential|free software|wtfpl|0bsd|cddl|no attribution|zero clause bsd"
 
 
 def rules() -> list[dict]:
     """Every name in every notice form; priority 1 is strongest, and order breaks further ties."""
-    out = [{"label": label, "keyword": kw, "pattern": p, "priority": 2, "score": s} for label, kw, p, s in NOTICES]
+    out = [{"label": label, "keywords": kw.split(), "pattern": p, "priority": 2, "score": s} for label, kw, p, s in NOTICES]
     for label, kw, name in NAMES:
         spdx = " ".join(label.replace(".", " ").replace("-", " ").split())
-        out.append({"label": label, "keyword": "spdx", "pattern": f"spdx licen[cs]e identifier {spdx}(?: only| or later)?", "priority": 1, "score": 1.0})
-        out += [{"label": label, "keyword": kw, "pattern": grant + TERMS + name, "priority": 1, "score": 0.95} for grant in GRANTS]
-        out.append({"label": label, "keyword": kw, "pattern": "(?:the )?" + name, "priority": 2, "score": 0.7})
+        out.append({"label": label, "keywords": ["spdx"], "pattern": f"spdx licen[cs]e identifier {spdx}(?: only| or later)?", "priority": 1, "score": 1.0})
+        out += [{"label": label, "keywords": kw.split(), "pattern": grant + TERMS + name, "priority": 1, "score": 0.95} for grant in GRANTS]
+        out.append({"label": label, "keywords": kw.split(), "pattern": "(?:the )?" + name, "priority": 2, "score": 0.7})
     return [r | {"rank": k, "pattern": f"(?<= )(?:{r['pattern']})(?= )"} for k, r in enumerate(out)]
 
 
-RULE = "array<struct<label:string,keyword:string,pattern:string,priority:int,score:double,rank:int>>"
+RULE = "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,score:double,rank:int>>"
 FOUND = "array<struct<start:int,stop:int,priority:int,rank:int,label:string,score:double>>"
 
 
@@ -183,7 +183,8 @@ def scan_licenses(docs: DataFrame, extra_rules: list[dict] | None = None) -> Dat
     ``docs`` stay, apart from those that carry the names added here.
     """
     docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
-    table = F.from_json(F.lit(json.dumps(rules() + (extra_rules or []))), RULE)
+    extra = [{"keywords": [r["keyword"]]} | r if "keyword" in r else r for r in extra_rules or []]
+    table = F.from_json(F.lit(json.dumps(rules() + extra)), RULE)
     df = docs.withColumn("_w", normalised(F.col("text")))
     w = F.col("_w")
     base = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
@@ -191,7 +192,7 @@ def scan_licenses(docs: DataFrame, extra_rules: list[dict] | None = None) -> Dat
     df = df.withColumn("_b", F.when(has, F.regexp_extract_all("_w", F.lit(base), F.lit(0))))
     df = df.withColumn("_s", F.when(has, F.split("_w", base, -1)))
     last = spaces(w) - spaces(F.element_at("_s", -1)) - spaces(F.element_at("_b", -1)) - 1
-    wanted = F.filter(table, lambda r: w.contains(F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    wanted = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: w.contains(F.concat(F.lit(" "), k, F.lit(" ")))))
     hits = F.when(w.rlike(GATE), F.flatten(F.transform(wanted, lambda r: places(w, r)))).otherwise(F.array().cast(FOUND))
     df = df.withColumn("_f", hits)
     df = df.withColumn("detections", F.when(F.size("_f") > 0, outermost(F.col("_f"))).otherwise(F.array().cast(FOUND)))

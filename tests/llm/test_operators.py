@@ -353,6 +353,38 @@ def test_licenses(spark, docs, empty):
     assert len(licenses.rules()) > 200 and licenses.scan_licenses(empty).count() == 0
 
 
+def spellings(pattern):
+    """Every alternative of a pattern, with optional parts absent and present; a range gives its first character."""
+
+    def expand(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                more = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in expand(branch)]
+            elif name == "SUBPATTERN":
+                more = expand(arg[3])
+            else:
+                assert name == "MAX_REPEAT"
+                more = [x * n for n in {arg[0], max(arg[0], 1)} for x in expand(arg[2])]
+            out = [x + y for x in out for y in more]
+        return out
+
+    return sorted(set(expand(re._parser.parse(pattern))))
+
+
+def test_every_alternative_of_every_license_rule_passes_the_gates(spark):
+    names = [(label, x) for label, _, p in licenses.NAMES for x in spellings(p)] + [(label, x) for label, _, p, _ in licenses.NOTICES for x in spellings(p)]
+    names += [(label, f"{grant} the terms of the {x}") for label, x in names for grant in ("licensed under",) if x in ("freebsd license", "0bsd", "psf license", "gnu library general public license")]
+    rows = spark.createDataFrame(list(enumerate(x for _, x in names)), "doc_id bigint, text string")
+    got = {r.doc_id: [d for d in r.detections if d.start == 0 and d.stop == r.n_words] for r in licenses.scan_licenses(rows).collect()}
+    assert not [x for k, (label, x) in enumerate(names) if label not in [d.label for d in got[k]]]
+
+
 BASE = [("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
 
 
