@@ -4,7 +4,10 @@ A text is the multiset of its five-word shingles. Every shingle spawns Poisson p
 whose rate is its weight, over dyadic slices of the weight axis; the least point in each
 register is the signature, so two texts agree in a register with probability equal to
 their weighted Jaccard similarity. Bands of registers give candidates, and shared
-shingles, counted with multiplicity, decide. Links merge into classes.
+shingles, counted with multiplicity, decide. Links merge into classes. A bucket is never
+paired out: members are compared with its leader first, and those outside the leader's
+class meet others only through a shingle that both hold and that an exact prefix filter
+lets stand.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.llm.bytescan import ODD, buffers, groups_of_rows, mixed, word_hashes
+from lemmaflow.llm.columns import unused
 from lemmaflow.plans.components import connected_components
 from lemmaflow.plans.scratch import written
 
@@ -24,7 +28,8 @@ SHINGLE = 5
 BANDS = 48
 ROWS = 8
 SIMILARITY = (4, 5)
-SMALL_BUCKET = 32
+#: Times that the members left over choose a new leader in each bucket before they are compared one by one.
+LEADERS = 2
 #: Slots of the map of documents to be compared: 2^23 bits, 1 MB whatever the input.
 SLOTS = 1 << 23
 DOC_BITS = np.uint64(52)
@@ -124,7 +129,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrences(slots: np.ndarray) -> Callable:
-    """Codes rows whose slot is set: id and one number for each shingle occurrence, so that a multiset becomes a set."""
+    """Codes rows whose slot is set: digest and one number for each shingle occurrence, so that a multiset becomes a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +143,7 @@ def occurrences(slots: np.ndarray) -> Callable:
                 turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                 codes = mixed(np.repeat(h, w) + turn.astype(np.uint64) * ODD).view(np.int64)
                 stops = np.concatenate([[0], np.cumsum(np.bincount(r, weights=w, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), pa.ListArray.from_arrays(pa.array(stops), pa.array(codes))], names=["doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(a, n), pa.ListArray.from_arrays(pa.array(stops), pa.array(codes))], names=["digest", "codes"])
 
     return run
 
@@ -147,14 +152,14 @@ def slot_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS))
 
 
-def slots_set(ids: DataFrame) -> np.ndarray:
-    """A map of ``SLOTS`` bits in which the slot of every ``doc_id`` is set.
+def slots_set(members: DataFrame) -> np.ndarray:
+    """A map of ``SLOTS`` bits in which the slot of every ``digest`` is set.
 
-    A row without its slot set is none of ``ids``, so its text needs no shuffle. Other
+    A row without its slot set is none of ``members``, so its text needs no shuffle. Other
     rows may pass and must be told apart later. Parts of 4 KB come to the driver, 256 at most.
     """
     width = 1 << 15
-    slot = ids.select(slot_of("doc_id").alias("slot"))
+    slot = members.select(slot_of("digest").alias("slot"))
     parts = slot.groupBy((F.expr(f"slot div {width}")).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % width).alias("bits"))
     out = np.zeros((SLOTS // width, width // 8), np.uint8)
     for row in parts.collect():
@@ -163,23 +168,31 @@ def slots_set(ids: DataFrame) -> np.ndarray:
 
 
 def crowded_buckets(reps: DataFrame) -> DataFrame:
-    """(band, rep, mass, rank, lead, lead_mass, n): members of the buckets that hold more than one text, with the bucket's leader.
+    """(band, digest, mass, rank, lead, lead_mass, n): members of the buckets that hold more than one text, with the bucket's leader.
 
     The member that meets most others over all of its buckets leads: of a group of
     copies, that is one near the middle, so that a star from it links nearly all. ``rank``
-    orders members that way, ties going to the least id.
+    orders members that way, ties going to the least id. Counts and leaders are partial
+    aggregates joined back, so that a bucket of any size is spread over tasks.
     """
-    buckets = reps.select("rep", "mass", F.explode("bands").alias("band"))
-    buckets = written(buckets.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"), "buckets")
-    met = buckets.groupBy("rep").agg((-F.sum("n")).alias("rank"))
-    named = buckets.join(met, "rep").withColumn("x", F.min(F.struct("rank", "rep", "mass")).over(Window.partitionBy("band")))
-    return named.select("band", "rep", "mass", "rank", F.col("x.rep").alias("lead"), F.col("x.mass").alias("lead_mass"), "n")
+    buckets = reps.select("digest", F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(buckets.join(shared, "band"), "buckets")
+    members = buckets.groupBy("digest").agg((-F.sum("n")).alias("met")).join(reps.select("digest", "doc_id", "mass"), "digest")
+    members = written(members.select("digest", "mass", F.struct("met", "doc_id", "digest").alias("rank")), "members")
+    return written(led(buckets.join(members, "digest")), "crowded")
+
+
+def led(members: DataFrame) -> DataFrame:
+    """``members`` (band, digest, mass, rank, ...) with each bucket's first member by rank as ``lead`` and ``lead_mass``."""
+    first = members.groupBy("band").agg(F.min_by(F.struct("digest", "mass"), "rank").alias("x"))
+    return members.join(first.select("band", F.col("x.digest").alias("lead"), F.col("x.mass").alias("lead_mass")), "band")
 
 
 def star_pairs(crowded: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's leader, where their sizes allow the similarity."""
-    pairs = crowded.where("rep <> lead").where(sizes_fit("mass", "lead_mass"))
-    return pairs.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    pairs = crowded.where("digest <> lead").where(sizes_fit("mass", "lead_mass"))
+    return pairs.select(F.least("lead", "digest").alias("a"), F.greatest("lead", "digest").alias("b")).distinct()
 
 
 def sizes_fit(x: str, y: str) -> Column:
@@ -190,86 +203,105 @@ def sizes_fit(x: str, y: str) -> Column:
 def verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """The pairs whose multisets overlap enough."""
     a, b = SIMILARITY
-    left = codes.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
-    right = codes.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
+    left = codes.select(F.col("digest").alias("a"), F.col("codes").alias("x"))
+    right = codes.select(F.col("digest").alias("b"), F.col("codes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
     return joined.where(F.col("both") * b >= (F.col("all") - F.col("both")) * a).select("a", "b")
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest), null text as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``class_id`` (least id of its class), ``class_size`` and ``is_kept``.
 
-    Equal texts share a class without being paired; between different texts every
-    bucket's members are checked, first against its leader, then, for members outside
-    its class, against the others: one by one in buckets of up to ``SMALL_BUCKET``
-    texts, through an exact prefix filter in larger ones. Words are runs other than space, tab,
-    line breaks, vertical tab and form feed, with A to Z lower-cased; a text of one to
-    four words is one shingle; null texts and texts without words are alone in their
-    class. Rows that repeat an id count as that document again; a null id gets a null
-    class. ``is_kept`` holds for the document that stands for its class.
+    Texts, not ids, are compared. Equal texts share a class without being paired; between
+    different texts every bucket's members are checked, first against its leader, then,
+    for members outside its class, against all others through an exact prefix filter.
+    Words are runs other than space, tab, line breaks, vertical tab and form feed, with A
+    to Z lower-cased; a text of one to four words is one shingle; null texts and texts
+    without words are alone in their class. Rows that repeat an id count as that document
+    again, each with its own text; a null id gets a null class. ``is_kept`` holds for the
+    document that stands for its class: the least id, and of several texts under that id
+    the one with the least digest.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.md5("text"))
-    signs = written(rows.mapInArrow(signed, "doc_id bigint, digest string, mass bigint, bands array<bigint>"), "bag-minhash")
-    reps = signs.where("mass > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "mass", "bands")).alias("x"))
-    reps = reps.select("digest", F.col("x.doc_id").alias("rep"), F.col("x.mass").alias("mass"), F.col("x.bands").alias("bands"))
-    crowded = written(crowded_buckets(reps), "crowded")
+    return classified(docs).drop("digest")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """What ``near_duplicates`` returns, and the text's ``digest``."""
+    rows = digested(docs)
+    signs = written(rows.mapInArrow(signed, "doc_id bigint, digest binary, mass bigint, bands array<bigint>"), "bag-minhash")
+    reps = signs.where("mass > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("mass").alias("mass"), F.first("bands").alias("bands"))
+    reps = written(reps, "texts")
+    crowded = crowded_buckets(reps)
+    wanted = crowded.select("digest").distinct()
+    slotted = rows.where("doc_id IS NOT NULL").select("digest", "text", slot_of("digest").alias("slot"))
+    coded = slotted.mapInArrow(occurrences(slots_set(wanted)), "digest binary, codes array<bigint>")
+    codes = written(coded.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("codes").alias("codes")), "shingles")
+    links = all_links(crowded, codes)
+    labels = connected_components(links).select(F.col("id").alias("digest"), "label")
+    texts = reps.select("digest", "doc_id", "copies").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    first = F.min(F.struct("doc_id", "digest"))
+    classes = texts.groupBy("label").agg(first.alias("x"), F.sum("copies").alias("class_size"))
+    by_text = texts.select("digest", "label").join(classes, "label").select("digest", F.col("x.doc_id").alias("class_id"), F.col("x.digest").alias("kept"), "class_size")
+    out = signs.select("doc_id", "digest", F.when(F.col("mass") > 0, F.col("digest")).alias("d")).join(by_text.withColumnRenamed("digest", "d"), "d", "left")
+    return out.select(
+        "doc_id",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_size", F.lit(1))).otherwise(F.lit(1)).alias("class_size"),
+        F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("kept")), F.lit(True)).alias("is_kept"),
+        "digest",
+    )
+
+
+def all_links(crowded: DataFrame, codes: DataFrame) -> DataFrame:
+    """The links (a, b) that make the classes: stars around leaders, then whatever a member outside its leader's class has with others."""
     pairs = written(star_pairs(crowded), "pairs")
-    wanted = crowded.select(F.col("rep").alias("doc_id")).distinct()
-    slotted = rows.where("doc_id IS NOT NULL").select("doc_id", "text", slot_of("doc_id").alias("slot"))
-    coded = slotted.mapInArrow(occurrences(slots_set(wanted)), "doc_id bigint, codes array<bigint>")
-    codes = written(coded.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingles")
     links = written(verified(pairs, codes), "links")
-    classes = connected_components(links)
-    fresh = written(verified(straggler_pairs(crowded, classes, codes).join(pairs, ["a", "b"], "left_anti"), codes), "links")
-    if not fresh.isEmpty():
-        classes = connected_components(links.union(fresh))
-    by_text = reps.select("digest", "rep").join(classes.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    out = signs.select("doc_id", F.when(F.col("mass") > 0, F.col("digest")).alias("digest")).join(by_text, "digest", "left")
-    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("is_kept"))
-
-
-def straggler_pairs(crowded: DataFrame, classes: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs still to be checked: members of a bucket outside the class of its leader, against the others.
-
-    Two members inside are in one class already, so these are all. In buckets of at most
-    ``SMALL_BUCKET`` texts every member outside meets all others. In larger ones it meets
-    those that can be similar enough: the ones that share a code of both prefixes.
-    """
-    named = crowded.join(classes.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = named.withColumn("lead_label", F.min(F.when(F.col("rep") == F.col("lead"), F.col("label"))).over(Window.partitionBy("band")))
-    named = written(named.select("band", "rep", "mass", "n", "label", (F.col("label") != F.col("lead_label")).alias("outside")), "named")
-    outside = named.where("outside").select("band", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), "n")
-    small, large = outside.where(F.col("n") <= SMALL_BUCKET).drop("n"), outside.where(F.col("n") > SMALL_BUCKET)
-    met = named.select("band", "rep", "mass", "label").join(small, "band").where("label <> u_label").where(sizes_fit("mass", "u_mass"))
-    met = met.select("u", "rep")
-    bands = large.select("band").distinct()
-    members = named.join(bands, "band", "left_semi").groupBy("rep", "mass", "label").agg(F.max("outside").alias("outside"))
-    heads = written(prefixes(members, codes), "prefixes")
-    first = heads.where("outside").select("code", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), F.col("at").alias("u_at"))
-    shared = heads.join(first, "code").where("label <> u_label").where(sizes_fit("mass", "u_mass")).where(rest_fits())
-    pairs = met.union(shared.select("u", "rep")).select(F.least("u", "rep").alias("a"), F.greatest("u", "rep").alias("b")).distinct()
-    return written(pairs, "pairs")
-
-
-def prefixes(members: DataFrame, codes: DataFrame) -> DataFrame:
-    """(rep, mass, label, outside, code, at): each member's rarest codes, so many that two similar enough members share one.
-
-    Of two sets that overlap enough, each lacks at most a fifth of its own codes in the
-    other, so among a fifth and one more, in one order for all, there is a common one.
-    Codes that one member alone has come first in that order and are left out after.
+    named = labelled(crowded, links)
+    for _ in range(LEADERS - 1):
+        outside = led(named.where("outside").drop("lead", "lead_mass"))
+        more = star_pairs(outside).join(pairs, ["a", "b"], "left_anti")
+        pairs, links = pairs.union(more := written(more, "pairs")), links.union(written(verified(more, codes), "links"))
+        named = labelled(crowded, links)
+    rest = straggler_pairs(named, codes).join(pairs, ["a", "b"], "left_anti")
+    return links.union(written(verified(rest, codes), "links"))
+
+
+def labelled(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """``crowded`` with each member's ``label`` so far, and whether it lies ``outside`` the class of its bucket's leader."""
+    label = connected_components(links).select(F.col("id").alias("digest"), "label")
+    own = crowded.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    lead = label.select(F.col("digest").alias("lead"), F.col("label").alias("lead_label"))
+    return written(own.join(lead, "lead", "left").withColumn("outside", F.col("label") != F.coalesce("lead_label", "lead")).drop("lead_label"), "named")
+
+
+def straggler_pairs(named: DataFrame, codes: DataFrame) -> DataFrame:
+    """Pairs still to be checked: members outside the class of a bucket's leader, against all others under that leader.
+
+    Two members inside are in one class already, so these are all. Of two sets that
+    overlap enough, each lacks at most a fifth of its own codes in the other, so among a
+    fifth and one more, in one order for both, there is a common one. That order puts
+    codes that the leader lacks first: what all members share, because it put them into
+    one bucket, comes last and joins nobody.
     """
     a, b = SIMILARITY
-    spread = members.join(codes.select(F.col("doc_id").alias("rep"), "codes"), "rep").select("rep", F.explode("codes").alias("code"))
-    common = spread.groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
-    known = spread.join(common, "code").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("known"))
-    cut = members.join(known, "rep").withColumn("alone", F.col("mass") - F.size("known"))
-    length = F.col("mass") - F.expr(f"(mass * {a} + {b - 1}) div {b}") + 1 - F.col("alone")
-    head = cut.where(length > 0).select("rep", "mass", "label", "outside", "alone", F.posexplode(F.slice("known", F.lit(1), length.cast("int"))).alias("pos", "x"))
-    return head.select("rep", "mass", "label", "outside", F.col("x.code").alias("code"), (F.col("alone") + F.col("pos")).alias("at"))
+    bands = named.where("outside AND n > 2").select("band").distinct()
+    near = named.join(bands, "band", "left_semi").groupBy("lead", "digest", "mass", "label").agg(F.max("outside").alias("outside"))
+    near = written(near, "near")
+    own, led_by = codes.select("digest", "codes"), codes.select(F.col("digest").alias("lead"), F.col("codes").alias("known"))
+    order = F.concat(F.sort_array(F.array_except("codes", "known")), F.sort_array(F.array_intersect("codes", "known")))
+    length = (F.col("mass") - F.expr(f"(mass * {a} + {b - 1}) div {b}") + 1).cast("int")
+    heads = near.join(own, "digest").join(led_by, "lead").select("lead", "digest", "mass", "label", "outside", F.posexplode(F.slice(order, F.lit(1), length)).alias("at", "code"))
+    heads = written(heads, "prefixes")
+    first = heads.where("outside").select("lead", "code", F.col("digest").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), F.col("at").alias("u_at"))
+    shared = heads.join(first, ["lead", "code"]).where("label <> u_label").where(sizes_fit("mass", "u_mass")).where(rest_fits())
+    return written(shared.select(F.least("u", "digest").alias("a"), F.greatest("u", "digest").alias("b")).distinct(), "pairs")
 
 
 def rest_fits() -> Column:
@@ -279,7 +311,9 @@ def rest_fits() -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: its least id, once. Rows without an id all stay."""
-    keep = near_duplicates(docs).where("is_kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """``docs`` with one row of each class, the one that ``near_duplicates`` marks. Rows without an id all stay."""
+    mark = unused("digest", docs.columns)
+    keep = classified(docs).where("is_kept AND doc_id IS NOT NULL").select("doc_id", F.col("digest").alias(mark)).distinct()
+    rows = docs.where("doc_id IS NOT NULL").withColumn(mark, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    stay = rows.join(keep, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

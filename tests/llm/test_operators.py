@@ -291,7 +291,7 @@ def test_near_duplicates(spark, empty):
 def test_near_duplicates_in_a_bucket_of_unlike_texts(spark, monkeypatch):
     """Hundreds of texts of one template, all under 0.8, and one pair that ranks last, in one bucket."""
     buckets = neardup.crowded_buckets
-    monkeypatch.setattr(neardup, "crowded_buckets", lambda reps: buckets(reps.selectExpr("digest", "rep", "mass", "array(0L) AS bands")))
+    monkeypatch.setattr(neardup, "crowded_buckets", lambda reps: buckets(reps.selectExpr("digest", "doc_id", "mass", "array(0L) AS bands")))
     shared = [f"t{j}" for j in range(75)]
     rows = [(k, " ".join(shared + [f"u{k}x{j}" for j in range(25)])) for k in range(300)]
     rows += [(1000 + k, " ".join(shared + [f"p{j}" for j in range(23)] + [f"q{k}", f"r{k}"])) for k in range(2)]
