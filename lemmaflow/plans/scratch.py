@@ -7,17 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+#: Where a session on one machine keeps its tables if its settings name no folder.
+_ONE_MACHINE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Without that setting a cluster has no place that all executors see, which is an
+    error. A session whose driver and executors are one process (``local[...]``) can do
+    with a temporary folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="lemmaflow-"))
-    return _LOCAL[0]
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _ONE_MACHINE:
+        _ONE_MACHINE.append(tempfile.mkdtemp(prefix="lemmaflow-"))
+    return _ONE_MACHINE[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
