@@ -1,11 +1,13 @@
 """LM scoring: a probabilistic suffix tree over bytes, beside an add-half unigram model over words.
 
-Text is lower-cased words, each followed by one space, the last by the end symbol. Bytes
-fall into a fixed set of classes. Counts of five classes and the next one, gathered from
-every training row, give each context of up to five classes its next-symbol
-distribution; a context is kept if it is frequent enough and that distribution diverges
-from its parent's by more than its cost. The longest kept suffix of what came before is
-the state that scores.
+Text is lower-cased words, each followed by one space, the last by the end symbol. Counts
+of a byte after the five before it, gathered from every training row, give each context
+of up to five bytes its next-byte distribution; a context is kept if it is frequent
+enough and that distribution diverges from its parent's by more than its cost. The
+longest kept suffix of what came before is the state that scores, smoothed by the shorter
+ones. The tree is a table that no task and no driver holds: texts are dealt into buckets
+of bounded size, every bucket asks for the prices of what occurs in it, once each, and
+gets them by one join.
 """
 
 from __future__ import annotations
@@ -16,38 +18,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.llm.bytescan import LOWER, SPACE, buffers, groups_of_rows, word_hashes
 from lemmaflow.plans.scratch import written
 
 DEPTH = 5
-HEAD = 1 << 16
 MIN_COUNT = 20
-MIN_SHARE = 2e-6
 PARENT_WEIGHT = 8.0
+ALPHABET = 256
+BUCKET_BYTES = 1 << 25
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
+#: The end symbol: a byte that no text in UTF-8 has.
+END = 255
+WORD, FOLLOWS = 0, 1
 
 
-def byte_classes() -> tuple[np.ndarray, int]:
-    """A class for each byte: letters, space, end, common marks, digits, and for continuation bytes 16 classes by their low bits."""
-    out = np.full(256, 4, np.int64)
-    out[32], out[48:58] = 1, 2
-    out[0xC3], out[0xC0:0xC3], out[0xC4:256] = 3, 5, 5
-    for k, mark in enumerate(b".,!|#$%&*"):
-        out[mark] = 6 + k
-    out[97:123] = 15 + np.arange(26)
-    out[128:192] = 41 + ((np.arange(128, 192) & 31) >> 1)
-    return out, 57
-
-
-CLASS, CLASSES = byte_classes()
-END = 0
-
-
-def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes and bytes of consecutive rows as scored, and where each row's symbols start. The end symbol's byte is 0 by convention."""
+def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of consecutive rows as scored, and where each row's symbols start."""
     low = LOWER[data]
     solid = ~SPACE[low]
     last = np.zeros(len(low), bool)
@@ -60,223 +49,194 @@ def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     sums = np.concatenate([[0], np.cumsum(solid)])
     ends = np.concatenate([[0], np.cumsum(last)])
     letters, closes = np.diff(sums[at]), np.diff(ends[at])
-    size = letters + np.maximum(closes, 1)
-    starts = np.concatenate([[0], np.cumsum(size)])
-    row = np.repeat(np.arange(len(size)), np.diff(at))
-    bytes_ = np.full(starts[-1], 32, np.uint8)
+    starts = np.concatenate([[0], np.cumsum(letters + np.maximum(closes, 1))])
+    out = np.full(starts[-1], 32, np.uint8)
     shift = starts[:-1] - sums[at[:-1]] - ends[at[:-1]]
     where = np.flatnonzero(solid)
-    bytes_[sums[where] + ends[where] + shift[row[where]]] = low[where]
-    classes = CLASS[bytes_]
-    bytes_[starts[1:] - 1] = 0
-    classes[starts[1:] - 1] = END
-    return classes, bytes_, starts
+    row = np.repeat(np.arange(len(letters)), letters)
+    out[sums[where] + ends[where] + shift[row]] = low[where]
+    out[starts[1:] - 1] = END
+    return out, starts
 
 
-def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The classes before each symbol as one number, the end symbol standing before a text."""
-    code = np.zeros(len(classes), np.int64)
-    into = np.arange(len(classes)) - np.repeat(starts[:-1], np.diff(starts))
-    for back in range(DEPTH, 0, -1):
-        code = code * CLASSES + np.where(into >= back, np.concatenate([np.full(back, END), classes[:-back]])[: len(classes)], END)
-    return code
+def grams(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each symbol one number: itself in the lowest byte, and above it the ``DEPTH`` symbols before; the end symbol stands before a text."""
+    n, rows = len(out), len(starts) - 1
+    lead = np.full(n + rows * DEPTH, END, np.uint64)
+    place = np.arange(n) + np.repeat(np.arange(1, rows + 1) * DEPTH, np.diff(starts))
+    lead[place] = out
+    code = lead.copy()
+    for back in range(1, DEPTH + 1):
+        code[back:] |= lead[:-back] << np.uint64(8 * back)
+    return code[place].view(np.int64)
 
 
 class Counts:
     """How often each number occurred; pieces are merged before they take much memory."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 22):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.most = 0, most
 
-    def add(self, numbers: np.ndarray) -> None:
-        self.parts.append(np.unique(numbers, return_counts=True))
-        self.size += len(self.parts[-1][0])
+    def add(self, numbers: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """``weight`` is 0 or 1 for each number."""
+        key, n = np.unique(numbers, return_counts=True)
+        if weight is not None and not weight.all():
+            n = np.zeros(len(key), np.int64)
+            own, k = np.unique(numbers[weight], return_counts=True)
+            n[np.searchsorted(key, own)] = k
+        self.parts.append((key, n))
+        self.size += len(key)
         if self.size > self.most:
             self.parts = [self.merged()]
             self.size = 0
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) == 1:
+            return self.parts[0]
         if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         key, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
-        return key[cut], np.add.reduceat(n, cut) if len(cut) else n
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[cut], np.add.reduceat(n, cut)
+
+
+def dealt(bucket_bytes: int) -> Callable:
+    """Adds ``bucket``: neighbouring rows of one task, about ``bucket_bytes`` of text each, one row at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            at = buffers(batch.column("text"))[1]
+            bucket = (TaskContext.get().partitionId() << 24) + (done + at[:-1] - at[0]) // bucket_bytes
+            done += int(at[-1] - at[0])
+            yield batch.append_column("bucket", pa.array(bucket))
+
+    return run
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts from training rows: words (kind 0), context and next class (kind 1), bytes (kind 2)."""
-    plain = np.zeros(256, np.int64)
-    rows = 0
+    """(bucket, kind, key, n): the words and grams of each bucket, and how often training rows have them, which may be never."""
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        rows += len(batch)
-        words, follows = Counts(), Counts()
-        for a, b in groups_of_rows(at, 1 << 21):
-            part, edge = data[at[a] : at[b]], at[a : b + 1] - at[a]
-            words.add(word_hashes(part, edge)[0].view(np.int64))
-            classes, bytes_, starts = symbols(part, edge)
-            follows.add(contexts(classes, starts) * CLASSES + classes)
-            plain += np.bincount(bytes_, minlength=256)
-        yield counted(0, *words.merged())
-        yield counted(1, *follows.merged())
-    if rows:
-        yield counted(2, np.flatnonzero(plain), plain[plain > 0])
-        yield counted(0, np.array([END_WORD]).view(np.int64), np.array([rows]))
-
-
-def counted(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
-
-
-def kept_contexts(follows: DataFrame, min_count: int, min_share: float) -> pa.Table:
-    """(depth, context, class, n) of the contexts that pass the divergence test, of their suffixes, and of the root.
-
-    A context must make up ``min_share`` of all symbols and occur ``min_count`` times, so
-    that at most 1 / ``min_share`` of each depth stay, whatever the corpus: they fit the
-    driver. It costs half a logarithm of its count for each class seen after it; its
-    count times its divergence from the parent must exceed that.
+        bucket, train = batch.column("bucket").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            words, follows = Counts(), Counts()
+            for a, b in groups_of_rows(at[lo : hi + 1], 1 << 21):
+                a, b = a + lo, b + lo
+                part, edge = data[at[a] : at[b]], at[a : b + 1] - at[a]
+                word, row = word_hashes(part, edge)
+                words.add(np.concatenate([word, np.full(b - a, END_WORD)]).view(np.int64), np.concatenate([train[a:b][row], train[a:b]]))
+                out, starts = symbols(part, edge)
+                follows.add(grams(out, starts), np.repeat(train[a:b], np.diff(starts)))
+            for kind, x in ((WORD, words), (FOLLOWS, follows)):
+                key, n = x.merged()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket[lo])), pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["bucket", "kind", "key", "n"])
+
+
+def low_bytes(key: str | Column, n: int) -> Column:
+    """The lowest ``n`` bytes of a number of six."""
+    key = F.col(key) if isinstance(key, str) else key
+    return key.bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+def context_of(key: str) -> Column:
+    return F.shiftright(key, 8)
+
+
+def kept_contexts(levels: list[DataFrame], min_count: int) -> list[DataFrame]:
+    """For each depth (context, total) of the contexts that pass the divergence test, and of their suffixes.
+
+    A context costs half a logarithm of its count for each byte seen after it; its count
+    times its divergence from the parent must exceed that. ``levels`` has (key, n) by depth.
     """
-    levels = {DEPTH: written(follows.select(F.expr(f"key div {CLASSES}").alias("context"), (F.col("key") % CLASSES).alias("class"), "n"), "level")}
-    for depth in range(DEPTH - 1, -1, -1):
-        shorter = levels[depth + 1].groupBy((F.col("context") % CLASSES**depth).alias("context"), "class").agg(F.sum("n").alias("n"))
-        levels[depth] = written(shorter, "level")
-    every = levels[0].agg(F.sum("n")).first()[0] or 0
-    chosen = levels[0].select(F.lit(0).alias("depth"), "context", "class", "n")
+    seen = [level.where("n > 0").withColumn("context", context_of("key")) for level in levels]
+    totals = [x.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("seen")) for x in seen]
+    out: list[DataFrame] = []
     wanted = None
-    for depth in range(DEPTH, 0, -1):
-        here, above = levels[depth], levels[depth - 1]
-        total = here.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("seen")).where(F.col("total") >= max(min_count, min_share * every))
-        base = above.groupBy(F.col("context").alias("parent")).agg(F.sum("n").alias("parent_total"))
-        pair = here.join(total, "context").withColumn("parent", F.col("context") % CLASSES ** (depth - 1))
-        pair = pair.join(base, "parent").join(above.select(F.col("context").alias("parent"), "class", F.col("n").alias("parent_n")), ["parent", "class"])
-        gain = F.sum(F.col("n") * F.log(F.col("n") * F.col("parent_total") / (F.col("total") * F.col("parent_n"))))
-        test = pair.groupBy("context", "total", "seen").agg(gain.alias("gain")).where(F.col("gain") > 0.5 * F.col("seen") * F.log("total")).select("context")
+    for depth in range(len(levels) - 1, 0, -1):
+        own = seen[depth].join(totals[depth].where(F.col("total") >= min_count), "context").withColumn("above", low_bytes("key", depth))
+        above = seen[depth - 1].join(totals[depth - 1].select("context", F.col("total").alias("above_total")), "context").select(F.col("key").alias("above"), F.col("n").alias("above_n"), "above_total")
+        gain = F.sum(F.col("n") * F.log(F.col("n") * F.col("above_total") / (F.col("total") * F.col("above_n"))))
+        test = own.join(above, "above").groupBy("context").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("seen").alias("seen"))
+        test = test.where(F.col("gain") > 0.5 * F.col("seen") * F.log("total")).select("context")
         if wanted is not None:
-            test = test.union(wanted.select((F.col("context") % CLASSES**depth).alias("context"))).distinct()
+            test = test.union(wanted.select(low_bytes("context", depth).alias("context"))).distinct()
         wanted = written(test, "kept")
-        chosen = chosen.union(here.join(wanted, "context").select(F.lit(depth).alias("depth"), "context", "class", "n"))
-    return chosen.toArrow()
-
-
-class Tree:
-    """The kept contexts of each depth, and log10 of their smoothed next-class probabilities."""
-
-    def __init__(self, kept: pa.Table):
-        depth, context, symbol, n = (kept.column(c).to_numpy() for c in ("depth", "context", "class", "n"))
-        self.contexts, self.first, tables = [], [], []
-        above = np.full((1, CLASSES), 1.0 / CLASSES)
-        for d in range(DEPTH + 1):
-            own = depth == d
-            here = np.unique(context[own])
-            counts = np.zeros((len(here), CLASSES))
-            np.add.at(counts, (np.searchsorted(here, context[own]), symbol[own].astype(np.int64)), n[own])
-            parent = above[np.searchsorted(self.contexts[-1], here % CLASSES ** (d - 1))] if d and len(here) else above[:1]
-            table = (counts + PARENT_WEIGHT * parent) / (counts.sum(axis=1, keepdims=True) + PARENT_WEIGHT)
-            if not d and not len(here):
-                here, table = np.zeros(1, np.int64), above
-            self.first.append(sum(map(len, tables)))
-            self.contexts.append(here)
-            tables.append(table)
-            above = table
-        self.costs = np.log10(np.concatenate(tables)).astype(np.float32)
-
-    def states(self, code: np.ndarray) -> np.ndarray:
-        """The longest kept suffix of each context; a context's suffixes are kept with it, so the search ends where one is missing."""
-        state = np.zeros(len(code), np.int64)
-        live = np.arange(len(code))
-        for d in range(1, DEPTH + 1):
-            known = self.contexts[d]
-            if not len(known) or not len(live):
-                break
-            suffix = code[live] % CLASSES**d
-            place = np.minimum(np.searchsorted(known, suffix), len(known) - 1)
-            met = known[place] == suffix
-            live = live[met]
-            state[live] = self.first[d] + place[met]
-        return state
-
-
-def byte_costs(counts: dict[int, int]) -> np.ndarray:
-    """log10 of a byte's probability within its class."""
-    n = np.array([counts.get(k, 0) + 0.5 for k in range(256)])
-    n[0] = 0
-    out = np.log10(np.maximum(n, 0.5) / np.bincount(CLASS, weights=n, minlength=CLASSES)[CLASS])
-    out[0] = 0.0
+        out.insert(0, wanted.join(totals[depth].select("context", "total"), "context"))
     return out
 
 
-def scorer(head: dict[int, int], total: int, distinct: int, kept: pa.Table, plain: dict[int, int]) -> Callable:
-    """Scores rows; words outside ``head`` are returned for the join with their counts."""
-    known = np.array(sorted(head), np.int64)
+def priced(follows: DataFrame, min_count: int) -> DataFrame:
+    """(key, value): log10 of each gram's probability in the state of its longest kept context.
+
+    A kept context of count c gives a byte seen n times after it (n + w p) / (c + w), p
+    being what the next shorter context gives; the root's own p is uniform.
+    """
+    levels = [follows]
+    for depth in range(DEPTH - 1, -1, -1):
+        levels.insert(0, written(levels[0].groupBy(low_bytes("key", depth + 1).alias("key")).agg(F.sum("n").alias("n")), "level"))
+    every = levels[0].agg(F.sum("n")).first()[0] or 0
+    price = levels[0].select("key", ((F.col("n") + PARENT_WEIGHT / ALPHABET) / (every + PARENT_WEIGHT)).alias("p"))
+    for depth, kept in enumerate(kept_contexts(levels, min_count), 1):
+        above = price.select(F.col("key").alias("above"), F.col("p").alias("above_p"))
+        own = levels[depth].withColumn("context", context_of("key")).withColumn("above", low_bytes("key", depth))
+        p = F.when(F.col("total").isNotNull(), (F.col("n") + PARENT_WEIGHT * F.col("above_p")) / (F.col("total") + PARENT_WEIGHT)).otherwise(F.col("above_p"))
+        price = written(own.join(above, "above").join(kept, "context", "left").select("key", p.alias("p")), "prices")
+    return price.select("key", F.log10("p").alias("value"))
+
+
+def scorer(total: int, distinct: int) -> Callable:
+    """Scores one bucket's rows with the prices of what occurs in it."""
     scale = math.log10(total + 0.5 * (distinct + 1))
-    worth = np.log10(np.array([head[k] for k in known.tolist()]) + 0.5) - scale if head else np.zeros(0)
-    inside = byte_costs(plain)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(kept)
-        made = 0
-        for batch in batches:
+    def run(texts: pa.Table, prices: pa.Table) -> pa.Table:
+        kind, key, value = (prices.column(c).to_numpy() for c in ("kind", "key", "value"))
+        order = np.argsort(key, kind="stable")
+        kind, key, value = kind[order], key[order], value[order]
+        words, counts, codes, logs = key[kind == WORD], value[kind == WORD], key[kind == FOLLOWS], value[kind == FOLLOWS]
+        worth = np.log10(counts + 0.5) - scale
+        out = []
+        for batch in texts.combine_chunks().to_batches():
             data, at = buffers(batch.column("text"))
             for a, b in groups_of_rows(at):
                 n = b - a
                 part, edge = data[at[a] : at[b]], at[a : b + 1] - at[a]
-                words, row = word_hashes(part, edge)
-                words = np.concatenate([words, np.full(n, END_WORD)]).view(np.int64)
+                word, row = word_hashes(part, edge)
+                place = np.searchsorted(words, np.concatenate([word, np.full(n, END_WORD)]).view(np.int64))
                 row = np.concatenate([row, np.arange(n)])
-                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                common = known[place] == words if len(known) else np.zeros(len(words), bool)
-                sums = np.bincount(row[common], weights=worth[place[common]], minlength=n)
-                rare = np.flatnonzero(~common)
-                rare = rare[np.argsort(row[rare], kind="stable")]
-                stops = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=n))]).astype(np.int32)
-                classes, bytes_, starts = symbols(part, edge)
-                logs = tree.costs[tree.states(contexts(classes, starts)), classes] + inside[bytes_]
-                score = np.add.reduceat(logs, starts[:-1])
-                uid = (TaskContext.get().partitionId() << 33) + made + np.arange(n)
-                made += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid), batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[common], minlength=n)), pa.array(sums), pa.array(score), pa.ListArray.from_arrays(pa.array(stops), pa.array(words[rare]))],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "common", "common_score", "score", "rare"],
-                )
+                bytes_, starts = symbols(part, edge)
+                score = np.add.reduceat(logs[np.searchsorted(codes, grams(bytes_, starts))], starts[:-1])
+                columns = [np.bincount(row, minlength=n), np.bincount(row, weights=counts[place] > 0, minlength=n).astype(np.int64), np.bincount(row, weights=worth[place], minlength=n), score]
+                out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def score_texts(docs: DataFrame, head_words: int = HEAD, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Rows whose crc32(doc_id as text) leaves 1 modulo 5 are held out; a null id counts as
     empty text. ``base_score`` is the sum over words and one end of log10((c + 0.5) /
-    (N + 0.5 (V + 1))). The ``head_words`` most frequent words are scored in place, all
-    others by a join. ``score`` is the suffix tree's log10 probability. Null and empty
-    texts hold the end alone. Repeated rows count and are scored each; without training
-    rows N and V are 0 and the tree is uniform.
+    (N + 0.5 (V + 1))). ``score`` is the suffix tree's log10 probability of the bytes.
+    Null and empty texts hold the end alone. Repeated rows count and are scored each;
+    without training rows N and V are 0 and the tree is uniform.
     """
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", (F.pmod(crc, F.lit(5)) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = rows.where("NOT held_out").select("text").mapInArrow(gathered, "kind int, key bigint, n bigint")
-    counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.pmod(crc, F.lit(5)) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(rows.mapInArrow(dealt(bucket_bytes), "doc_id bigint, held_out boolean, text string, bucket bigint"), "texts")
+    asked = written(rows.select("bucket", "held_out", "text").mapInArrow(gathered, "bucket bigint, kind int, key bigint, n bigint"), "asked")
+    counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
-    sums = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    sums = words.where("n > 0").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    head = {r["key"]: r["n"] for r in words.orderBy(F.desc("n"), "key").limit(head_words).collect()}
-    plain = {r["key"]: r["n"] for r in counts.where("kind = 2").collect()}
-    kept = kept_contexts(counts.where("kind = 1").select("key", "n"), min_count, min_share)
-    kinds = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, common bigint, common_score double, score double, rare array<bigint>"
-    scored = written(rows.mapInArrow(scorer(head, total, distinct, kept, plain), kinds), "scores")
-    rare = scored.select("uid", F.explode("rare").alias("key")).join(words, "key", "left")
-    value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1)))
-    rare = rare.groupBy("uid").agg(F.sum(value).alias("rare_score"), F.count("n").alias("rare_known"))
-    out = scored.drop("rare").join(rare, "uid", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    price = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    price = price.union(priced(counts.where("kind = 1").select("key", "n"), min_count).select(F.lit(FOLLOWS), "key", "value"))
+    known = asked.select("bucket", "kind", "key").join(price.hint("shuffle_hash"), ["kind", "key"]).select("bucket", "kind", "key", "value")
+    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    scored = rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(scorer(total, distinct), kinds)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -312,17 +312,50 @@ def test_signatures_estimate_weighted_similarity():
     assert np.isfinite(got).all() and abs((got[0] == got[1]).mean() - true) < 0.03
 
 
-def test_suffix_tree(spark, docs, empty):
-    got = {r.doc_id: r for r in suffixtree.score_texts(docs, head_words=20, min_count=5).collect()}
-    words = {r.doc_id: [*split(lowered(r.text)), None] for r in docs.collect()}
+def plain_tree_scores(texts, held, min_count, depth=5, weight=8.0):
+    """log10 probability of each text by a suffix tree made the plain way, with dictionaries of byte strings."""
+    streams = {k: (b" ".join(x.encode() for x in split(lowered(t))) or b"") + b"\xff" for k, t in texts.items()}
+    follows = collections.defaultdict(collections.Counter)
+    for k, x in streams.items():
+        if not held[k]:
+            y = b"\xff" * depth + x
+            for j in range(depth, len(y)):
+                for d in range(depth + 1):
+                    follows[y[j - d : j]][y[j]] += 1
+    kept = set()
+    for c, n in follows.items():
+        total, above = sum(n.values()), follows[c[1:]]
+        gain = sum(v * math.log(v * sum(above.values()) / (total * above[s])) for s, v in n.items()) if c else 0
+        if c and total >= min_count and gain > 0.5 * len(n) * math.log(total):
+            kept |= {c[j:] for j in range(len(c) + 1)}
+
+    def price(c, s):
+        longest = next((c[j:] for j in range(len(c)) if c[j:] in kept), b"")
+        p = 1 / 256
+        for d in range(len(longest) + 1):
+            n = follows.get(longest[len(longest) - d :], {})
+            p = (n.get(s, 0) + weight * p) / (sum(n.values()) + weight)
+        return math.log10(p)
+
+    padded = {k: b"\xff" * depth + x for k, x in streams.items()}
+    return {k: sum(price(y[j - depth : j], y[j]) for j in range(depth, len(y))) for k, y in padded.items()}, kept
+
+
+@pytest.mark.parametrize("bucket", [1 << 25, 500])
+def test_suffix_tree(spark, docs, empty, bucket):
+    got = {r.doc_id: r for r in suffixtree.score_texts(docs, min_count=5, bucket_bytes=bucket).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = {k: [*split(lowered(t)), None] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in words}
     c = collections.Counter(x for k, w in words.items() if not held[k] for x in w)
     n, v = sum(c.values()), len(c)
+    scores, kept = plain_tree_scores(texts, held, 5)
+    assert len(kept) > 100 and max(map(len, kept)) == 5
     for k, w in words.items():
         g = got[k]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[k], len(w), sum(c[x] > 0 for x in w), n)
         assert g.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
-        assert g.score < 0
+        assert g.score == pytest.approx(scores[k], rel=1e-9)
     assert suffixtree.score_texts(empty).count() == 0
 
 
