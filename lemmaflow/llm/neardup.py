@@ -33,6 +33,8 @@ LEADERS = 2
 #: Slots of the map of documents to be compared: 2^23 bits, 1 MB whatever the input.
 SLOTS = 1 << 23
 DOC_BITS = np.uint64(52)
+#: Longs of a text's parity sketch.
+SKETCH = 8
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +130,17 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("digest").slice(a, n), pa.array(mass), lists], names=["doc_id", "digest", "mass", "bands"])
 
 
+def parities(codes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """Of each row, whether an odd number of its codes fell on each of 64 ``SKETCH`` bits.
+
+    Where two rows' bits differ, a code of one is none of the other's; so the number of
+    different bits is at most the number of codes that only one of them has.
+    """
+    width = 64 * SKETCH
+    odd = np.bincount(rows * width + (codes & (width - 1)), minlength=n_rows * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_rows, width), axis=1).view(np.int64)
+
+
 def occurrences(slots: np.ndarray) -> Callable:
     """Codes rows whose slot is set: digest and one number for each shingle occurrence, so that a multiset becomes a set."""
 
@@ -143,7 +156,8 @@ def occurrences(slots: np.ndarray) -> Callable:
                 turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                 codes = mixed(np.repeat(h, w) + turn.astype(np.uint64) * ODD).view(np.int64)
                 stops = np.concatenate([[0], np.cumsum(np.bincount(r, weights=w, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(a, n), pa.ListArray.from_arrays(pa.array(stops), pa.array(codes))], names=["digest", "codes"])
+                sketch = pa.FixedSizeListArray.from_arrays(pa.array(parities(codes, np.repeat(r, w), n).ravel()), SKETCH).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(a, n), pa.ListArray.from_arrays(pa.array(stops), pa.array(codes)), sketch], names=["digest", "codes", "sketch"])
 
     return run
 
@@ -175,12 +189,13 @@ def crowded_buckets(reps: DataFrame) -> DataFrame:
     orders members that way, ties going to the least id. Counts and leaders are partial
     aggregates joined back, so that a bucket of any size is spread over tasks.
     """
-    buckets = reps.select("digest", F.explode("bands").alias("band"))
+    hashed = reps.withColumn("h", F.xxhash64("digest"))
+    buckets = hashed.select("h", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets.join(shared, "band"), "buckets")
-    members = buckets.groupBy("digest").agg((-F.sum("n")).alias("met")).join(reps.select("digest", "doc_id", "mass"), "digest")
-    members = written(members.select("digest", "mass", F.struct("met", "doc_id", "digest").alias("rank")), "members")
-    return written(led(buckets.join(members, "digest")), "crowded")
+    members = buckets.groupBy("h").agg((-F.sum("n")).alias("met")).join(hashed.select("h", "digest", "doc_id", "mass"), "h")
+    members = written(members.select("h", "digest", "mass", F.struct("met", "doc_id", "digest").alias("rank")), "members")
+    return written(led(buckets.join(members, "h").drop("h")), "crowded")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -241,8 +256,8 @@ def classified(docs: DataFrame) -> DataFrame:
     crowded = crowded_buckets(reps)
     wanted = crowded.select("digest").distinct()
     slotted = rows.where("doc_id IS NOT NULL").select("digest", "text", slot_of("digest").alias("slot"))
-    coded = slotted.mapInArrow(occurrences(slots_set(wanted)), "digest binary, codes array<bigint>")
-    codes = written(coded.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("codes").alias("codes")), "shingles")
+    coded = slotted.mapInArrow(occurrences(slots_set(wanted)), "digest binary, codes array<bigint>, sketch array<bigint>")
+    codes = written(coded.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("codes").alias("codes"), F.first("sketch").alias("sketch")), "shingles")
     links = all_links(crowded, codes)
     labels = connected_components(links).select(F.col("id").alias("digest"), "label")
     texts = reps.select("digest", "doc_id", "copies").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
@@ -288,19 +303,21 @@ def straggler_pairs(named: DataFrame, codes: DataFrame) -> DataFrame:
     overlap enough, each lacks at most a fifth of its own codes in the other, so among a
     fifth and one more, in one order for both, there is a common one. That order puts
     codes that the leader lacks first: what all members share, because it put them into
-    one bucket, comes last and joins nobody.
+    one bucket, comes last and joins nobody. Sizes, the common code's place and the parity
+    sketches bound the overlap from above before a pair is made.
     """
     a, b = SIMILARITY
     bands = named.where("outside AND n > 2").select("band").distinct()
     near = named.join(bands, "band", "left_semi").groupBy("lead", "digest", "mass", "label").agg(F.max("outside").alias("outside"))
     near = written(near, "near")
-    own, led_by = codes.select("digest", "codes"), codes.select(F.col("digest").alias("lead"), F.col("codes").alias("known"))
+    own, led_by = codes.select("digest", "codes", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]), codes.select(F.col("digest").alias("lead"), F.col("codes").alias("known"))
     order = F.concat(F.sort_array(F.array_except("codes", "known")), F.sort_array(F.array_intersect("codes", "known")))
     length = (F.col("mass") - F.expr(f"(mass * {a} + {b - 1}) div {b}") + 1).cast("int")
-    heads = near.join(own, "digest").join(led_by, "lead").select("lead", "digest", "mass", "label", "outside", F.posexplode(F.slice(order, F.lit(1), length)).alias("at", "code"))
+    heads = near.join(own, "digest").join(led_by, "lead").select("lead", "digest", "mass", "label", "outside", *[f"s{k}" for k in range(SKETCH)], F.posexplode(F.slice(order, F.lit(1), length)).alias("at", "code"))
     heads = written(heads, "prefixes")
-    first = heads.where("outside").select("lead", "code", F.col("digest").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), F.col("at").alias("u_at"))
-    shared = heads.join(first, ["lead", "code"]).where("label <> u_label").where(sizes_fit("mass", "u_mass")).where(rest_fits())
+    first = heads.where("outside").select("lead", "code", F.col("digest").alias("u"), F.col("label").alias("u_label"), F.col("mass").alias("u_mass"), F.col("at").alias("u_at"), *[F.col(f"s{k}").alias(f"u{k}") for k in range(SKETCH)])
+    once = ~F.col("outside") | (F.col("u") < F.col("digest"))
+    shared = heads.join(first, ["lead", "code"]).where("label <> u_label").where(once & sizes_fit("mass", "u_mass") & rest_fits() & sketches_fit())
     return written(shared.select(F.least("u", "digest").alias("a"), F.greatest("u", "digest").alias("b")).distinct(), "pairs")
 
 
@@ -310,6 +327,13 @@ def rest_fits() -> Column:
     return F.least(F.col("mass") - F.col("at"), F.col("u_mass") - F.col("u_at")) * (a + b) >= (F.col("mass") + F.col("u_mass")) * a
 
 
+def sketches_fit() -> Column:
+    """Whether so few bits of the sketches differ that the rest may be common to both."""
+    a, b = SIMILARITY
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"u{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("u0"))))
+    return differ * (a + b) <= (F.col("mass") + F.col("u_mass")) * (b - a)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the one that ``near_duplicates`` marks. Rows without an id all stay."""
     mark = unused("digest", docs.columns)
