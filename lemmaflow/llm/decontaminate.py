@@ -13,6 +13,7 @@ vectors go to every task, and every passage is compared with them in blocks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,12 @@ SUBSEQUENCE = 0.6
 ANSWER = 0.5
 SURE = 0.8
 SCAN_BYTES = 1 << 19
-MAX_ITEMS = 100_000
+#: Words of the benchmark that one pass over the documents looks for.
+BLOCK_WORDS = 1 << 17
+#: Bits of a word's hash that tell which of an item's words a window holds.
+HELD_BITS = 17
+#: Blocks whose vectors are summed together.
+NEARBY = 256
 LONG_WORDS = 1 << 16
 #: Parts of the sketch that one call sums.
 MERGED = 256
@@ -70,12 +76,15 @@ def passage_vectors(words: np.ndarray, row: np.ndarray, n_rows: int, table: np.n
     size = np.diff(np.append(begin, len(words)))
     feature = hashed(words)
     block = np.zeros((len(begin), table.shape[1]), np.float32)
-    for k in range(STEP):
-        long = np.flatnonzero(size > k)
-        if len(long) == len(begin):
-            block += table[feature[begin + k]]
-        else:
-            block[long] += table[feature[begin[long] + k]]
+    room = np.empty((NEARBY, table.shape[1]), np.float32)
+    for part in range(0, len(begin), NEARBY):  # few enough at once to stay in a core's cache
+        own, count, sums = begin[part : part + NEARBY], size[part : part + NEARBY], block[part : part + NEARBY]
+        for k in range(STEP):
+            long = np.flatnonzero(count > k)
+            if len(long) == len(own):
+                sums += np.take(table, feature[own + k], axis=0, out=room[: len(own)], mode="clip")
+            else:
+                sums[long] += table[feature[own[long] + k]]
     follows = np.flatnonzero(owner[1:] == owner[:-1])
     passage = block.copy()
     passage[follows] += block[follows + 1]
@@ -143,20 +152,23 @@ def corpus_sketch(texts: DataFrame, wide: int) -> np.ndarray:
     return out
 
 
-def latent_space(sketch: np.ndarray, items: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
-    """An orthonormal basis of the leading right singular space, features by ``rank``.
-
-    The benchmark's passages get a sketch of their own that weighs as much as that of all
-    documents together, so that the space holds them.
-    """
-    wide = len(sketch)
+def item_sketch(items: list[np.ndarray], wide: int) -> np.ndarray:
+    """The sketch of a block of benchmark items. Row and sign hang on a passage's first words, so blocks add up."""
     words, row = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
-    begin, owner, number = blocks_of(row, len(items))
+    begin, _, number = blocks_of(row, len(items))
     block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
-    h = mixed(mixed(owner.astype(np.uint64)) + number.astype(np.uint64) * ODD)
+    h = mixed(words[begin] + number.astype(np.uint64) * ODD)
     own = np.zeros((wide, WIDTH))
-    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-    np.add.at(own, ((h % np.uint64(wide)).astype(np.int64)[block], hashed(words)), sign[block])
+    np.add.at(own, ((h % np.uint64(wide)).astype(np.int64)[block], hashed(words)), np.where(h >> np.uint64(63), 1.0, -1.0)[block])
+    return own
+
+
+def latent_space(sketch: np.ndarray, own: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
+    """An orthonormal basis of the leading right singular space, features by ``rank``.
+
+    The benchmark's sketch ``own`` weighs as much as that of all documents together, so
+    that the space holds its passages.
+    """
     sketch, own = sketch * idf, own * idf
     both = np.concatenate([sketch, own * max(1.0, np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9))]).T
     value, vector = np.linalg.eigh(both.T @ both)
@@ -169,8 +181,8 @@ def common_subsequence(masks: dict[int, int], size: int, window: list[int]) -> i
     """Length of the longest common subsequence, with the first sequence's places as bits of one number."""
     every = (1 << size) - 1
     v = every
-    for w in window:
-        u = v & masks.get(w, 0)
+    for mask in filter(None, map(masks.get, window)):
+        u = v & mask
         v = ((v + u) | (v - u)) & every
     return size - bin(v).count("1")
 
@@ -208,9 +220,9 @@ class Runs:
                 bits[pairs[:, 0] >> np.uint64(64 - RUN_BITS)] = True
                 self.tables.append((size, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), bits))
 
-    def met(self, words: np.ndarray, row: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, item): an item's run begins in the first block of the passage. ``first`` has each row's first passage."""
-        out: set[tuple[int, int]] = set()
+    def met(self, words: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and items: an item's run begins in the first block of the passage. ``first`` has each row's first passage."""
+        passages, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         start = np.searchsorted(row, np.arange(len(first)))
         for size, known, item, bits in self.tables:
             h, begin = runs(words, row, size)
@@ -220,22 +232,72 @@ class Runs:
             n = high - low
             which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             begin = np.repeat(begin, n)
-            passage = first[row[begin]] + (begin - start[row[begin]]) // STEP
-            out.update(zip(passage.tolist(), item[which].tolist(), strict=True))
-        return sorted(out)
+            passages.append(first[row[begin]] + (begin - start[row[begin]]) // STEP)
+            items.append(item[which])
+        return np.concatenate(passages), np.concatenate(items)
 
 
-def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, cosine: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = basis * idf[:, None].astype(np.float32)
-        row_of = np.repeat(np.arange(len(items)), [len(x) for x in items])
-        queries, owner, _ = passage_vectors(np.concatenate(items), row_of, len(items), table)
-        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+def held_place(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - HELD_BITS)).astype(np.int64)
+
+
+class Queries:
+    """A block of benchmark items, ready to be searched for: their vectors, runs of words, and tests for order and answer."""
+
+    def __init__(self, items: list[np.ndarray], table: np.ndarray):
+        self.lengths = np.array([len(x) for x in items])
+        row_of = np.repeat(np.arange(len(items)), self.lengths)
+        words = np.concatenate(items)
+        vectors, self.owner, _ = passage_vectors(words, row_of, len(items), table)
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        self.own = np.searchsorted(self.owner, np.arange(len(items) + 1))
+        self.verbatim = Runs(items)
         whole = [x.tolist() for x in items]
         tails = [x[-max(3, len(x) // 4) :] for x in whole]
-        tests = [(masks_of(x), masks_of(t)) for x, t in zip(whole, tails, strict=True)]
-        verbatim = Runs(items)
-        own = np.searchsorted(owner, np.arange(len(items) + 1))
+        self.tests = [(masks_of(x), masks_of(t), len(t)) for x, t in zip(whole, tails, strict=True)]
+        feature = held_place(words)
+        self.held = np.zeros((len(items), 1 << HELD_BITS >> 3), np.uint8)
+        np.bitwise_or.at(self.held, (row_of, feature >> 3), np.uint8(1) << (feature & 7).astype(np.uint8))
+
+    def candidates(self, passages: np.ndarray, words: np.ndarray, row: np.ndarray, first: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages, items and cosines of pairs that are near enough or share a run, each once."""
+        p, item, near = [], [], []
+        for part in range(0, len(passages), 4096):
+            close = passages[part : part + 4096] @ self.vectors.T
+            at, q = np.nonzero(close >= cosine)
+            p.append(at + part)
+            item.append(self.owner[q])
+            near.append(close[at, q])
+        at, which = self.verbatim.met(words, row, first)
+        p, item = np.concatenate([*p, at]), np.concatenate([*item, which])
+        near = np.concatenate([*near, np.full(len(at), -2.0, np.float32)])
+        if not len(p):
+            return p, item, near
+        order = np.lexsort((item, p))
+        p, item, near = p[order], item[order], near[order]
+        cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (item[1:] != item[:-1])]))
+        return p[cut], item[cut], np.maximum.reduceat(near, cut)
+
+    def enough(self, feature: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether a window holds as many words of the item's as a subsequence would need; equal hashed words count as equal."""
+        out = np.zeros(len(item), bool)
+        ends = np.cumsum(stop - begin)
+        k = 0
+        while k < len(item):
+            m = max(k + 1, int(np.searchsorted(ends, ends[k] + (1 << 20))))
+            size = (stop - begin)[k:m]
+            at = np.repeat(begin[k:m] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            f = feature[at]
+            held = (self.held[np.repeat(item[k:m], size), f >> 3] >> (f & 7).astype(np.uint8)) & 1
+            out[k:m] = np.add.reduceat(held, np.cumsum(size) - size, dtype=np.int64) / self.lengths[item[k:m]] >= SUBSEQUENCE
+            k = m
+        return out
+
+
+def searcher(ids: list[int | None], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, cosine: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = basis * idf[:, None].astype(np.float32)
+        queries = Queries(items, table)
         for batch in batches:
             data, at = buffers(batch.column("text"))
             found: dict[tuple[int, int], list] = {}
@@ -243,32 +305,26 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
                 words, row = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 if not len(words):
                     continue
+                feature = held_place(words)
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 for some, some_rows, n_rows, before in stretches(words, row, b - a):
                     passages, place, number = passage_vectors(some, some_rows, n_rows, table)
                     passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
-                    pairs: dict[tuple[int, int], float] = {}
-                    for part in range(0, len(passages), 4096):
-                        close = passages[part : part + 4096] @ queries.T
-                        for p, q in zip(*np.nonzero(close >= cosine), strict=True):
-                            key = part + int(p), int(owner[q])
-                            pairs[key] = max(pairs.get(key, -1.0), float(close[p, q]))
-                    for p, item in verbatim.met(some, some_rows, np.searchsorted(place, np.arange(n_rows))):
-                        if (p, item) not in pairs:
-                            pairs[p, item] = float((queries[own[item] : own[item + 1]] @ passages[p]).max())
-                    for (p, item), near in pairs.items():
-                        doc, n = int(place[p]), len(whole[item])
-                        begin = first[doc] + before + number[p] * STEP
-                        window = words[max(first[doc], begin - n) : min(first[doc + 1], begin + 2 * STEP + n)].tolist()
-                        if sum(map(tests[item][0].__contains__, window)) / n < SUBSEQUENCE:
-                            continue
-                        lcs = common_subsequence(tests[item][0], n, window) / n
+                    p, item, near = queries.candidates(passages, some, some_rows, np.searchsorted(place, np.arange(n_rows)), cosine)
+                    doc, n = place[p], queries.lengths[item]
+                    middle = first[doc] + before + number[p] * STEP
+                    begin, stop = np.maximum(first[doc], middle - n), np.minimum(first[doc + 1], middle + 2 * STEP + n)
+                    for k in np.flatnonzero(queries.enough(feature, item, begin, stop)).tolist():
+                        whole, tail, answer_words = queries.tests[item[k]]
+                        window = words[begin[k] : stop[k]].tolist()
+                        lcs = common_subsequence(whole, int(n[k]), window) / int(n[k])
                         if lcs < SUBSEQUENCE:
                             continue
-                        answer = common_subsequence(tests[item][1], len(tails[item]), window) / len(tails[item])
-                        if lcs >= SURE or (lcs >= SUBSEQUENCE and answer >= ANSWER):
-                            best = found.setdefault((a + doc, item), [0.0, 0.0, 0.0])
-                            found[a + doc, item] = [max(x, y) for x, y in zip(best, (near, lcs, answer), strict=True)]
+                        answer = common_subsequence(tail, answer_words, window) / answer_words
+                        if lcs >= SURE or answer >= ANSWER:
+                            close = near[k] if near[k] > -2 else (queries.vectors[queries.own[item[k]] : queries.own[item[k] + 1]] @ passages[p[k]]).max()
+                            best = found.setdefault((a + int(doc[k]), int(item[k])), [-1.0, 0.0, 0.0])
+                            best[:] = map(max, best, (float(close), lcs, answer))
             keys = sorted(found)
             doc_ids = batch.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64()))
             values = [found[k] for k in keys]
@@ -279,33 +335,50 @@ def searcher(ids: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np
     return run
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def blocks_of_items(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and words of the items that have words, in blocks of about ``block_words`` words, one item at least."""
+    ids: list[int | None] = []
+    items: list[np.ndarray] = []
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")
+    for r in rows.toLocalIterator():
+        data, at = buffers(pa.array([r["text"]], pa.large_string()))
+        words = word_hashes(data[: at[-1]], at)[0]
+        if not len(words):
+            continue
+        ids.append(r["item_id"])
+        items.append(words)
+        if sum(map(len, items)) >= block_words:
+            yield ids, items
+            ids, items = [], []
+    if items:
+        yield ids, items
+
+
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and benchmark item that it repeats: doc_id, item_id, cosine, subsequence, answer.
 
     ``subsequence`` is the share of the item's words, in order, found near the passage;
     ``answer`` the same for its last quarter. A pair stands from 0.8 on, or from 0.6 with
     half the answer. Words are lower-cased A to Z. Null and empty texts, items included,
     match nothing; an empty benchmark gives no rows. Repeated documents give their rows
-    again; items that repeat an id are each compared. More than ``MAX_ITEMS`` items are an
-    error: beyond that the benchmark must be cut into query sets.
+    again; items that repeat an id are each compared. A benchmark of more than
+    ``block_words`` words is searched for in blocks, each in a pass over the documents, so
+    that no task holds more than one block.
     """
     kinds = "doc_id bigint, item_id bigint, cosine double, subsequence double, answer double"
-    asked = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).limit(MAX_ITEMS + 1).collect()
-    if len(asked) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items")
-    asked.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-    data, at = buffers(pa.array([r["text"] for r in asked], pa.large_string()))
-    words, row = word_hashes(data[: at[-1]], at) if len(asked) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    items = [words[row == k] for k in range(len(asked))]
-    full = [k for k in range(len(asked)) if len(items[k])]
-    if not full:
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    wide = rank + EXTRA
+    own, blocks = np.zeros((wide, WIDTH)), 0
+    for _, items in blocks_of_items(benchmark, block_words):
+        own += item_sketch(items, wide)
+        blocks += 1
+    if not blocks:
         return docs.sparkSession.createDataFrame([], kinds)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sketch = corpus_sketch(texts, rank + EXTRA)
+    sketch = corpus_sketch(texts, wide)
     idf = np.log((sketch[-1, 0] + 1) / (sketch[-2] + 1)) + 1e-3
-    ids, items = [asked[k]["item_id"] for k in full], [items[k] for k in full]
-    basis = latent_space(sketch[:-2], items, idf, rank)
-    return texts.mapInArrow(searcher(ids, items, idf, basis, cosine), kinds)
+    basis = latent_space(sketch[:-2], own, idf, rank)
+    out = [texts.mapInArrow(searcher(ids, items, idf, basis, cosine), kinds) for ids, items in blocks_of_items(benchmark, block_words)]
+    return functools.reduce(DataFrame.union, out)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -202,6 +202,8 @@ def test_benchmark_leaks(spark, empty):
     benchmark = spark.createDataFrame([(0, item[0]), (1, item[1]), (2, item[2]), (3, ""), (4, None)], "item_id bigint, text string")
     found = decontaminate.benchmark_leaks(docs, benchmark, rank=32)
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(100, 0), (101, 1), (102, 2), (103, 2), (103, 2)]
+    again = decontaminate.benchmark_leaks(docs, benchmark, rank=32, block_words=20)
+    assert sorted((r.doc_id, r.item_id) for r in again.collect()) == sorted((r.doc_id, r.item_id) for r in found.collect())
     assert decontaminate.drop_leaks(docs, benchmark).count() == len(rows) - 5
     assert decontaminate.benchmark_leaks(docs, benchmark.where("item_id > 2")).count() == 0
     assert decontaminate.benchmark_leaks(empty, benchmark).count() == 0
@@ -221,6 +223,28 @@ def test_short_items_are_found_verbatim_at_every_alignment(spark):
     assert not planted - got
 
 
+def test_leaks_against_a_search_through_every_place(spark):
+    """Every document and item of the smallest tables by the plain subsequence at every passage: at least 0.9 are found, and nothing else."""
+    folder = "/root/testdata/sf0.001"
+    docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    true = set()
+    items = [(r.item_id, split(lowered(r.text))) for r in benchmark.collect()]
+    for r in docs.collect():
+        w = split(lowered(r.text))
+        for item, x in items:
+            n, masks = len(x), decontaminate.masks_of(x)
+            tail = x[-max(3, n // 4) :]
+            for k in range(0, len(w), 16) if n else ():
+                window = w[max(0, k - n) : k + 32 + n]
+                if sum(map(masks.__contains__, window)) >= 0.6 * n:
+                    lcs = decontaminate.common_subsequence(masks, n, window) / n
+                    if lcs >= 0.8 or (lcs >= 0.6 and decontaminate.common_subsequence(decontaminate.masks_of(tail), len(tail), window) / len(tail) >= 0.5):
+                        true.add((r.doc_id, item))
+                        break
+    got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_leaks(docs, benchmark).collect()}
+    assert got <= true and len(got & true) >= 0.9 * len(true) > 0
+
+
 def test_common_subsequence():
     rng = random.Random(7)
     for _ in range(50):
