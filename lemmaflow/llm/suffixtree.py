@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.bytescan import LOWER, SPACE, buffers, groups_of_rows, word_hashes
+from lemmaflow.llm.bytescan import LOWER, ODD, SPACE, buffers, groups_of_rows, word_hashes
 from lemmaflow.plans.scratch import written
 
 DEPTH = 5
@@ -189,28 +189,55 @@ def priced(follows: DataFrame, min_count: int) -> DataFrame:
     return price.select("key", F.log10("p").alias("value"))
 
 
+class Lookup:
+    """Values by key, for keys that are all known: two tables by hash, and a search for the few keys that share a place in both."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.shift = np.uint64(64 - max(8, int(4 * len(key) + 1).bit_length()))
+        self.tables = []
+        for odd in (ODD, np.uint64(0xD6E8FEB86659FD93)):
+            place = self.place(key, odd)
+            alone = np.bincount(place, minlength=1 << (64 - int(self.shift)))[place] == 1
+            table = np.full(1 << (64 - int(self.shift)), np.nan)
+            table[place[alone]] = value[alone]
+            self.tables.append((odd, table))
+            key, value = key[~alone], value[~alone]
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+
+    def place(self, key: np.ndarray, odd: np.uint64) -> np.ndarray:
+        return ((key.view(np.uint64) * odd) >> self.shift).view(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        out = np.empty(len(key))
+        rest = slice(None)
+        for odd, table in self.tables:
+            out[rest] = table[self.place(key[rest], odd)]
+            rest = np.flatnonzero(np.isnan(out))
+        if len(rest):
+            out[rest] = self.value[np.searchsorted(self.key, key[rest])]
+        return out
+
+
 def scorer(total: int, distinct: int) -> Callable:
     """Scores one bucket's rows with the prices of what occurs in it."""
     scale = math.log10(total + 0.5 * (distinct + 1))
 
     def run(texts: pa.Table, prices: pa.Table) -> pa.Table:
         kind, key, value = (prices.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(key, kind="stable")
-        kind, key, value = kind[order], key[order], value[order]
-        words, counts, codes, logs = key[kind == WORD], value[kind == WORD], key[kind == FOLLOWS], value[kind == FOLLOWS]
-        worth = np.log10(counts + 0.5) - scale
+        counts, logs = (Lookup(key[kind == k], value[kind == k]) for k in (WORD, FOLLOWS))
         out = []
-        for batch in texts.combine_chunks().to_batches():
+        for batch in texts.to_batches():
             data, at = buffers(batch.column("text"))
             for a, b in groups_of_rows(at):
                 n = b - a
                 part, edge = data[at[a] : at[b]], at[a : b + 1] - at[a]
                 word, row = word_hashes(part, edge)
-                place = np.searchsorted(words, np.concatenate([word, np.full(n, END_WORD)]).view(np.int64))
+                count = counts(np.concatenate([word, np.full(n, END_WORD)]).view(np.int64))
                 row = np.concatenate([row, np.arange(n)])
                 bytes_, starts = symbols(part, edge)
-                score = np.add.reduceat(logs[np.searchsorted(codes, grams(bytes_, starts))], starts[:-1])
-                columns = [np.bincount(row, minlength=n), np.bincount(row, weights=counts[place] > 0, minlength=n).astype(np.int64), np.bincount(row, weights=worth[place], minlength=n), score]
+                score = np.add.reduceat(logs(grams(bytes_, starts)), starts[:-1])
+                columns = [np.bincount(row, minlength=n), np.bincount(row, weights=count > 0, minlength=n).astype(np.int64), np.bincount(row, weights=np.log10(count + 0.5) - scale, minlength=n), score]
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
@@ -228,6 +255,7 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
     """
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.pmod(crc, F.lit(5)) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // 2))  # larger buckets ask for fewer prices twice
     rows = written(rows.mapInArrow(dealt(bucket_bytes), "doc_id bigint, held_out boolean, text string, bucket bigint"), "texts")
     asked = written(rows.select("bucket", "held_out", "text").mapInArrow(gathered, "bucket bigint, kind int, key bigint, n bigint"), "asked")
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
