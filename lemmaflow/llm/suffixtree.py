@@ -28,7 +28,7 @@ DEPTH = 5
 MIN_COUNT = 20
 PARENT_WEIGHT = 8.0
 ALPHABET = 256
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 26
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
 #: The end symbol: a byte that no text in UTF-8 has.
 END = 255
@@ -193,26 +193,27 @@ class Lookup:
     """Values by key, for keys that are all known: two tables by hash, and a search for the few keys that share a place in both."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.shift = np.uint64(64 - max(8, int(4 * len(key) + 1).bit_length()))
         self.tables = []
         for odd in (ODD, np.uint64(0xD6E8FEB86659FD93)):
-            place = self.place(key, odd)
-            alone = np.bincount(place, minlength=1 << (64 - int(self.shift)))[place] == 1
-            table = np.full(1 << (64 - int(self.shift)), np.nan)
+            bits = max(8, int(2 * len(key)).bit_length())
+            shift = np.uint64(64 - bits)
+            place = self.place(key, odd, shift)
+            alone = np.bincount(place, minlength=1 << bits)[place] == 1
+            table = np.full(1 << bits, np.nan, value.dtype)
             table[place[alone]] = value[alone]
-            self.tables.append((odd, table))
+            self.tables.append((odd, shift, table))
             key, value = key[~alone], value[~alone]
         order = np.argsort(key)
         self.key, self.value = key[order], value[order]
 
-    def place(self, key: np.ndarray, odd: np.uint64) -> np.ndarray:
-        return ((key.view(np.uint64) * odd) >> self.shift).view(np.int64)
+    def place(self, key: np.ndarray, odd: np.uint64, shift: np.uint64) -> np.ndarray:
+        return ((key.view(np.uint64) * odd) >> shift).view(np.int64)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         out = np.empty(len(key))
         rest = slice(None)
-        for odd, table in self.tables:
-            out[rest] = table[self.place(key[rest], odd)]
+        for odd, shift, table in self.tables:
+            out[rest] = table[self.place(key[rest], odd, shift)]
             rest = np.flatnonzero(np.isnan(out))
         if len(rest):
             out[rest] = self.value[np.searchsorted(self.key, key[rest])]
@@ -224,8 +225,10 @@ def scorer(total: int, distinct: int) -> Callable:
     scale = math.log10(total + 0.5 * (distinct + 1))
 
     def run(texts: pa.Table, prices: pa.Table) -> pa.Table:
-        kind, key, value = (prices.column(c).to_numpy() for c in ("kind", "key", "value"))
-        counts, logs = (Lookup(key[kind == k], value[kind == k]) for k in (WORD, FOLLOWS))
+        kind, key = prices.column("kind").to_numpy(), prices.column("key").to_numpy()
+        words = kind == WORD
+        counts = Lookup(key[words], prices.column("n").filter(pa.array(words)).to_numpy().astype(np.float64))
+        logs = Lookup(key[~words], prices.column("value").filter(pa.array(~words)).to_numpy())
         out = []
         for batch in texts.to_batches():
             data, at = buffers(batch.column("text"))
@@ -249,7 +252,8 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
 
     Rows whose crc32(doc_id as text) leaves 1 modulo 5 are held out; a null id counts as
     empty text. ``base_score`` is the sum over words and one end of log10((c + 0.5) /
-    (N + 0.5 (V + 1))). ``score`` is the suffix tree's log10 probability of the bytes.
+    (N + 0.5 (V + 1))). ``score`` is the suffix tree's log10 probability of the bytes, a
+    sum of single-precision logarithms.
     Null and empty texts hold the end alone. Repeated rows count and are scored each;
     without training rows N and V are 0 and the tree is uniform.
     """
@@ -262,9 +266,9 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
     words = counts.where("kind = 0").select("key", "n")
     sums = words.where("n > 0").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    price = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
-    price = price.union(priced(counts.where("kind = 1").select("key", "n"), min_count).select(F.lit(FOLLOWS), "key", "value"))
-    known = asked.select("bucket", "kind", "key").join(price.hint("shuffle_hash"), ["kind", "key"]).select("bucket", "kind", "key", "value")
+    price = words.select(F.lit(WORD).alias("kind"), "key", "n", F.lit(None).cast("float").alias("value"))
+    price = price.union(priced(counts.where("kind = 1").select("key", "n"), min_count).select(F.lit(FOLLOWS), "key", F.lit(None).cast("bigint"), F.col("value").cast("float")))
+    known = asked.select("bucket", "kind", "key").join(price.hint("shuffle_hash"), ["kind", "key"]).select("bucket", "kind", "key", "n", "value")
     kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(scorer(total, distinct), kinds)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -379,7 +379,7 @@ def test_suffix_tree(spark, docs, empty, bucket):
         g = got[k]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[k], len(w), sum(c[x] > 0 for x in w), n)
         assert g.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
-        assert g.score == pytest.approx(scores[k], rel=1e-9)
+        assert g.score == pytest.approx(scores[k], rel=1e-6)  # logarithms travel in single precision
     assert suffixtree.score_texts(empty).count() == 0
 
 
