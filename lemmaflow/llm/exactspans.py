@@ -29,6 +29,8 @@ SPAN = WINDOW - GRAM + 1
 LOW = np.uint64((1 << 26) - 1)
 SCAN_BYTES = 1 << 17
 LONG_PIECE = 1 << 24
+#: A place is an offset and, above it, 18 bits of the text's hash, which tell apart texts under one id.
+OFFSET_BITS, PART_BITS = 31, 18
 SHARD_RECORDS = 16_000
 HOT_RECORDS = 4_000
 
@@ -77,10 +79,10 @@ def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, rec, doc, place): place packs the anchor's byte offset, its distance from the first start and the run's length."""
+    """Rows (fp, rec, doc, place): place packs the text's part, the anchor's byte offset, its distance from the first start and the run's length."""
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        doc = batch.column("doc").to_numpy()
+        doc, part = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         for rows, starts, stops in pieces(at):
             sizes = stops - starts
@@ -90,7 +92,7 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(sizes)
             gram, place, first, last, record = anchors_of(text, ends)
             piece = np.searchsorted(ends, place, side="right")
-            offset = place - (ends - sizes)[piece] + starts[piece] - at[rows[piece]]
+            offset = (part[rows[piece]] << OFFSET_BITS) + place - (ends - sizes)[piece] + starts[piece] - at[rows[piece]]
             out.append((gram.view(np.int64), record.view(np.int64), doc[rows[piece]], (offset << 14) | ((place - first) << 7) | (last - first)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["fp", "rec", "doc", "place"])
@@ -100,16 +102,16 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that a run of windows covers, for the runs asked for."""
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        wanted = batch.column("runs")
+        wanted, part = batch.column("runs"), batch.column("part").to_numpy() << OFFSET_BITS
         counts = np.diff(np.asarray(wanted.offsets))
         runs = wanted.flatten()
         row = np.repeat(np.arange(len(counts)), counts)
         place = runs.field("place").to_numpy()
-        start = at[row] + (place >> 14) - ((place >> 7) & 127)
+        start = at[row] + (place >> 14) - part[row] - ((place >> 7) & 127)
         stop = start + (place & 127) + WINDOW
-        ok = stop <= at[row + 1]
+        ok = (start >= at[row]) & (stop <= at[row + 1])
         text = pa.array([data[a:b].tobytes() for a, b in zip(start[ok], stop[ok], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(runs.field("fp").to_numpy()[ok]), pa.array(batch.column("doc").to_numpy()[row[ok]]), pa.array((start - at[row])[ok]), text], names=["fp", "doc", "start", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(runs.field("fp").to_numpy()[ok]), pa.array(batch.column("doc").to_numpy()[row[ok]]), pa.array((start - at[row] + part[row])[ok]), text], names=["fp", "doc", "start", "bytes"])
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,14 +246,15 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of every text once its spans are gone."""
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        spans = batch.column("spans").to_pylist()
+        spans, part = batch.column("spans").to_pylist(), (batch.column("part").to_numpy() << OFFSET_BITS).tolist()
         n_removed, n_spans, digests = [], [], []
         for k, own in enumerate(spans):
             text = data[at[k] : at[k + 1]]
+            own = [(s["start"] - part[k], s["stop"] - part[k]) for s in own or () if s["start"] >> OFFSET_BITS == part[k] >> OFFSET_BITS]
             if own:
                 step = np.zeros(len(text) + 1, np.int64)
-                np.add.at(step, np.minimum([s["start"] for s in own], len(text)), 1)
-                np.add.at(step, np.minimum([s["stop"] for s in own], len(text)), -1)
+                np.add.at(step, [a for a, _ in own], 1)
+                np.add.at(step, [b for _, b in own], -1)
                 gone = np.cumsum(step)[:-1] > 0
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
@@ -264,7 +267,7 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, start, stop): byte ranges whose union is what to remove. ``docs`` has the key ``doc`` and ``text``."""
+    """(doc, start, stop): byte ranges whose union is what to remove; their upper bits are the text's ``part``. ``docs`` has ``doc``, ``part`` and ``text``."""
     seen = docs.mapInArrow(anchored, "fp bigint, rec bigint, doc bigint, place bigint")
     age = F.rank().over(Window.partitionBy("fp", "rec").orderBy("doc", "place"))
     alike = Window.partitionBy("fp")
@@ -274,7 +277,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = seen.where("whole").select("doc", begin.alias("start"), (begin + F.expr("place & 127") + WINDOW).alias("stop"))
     open_runs = seen.where("NOT whole")
     by_doc = open_runs.groupBy("doc").agg(F.collect_set(F.struct("fp", "place")).alias("runs"))
-    found = docs.join(by_doc, "doc").dropDuplicates(["doc"]).mapInArrow(fetched, "fp bigint, doc bigint, start bigint, bytes binary")
+    found = docs.join(by_doc, "doc").dropDuplicates(["doc", "part"]).mapInArrow(fetched, "fp bigint, doc bigint, start bigint, bytes binary")
     records = written(found, "records")
     hot = records.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT_RECORDS)
     shards = max(1, records.count() // SHARD_RECORDS)
@@ -294,10 +297,11 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     A byte goes if a 100-byte string over it also starts earlier, in a smaller doc_id or
     in the same text; strings are judged on the input. Null text is empty. A null doc_id
     counts as the smallest id. Rows that repeat an id with the same text are one
-    document, and each gets its answer; spans found in any text of an id are cut, as far
-    as they reach, from every text of that id. Texts under 100 bytes hold no string.
+    document, and each gets its answer; different texts under one id are documents of
+    their own, in the order of their hashes. Texts under 100 bytes hold no string.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    spans = repeated_spans(keyed.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = keyed.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("bigint").alias("doc"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << PART_BITS)).alias("part"))
+    spans = repeated_spans(keyed.select("doc", "part", "text")).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = keyed.join(spans, "doc", "left").select("doc_id", "part", "text", "spans")
     return joined.mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -14,6 +14,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.columns import packed, without
+from lemmaflow.llm.spans import before_each, let
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Base phrases and their labels.
@@ -120,6 +123,7 @@ def rules() -> list[dict]:
 
 
 RULE = "array<struct<label:string,keywords:array<string>,pattern:string,priority:int,score:double,rank:int>>"
+ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
 FOUND = "array<struct<start:int,stop:int,priority:int,rank:int,label:string,score:double>>"
 
 
@@ -141,36 +145,33 @@ def spaces(x: Column) -> Column:
 def places(w: Column, rule: Column) -> Column:
     """Word positions of one rule's matches in normalised text ``w``."""
     parts = F.arrays_zip(F.split(w, rule["pattern"], -1).alias("piece"), F.regexp_extract_all(w, rule["pattern"], F.lit(0)).alias("match"))
+    found = F.transform(F.filter(parts, lambda x: x["match"].isNotNull()), lambda x: F.struct(spaces(x["piece"]).alias("gap"), spaces(x["match"]).alias("size")))
 
-    def step(s: Column, x: Column) -> Column:
-        before = s["at"] + spaces(x["piece"])
-        hit = F.struct((before - 1).alias("start"), (before + spaces(x["match"])).alias("stop"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["score"].alias("score"))
-        return F.struct((before + spaces(x["match"])).alias("at"), F.array_append(s["out"], hit).alias("out"))
+    def placed(xs: Column) -> Column:
+        ahead = before_each(F.transform(xs, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, b: a + b)
+        hit = lambda x, a: F.struct((a + x["gap"] - 1).alias("start"), (a + x["gap"] + x["size"]).alias("stop"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["score"].alias("score"))
+        return F.zip_with(xs, ahead, hit)
 
-    found = F.filter(parts, lambda x: x["match"].isNotNull())
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")), step, lambda s: s["out"])
+    return let(found, placed)
 
 
 def outermost(found: Column) -> Column:
     """Drops a detection that lies within an earlier, longer or stronger one of the same or a stronger priority.
 
-    Sorted by start, then longest, then priority and rule order, one pass suffices: it
-    holds the furthest end so far for priority 1 and for any priority.
+    Sorted by start, then longest, then priority and rule order, a detection is covered
+    if one before it ends as late: any of priority 1, or any at all for a weaker one.
     """
     key = lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("len"), x["priority"].alias("p"), x["rank"].alias("r"), x.alias("x"))
     ordered = F.transform(F.sort_array(F.transform(found, key)), lambda k: k["x"])
 
-    def step(s: Column, x: Column) -> Column:
-        strong = x["priority"] == 1
-        covered = F.when(strong, s["one"] >= x["stop"]).otherwise(s["any"] >= x["stop"])
-        return F.struct(
-            F.when(strong, F.greatest(s["one"], x["stop"])).otherwise(s["one"]).alias("one"),
-            F.greatest(s["any"], x["stop"]).alias("any"),
-            F.when(covered, s["out"]).otherwise(F.array_append(s["out"], x)).alias("out"),
-        )
+    def swept(xs: Column) -> Column:
+        ends = F.transform(xs, lambda x: F.struct(F.when(x["priority"] == 1, x["stop"]).otherwise(F.lit(0)).alias("one"), x["stop"].alias("any")))
+        further = lambda a, b: F.struct(F.greatest(a["one"], b["one"]).alias("one"), F.greatest(a["any"], b["any"]).alias("any"))
+        seen = before_each(ends, F.struct(F.lit(0).alias("one"), F.lit(0).alias("any")), further)
+        judged = F.zip_with(xs, seen, lambda x, s: F.struct(x.alias("x"), (F.when(x["priority"] == 1, s["one"]).otherwise(s["any"]) < x["stop"]).alias("stands")))
+        return F.transform(F.filter(judged, lambda y: y["stands"]), lambda y: y["x"])
 
-    zero = F.struct(F.lit(0).alias("one"), F.lit(0).alias("any"), F.array().cast(FOUND).alias("out"))
-    return F.aggregate(ordered, zero, step, lambda s: s["out"])
+    return let(ordered, swept)
 
 
 def scan_licenses(docs: DataFrame, extra_rules: list[dict] | None = None) -> DataFrame:
@@ -179,33 +180,35 @@ def scan_licenses(docs: DataFrame, extra_rules: list[dict] | None = None) -> Dat
     ``detections`` holds (start, stop, priority, rank, label, score) in word positions,
     stop exclusive. ``score`` is that of the surest detection, 0.3 if only a base phrase
     stands, else 0. Null and empty texts have no words: counts 0, places null, labels
-    empty. Rows are judged one by one, so ties and repeated rows don't matter. Columns of
+    empty. ``extra_rules`` pass their own keywords alone, not the gate of the built-in
+    ones. Rows are judged one by one, so ties and repeated rows don't matter. Columns of
     ``docs`` stay, apart from those that carry the names added here.
     """
-    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     extra = [{"keywords": [r["keyword"]]} | r if "keyword" in r else r for r in extra_rules or []]
-    table = F.from_json(F.lit(json.dumps(rules() + extra)), RULE)
-    df = docs.withColumn("_w", normalised(F.col("text")))
-    w = F.col("_w")
+    table = lambda rows: F.from_json(F.lit(json.dumps(rows)), RULE)
+    df = docs.select(packed(without(docs, ADDED)), normalised(F.col("text")).alias("w"))
+    w = F.col("w")
     base = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
     has = w.rlike(base)
-    df = df.withColumn("_b", F.when(has, F.regexp_extract_all("_w", F.lit(base), F.lit(0))))
-    df = df.withColumn("_s", F.when(has, F.split("_w", base, -1)))
-    last = spaces(w) - spaces(F.element_at("_s", -1)) - spaces(F.element_at("_b", -1)) - 1
-    wanted = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: w.contains(F.concat(F.lit(" "), k, F.lit(" ")))))
-    hits = F.when(w.rlike(GATE), F.flatten(F.transform(wanted, lambda r: places(w, r)))).otherwise(F.array().cast(FOUND))
-    df = df.withColumn("_f", hits)
-    df = df.withColumn("detections", F.when(F.size("_f") > 0, outermost(F.col("_f"))).otherwise(F.array().cast(FOUND)))
-    base_labels = F.when(F.size("_b") > 0, F.sort_array(F.array_distinct(F.transform("_b", lambda x: F.element_at(F.create_map(*[F.lit(v) for kv in BASE.items() for v in kv]), x))))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_l", base_labels)
-    labels = F.sort_array(F.array_union("_l", F.transform("detections", lambda x: x["label"])))
+    df = df.withColumn("phrases", F.when(has, F.regexp_extract_all("w", F.lit(base), F.lit(0)))).withColumn("between", F.when(has, F.split("w", base, -1)))
+    last = spaces(w) - spaces(F.element_at("between", -1)) - spaces(F.element_at("phrases", -1)) - 1
+    wanted = lambda rows: F.filter(table(rows), lambda r: F.exists(r["keywords"], lambda k: w.contains(F.concat(F.lit(" "), k, F.lit(" ")))))
+    hits = lambda rows: F.flatten(F.transform(wanted(rows), lambda r: places(w, r)))
+    none = F.array().cast(FOUND)
+    found = F.when(w.rlike(GATE), hits(rules())).otherwise(none)
+    df = df.withColumn("found", F.concat(found, hits(extra)) if extra else found)
+    df = df.withColumn("detections", F.when(F.size("found") > 0, outermost(F.col("found"))).otherwise(none))
+    label = F.create_map(*[F.lit(v) for kv in BASE.items() for v in kv])
+    df = df.withColumn("own", F.when(F.size("phrases") > 0, F.sort_array(F.array_distinct(F.transform("phrases", lambda x: F.element_at(label, x))))).otherwise(F.array().cast("array<string>")))
     sure = F.coalesce(F.array_max(F.transform("detections", lambda x: x["score"])), F.lit(0.0))
-    return df.withColumns({
-        "n_words": F.greatest(spaces(w) - 1, F.lit(0)).cast("bigint"),
-        "n_base": F.coalesce(F.size("_b"), F.lit(0)).cast("bigint"),
-        "first_word": F.when(has, spaces(F.get("_s", F.lit(0))) - 1).cast("bigint"),
-        "last_word": F.when(has, last).cast("bigint"),
-        "base_labels": F.array_join("_l", ","),
-        "labels": F.array_join(labels, ","),
-        "score": F.greatest(sure, F.when(has, F.lit(0.3)).otherwise(F.lit(0.0))),
-    }).drop("_w", "_b", "_s", "_f", "_l")
+    return df.select(
+        "row.*",
+        F.greatest(spaces(w) - 1, F.lit(0)).cast("bigint").alias("n_words"),
+        F.coalesce(F.size("phrases"), F.lit(0)).cast("bigint").alias("n_base"),
+        F.when(has, spaces(F.get("between", F.lit(0))) - 1).cast("bigint").alias("first_word"),
+        F.when(has, last).cast("bigint").alias("last_word"),
+        F.array_join("own", ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union("own", F.transform("detections", lambda x: x["label"]))), ",").alias("labels"),
+        F.greatest(sure, F.when(has, F.lit(0.3)).otherwise(F.lit(0.0))).alias("score"),
+        "detections",
+    )

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, sections, declarations and tags; last, a tag whose quotes don't close.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NOISE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|sidebar|side-?nav|menu|nav|navbar|navigation|breadcrumbs?|comments?|replies|disqus|respond|footer|site-?header|masthead|topbar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|popup|modal|overlay|pagination|pager|widget|toolbar|skip-?link)(?:$|[-_ ])", re.I)
 DIGITS = re.compile(r"\d+")
@@ -67,17 +68,18 @@ class Page:
                 return
             self.text(source[at : m.start()])
             at = m.end()
-            if m[2] is None:
+            if m[2] is None and m[5] is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            tag = tag.lower()
+            if ends:
                 self.close(tag)
             elif tag in RAW:
-                if not m[3].rstrip().endswith("/"):
+                if not attributes.rstrip().endswith("/"):
                     end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                     at = end.end() if end else n if tag in CODE else at
             else:
-                self.open(tag, m[3])
+                self.open(tag, attributes)
 
     def text(self, raw: str) -> None:
         if raw:
@@ -105,7 +107,7 @@ class Page:
             void |= {m for m in range(len(self.soft)) if self.soft[m] and 2 * share[m] > total}
         for parts, around in self.pieces:
             kept = [(raw, linked) for raw, linked, marks in parts if void.issuperset(marks)]
-            text = " ".join(entities.unescape("".join(raw for raw, _ in kept)).split())
+            text = " ".join("".join(entities.unescape(raw) for raw, _ in kept).split())
             if text:
                 linked = sum(len(raw) for raw, inside in kept if inside)
                 self.blocks.append((text, min(linked, len(text)), around))

@@ -10,14 +10,20 @@ and every row finds its place by arithmetic. All of it is DataFrame and SQL work
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.columns import packed, without
+from lemmaflow.plans.scratch import written
+
 BLOCK_ROWS = 64
 QUANTA = 1000
 EXPONENT = 0.5
 BIN_ROWS = 2000
-MAX_SOURCES = 256
+BROADCAST_SOURCES = 256
+ADDED = ["block", "release", "deadline", "slot", "position"]
 
 # One period of a phase: `active` has (source, k), `h` is the sum of k. State: blocks placed so far, and the placements.
 ONE_PERIOD = """
@@ -69,16 +75,16 @@ def order_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def numbered(docs: DataFrame, sources: DataFrame, bin_rows: int) -> DataFrame:
+def numbered(docs: DataFrame, sources: DataFrame, bin_rows: int, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds ``_n``, each row's place among the rows of its source, from 0, in the order of the hash.
 
     A source is cut into bins of about ``bin_rows`` rows by the hash; rows are numbered
     within a bin, bins within a strip of 1,024, and strips within the source, so that no
     task gets a whole source.
     """
-    ties = F.xxhash64(*[F.col(c) for c in docs.columns if not c.startswith("_")])
+    ties = F.xxhash64(F.to_json("row"))
     share = F.col("_hash").cast("double") / F.lit(float(1 << 60))
-    df = docs.withColumn("_hash", order_hash(F.col("doc_id"))).withColumn("_tie", ties).join(F.broadcast(sources.select("_source", "n", "k")), "_source")
+    df = docs.withColumn("_hash", order_hash(F.col("doc_id"))).withColumn("_tie", ties).join(spread(sources.select("_source", "n", "k")), "_source")
     df = df.withColumn("_bin", F.floor(share * F.ceil(F.col("n") / bin_rows)))
     sizes = df.select("_source", "_bin").groupBy("_source", "_bin").agg(F.count("*").alias("size")).withColumn("_strip", F.expr("_bin div 1024"))
     strips = sizes.groupBy("_source", "_strip").agg(F.sum("size").alias("size"))
@@ -98,27 +104,23 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     is dropped or repeated. Adds ``block`` (from 0 within the source), ``release`` and
     ``deadline`` (in slots of one block), ``slot`` and ``position``. A null source counts
     as the empty name; repeated rows get neighbouring numbers; an empty table gives an
-    empty result. More than ``MAX_SOURCES`` sources are an error, which bounds the
-    broadcast tables of sources and periods. Columns of ``docs`` stay, apart from those
+    empty result. Up to ``BROADCAST_SOURCES`` sources the tables of sources and periods are
+    broadcast; beyond that they are joined by shuffle. A period takes time in proportion
+    to its slots times its sources. Columns of ``docs`` stay, apart from those
     that carry the names added here.
     """
-    docs = docs.drop("block", "release", "deadline", "slot", "position")
-    names = docs.columns
-    docs = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    sources = source_table(docs, weights, block_rows, quanta, exponent)
-    found = sources.select("_source", "n", "k", "m").take(MAX_SOURCES + 1)
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    spark = docs.sparkSession
-    rows = ", ".join("(" + ", ".join([f"unhex('{r['_source'].encode().hex()}')", f"{r['n']}L", str(r["k"]), f"{r['m']}L"]) + ")" for r in found)
-    known = spark.sql(f"SELECT cast(s AS string) AS _source, n, k, m FROM VALUES {rows} AS t(s, n, k, m)") if rows else sources.select("_source", "n", "k", "m")
-    plan = schedule(known)
-    marks = F.array(*[F.lit(m) for m in sorted({r["m"] for r in found})]) if found else F.array().cast("array<bigint>")
-    df = numbered(docs, known, bin_rows)
+    names = without(docs, ADDED)
+    docs = docs.select(packed(names), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.col("doc_id"))
+    sources = written(source_table(docs, weights, block_rows, quanta, exponent), "sources")
+    few = sources.count() <= BROADCAST_SOURCES
+    spread = F.broadcast if few else (lambda df: df)
+    plan = written(schedule(sources), "schedule")
+    marks = F.array(*[F.lit(r["m"]) for r in sources.select("m").distinct().orderBy("m").collect()]).cast("array<bigint>")
+    df = numbered(docs, sources, bin_rows, spread)
     df = df.withColumn("block", F.expr(f"_n div {block_rows}")).withColumn("_q", F.expr("block div k")).withColumn("j", (F.col("block") % F.col("k")).cast("int"))
     df = df.withColumn("phase", F.size(F.filter(marks, lambda x: x <= F.col("_q"))))
-    df = df.join(F.broadcast(plan), ["phase", "_source", "j"])
+    df = df.join(spread(plan), ["phase", "_source", "j"])
     begin = F.col("first_slot") + (F.col("_q") - F.col("since")) * F.col("h")
     df = df.withColumns({"slot": begin + F.col("at"), "release": begin + F.col("_release"), "deadline": begin + F.col("_deadline")})
     df = df.withColumn("position", F.col("slot") * block_rows + F.col("_n") % block_rows)
-    return df.select(*names, "block", "release", "deadline", "slot", "position")
+    return df.select("row.*", "block", "release", "deadline", "slot", "position")

@@ -14,11 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.columns import packed, without
+
 BUCKETS = 1 << 15
 TARGET_ROWS = 20_000
 SMOOTHING = 1.0
 THRESHOLD = -0.05
 MIN_WORDS = 50
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -106,11 +109,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ta
     are judged alike and counted each; a null ``doc_id`` is scored but never trusted.
     Columns of ``docs`` stay, apart from those that carry the names added here.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    docs = docs.drop(*added)
     ratios = log_ratios(gram_counts(docs, labels, buckets, target_rows), buckets, smoothing)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    df = base_rules(docs).withColumn("_g", grams(F.col("_x"), buckets))
+    df = base_rules(docs.select(packed(without(docs, ADDED)), "text")).withColumn("_g", grams(F.col("_x"), buckets))
     total = F.aggregate("_g", F.lit(0.0), lambda a, g: a + F.get(table, g))
     df = df.withColumn("llr", F.when(F.size("_g") > 0, F.round(total / F.size("_g"), 9)).otherwise(F.lit(0.0)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("_g", "_x")
+    return df.select("row.*", *ADDED[:-1], (~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).alias("kept"))

@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from lemmaflow.llm.columns import packed
 
 SAMPLE_ROWS = 12_000
 FEATURES = 2_048
@@ -42,7 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return found.select("doc_id", "toxic", features(F.col("text")).alias("features"))
+    return found.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), features(F.col("text")).alias("features"))
 
 
 def telling(rows: DataFrame, most: int) -> tuple[list[str], list[float]]:
@@ -138,51 +141,52 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, widt
         return [], np.zeros(0), []
     lexicon = [w for ws in CATEGORIES.values() for w in ws]
     held = F.array(*[F.lit(w) for w in dict.fromkeys([*names, *lexicon])])
-    train = rows.select("doc_id", "toxic", F.array_intersect("features", held).alias("f")).collect()
+    train = rows.select("doc_id", "toxic", "fold", F.array_intersect("features", held).alias("f")).collect()
     train.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     x = sparse([r["f"] for r in train], {f: k for k, f in enumerate(names)}, np.array(odds))
     toxic = np.array([r["toxic"] > 0 for r in train])
     truth = {c: toxic & np.array([any(w in ws for w in r["f"]) for r in train]) for c, ws in CATEGORIES.items()} | {"toxic": toxic}
-    return names, np.array(odds), fit_chain(x, truth, np.array([r["doc_id"] % FOLDS for r in train]))
+    return names, np.array(odds), fit_chain(x, truth, np.array([r["fold"] for r in train]))
 
 
 def scorer(names: list[str], odds: np.ndarray, models: list[Linear]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {f: k for k, f in enumerate(names)}
         for batch in batches:
-            x = sparse(batch.column("_f").to_pylist(), number, odds)
+            x = sparse(batch.column("f").to_pylist(), number, odds)
             seen = np.zeros((x.n, 0))
             for model in models:
                 seen = np.column_stack([seen, model.predict(x, seen)])
             if not models:
                 seen = np.zeros((x.n, len(CHAIN)))
-            kept = [k for k, name in enumerate(batch.schema.names) if name != "_f"]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(seen[:, k]) for k in range(len(CHAIN))], names=[batch.schema.names[k] for k in kept] + [f"p_{c}" for c in CHAIN])
+            seen[np.bincount(x.row, minlength=x.n) == 0] = 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(seen[:, k]) for k in range(len(CHAIN)))], names=["row", *(f"p_{c}" for c in CHAIN)])
 
     return run
 
 
+def scored(rows: DataFrame, names: list[str], training: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, a probability for each category): the ``names`` of ``rows`` packed, scored by a chain fitted on ``training``."""
+    known, odds, models = fit(training, labels)
+    held = F.array(*[F.lit(f) for f in known]) if known else F.array().cast("array<string>")
+    asked = rows.select(packed(names), F.array_intersect(features(F.col("text")), held).alias("f"))
+    kinds = StructType([asked.schema["row"], *(StructField(f"p_{c}", DoubleType()) for c in CHAIN)])
+    return asked.mapInArrow(scorer(known, odds, models), kinds)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of every row (doc_id unless told otherwise), a probability for each category, and ``toxic``.
 
-    Null and empty texts have no features and get the models' base rates, which stay under
-    the threshold. Without labels of both classes probabilities are 0. A label row that
+    Texts without a telling feature, null and empty ones among them, have probability 0
+    throughout: nothing speaks against them. Without labels of both classes all have. A label row that
     repeats an id counts once, toxic if any says so; repeated documents are scored alike.
+    Of ``carry``, columns with the names added here are left out.
     """
-    carry = [c for c in (carry or ["doc_id"]) if c not in {f"p_{c}" for c in CHAIN} | {"toxic", "_f"}]
-    names, odds, models = fit(docs, labels)
-    held = F.array(*[F.lit(f) for f in names]) if names else F.array().cast("array<string>")
-    rows = docs.select(*carry, F.array_intersect(features(F.col("text")), held).alias("_f"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + "".join(f", p_{c} double" for c in CHAIN)
-    return rows.mapInArrow(scorer(names, odds, models), kinds).withColumn("toxic", F.col("p_toxic") >= threshold)
+    taken = {f"p_{c}" for c in CHAIN} | {"toxic"}
+    names = [c for c in (carry or ["doc_id"]) if c.lower() not in taken]
+    return scored(docs, names, docs, labels).select("row.*", *[f"p_{c}" for c in CHAIN], (F.col("p_toxic") >= threshold).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows called toxic, by models fitted on ``labelled_docs``; columns stay as they are."""
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns}
-    names, odds, models = fit(labelled_docs, labels)
-    held = F.array(*[F.lit(f) for f in names]) if names else F.array().cast("array<string>")
-    rows = docs.withColumn("_f", F.array_intersect(features(F.col("text")), held))
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + "".join(f", p_{c} double" for c in CHAIN)
-    scored = rows.mapInArrow(scorer(names, odds, models), schema)
-    return scored.where(F.col("p_toxic") < threshold).select(*docs.columns)
+    """``docs`` without the rows called toxic, by models fitted on ``labelled_docs``; columns stay as they are, whatever their names."""
+    return scored(docs, docs.columns, labelled_docs, labels).where(F.col("p_toxic") < threshold).select("row.*")
