@@ -28,7 +28,7 @@ DEPTH = 5
 MIN_COUNT = 20
 PARENT_WEIGHT = 8.0
 ALPHABET = 256
-BUCKET_BYTES = 1 << 26
+BUCKET_BYTES = 3 << 24
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
 #: The end symbol: a byte that no text in UTF-8 has.
 END = 255
@@ -74,7 +74,7 @@ def grams(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Counts:
     """How often each number occurred; pieces are merged before they take much memory."""
 
-    def __init__(self, most: int = 1 << 22):
+    def __init__(self, most: int = 1 << 20):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.most = 0, most
 
