@@ -1,4 +1,4 @@
-"""Source lines without comments, strings and character literals; state carries from line to line of a file."""
+"""Source lines without comments, strings, character literals and quoted identifiers; state carries from line to line of a file."""
 
 from __future__ import annotations
 
@@ -8,74 +8,94 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-IDENTIFIER = re.compile(r"[\w.!?']", re.UNICODE)
-CHARACTER = re.compile(r"'(?:\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|.)|[^'\\])'")
+from lemmaflow.functions.names import IDENTIFIER
+
+REST = re.compile(f"[{IDENTIFIER}]")
+CHARACTER = re.compile(r"'(?:\\.?[^']*(?:'|\Z)|[^\\]')", re.S)
 RAW = re.compile(r'r(#*)"')
+QUOTED = re.compile(r"«[^»]*(?:»|\Z)", re.S)
+
+#: What may end or change each state; everything before it is passed over at once.
+NEXT = {
+    "code": re.compile(r"""--|/-|["'«]|r#*\""""),
+    "comment": re.compile(r"/-|-/"),
+    "string": re.compile(r'\\.?|"', re.S),
+    "text": re.compile(r'\\.?|["{]', re.S),
+    "hole": re.compile(r"""[{}"']"""),
+    "inner": re.compile(r'\\.?|"', re.S),
+}
+#: Depth 0 states that a quote mark returns to.
+BACK = {"string": "code", "text": "code", "inner": "hole"}
 
 
 class Lexer:
-    """Holds where a line ended: inside nested comments, a raw string, or strings within interpolations."""
+    """Where a line ended: ``state`` and ``depth``, of comments, of braces in an interpolation, or the marks of a raw string.
+
+    A string after ``identifier!`` is interpolated: its braces hold code (a hole), in
+    which braces nest and a plain string may stand. A string inside a hole counts as
+    plain whatever comes before it.
+    """
 
-    def __init__(self):
-        self.comments = 0
-        self.raw: str | None = None
-        self.strings: list[list] = []
+    def __init__(self, state: str = "code", depth: int = 0):
+        self.state, self.depth = state, depth
 
     def line(self, text: str) -> str:
-        out, at, n = [], 0, len(text)
-        while at < n:
-            if self.comments:
-                at = self.in_comment(text, at)
-            elif self.raw is not None:
-                end = text.find(self.raw, at)
-                at, self.raw = (n, self.raw) if end < 0 else (end + len(self.raw), None)
-            elif self.strings and self.strings[-1][1] == 0:
-                at = self.in_string(text, at)
-            else:
-                at = self.in_code(text, at, out)
+        out: list[str] = []
+        at = 0
+        while at < len(text):
+            if self.state == "raw":
+                end = text.find('"' + "#" * self.depth, at)
+                if end < 0:
+                    break
+                at = end + 1 + self.depth
+                self.state, self.depth = "code", 0
+                continue
+            found = NEXT[self.state].search(text, at)
+            if self.state == "code":
+                out.append(text[at : found.start() if found else None])
+            if not found:
+                break
+            at = self.step(text, found, out)
         return "".join(out)
 
-    def in_comment(self, text: str, at: int) -> int:
-        two = text[at : at + 2]
-        self.comments += (two == "/-") - (two == "-/")
-        return at + (2 if two in ("/-", "-/") else 1)
-
-    def in_string(self, text: str, at: int) -> int:
-        c = text[at]
-        if c == "\\":
-            return at + 2
-        if c == '"':
-            self.strings.pop()
-        elif c == "{" and self.strings[-1][0]:
-            self.strings[-1][1] = 1
-        return at + 1
-
-    def in_code(self, text: str, at: int, out: list[str]) -> int:
-        keep = out.append if not self.strings else (lambda _: None)
-        two, c = text[at : at + 2], text[at]
-        if two == "--":
+    def step(self, text: str, found: re.Match, out: list[str]) -> int:
+        """Acts on what was found; where to go on."""
+        mark, at = found[0], found.start()
+        fresh = at == 0 or not REST.match(text[at - 1])
+        if self.state in BACK:
+            if mark == '"':
+                self.state = BACK[self.state]
+            elif mark == "{":
+                self.state, self.depth = "hole", 1
+        elif self.state == "comment":
+            self.depth += 1 if mark == "/-" else -1
+            self.state = "comment" if self.depth else "code"
+        elif mark == "'":
+            literal = CHARACTER.match(text, at) if fresh else None
+            if literal:
+                return literal.end()
+            if self.state == "code":
+                out.append("'")
+        elif self.state == "hole":
+            if mark == '"':
+                self.state = "inner"
+            else:
+                self.depth += 1 if mark == "{" else -1
+                self.state = "hole" if self.depth else "text"
+        elif mark == "--":
             return len(text)
-        if two == "/-":
-            self.comments = 1
-            return at + 2
-        fresh = at == 0 or not IDENTIFIER.match(text[at - 1])
-        if fresh and (m := RAW.match(text, at)):
-            self.raw = '"' + m[1]
-            return m.end()
-        if c == '"':
-            self.strings.append([text[max(0, at - 1) : at] == "!", 0])
+        elif mark == "/-":
+            self.state, self.depth = "comment", 1
+        elif mark == "«":
+            return QUOTED.match(text, at).end()
+        elif mark == '"':
+            self.state = "text" if at > 1 and text[at - 1] == "!" and REST.match(text[at - 2]) else "string"
+        elif fresh:
+            self.state, self.depth = "raw", len(mark) - 2
+        else:
+            out.append("r")
             return at + 1
-        if c == "'" and fresh and (m := CHARACTER.match(text, at)):
-            return m.end()
-        if c == "«":
-            end = text.find("»", at)
-            end = len(text) if end < 0 else end + 1
-            keep(text[at:end])
-            return end
-        if self.strings and c in "{}":
-            self.strings[-1][1] += 1 if c == "{" else -1
-        keep(c)
-        return at + 1
+        return found.end()
 
 
 def strip_lines(lines: list[str]) -> list[str]:
@@ -90,7 +110,8 @@ def strip_sources(source_file: DataFrame) -> DataFrame:
         rows = rows.sort_values("line_no")
         return pd.DataFrame({"path": rows["path"], "line_no": rows["line_no"], "code": strip_lines(rows["text"].fillna("").tolist())})
 
-    return source_file.groupBy("path").applyInPandas(run, "path string, line_no int, code string")
+    rows = source_file.selectExpr("path", "cast(line_no AS bigint) AS line_no", "text")
+    return rows.groupBy("path").applyInPandas(run, "path string, line_no bigint, code string")
 
 
 def stripped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

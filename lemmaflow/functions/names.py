@@ -20,6 +20,10 @@ SPEC_TARGET_KINDS = ["def", "abbrev", "instance", "opaque", "axiom"]
 HEAD_KEYWORDS = ["theorem", "lemma", "def", "abbrev", "instance", "axiom", "opaque", "structure", "inductive", "class", "example", "where"]
 
 PREFIX = "probe:"
+# Characters that continue an identifier, as ranges of a character class: Greek without three signs, letter-like signs, subscripts.
+IDENTIFIER = "A-Za-z0-9_'!?\u03b1-\u03ba\u03bc-\u03c9\u0391-\u039f\u03a1\u03a2\u03a4-\u03a9\u03ca-\u03fb\u1f00-\u1ffe\u2100-\u214f\U0001d49c-\U0001d59f\u2080-\u2089\u2090-\u209c\u1d62-\u1d6a\u2c7c"
+#: An attribute block; one that isn't closed runs to the next, or to the end.
+BLOCK = r"@\[((?:(?!@\[)[^\]])*)\]?"
 
 
 def either(tests: list[Column]) -> Column:
@@ -90,15 +94,6 @@ def module_path(module: Column) -> Column:
     return F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".lean"))
 
 
-def path_module(path: Column) -> Column:
-    return F.replace(F.regexp_replace(without_leading_dot_slash(path), r"\.lean$", ""), F.lit("/"), F.lit("."))
-
-
-def under(parts: Column, prefix: list[str]) -> Column:
-    """Whether a module is ``prefix`` or lies under it, by whole components."""
-    return F.slice(parts, 1, len(prefix)) == F.array(*[F.lit(p) for p in prefix])
-
-
 def line_range(text: Column) -> Column:
     """``L230-L238``, ``230-238`` or ``12`` as (lines_start, lines_end); what isn't a number is 0."""
     number = lambda k: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, r"^L?([^-]*)(?:-L?(.*))?$", k), F.lit("")), F.lit("9999999999")).cast("int"), F.lit(0))
@@ -120,24 +115,29 @@ def is_relevant_source(source: Column, crate: str) -> Column:
 
 
 def attributes_of(line: Column) -> Column:
-    """Attribute names in the ``@[...]`` blocks of a line, without ``local`` and ``scoped``, each once."""
-    blocks = F.regexp_extract_all(line, F.lit(r"@\[([^\]]*)\]"), F.lit(1))
+    """Attribute names in the ``@[...]`` blocks of a line, each once; a ``local`` or ``scoped`` before a name is passed over."""
+    blocks = F.regexp_extract_all(line, F.lit(BLOCK), F.lit(1))
     entries = F.flatten(F.transform(blocks, lambda b: F.split(b, ",")))
-    first = F.transform(entries, lambda e: F.regexp_extract(F.regexp_replace(F.trim(e), r"^(?:(?:local|scoped)\s+)+", ""), r"^(\S*)", 1))
-    return F.array_distinct(F.filter(first, lambda x: x != ""))
+    words = F.transform(entries, lambda e: F.array_remove(F.split(e, r"\s+"), ""))
+    first = F.transform(words, lambda w: F.when(F.get(w, F.lit(0)).isin("local", "scoped"), F.get(w, F.lit(1))).otherwise(F.get(w, F.lit(0))))
+    return F.array_distinct(F.filter(first, lambda x: x.isNotNull()))
+
+
+def without_attributes(line: Column) -> Column:
+    return F.regexp_replace(line, BLOCK, "")
 
 
 def is_head_line(line: Column) -> Column:
-    """Whether a line, its attribute blocks aside, may hold a declaration's head."""
-    rest = F.regexp_replace(line, r"@\[[^\]]*\]", " ")
-    return rest.rlike(r"[:|]") | rest.rlike(r"(?:^|[^\w.'])(?:" + "|".join(HEAD_KEYWORDS) + r")(?:$|[^\w.'])")
+    """Whether a line of code, its attribute blocks aside, holds a declaration's head: a colon, a bar or one of the opening words."""
+    rest = without_attributes(line)
+    return rest.rlike(r"[:|]") | rest.rlike(r"(?:^|\s)(?:" + "|".join(HEAD_KEYWORDS) + r")(?:$|\s)")
 
 
-def names_declaration(line: Column, name: Column) -> Column:
-    """Whether some identifier of the line is the user-facing name or a dotted ending of it, or the line opens an instance."""
-    tokens = F.transform(F.regexp_extract_all(line, F.lit(r"[^\s()\[\]{}:,;|=@]+"), F.lit(0)), lambda t: F.regexp_replace(t, r"^_root_\.", ""))
+def names_declaration(head: Column, name: Column, is_instance: Column) -> Column:
+    """Whether some identifier of the head is the user-facing name or a dotted ending of it; an instance may be named by its keyword."""
+    tokens = F.transform(F.regexp_extract_all(head, F.lit(f"[{IDENTIFIER}.]+"), F.lit(0)), lambda t: F.regexp_replace(t, r"^_root_\.", ""))
     n = user_name(name)
-    return F.exists(tokens, lambda t: (t == n) | n.endswith(F.concat(F.lit("."), t)) | (t == "instance"))
+    return F.exists(tokens, lambda t: (t != "") & ((t == n) | n.endswith(F.concat(F.lit("."), t)) | (is_instance & (t == "instance"))))
 
 
 def output_name(package: Column, version: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.functions.names import SPEC_ATTRIBUTES, SPEC_TARGET_KINDS, either, last_part, user_name
+from lemmaflow.functions.names import SPEC_ATTRIBUTES, SPEC_TARGET_KINDS, is_internal, is_structural_member, last_part, user_name
 from lemmaflow.plans.fixpoint import closure_pairs, reachable
 
 VALUED = ["defn", "thm", "opaque"]
@@ -28,16 +28,45 @@ def dependency_arrays(edge: DataFrame) -> DataFrame:
 
 
 def external_split(edge: DataFrame, project: DataFrame, internal: DataFrame) -> DataFrame:
-    """``edge`` without internal targets, with ``external`` for targets outside ``project`` (id)."""
+    """``edge`` without targets in ``internal`` (id: internal names and generated fixpoint bodies), with ``external`` for targets outside ``project`` (id)."""
     shown = edge.join(internal.select(F.col("id").alias("dst")), "dst", "left_anti")
     inside = project.select(F.col("id").alias("dst"), F.lit(False).alias("outside"))
     return shown.join(inside, "dst", "left").select("src", "dst", "role", F.coalesce("outside", F.lit(True)).alias("external"))
 
 
-def fold_class(resolved: Column, emitted: Column, in_project: Column, structural: Column, valued: Column) -> Column:
-    """What a reference met while folding is: unresolved, emitted, foldable or ignored."""
-    hidden = F.when(structural, F.lit("ignored")).when(valued, F.lit("foldable")).otherwise(F.lit("ignored"))
-    return F.when(~resolved, F.lit("unresolved")).when(~in_project, F.lit("ignored")).when(emitted, F.lit("emitted")).otherwise(hidden)
+def fold_classes(names: DataFrame, constant: DataFrame) -> DataFrame:
+    """(id, class) of names met while folding: unresolved, emitted, foldable or ignored.
+
+    ``constant`` has (id, name, in_project, has_range, ctor_kind), one row a name. A name
+    that the dump doesn't know is unresolved before anything else is asked.
+    """
+    x = names.select("id").distinct().join(constant.select("id", "name", "in_project", "has_range", "ctor_kind"), "id", "left")
+    hidden = is_internal(F.col("name")) | (F.col("in_project") & ~F.col("has_range"))
+    folds = ~is_structural_member(F.col("name")) & F.col("ctor_kind").isin(VALUED)
+    found = F.when(F.col("name").isNull(), F.lit("unresolved")).when(hidden & folds, F.lit("foldable")).when(~hidden & F.col("in_project"), F.lit("emitted"))
+    return x.select("id", F.coalesce(found, F.lit("ignored")).alias("class"))
+
+
+def fixpoint_bodies(decl: DataFrame) -> DataFrame:
+    """Ids of project constants made as the common body of a fixpoint block: named ``f.mutual``, not shown, and recorded as the body of ``f``.
+
+    ``decl`` has (id, name, in_project, is_shown, fixpoint_body_of).
+    """
+    own = F.col("name") == F.concat("fixpoint_body_of", F.lit(".mutual"))
+    return decl.where(F.col("in_project") & ~F.col("is_shown") & own).select("id")
+
+
+def companion_heads(decl: DataFrame) -> DataFrame:
+    """``decl`` (id, name, ctor_kind, step_program_head) where a companion of an axiom without a head of its own takes the axiom's."""
+    parent = decl.where("ctor_kind = 'axiom' AND step_program_head IS NOT NULL").groupBy(F.concat("name", F.lit(".mvcgen_spec")).alias("name")).agg(F.min("step_program_head").alias("parent_head"))
+    return decl.join(parent, "name", "left").withColumn("step_program_head", F.coalesce("step_program_head", "parent_head")).drop("parent_head")
+
+
+def fold_stats(edge: DataFrame, folded: DataFrame, classes: DataFrame) -> DataFrame:
+    """(n_edges, n_atoms, n_foldable, n_unresolved): what folding recovered, and what it could not look into."""
+    fresh = recovered_edges(edge, folded).agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_atoms"))
+    kinds = classes.agg(F.count_if(F.col("class") == "foldable").alias("n_foldable"), F.count_if(F.col("class") == "unresolved").alias("n_unresolved"))
+    return fresh.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def fold_closure(edge: DataFrame, foldable: DataFrame, emitted: DataFrame) -> DataFrame:
@@ -71,6 +100,18 @@ def merge_classes(version: DataFrame) -> DataFrame:
     return out.where(F.size("modules") > 0).select("name", kind.alias("class"), "modules").where("class IS NOT NULL")
 
 
+def outside_edges(constant: DataFrame) -> DataFrame:
+    """(src, dst) of the versions outside the project of names that several modules declare; ``constant`` has one row a version, with in_project."""
+    several = constant.groupBy("name_id").agg(F.count_distinct("module").alias("n")).where("n > 1").select("name_id")
+    return constant_edges(constant.where("NOT in_project").join(several, "name_id", "left_semi")).select("src", "dst").distinct()
+
+
+def axiom_versions(constant: DataFrame) -> DataFrame:
+    """Ids of names that several modules declare, one of them as an axiom."""
+    x = constant.groupBy(F.col("name_id").alias("id")).agg(F.count_distinct("module").alias("n"), F.bool_or(F.col("ctor_kind") == "axiom").alias("axiom"))
+    return x.where("n > 1 AND axiom").select("id")
+
+
 def duplicate_versions(version: DataFrame) -> DataFrame:
     """(name, n_versions, axiom_version) of names declared twice or more in any module (version: name, module, ctor_kind)."""
     out = version.groupBy("name").agg(F.count_distinct("module").alias("n_versions"), F.bool_or(F.col("ctor_kind") == "axiom").alias("axiom_version"))
@@ -103,9 +144,35 @@ def subsumes(a: str, b: str) -> Column:
 
 
 def merged_location(version: DataFrame) -> DataFrame:
-    """(name, module) where a name with several versions is shown: the attributed module if selected and ranged, else the first selected, ranged one."""
+    """(name, module, range_start, range_end) where a name is shown: its owner if that is selected and has a range, else the first such module.
+
+    ``version`` has (name, module, owner_module, selected, range_start, range_end), project versions alone.
+    """
     fit = version.where("selected AND range_start IS NOT NULL")
-    return fit.groupBy("name").agg(F.min_by("module", F.struct(F.when(F.col("module") == F.col("owner_module"), 0).otherwise(1), F.col("module"))).alias("module"))
+    order = F.struct((F.col("module") != F.col("owner_module")).alias("other"), "module")
+    first = fit.groupBy("name").agg(F.min_by(F.struct("module", "range_start", "range_end"), order).alias("x"))
+    return first.select("name", "x.*")
+
+
+def example_module(collision: DataFrame) -> DataFrame:
+    """(name, module): of the modules (name, module) that declare a name, the first that isn't above another of them, else the first."""
+    a, b = collision.select("name", "module"), collision.select("name", F.col("module").alias("other"))
+    above = a.join(b, "name").groupBy("name", "module").agg(F.bool_or(F.col("other").startswith(F.concat("module", F.lit(".")))).alias("above"))
+    return above.groupBy("name").agg(F.min_by("module", F.struct("above", "module")).alias("module"))
+
+
+def displayable(name: Column) -> Column:
+    """Whether a clash of this name is worth showing: not a compiler's own name, not a hygienic one."""
+    return ~(F.exists(F.split(name, r"\."), lambda x: x.startswith("_")) | name.contains("._hyg"))
+
+
+def declaring_modules(version: DataFrame, name: str) -> DataFrame:
+    return version.where(F.col("name") == name).select("module").distinct()
+
+
+def already_contained(message: Column) -> Column:
+    """The name in an importer's message ``already contains 'X' from``; X may hold quotes. Null if there is none."""
+    return F.nullif(F.regexp_extract(message, r"(?s)already contains '(.+?)' from ", 1), F.lit(""))
 
 
 def import_closure(module: DataFrame, module_import: DataFrame, targets: DataFrame) -> DataFrame:
@@ -121,6 +188,39 @@ def unresolved_imports(module: DataFrame, module_import: DataFrame) -> DataFrame
     return module_import.join(module.select(F.col("module").alias("imported")), "imported", "left_anti").groupBy("imported").agg(F.min("module").alias("module"))
 
 
+def closure_problems(module: DataFrame, module_import: DataFrame, targets: DataFrame) -> DataFrame:
+    """(module, problem, importer) that make an import closure unreadable.
+
+    A module of the closure imports one that nothing answers, a target is unknown, or a
+    target lies outside the build folder.
+    """
+    known = module.select("module")
+    closure = import_closure(module, module_import, targets)
+    lost = unresolved_imports(module, module_import.join(closure, "module", "left_semi")).select(F.col("imported").alias("module"), F.lit("unresolved").alias("problem"), F.col("module").alias("importer"))
+    none = F.lit(None).cast("string")
+    unknown = targets.select("module").distinct().join(known, "module", "left_anti").select("module", F.lit("unresolved"), none)
+    outside = targets.select("module").distinct().join(module.where("NOT in_build_dir").select("module"), "module", "left_semi").select("module", F.lit("outside the build folder"), none)
+    return lost.union(unknown).union(outside)
+
+
+def loaded_differences(loaded: DataFrame, project: DataFrame, in_build_dir: DataFrame) -> DataFrame:
+    """(module, problem): project modules that an import didn't load, and loaded modules of the build folder that the closure lacks."""
+    absent = project.select("module").distinct().join(loaded.select("module"), "module", "left_anti").withColumn("problem", F.lit("not loaded"))
+    extra = loaded.select("module").distinct().join(in_build_dir.select("module"), "module", "left_semi").join(project.select("module"), "module", "left_anti")
+    return absent.union(extra.withColumn("problem", F.lit("not in the closure")))
+
+
+def missing_builds(import_set: DataFrame, built: DataFrame) -> DataFrame:
+    """Modules to import that have no compiled file."""
+    return import_set.select("module").distinct().join(built.select("module"), "module", "left_anti")
+
+
+def dependency_roots(module: DataFrame, project: DataFrame) -> DataFrame:
+    """The first name parts of the modules that aren't the project's."""
+    outside = module.join(project.select("module"), "module", "left_anti")
+    return outside.select(F.element_at(F.split("module", r"\."), 1).alias("root")).distinct()
+
+
 def ownership(owner: DataFrame, imported: DataFrame, target_roots: DataFrame) -> DataFrame:
     """(module, verdict) from who claims a module (module, lib, exe)."""
     flag = lambda df, name: df.select("module", F.lit(True).alias(name)).distinct()
@@ -255,17 +355,6 @@ def duplicate_names(atom: DataFrame) -> DataFrame:
     return atom.groupBy("code_name").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def tag_audit(decl: DataFrame) -> DataFrame:
-    """(id, finding): tags seen in headers alone (scan-only) and tags that no header shows (tag-only)."""
-    scan = F.col("header_names_tag") & ~F.col("tagged") & ~F.col("is_companion") & (F.col("kind") != "projection")
-    finding = F.when(scan, F.lit("scan-only")).when(F.col("tagged") & ~F.col("header_names_tag"), F.lit("tag-only"))
-    return decl.select("id", finding.alias("finding")).where("finding IS NOT NULL")
-
-
 def within_prefix(module: DataFrame, prefix: str) -> DataFrame:
     """Modules that are ``prefix`` or lie under it."""
     return module.where((F.col("module") == prefix) | F.col("module").startswith(prefix + "."))
-
-
-def internal_or(tests: list[Column]) -> Column:
-    return either(tests)

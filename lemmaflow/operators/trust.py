@@ -44,6 +44,11 @@ def merged_trust(versions: DataFrame) -> DataFrame:
     return out.where("every").select("id", "reason")
 
 
+def generated_axioms(trusted: DataFrame, decl: DataFrame) -> DataFrame:
+    """Trusted axioms that no one can see in the source: internal names, and those without lines (decl: id, is_visible)."""
+    return trusted.where("reason = 'axiom'").join(decl.where("NOT is_visible").select("id"), "id", "left_semi").select("id")
+
+
 def walk_edges(edge: DataFrame, decl: DataFrame, trusted: DataFrame) -> DataFrame:
     """(src, dst, role) that the status walk follows: sources in the project; of trusted ones the statement alone."""
     inside = edge.join(decl.where("in_project").select(F.col("id").alias("src")), "src", "left_semi")
