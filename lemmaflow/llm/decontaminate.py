@@ -146,7 +146,7 @@ def corpus_sketch(texts: DataFrame, wide: int) -> np.ndarray:
     parts = texts.mapInArrow(sketcher(wide), kinds)
     for _ in range(2):
         parts = parts.groupBy("row", "share").applyInArrow(added, kinds)
-    out = np.zeros((wide + 2, WIDTH))
+    out = np.zeros((wide + 2, WIDTH), np.float32)
     for r in parts.toLocalIterator():
         out[r["row"], np.frombuffer(r["places"], np.int16)] += np.frombuffer(r["sums"], np.int64)
     return out
@@ -158,8 +158,8 @@ def item_sketch(items: list[np.ndarray], wide: int) -> np.ndarray:
     begin, _, number = blocks_of(row, len(items))
     block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
     h = mixed(words[begin] + number.astype(np.uint64) * ODD)
-    own = np.zeros((wide, WIDTH))
-    np.add.at(own, ((h % np.uint64(wide)).astype(np.int64)[block], hashed(words)), np.where(h >> np.uint64(63), 1.0, -1.0)[block])
+    own = np.zeros((wide, WIDTH), np.float32)
+    np.add.at(own, ((h % np.uint64(wide)).astype(np.int64)[block], hashed(words)), np.where(h >> np.uint64(63), 1.0, -1.0)[block].astype(np.float32))
     return own
 
 
@@ -167,14 +167,22 @@ def latent_space(sketch: np.ndarray, own: np.ndarray, idf: np.ndarray, rank: int
     """An orthonormal basis of the leading right singular space, features by ``rank``.
 
     The benchmark's sketch ``own`` weighs as much as that of all documents together, so
-    that the space holds its passages.
+    that the space holds its passages. Both are scaled in place. The small matrix of
+    their rows' products is decomposed, so that nothing larger than the two is made.
     """
-    sketch, own = sketch * idf, own * idf
-    both = np.concatenate([sketch, own * max(1.0, np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9))]).T
-    value, vector = np.linalg.eigh(both.T @ both)
+    sketch *= idf.astype(np.float32)
+    own *= idf.astype(np.float32)
+    own *= np.float32(max(1.0, np.linalg.norm(sketch) / max(float(np.linalg.norm(own)), 1e-9)))
+    n = len(sketch)
+    across = np.empty((2 * n, 2 * n))
+    across[:n, :n], across[n:, n:] = sketch @ sketch.T, own @ own.T
+    across[:n, n:] = sketch @ own.T
+    across[n:, :n] = across[:n, n:].T
+    value, vector = np.linalg.eigh(across)
     value, vector = value[::-1][:rank], vector[:, ::-1][:, :rank]
-    real = value > 1e-9 * max(value[0], 1e-9)
-    return np.ascontiguousarray(both @ (vector[:, real] / np.sqrt(value[real])), dtype=np.float32)
+    real = value > 1e-6 * max(value[0], 1e-9)
+    side = (vector[:, real] / np.sqrt(value[real])).astype(np.float32)
+    return np.ascontiguousarray((side[:n].T @ sketch + side[n:].T @ own).T)
 
 
 def common_subsequence(masks: dict[int, int], size: int, window: list[int]) -> int:
@@ -368,15 +376,16 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cos
     kinds = "doc_id bigint, item_id bigint, cosine double, subsequence double, answer double"
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     wide = rank + EXTRA
-    own, blocks = np.zeros((wide, WIDTH)), 0
+    own, blocks = np.zeros((wide, WIDTH), np.float32), 0
     for _, items in blocks_of_items(benchmark, block_words):
         own += item_sketch(items, wide)
         blocks += 1
     if not blocks:
         return docs.sparkSession.createDataFrame([], kinds)
     sketch = corpus_sketch(texts, wide)
-    idf = np.log((sketch[-1, 0] + 1) / (sketch[-2] + 1)) + 1e-3
+    idf = np.log((sketch[-1, 0] + 1) / (sketch[-2] + 1)).astype(np.float64) + 1e-3
     basis = latent_space(sketch[:-2], own, idf, rank)
+    del sketch, own
     out = [texts.mapInArrow(searcher(ids, items, idf, basis, cosine), kinds) for ids, items in blocks_of_items(benchmark, block_words)]
     return functools.reduce(DataFrame.union, out)
 
