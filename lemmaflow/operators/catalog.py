@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import names as N
-from lemmaflow.functions.lexer import stripped
+from lemmaflow.functions.lexer import strip_sources, stripped
 from lemmaflow.operators import audit as A
+from lemmaflow.operators import gates
 from lemmaflow.operators import graph as G
+from lemmaflow.operators import headers as H
 from lemmaflow.operators import trust as T
 from lemmaflow.plans.scratch import written
 from lemmaflow.sources import derived as D
@@ -55,13 +57,13 @@ class Graph:
         return T.stamped(self.verdicts(), **mode)
 
     def pairs(self) -> DataFrame:
-        return T.assumption_pairs(self.decl, self.edge, self.trusted, D.SORRY, [])
+        return T.assumption_pairs(self.decl, self.edge, self.trusted, D.SORRY, D.STANDARD)
 
     def report(self, pairs: DataFrame) -> DataFrame:
         spark = self.spark
         label = self.decl.join(self.trusted, "id", "left").select("id", "kind", "in_project", F.col("known_attribute").alias("is_bv_decide"), F.col("is_aeneas_generated").alias("is_native"), F.col("carrier").alias("is_universe_typed"), F.lit(False).alias("axiom_version"), "reason")
         sorry = spark.sql(f"SELECT cast({D.SORRY} AS bigint) AS id, 'axiom' AS kind, false AS in_project, false AS is_bv_decide, false AS is_native, false AS is_universe_typed, false AS axiom_version, cast(null AS string) AS reason")
-        return T.assumption_report(pairs, self.decl, T.assumption_category(label.union(sorry), D.SORRY, [], []))
+        return T.assumption_report(pairs, self.decl, T.assumption_category(label.union(sorry), D.SORRY, D.STANDARD, []))
 
     def closure(self) -> DataFrame:
         return G.fold_closure(self.edge, self.ids("aux AND kind <> 'axiom'"), self.ids("NOT aux"))
@@ -108,9 +110,9 @@ def coimport_collisions(g: Graph) -> DataFrame:
     return G.coimport_collisions(v)
 
 
-def report_status(g: Graph) -> DataFrame:
+def report_status(g: Graph, status: DataFrame | None = None) -> DataFrame:
     """The status table again as another tool could report it: some statuses differ, some rows are absent."""
-    return g.status().withColumn("status", F.when(F.col("id") % 50 == 0, F.lit("failed")).otherwise(F.col("status"))).where("id % 77 <> 0")
+    return (status or g.status()).withColumn("status", F.when(F.col("id") % 50 == 0, F.lit("failed")).otherwise(F.col("status"))).where("id % 77 <> 0")
 
 
 def missing(g: Graph) -> DataFrame:
@@ -119,10 +121,99 @@ def missing(g: Graph) -> DataFrame:
     return A.missing_dependencies(named, shown)
 
 
+def source_lines(g: Graph) -> DataFrame:
+    """(path, line_no, text): three lines for each declaration, in which what looks like an attribute may stand in a comment, a string or a body."""
+    short = N.last_part(F.col("name"))
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    first = ["@[simp, local step 10]", "/-- not @[fake] -/ @[ext]", "-- @[fake]", "@[externally_verified]", "private noncomputable", "@[externally_verified, step] def elsewhere := 1"]
+    second = [say("theorem ", short, " : T"), say("def ", short, ' := "@[fake]"'), say("@[externally_verified, progress] private theorem ", short, " : T"), F.lit("instance : Foo"), F.lit("theorem other_name : T"), say("@[fake] def ", short)]
+    at = (F.col("id") % 6).cast("int")
+    texts = F.array(F.get(F.array(*map(F.lit, first)), at), F.get(F.array(*second), at), F.lit("  @[fake] exact x"))
+    lines = g.decl.select("id", F.col("code_path").alias("path"), F.posexplode(texts).alias("k", "text"))
+    return lines.select("path", (4 * F.col("id") + 1 + F.col("k")).alias("line_no"), "text")
+
+
+def scanned_attributes(g: Graph) -> tuple[DataFrame, DataFrame]:
+    code = written(strip_sources(source_lines(g)), "code")
+    decl = g.decl.select("id", "name", F.col("code_path").alias("path"), (4 * F.col("id") + 1).alias("range_start"), (4 * F.col("id") + 3).alias("range_end"), (F.col("id") % 12 == 3).alias("is_instance"), "tagged", F.col("is_primary_spec").alias("primary_spec_tag"), F.col("known_attribute").alias("is_projection"))
+    return decl, H.declared_attributes(decl, H.scan_headers(decl, code))
+
+
 def attribute_scan(g: Graph) -> DataFrame:
-    line = F.concat(F.lit("@[simp, local "), F.when(F.col("known_attribute"), F.lit("step")).otherwise(F.lit("scoped ext")), F.lit(" 10] "), "kind", F.lit(" "), N.last_part(F.col("name")), F.lit(" : T"))
-    x = g.decl.withColumn("line", line)
-    return x.select("id", F.array_join(N.attributes_of(F.col("line")), ",").alias("attributes"), N.is_head_line(F.col("line")).alias("is_head"), N.names_declaration(F.col("line"), F.col("name")).alias("names_it"))
+    return scanned_attributes(g)[1].select("id", F.array_join("attributes", ",").alias("attributes"), "shows_tag", "names_tag")
+
+
+def head_lines(g: Graph) -> DataFrame:
+    return strip_sources(source_lines(g)).select("path", "line_no", N.is_head_line(F.col("code")).alias("is_head"), N.without_attributes(F.col("code")).alias("rest"))
+
+
+def fold_classes(g: Graph) -> DataFrame:
+    names = g.edge.select(F.col("dst").alias("id")).union(g.edge.where("src % 10 = 3").select((F.col("src") + 10**9).alias("id")))
+    constant = g.decl.select("id", "name", "in_project", F.col("lines_start").isNotNull().alias("has_range"), "ctor_kind")
+    return G.fold_classes(names, constant)
+
+
+def fixpoint_bodies(g: Graph) -> DataFrame:
+    base = F.concat(F.lit("f"), F.col("id").cast("string"))
+    name = F.when(F.col("id") % 4 == 0, F.concat(base, F.lit(".mutual"))).otherwise(base)
+    return G.fixpoint_bodies(g.decl.select("id", name.alias("name"), "in_project", (F.col("id") % 16 == 0).alias("is_shown"), F.when(F.col("id") % 8 == 0, base).alias("fixpoint_body_of")))
+
+
+def companion_heads(g: Graph) -> DataFrame:
+    odd = F.col("id") % 2 == 1
+    name = F.when(odd, F.concat(F.lit("N"), (F.col("id") - 1).cast("string"), F.lit(".mvcgen_spec"))).otherwise(F.concat(F.lit("N"), F.col("id").cast("string")))
+    head = F.when(F.col("ctor_kind") == "axiom", F.concat(F.lit("H"), F.col("id").cast("string")))
+    return G.companion_heads(g.decl.select("id", name.alias("name"), "ctor_kind", head.alias("step_program_head"))).select("id", "step_program_head")
+
+
+def specified(g: Graph) -> tuple[DataFrame, DataFrame]:
+    atom = D.derived(g.spark, g.folder, D.SPEC_ATOM).select("id", "name", F.array("attribute").alias("attributes"), F.col("head").alias("step_program_head"), "is_primary_spec")
+    return D.derived(g.spark, g.folder, D.SPEC_RELATION), atom
+
+
+def closure_problems(g: Graph) -> DataFrame:
+    return G.closure_problems(g.module.where("s_nationkey <> 3"), g.imports, g.module.where("is_target").select("module"))
+
+
+def example_modules(g: Graph) -> DataFrame:
+    module = F.when(F.col("type_hash").isin("h1", "h2"), F.concat("module", F.lit(".Sub"))).otherwise(F.col("module"))
+    return G.example_module(g.version.select("name", module.alias("module")).distinct())
+
+
+def artifacts(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """The same atoms before and after folding, with mistakes planted in the later ones."""
+    ref = lambda c: F.concat(F.lit("probe:"), F.col(c).cast("string"))
+    pick = lambda role: F.array_sort(F.collect_set(F.when(F.col("role") == role, ref("dst"))))
+    arrays = g.edge.groupBy(F.col("src").alias("id")).agg(pick("type").alias("t"), pick("value").alias("v"))
+    none = F.array().cast("array<string>")
+    base = g.decl.where("NOT aux").select("id").join(arrays, "id", "left").select("id", F.coalesce("t", none).alias("t"), F.coalesce("v", none).alias("v"))
+    more = g.folded().groupBy(F.col("src").alias("id")).agg(F.collect_set(ref("dst")).alias("f"))
+    fresh = base.join(more, "id", "left").withColumn("t", F.when(F.col("id") % 50 == 0, F.array_append("t", F.lit("probe:zz"))).otherwise(F.col("t")))
+    fresh = fresh.withColumn("v", F.array_sort(F.array_union("v", F.coalesce("f", none)))).withColumn("v", F.when(F.col("id") % 60 == 1, F.slice("v", 2, 1 << 30)).otherwise(F.col("v")))
+
+    def shaped(df: DataFrame, status: DataFrame, cut) -> DataFrame:
+        deps = F.array_sort(F.array_union("t", "v"))
+        x = df.join(status.select("id", "status"), "id").withColumn("d", deps).withColumn("d", F.when(cut, F.slice("d", 1, F.greatest(F.size("d") - 1, F.lit(0)))).otherwise(F.col("d")))
+        return x.select(ref("id").alias("name"), F.col("d").alias("dependencies"), F.col("t").alias("type-dependencies"), F.col("v").alias("term-dependencies"), none.alias("type-dependencies-external"), none.alias("term-dependencies-external"), F.col("status").alias("verification-status"))
+
+    status = written(g.status(), "status")
+    return shaped(base, status, F.lit(False)), shaped(fresh, report_status(g, status), F.col("id") % 70 == 2)
+
+
+def status_report(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Atoms with statuses, and another report's list of tainted constants with rows gone and rows too many."""
+    verdict = written(g.verdicts(), "verdict")
+    atoms = T.stamped(verdict).join(g.ids("NOT aux"), "id").select(F.col("id").cast("string").alias("name"), "status", "origin")
+    bad = verdict.where("verdict IN ('direct', 'tainted') AND id % 31 <> 0").select("id", (F.col("verdict") == "direct").alias("direct"))
+    extra = g.decl.where("id % 37 = 5").select("id", F.lit(True).alias("direct")).join(bad.select("id"), "id", "left_anti")
+    listed = bad.union(extra).join(g.decl.select("id", (~F.col("aux")).alias("emitted")), "id")
+    return atoms, listed.select(F.col("id").cast("string").alias("name"), "direct", (F.col("emitted") & (F.col("id") % 41 != 0)).alias("emitted"))
+
+
+def assumption_problems(g: Graph) -> DataFrame:
+    """Assumption lists with the placeholder missing, repeats, and lists without a status."""
+    held = g.status().withColumn("assumptions", F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 == 1, F.array(F.lit("b"), F.lit("a"))).when(F.col("id") % 5 == 2, F.array(F.lit("a"), F.lit("sorryAx"))).otherwise(F.array().cast("array<string>")))
+    return gates.assumption_problems(held.select(F.col("id").alias("name"), "status", "origin", "assumptions"))
 
 
 def line_ranges(g: Graph) -> DataFrame:
@@ -149,7 +240,7 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "display_name": lambda g: g.decl.select("id", N.display_name(F.split("name", r"\.")).alias("display_name"), N.without_prefix(F.col("code_name")).alias("bare_name"), N.module_path(F.col("module")).alias("path")),
     "trusted_base": lambda g: g.trusted,
     "trust_reason_counts": lambda g: g.trusted.groupBy("reason").agg(F.count("*").alias("n")),
-    "rule3_candidates": lambda g: g.decl.where(N.is_external_module(F.col("module"))).select("id", F.coalesce("type_is_prop", F.lit(True)).alias("counts_as_proof")),
+    "rule3_candidates": lambda g: g.decl.where(N.is_external_module(F.col("module")) & (F.col("ctor_kind") != "thm") & (F.col("kind") != "axiom")).select("id", F.coalesce(F.when(F.col("carrier"), F.lit(None)).otherwise(F.col("type_is_prop")), F.lit(True)).alias("counts_as_proof")),
     "merged_trust": lambda g: T.merged_trust(g.version.where("in_project").withColumnRenamed("name", "id")),
     "walk_edges": lambda g: g.walk(),
     "statement_edges": lambda g: T.statement_edges(g.edge),
@@ -175,11 +266,12 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "coimport_collisions": coimport_collisions,
     "specs": lambda g: g.specs(),
     "primary_spec": lambda g: G.primary_specs(written(g.specs(), "specs"), g.atoms()),
-    "ambiguous_primary_specs": lambda g: G.ambiguous_primary_specs(g.specs(), g.atoms()),
+    "primary_spec_rules": lambda g: G.primary_specs(*specified(g)),
+    "ambiguous_primary_specs": lambda g: G.ambiguous_primary_specs(*specified(g)),
     "derived_instance_clusters": lambda g: G.derived_instance_clusters(g.decl.select("id", "name", "module", F.col("lines_start").alias("range_start"), F.col("lines_end").alias("range_end"), F.when(F.col("is_aeneas_generated"), F.lit("instance")).otherwise(F.col("kind")).alias("kind"))),
     "companion_theorems": lambda g: G.companion_theorems(g.decl),
     "import_closure": import_closure,
-    "narrow_closure": lambda g: G.import_closure(g.module, g.imports, G.within_prefix(g.module, "S1").select("module")),
+    "narrow_closure": lambda g: G.import_closure(g.module.where("s_nationkey % 2 = 1"), g.imports, G.within_prefix(g.module, "L3").select("module")),
     "unresolved_imports": lambda g: G.unresolved_imports(g.module.where("s_nationkey <> 3"), g.imports),
     "ownership": ownership,
     "emitted_modules": emitted_modules,
@@ -188,12 +280,33 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "view_unique_keys": lambda g: G.unique_keys(G.view_atoms(g.decl)).select("id", "view_key"),
     "view_molecules": lambda g: G.molecules(G.unique_keys(G.view_atoms(g.decl))),
     "duplicate_names": lambda g: G.duplicate_names(g.decl),
-    "graph_check": lambda g: A.graph_divergences(written(g.status().select("id", F.when(F.col("id") % 40 == 0, F.lit("verified")).otherwise(F.col("status")).alias("status")), "status"), g.edge),
+    "graph_check": lambda g: A.graph_divergences(written(g.status().select("id", F.when(F.col("id") % 40 == 0, F.lit("verified")).otherwise(F.col("status")).alias("status"), "origin"), "status"), g.edge),
     "missing_dependencies": missing,
     "in_degree_rescue": lambda g: A.in_degree_rescue(g.edge, g.folded(), g.ids("NOT aux")),
     "status_consistency": lambda g: A.status_consistency(g.status(), report_status(g)),
     "artifact_diff": lambda g: A.artifact_diff(g.status(), report_status(g), [("transitively-verified", "verified"), ("trusted", "transitively-verified"), ("unverified", "verified")]),
     "attribute_scan": attribute_scan,
+    "tag_audit": lambda g: H.tag_audit(*scanned_attributes(g)),
+    "head_lines": head_lines,
+    "fold_classes": fold_classes,
+    "fold_stats": lambda g: G.fold_stats(g.edge, g.folded(), fold_classes(g)),
+    "fixpoint_bodies": fixpoint_bodies,
+    "companion_heads": companion_heads,
+    "merged_location": lambda g: G.merged_location(D.derived(g.spark, g.folder, D.LOCATION)),
+    "closure_problems": closure_problems,
+    "loaded_differences": lambda g: G.loaded_differences(g.module.where("s_nationkey % 7 <> 1"), written(import_closure(g), "closure"), g.module.where("in_build_dir")),
+    "missing_builds": lambda g: G.missing_builds(import_closure(g), g.module.where("s_nationkey % 6 <> 2")),
+    "dependency_roots": lambda g: G.dependency_roots(*[g.module.where(w).select(F.concat(F.lit("R"), F.col("s_nationkey").cast("string"), F.lit("."), "module").alias("module")) for w in ("true", "in_build_dir")]),
+    "generated_axioms": lambda g: T.generated_axioms(g.trusted, g.decl.select("id", (~N.is_internal(F.col("name")) & F.col("lines_start").isNotNull()).alias("is_visible"))),
+    "example_module": example_modules,
+    "already_contained": lambda g: g.decl.select("id", G.already_contained(F.when(F.col("id") % 3 > 0, F.concat(F.lit("import failed, environment already contains '"), "name", F.lit("'' from A"))).otherwise(F.lit("other"))).alias("name")),
+    "shape_histogram": lambda g: A.shape_histogram(g.edge, g.decl, g.closure(), g.ids("NOT aux")),
+    "proof_carriers": lambda g: A.proof_carriers(g.edge, g.decl, g.ids("aux")),
+    "hidden_by_position": lambda g: A.hidden_by_position(g.edge, g.closure(), g.ids("NOT aux")),
+    "compare_artifacts": lambda g: gates.compare_artifacts(*artifacts(g), policy="taint"),
+    "added_dependencies": lambda g: gates.added_dependencies(*artifacts(g)),
+    "status_problems": lambda g: gates.status_problems(*status_report(g)),
+    "assumption_problems": assumption_problems,
     "line_ranges": line_ranges,
     "rust_source": rust_source,
     "strip_comments": strip_comments,

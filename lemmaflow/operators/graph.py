@@ -150,8 +150,8 @@ def merged_location(version: DataFrame) -> DataFrame:
     """
     fit = version.where("selected AND range_start IS NOT NULL")
     order = F.struct((F.col("module") != F.col("owner_module")).alias("other"), "module")
-    first = fit.groupBy("name").agg(F.min_by(F.struct("module", "range_start", "range_end"), order).alias("x"))
-    return first.select("name", "x.*")
+    first = fit.groupBy("name").agg(F.min_by(F.struct("module", "range_start", "range_end"), order).alias("_place"))
+    return first.select("name", "_place.*")
 
 
 def example_module(collision: DataFrame) -> DataFrame:
