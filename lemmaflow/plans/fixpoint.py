@@ -3,31 +3,51 @@
 Every graph fact of this engine is a least fixpoint of linear rules, so one loop serves
 them all: extend the newest facts by one join, keep what is new, stop when nothing is.
 Each round is written to the shared folder, which cuts lineage and survives the loss of
-executors; nothing but a count comes to the driver.
+executors; nothing but counts come to the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.plans.scratch import written
+from lemmaflow.plans.scratch import written, written_with
 
 #: Shortcuts may make an edge table this many times as large.
 MOST_GROWTH = 3
+#: Steps that one round takes.
+HOPS = 3
+#: Tables that make up what is known before they are written as one.
+MOST_PARTS = 8
 
 
-def least_fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All rows reachable from ``start``: ``step`` maps the newest rows to candidates of the same columns."""
+def least_fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], hops: int = HOPS) -> DataFrame:
+    """All rows reachable from ``start``: ``step`` maps the newest rows to candidates of the same columns.
+
+    A round takes ``hops`` steps in one job, each without what earlier rounds know. Rows
+    that first appear at its last step are the next round's start: what follows from the
+    others is in the round already. How many there are is counted while they are
+    written, and the tables of past rounds are put together from time to time.
+    """
     keys = start.columns
-    frontier = written(start.distinct(), "frontier")
-    known = frontier
-    while not frontier.isEmpty():
-        fresh = step(frontier).select(*keys).distinct().join(known, keys, "left_anti")
-        frontier = written(fresh, "frontier")
-        known = known.union(frontier)
+    one = F.count(F.lit(1))
+    frontier, seen = written_with(start.distinct(), "frontier", n=one)
+    known, parts, left = frontier, 1, seen["n"]
+    while left:
+        new, found = frontier, []
+        for k in range(1, hops + 1):
+            new = step(new).select(*keys).distinct().join(known, keys, "left_anti")
+            found.append(new.withColumn("_hop", F.lit(k)))
+        fresh = functools.reduce(DataFrame.union, found).groupBy(*keys).agg(F.min("_hop").alias("_hop"))
+        fresh, seen = written_with(fresh, "fresh", n=one, last=F.count_if(F.col("_hop") == hops))
+        frontier, left = fresh.where(F.col("_hop") == hops).select(*keys), seen["last"]
+        if seen["n"]:
+            known, parts = known.union(fresh.select(*keys)), parts + 1
+        if parts > MOST_PARTS and left:
+            known, parts = written(known, "known"), 1
     return known
 
 
@@ -38,8 +58,8 @@ def with_shortcuts(edges: DataFrame, most_growth: float = MOST_GROWTH, rounds: i
     of the rounds. The size is checked before each doubling: hubs in the middle of many
     paths stop it.
     """
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    size = edges.count()
+    edges, seen = written_with(edges.select("src", "dst").distinct(), "edges", n=F.count(F.lit(1)))
+    size = seen["n"]
     for _ in range(rounds):
         into = edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i"))
         out = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o"))

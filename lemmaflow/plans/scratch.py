@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Where a session on one machine keeps its tables if its settings name no folder.
 _ONE_MACHINE: list[str] = []
@@ -38,3 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lemmaflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates over the rows that are taken while they are written, without a job of their own; 0 where nothing was written."""
+    seen = Observation()
+    out = written(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+    return out, defaultdict(int, seen.get)

@@ -1,7 +1,10 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from lemmaflow.plans.components import connected_components
-from lemmaflow.plans.fixpoint import closure_pairs, labels_reaching, reachable, reaching
+from lemmaflow.plans.fixpoint import closure_pairs, labels_reaching, least_fixpoint, reachable, reaching
 
 
 def edges(spark, pairs):
@@ -12,10 +15,32 @@ def ids(df):
     return {r[0] for r in df.collect()}
 
 
-def test_who_reaches_the_target(spark):
-    g = "a>b b>S c>d e>e f>g f>S g>f h>i i>h x>y x>z y>S z>w"
-    e = edges(spark, [tuple(p.split(">")) for p in g.split()])
-    assert ids(reaching(e, spark.createDataFrame([("S",)], "id string"))) == set("abfgxyS")
+def search(pairs, targets):
+    """Nodes that lead to a target, by a plain search backwards."""
+    found, todo = set(targets), list(targets)
+    while todo:
+        v = todo.pop()
+        for a, b in pairs:
+            if b == v and a not in found:
+                found.add(a)
+                todo.append(a)
+    return found
+
+
+def test_who_reaches_the_targets(spark):
+    rng = random.Random(21)
+    for size, many, aims in ((30, 25, 2), (60, 90, 1), (12, 60, 3)):
+        pairs = [(str(rng.randrange(size)), str(rng.randrange(size))) for _ in range(many)]
+        targets = [str(rng.randrange(size)) for _ in range(aims)]
+        assert ids(reaching(edges(spark, pairs), spark.createDataFrame([(t,) for t in targets], "id string"))) == search(pairs, targets)
+
+
+@pytest.mark.parametrize("hops", [1, 2, 5])
+def test_any_number_of_hops_a_round_gives_the_same(spark, hops):
+    pairs = [(str(k), str(k + 1)) for k in range(20)] + [("7", "2"), ("30", "31"), ("31", "30"), ("31", "5")]
+    e = edges(spark, pairs)
+    got = least_fixpoint(spark.createDataFrame([("9",)], "id string"), lambda new: e.join(new, e["dst"] == new["id"]).select(F.col("src").alias("id")), hops=hops)
+    assert sorted(r.id for r in got.collect()) == sorted(search(pairs, ["9"]))
 
 
 def test_reachable_runs_forward(spark):
@@ -47,16 +72,24 @@ def test_a_long_chain_completes(spark):
 
 
 def test_closure_stops_at_emitted_nodes(spark):
-    cases = [
-        ("aux1>aux2 aux2>lemma", "aux1 aux2", "lemma", {("aux1", "lemma"), ("aux2", "lemma")}),
-        ("aux>mid mid>deeper", "aux", "mid deeper", {("aux", "mid")}),
-        ("A>B A>L B>A", "A B", "L", {("A", "L"), ("B", "L")}),
-        ("R>A R>B A>X A>L X>A B>X", "R A B X", "L", {(n, "L") for n in "RABX"}),
-    ]
-    for g, through, stop, expected in cases:
-        one = lambda names: spark.createDataFrame([(n,) for n in names.split()], "id string")
-        got = closure_pairs(edges(spark, [tuple(p.split(">")) for p in g.split()]), one(through), one(stop))
-        assert {(r.src, r.dst) for r in got.collect()} == expected
+    rng = random.Random(8)
+    for _ in range(3):
+        pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)]
+        inner, stop = set(range(0, 30, 2)) | set(range(0, 30, 3)), set(range(1, 30, 2)) - set(range(0, 30, 3))
+        want = set()
+        for root in inner:
+            seen, todo = {root}, [root]
+            while todo:
+                v = todo.pop()
+                for a, b in pairs:
+                    if a == v and b in stop:
+                        want.add((str(root), str(b)))
+                    if a == v and b in inner and b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+        one = lambda xs: spark.createDataFrame([(str(x),) for x in xs], "id string")
+        got = closure_pairs(edges(spark, [(str(a), str(b)) for a, b in pairs]), one(inner), one(stop))
+        assert {(r.src, r.dst) for r in got.collect()} == want
 
 
 def test_components(spark):
