@@ -423,6 +423,8 @@ def spellings(pattern):
                 more = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
             elif name == "BRANCH":
                 more = [x for branch in arg[1] for x in expand(branch)]
+            elif name == "ANY":
+                more = ["x"]
             elif name == "SUBPATTERN":
                 more = expand(arg[3])
             else:
