@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -110,12 +111,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def sparse(lists: list[list[str]], number: dict[str, int], odds: np.ndarray) -> Sparse:
+def sparse(lists: pa.ListArray, names: pa.Array, odds: np.ndarray) -> Sparse:
     """Present features, valued by their log odds."""
-    ids = [[number[f] for f in x if f in number] for x in lists]
-    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    column = np.array([k for x in ids for k in x], np.int64)
-    return Sparse(row, column, odds[column] if len(column) else np.zeros(0), len(ids), len(number))
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    place = pc.index_in(lists.flatten(), value_set=names)
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    column = place.fill_null(0).to_numpy().astype(np.int64)[known]
+    return Sparse(row[known], column, odds[column] if len(column) else np.zeros(0), len(lists), len(names))
+
+
+def listed(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
+    """One array of lists that starts at 0, nulls as empty lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays([column.take(pa.array(np.arange(len(column))))])
 
 
 def fit_chain(x: Sparse, truth: dict[str, np.ndarray], folds: np.ndarray) -> list[Linear]:
@@ -141,19 +149,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, widt
         return [], np.zeros(0), []
     lexicon = [w for ws in CATEGORIES.values() for w in ws]
     held = F.array(*[F.lit(w) for w in dict.fromkeys([*names, *lexicon])])
-    train = rows.select("doc_id", "toxic", "fold", F.array_intersect("features", held).alias("f")).collect()
-    train.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    x = sparse([r["f"] for r in train], {f: k for k, f in enumerate(names)}, np.array(odds))
-    toxic = np.array([r["toxic"] > 0 for r in train])
-    truth = {c: toxic & np.array([any(w in ws for w in r["f"]) for r in train]) for c, ws in CATEGORIES.items()} | {"toxic": toxic}
-    return names, np.array(odds), fit_chain(x, truth, np.array([r["fold"] for r in train]))
+    train = rows.select("doc_id", "toxic", "fold", F.array_intersect("features", held).alias("f")).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    lists = listed(train.column("f"))
+    x = sparse(lists, pa.array(names, pa.string()), np.array(odds))
+    toxic = train.column("toxic").to_numpy() > 0
+    row, words = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), lists.flatten()
+    has = lambda ws: np.bincount(row[pc.is_in(words, value_set=pa.array(ws, pa.string())).to_numpy(zero_copy_only=False)], minlength=len(lists)) > 0
+    truth = {c: toxic & has(ws) for c, ws in CATEGORIES.items()} | {"toxic": toxic}
+    return names, np.array(odds), fit_chain(x, truth, train.column("fold").to_numpy())
 
 
 def scorer(names: list[str], odds: np.ndarray, models: list[Linear]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {f: k for k, f in enumerate(names)}
+        known = pa.array(names, pa.string())
         for batch in batches:
-            x = sparse(batch.column("f").to_pylist(), number, odds)
+            x = sparse(listed(batch.column("f")), known, odds)
             seen = np.zeros((x.n, 0))
             for model in models:
                 seen = np.column_stack([seen, model.predict(x, seen)])
