@@ -5,7 +5,7 @@ of a byte after the five before it, gathered from every training row, give each
 of up to five bytes its next-byte distribution; a context is kept if it is frequent
 enough and that distribution diverges from its parent's by more than its cost. The
 longest kept suffix of what came before is the state that scores, smoothed by the shorter
-ones. The tree is a table that no task and no driver holds: texts are dealt into buckets
+ones. The tree is a table that no task and no driver holds: texts, packed, are dealt into buckets
 of bounded size, every bucket asks for the prices of what occurs in it, once each, and
 gets them by one join.
 """
@@ -28,7 +28,7 @@ DEPTH = 5
 MIN_COUNT = 20
 PARENT_WEIGHT = 8.0
 ALPHABET = 256
-BUCKET_BYTES = 3 << 24
+BUCKET_BYTES = 1 << 25
 END_WORD = np.uint64(0x2545F4914F6CDD1D)
 #: The end symbol: a byte that no text in UTF-8 has.
 END = 255
@@ -103,38 +103,56 @@ class Counts:
         return key[cut], np.add.reduceat(n, cut)
 
 
+PACKED = "bucket bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<bigint>, packed binary"
+
+
 def dealt(bucket_bytes: int) -> Callable:
-    """Adds ``bucket``: neighbouring rows of one task, about ``bucket_bytes`` of text each, one row at least."""
+    """About a megabyte of rows as one compressed row, and its ``bucket``: neighbouring rows of one task, about ``bucket_bytes`` of text each, one packed row at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in batches:
-            at = buffers(batch.column("text"))[1]
-            bucket = (TaskContext.get().partitionId() << 24) + (done + at[:-1] - at[0]) // bucket_bytes
-            done += int(at[-1] - at[0])
-            yield batch.append_column("bucket", pa.array(bucket))
+            data, at = buffers(batch.column("text"))
+            for a, b in groups_of_rows(at, min(1 << 20, bucket_bytes)):
+                bucket = (TaskContext.get().partitionId() << 24) + done // bucket_bytes
+                done += int(at[b] - at[a])
+                lists = [pa.array([x], pa.list_(x.type)) for x in (batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(np.diff(at[a : b + 1])))]
+                blob = pa.compress(data[at[a] : at[b]].tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), *lists, pa.array([blob], pa.binary())], names=["bucket", "doc_ids", "held_out", "sizes", "packed"])
 
     return run
 
 
+def unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the rows that packed row ``k`` holds."""
+    at = np.concatenate([[0], np.cumsum(batch.column("sizes")[k].values.to_numpy())])
+    data = pa.decompress(batch.column("packed")[k].as_buffer(), decompressed_size=int(at[-1]), codec="zstd") if at[-1] else b""
+    return np.frombuffer(data, np.uint8), at
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, key, n): the words and grams of each bucket, and how often training rows have them, which may be never."""
+
+    def told(bucket: int, found: tuple[Counts, Counts]) -> Iterator[pa.RecordBatch]:
+        for kind, x in zip((WORD, FOLLOWS), found, strict=True):
+            key, n = x.merged()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["bucket", "kind", "key", "n"])
+
+    now, found = None, (Counts(), Counts())
     for batch in batches:
-        data, at = buffers(batch.column("text"))
-        bucket, train = batch.column("bucket").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            words, follows = Counts(), Counts()
-            for a, b in groups_of_rows(at[lo : hi + 1], 1 << 21):
-                a, b = a + lo, b + lo
-                part, edge = data[at[a] : at[b]], at[a : b + 1] - at[a]
-                word, row = word_hashes(part, edge)
-                words.add(np.concatenate([word, np.full(b - a, END_WORD)]).view(np.int64), np.concatenate([train[a:b][row], train[a:b]]))
-                out, starts = symbols(part, edge)
-                follows.add(grams(out, starts), np.repeat(train[a:b], np.diff(starts)))
-            for kind, x in ((WORD, words), (FOLLOWS, follows)):
-                key, n = x.merged()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket[lo])), pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["bucket", "kind", "key", "n"])
+        for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if now is not None and bucket != now:
+                yield from told(now, found)
+                found = Counts(), Counts()
+            now = bucket
+            data, at = unpacked(batch, k)
+            train = ~batch.column("held_out")[k].values.to_numpy(zero_copy_only=False)
+            word, row = word_hashes(data, at)
+            found[0].add(np.concatenate([word, np.full(len(train), END_WORD)]).view(np.int64), np.concatenate([train[row], train]))
+            out, starts = symbols(data, at)
+            found[1].add(grams(out, starts), np.repeat(train, np.diff(starts)))
+    if now is not None:
+        yield from told(now, found)
 
 
 def low_bytes(key: str | Column, n: int) -> Column:
@@ -231,17 +249,16 @@ def scorer(total: int, distinct: int) -> Callable:
         logs = Lookup(key[~words], prices.column("value").filter(pa.array(~words)).to_numpy())
         out = []
         for batch in texts.to_batches():
-            data, at = buffers(batch.column("text"))
-            for a, b in groups_of_rows(at):
-                n = b - a
-                part, edge = data[at[a] : at[b]], at[a : b + 1] - at[a]
-                word, row = word_hashes(part, edge)
+            for k in range(len(batch)):
+                data, at = unpacked(batch, k)
+                n = len(at) - 1
+                word, row = word_hashes(data, at)
                 count = counts(np.concatenate([word, np.full(n, END_WORD)]).view(np.int64))
                 row = np.concatenate([row, np.arange(n)])
-                bytes_, starts = symbols(part, edge)
+                bytes_, starts = symbols(data, at)
                 score = np.add.reduceat(logs(grams(bytes_, starts)), starts[:-1])
                 columns = [np.bincount(row, minlength=n), np.bincount(row, weights=count > 0, minlength=n).astype(np.int64), np.bincount(row, weights=np.log10(count + 0.5) - scale, minlength=n), score]
-                out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+                out.append(pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, batch.column("held_out")[k].values, *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
     return run
@@ -260,8 +277,8 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.pmod(crc, F.lit(5)) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // 2))  # larger buckets ask for fewer prices twice
-    rows = written(rows.mapInArrow(dealt(bucket_bytes), "doc_id bigint, held_out boolean, text string, bucket bigint"), "texts")
-    asked = written(rows.select("bucket", "held_out", "text").mapInArrow(gathered, "bucket bigint, kind int, key bigint, n bigint"), "asked")
+    rows = written(rows.mapInArrow(dealt(bucket_bytes), PACKED), "texts")
+    asked = written(rows.mapInArrow(gathered, "bucket bigint, kind int, key bigint, n bigint"), "asked")
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
     sums = words.where("n > 0").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
