@@ -98,6 +98,7 @@ def analyse(dump: Dump, project: DataFrame | None = None) -> Analysis:
     project = prepare(dump) if project is None else project
     constant = dump.constant.join(project.select("module", F.lit(True).alias("p")), "module", "left")
     constant = optional(constant.withColumn("in_project", F.coalesce("p", F.lit(False))).drop("p"), "fixpoint_body_of", F.lit(None).cast("string"))
+    constant = optional(constant, "own_handle_tag", F.lit(False))
     constant = written(constant, "constant")
     inside = constant.where("in_project")
     own = inside.select("name_id").distinct()
@@ -111,7 +112,7 @@ def analyse(dump: Dump, project: DataFrame | None = None) -> Analysis:
     shown = constant.where("in_project OR is_kept")
     decl = shown.groupBy(F.col("name_id").alias("id")).agg(
         F.bool_or("in_project").alias("in_project"),
-        F.bool_or("externally_verified_tag").alias("tagged"),
+        F.bool_or(F.col("externally_verified_tag") | F.col("own_handle_tag")).alias("tagged"),
         F.bool_or(F.col("is_kept") & F.col("range_start").isNotNull()).alias("has_range"),
         *[F.min_by(c, prefer).alias(c) for c in first],
         *[F.bool_or(F.col("is_kept") & F.col(c)).alias(c) for c in either],

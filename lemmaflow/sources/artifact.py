@@ -37,6 +37,16 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return v.select(F.when(wrapped & data.isNotNull(), data).otherwise(F.col("v")).alias("body"))
 
 
+# The envelope around a document's data.
+ENVELOPE = "struct<schema:string,`schema-version`:string,tool:struct<name:string,version:string,command:string>,source:struct<repo:string,commit:string,language:string,package:string,`package-version`:string>,timestamp:string>"
+
+
+def read_envelope(spark: SparkSession, path: str) -> DataFrame:
+    """What stands around the data of each document; null fields where it is bare."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """(name, atom as variant), one row for each entry."""
     docs = documents(spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +22,20 @@ class Config:
 
 
 # Keys of the configuration document.
-CONFIG_KEYS = {"hidden": "is-hidden", "ignored": "is-ignored", "suffixes": "aeneas-generated-suffixes", "relevant_crate": "relevant-crate"}
+CONFIG_KEYS = {"hidden": "is-hidden", "ignored": "is-ignored", "suffixes": "extraction-artifact-suffixes", "relevant_crate": "relevant-crate"}
 
 
 def load_config(spark: SparkSession, path: str) -> Config:
-    """Reads the configuration; a missing or broken file gives the empty one."""
-    schema = f"`{CONFIG_KEYS['hidden']}` array<string>, `{CONFIG_KEYS['ignored']}` array<string>, `{CONFIG_KEYS['suffixes']}` array<string>, `{CONFIG_KEYS['relevant_crate']}` string"
+    """Reads the configuration; a missing or broken file gives the empty one, and a value of the wrong type an empty value."""
+    kinds = {k: "string" if k == "relevant_crate" else "array<string>" for k in CONFIG_KEYS}
     try:
-        row = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("c")).select("c.*").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+        row = v.select(*[F.try_variant_get("v", f"$['{key}']", kinds[k]).alias(k) for k, key in CONFIG_KEYS.items()]).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return Config()
-    return Config(**{k: row[v] or ("" if k == "relevant_crate" else []) for k, v in CONFIG_KEYS.items()}) if row else Config()
+    return Config(**{k: row[k] or ("" if k == "relevant_crate" else []) for k in CONFIG_KEYS}) if row else Config()
 
 
 def flagged(atoms: DataFrame, config: Config) -> DataFrame:
@@ -54,12 +56,26 @@ def package_info(files: DataFrame, folder: str, commit: str | None = None) -> tu
     return row["name"], row["version"]
 
 
+# Where outputs lie in a project.
+PROBES, MOLECULES = ".verilib/probes", ".verilib/views/molecules_all.json"
+
+
+def output_prefix(package: str) -> str:
+    return "lean_" + package.replace("-", "_") + "_"
+
+
+def output_paths(folder: str, package: str, version: str) -> tuple[str, str]:
+    """Where a project's artifact and its view belong."""
+    return f"{folder}/{PROBES}/{output_prefix(package)}{version}.json", f"{folder}/{MOLECULES}"
+
+
 def default_atoms_path(listing: DataFrame, package: str, version: str) -> str | None:
-    """The artifact's own file in a ``listing`` (path, modified), else the newest of its kind."""
+    """The artifact's own file in a ``listing`` (path, modified), else the newest one of the package in any version."""
     exact = output_name(F.lit(package), F.lit(version))
     file = F.element_at(F.split("path", "/"), -1)
     own = F.first(F.when(file == exact, F.col("path")), ignorenulls=True)
-    newest = F.max_by("path", F.when(file.rlike(r"^lean_.*\.json$"), F.col("modified")))
+    alike = file.startswith(output_prefix(package)) & file.endswith(".json")
+    newest = F.max_by("path", F.when(alike, F.col("modified")))
     return listing.agg(F.coalesce(own, newest)).first()[0]
 
 
@@ -74,16 +90,45 @@ def requests(names: DataFrame) -> DataFrame:
     return names.select(F.expr("substring(to_json(array(module)), 2, length(to_json(array(module))) - 2)").alias("value"))
 
 
+def asked_modules(lines: DataFrame) -> DataFrame:
+    """Module names back from lines of JSON strings (value); empty lines don't count."""
+    return lines.where("trim(value) <> ''").select(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0].alias("module"))
+
+
+def library_names(argument: str) -> list[str]:
+    return [x.strip() for x in argument.split(",") if x.strip()]
+
+
 def chosen_targets(lib: DataFrame, exe: DataFrame, default_target: DataFrame, libraries: list[str] | None, all_libraries: bool) -> DataFrame:
-    """Targets (name, kind): the libraries asked for, or all, or the defaults, or every library."""
+    """Targets (name, kind): the libraries asked for, or all, or the defaults, or every library.
+
+    Defaults that are neither a library nor a program are passed over. Unknown libraries,
+    libraries whose modules could not be listed (``lib`` may have ``error``), and no
+    target at all are errors.
+    """
+    if libraries and all_libraries:
+        raise ValueError("either some libraries or all of them")
     libs, exes = lib.select("name", F.lit("lib").alias("kind")), exe.select("name", F.lit("exe").alias("kind"))
     if libraries:
         unknown = set(libraries) - {r["name"] for r in libs.where(F.col("name").isin(libraries)).collect()}
         if unknown:
             raise ValueError("no such library: " + ", ".join(sorted(unknown)))
-        return libs.where(F.col("name").isin(libraries))
-    defaults = libs.union(exes).join(default_target.select("name"), "name", "left_semi")
-    return libs if all_libraries or defaults.isEmpty() else defaults
+        chosen = libs.where(F.col("name").isin(libraries))
+    else:
+        chosen = libs if all_libraries or default_target.isEmpty() else libs.union(exes).join(default_target.select("name"), "name", "left_semi")
+    if chosen.isEmpty():
+        raise ValueError("no target")
+    if "error" in lib.columns:
+        broken = lib.where("error IS NOT NULL").join(chosen.where("kind = 'lib'"), "name", "left_semi").orderBy("name").take(10)
+        if broken:
+            raise ValueError("modules not listed: " + "; ".join(f"{r['name']}: {r['error'].strip()}" for r in broken))
+    return chosen
+
+
+def build_arguments(targets: DataFrame, exe: DataFrame) -> DataFrame:
+    """(argument) of a build: a library's compiled parts, a program's root module."""
+    libs = targets.where("kind = 'lib'").select(F.concat("name", F.lit(":leanArts")).alias("argument"))
+    return libs.union(targets.where("kind = 'exe'").join(exe, "name").select(F.concat(F.lit("+"), "root")))
 
 
 def target_modules(targets: DataFrame, lib_module: DataFrame, exe: DataFrame) -> DataFrame:
