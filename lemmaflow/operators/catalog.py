@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lemmaflow.functions import names as N
 from lemmaflow.functions.lexer import strip_sources, stripped
 from lemmaflow.operators import audit as A
-from lemmaflow.operators import gates
+from lemmaflow.operators import commands, gates
 from lemmaflow.operators import graph as G
 from lemmaflow.operators import headers as H
 from lemmaflow.operators import trust as T
+from lemmaflow.operators.commands import Dump
 from lemmaflow.plans.scratch import written
 from lemmaflow.sources import derived as D
 from lemmaflow.sources.tables import table
@@ -216,6 +217,39 @@ def assumption_problems(g: Graph) -> DataFrame:
     return gates.assumption_problems(held.select(F.col("id").alias("name"), "status", "origin", "assumptions"))
 
 
+def dump_of(g: Graph) -> Dump:
+    """The derived declarations as a dump: names without meaning, one version each; auxiliaries are those without lines."""
+    ref = lambda c: F.when(F.col(c) == D.SORRY, F.lit(T.SORRY)).otherwise(F.concat(F.lit("N"), F.col(c).cast("string")))
+    used = g.edge.groupBy(F.col("src").alias("id")).agg(*[F.collect_set(F.when(F.col("role") == r, ref("dst"))).alias(f"{r}_used") for r in ("type", "value")])
+    none = F.array().cast("array<string>")
+    x = g.decl.join(used, "id", "left")
+    flag = lambda name: (F.col("kind") == name).alias(f"is_{name}")
+    off = [F.lit(False).alias(c) for c in ("is_instance", "is_class", "is_projection", "is_protected", "is_universe_typed", "is_bv_decide_type", "codomain_is_prop", "codomain_is_type", "codomain_last_arg_is_bool")]
+    text = [F.lit(None).cast("string").alias(c) for c in ("codomain_head", "step_program_head", "docstring", "body_docstring", "type_pp")]
+    lines = [F.when(~F.col("aux"), (F.col("id") + k).cast("int")).alias(c) for k, c in ((1, "range_start"), (2, "range_end"))]
+    arrays = [F.coalesce(f"{r}_used", none).alias(f"{r}_used{tail}") for tail in ("", "_emitted") for r in ("type", "value")]
+    constant = x.select(ref("id").alias("name_id"), ref("id").alias("name"), "module", F.col("module").alias("owner_module"), F.lit(True).alias("is_kept"), "ctor_kind", *arrays, none.alias("ctors"), "type_is_prop", F.col("tagged").alias("externally_verified_tag"), F.col("is_primary_spec").alias("primary_spec_tag"), *lines, flag("structure"), flag("abbrev"), *off, *text)
+    core = constant.where("name_id = 'N0'").withColumns({"name_id": F.lit(T.SORRY), "name": F.lit(T.SORRY), "module": F.lit("Core"), "owner_module": F.lit("Core"), "ctor_kind": F.lit("axiom"), "externally_verified_tag": F.lit(False), "type_used": none, "value_used": none})
+    module = x.select("module", "in_project").distinct().select("module", F.col("in_project").alias("in_build_dir")).union(g.spark.sql("SELECT 'Core', false"))
+    imports = module.where("module <> 'Pkg.M0.Funs'").select(F.lit("Pkg.M0.Funs").alias("module"), F.col("module").alias("imported"))
+    return Dump(constant.union(core.select(constant.columns)), module, imports, module.where("module = 'Pkg.M0.Funs'").select("module"))
+
+
+def extract_command(g: Graph) -> DataFrame:
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    out = commands.extract(dump_of(g))
+    return out.select(F.col("code_name").alias("name"), "kind", "status", "reason", "origin", size("type_deps").alias("n_type"), size("term_deps").alias("n_term"), size(F.array_union(F.coalesce("type_deps_external", F.array().cast("array<string>")), F.coalesce("term_deps_external", F.array().cast("array<string>")))).alias("n_external"), "primary_spec")
+
+
+def check_axioms_command(g: Graph) -> DataFrame:
+    return commands.check_axioms(dump_of(g))["tainted"].select("name", "is_emitted", "is_direct")
+
+
+def viewify_command(g: Graph) -> DataFrame:
+    shown = commands.extract(dump_of(g), skip_verify=True)
+    return commands.viewify(commands.published(shown)).select("view_key", "code_lines")
+
+
 def line_ranges(g: Graph) -> DataFrame:
     text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("L"), F.col("id").cast("string"), F.lit("-L"), (F.col("id") + 5).cast("string"))).when(F.col("id") % 3 == 1, F.concat(F.col("id").cast("string"), F.lit("-"), (F.col("id") + 7).cast("string"))).otherwise(F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise(F.lit("x")))
     r = N.line_range(text)
@@ -309,6 +343,9 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "assumption_problems": assumption_problems,
     "line_ranges": line_ranges,
     "rust_source": rust_source,
+    "extract_command": extract_command,
+    "check_axioms_command": check_axioms_command,
+    "viewify_command": viewify_command,
     "strip_comments": strip_comments,
 }
 

@@ -70,6 +70,19 @@ PIECES = {
         ["arrays", "folded"],
         "SELECT id, t, v, CASE WHEN id % 70 = 2 THEN d[:greatest(len(d) - 1, 0)] ELSE d END AS d FROM (SELECT id, t, v, list_sort(list_distinct(list_concat(t, v))) AS d FROM (SELECT id, CASE WHEN id % 50 = 0 THEN list_append(t, 'probe:zz') ELSE t END AS t, CASE WHEN id % 60 = 1 THEN v[2:] ELSE v END AS v FROM (SELECT a.id, a.t, list_sort(list_distinct(list_concat(a.v, coalesce(f.f, [])))) AS v FROM arrays a LEFT JOIN (SELECT src, list('probe:' || dst) AS f FROM folded GROUP BY src) f ON f.src = a.id)))",
     ),
+    "c_edge": (["edge", "decl"], "SELECT e.* FROM edge e JOIN decl d ON d.id = e.src WHERE e.role = 'type' OR d.kind NOT IN ('structure', 'axiom')"),
+    "c_walk": (["c_edge", "decl", "trusted"], "SELECT e.src, e.dst FROM c_edge e JOIN decl d ON d.id = e.src AND d.in_project LEFT JOIN trusted t ON t.id = e.src WHERE t.id IS NULL OR e.role <> 'value'"),
+    "c_taint": (["c_walk"], "SELECT src AS id FROM c_walk WHERE dst = -1 UNION SELECT w.src FROM c_walk w JOIN c_taint ON w.dst = c_taint.id"),
+    "c_closure": (["c_edge", "decl"], "SELECT e.src, e.dst FROM c_edge e JOIN decl a ON a.id = e.src AND a.aux AND a.in_project AND a.kind NOT IN ('structure', 'axiom') JOIN decl b ON b.id = e.dst AND NOT b.aux AND b.in_project UNION SELECT e.src, c.dst FROM c_edge e JOIN decl a ON a.id = e.src AND a.aux AND a.in_project AND a.kind NOT IN ('structure', 'axiom') JOIN c_closure c ON c.src = e.dst"),
+    "c_deps": (["c_edge", "c_closure", "decl"], "SELECT DISTINCT src, dst, role, dst = -1 OR dst NOT IN (SELECT id FROM decl WHERE in_project) AS out FROM (SELECT src, dst, role FROM c_edge UNION SELECT e.src, c.dst, 'value' FROM c_edge e JOIN c_closure c ON c.src = e.dst WHERE e.src <> c.dst)"),
+    "c_spec": (
+        ["c_deps", "decl"],
+        "WITH source AS (SELECT id, is_primary_spec FROM decl WHERE kind = 'theorem' AND NOT aux AND in_project), target AS (SELECT id FROM decl WHERE kind IN ('def', 'abbrev', 'axiom') AND NOT type_is_prop AND NOT aux AND in_project),"
+        " stated AS (SELECT DISTINCT e.src, e.dst FROM c_deps e JOIN source ON source.id = e.src JOIN target ON target.id = e.dst WHERE e.role = 'type'),"
+        " sole AS (SELECT src, min(dst) AS dst FROM (SELECT DISTINCT e.src, e.dst FROM c_deps e JOIN source ON source.id = e.src AND source.is_primary_spec JOIN target ON target.id = e.dst WHERE e.src NOT IN (SELECT src FROM stated)) GROUP BY src HAVING count(*) = 1)"
+        " SELECT dst AS target, src AS source FROM stated UNION SELECT dst, src FROM sole",
+    ),
+    "c_first": (["c_spec", "decl"], "SELECT target, CASE WHEN count(*) FILTER (is_primary_spec) > 0 THEN arg_max(source, 'N' || source) FILTER (is_primary_spec) WHEN count(*) = 1 THEN max(source) END AS source FROM c_spec JOIN decl ON decl.id = source GROUP BY target"),
     "hit": (["probed", "edge"], "SELECT id FROM probed WHERE status IN ('unverified', 'failed') UNION SELECT e.src FROM edge e JOIN hit ON hit.id = e.dst JOIN probed p ON p.id = e.src AND p.status IN ('verified', 'transitively-verified')"),
 }
 
@@ -233,6 +246,19 @@ def oracle_sql() -> dict[str, str]:
             " UNION ALL SELECT id, 'tainted without the placeholder among its assumptions' FROM status WHERE (status = 'unverified' OR origin IS NOT NULL) AND id % 5 IN (1, 3, 4)",
             "status",
         ),
+        "extract_command": ask(
+            "SELECT 'probe:N' || d.id AS name, d.kind, CASE WHEN d.id IN (SELECT src FROM c_walk WHERE dst = -1) THEN 'unverified' WHEN d.id IN (SELECT id FROM c_taint) THEN 'verified' WHEN t.id IS NOT NULL THEN 'trusted' ELSE 'transitively-verified' END AS status,"
+            " CASE WHEN d.id NOT IN (SELECT id FROM c_taint) THEN t.reason END AS reason, CASE WHEN d.id IN (SELECT id FROM c_taint) AND d.id NOT IN (SELECT src FROM c_walk WHERE dst = -1) THEN 'kernel-taint' END AS origin,"
+            " (SELECT count(*) FROM c_deps e WHERE e.src = d.id AND role = 'type' AND NOT out) AS n_type, (SELECT count(*) FROM c_deps e WHERE e.src = d.id AND role = 'value' AND NOT out) AS n_term, (SELECT count(DISTINCT dst) FROM c_deps e WHERE e.src = d.id AND out) AS n_external, 'probe:N' || f.source AS primary_spec"
+            " FROM decl d LEFT JOIN trusted t ON t.id = d.id LEFT JOIN c_first f ON f.target = d.id WHERE d.in_project AND NOT d.aux",
+            "c_walk",
+            "c_taint",
+            "c_deps",
+            "c_first",
+            "trusted",
+        ),
+        "check_axioms_command": ask("SELECT 'N' || id AS name, NOT (SELECT aux FROM decl d WHERE d.id = c_taint.id) AS is_emitted, id IN (SELECT src FROM c_walk WHERE dst = -1) AS is_direct FROM c_taint", "c_taint", "decl"),
+        "viewify_command": ask("SELECT replace(module, '.', '/') || '.lean/probe:N' || id AS view_key, (id + 1) || '-' || (id + 2) AS code_lines FROM decl WHERE in_project AND NOT aux AND ends_with(module, '.Funs')", "decl"),
         "line_ranges": ask("SELECT id, CAST(CASE WHEN id % 3 = 2 AND id % 2 = 1 THEN 0 ELSE id END AS INT) AS lines_start, CAST(CASE id % 3 WHEN 0 THEN id + 5 WHEN 1 THEN id + 7 ELSE CASE WHEN id % 2 = 1 THEN 0 ELSE id END END AS INT) AS lines_end FROM decl", "decl"),
         "rust_source": ask("SELECT id, CASE id % 4 WHEN 0 THEN 'src/' || kind || '.rs' WHEN 1 THEN '/root/.cargo/registry/x.rs' END AS source, id % 4 = 0 AS is_relevant FROM decl", "decl"),
     }
