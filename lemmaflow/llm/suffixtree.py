@@ -138,6 +138,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = x.merged()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["bucket", "kind", "key", "n"])
 
+    pa.set_memory_pool(pa.system_memory_pool())  # gives back what a large batch took
     now, found = None, (Counts(), Counts())
     for batch in batches:
         for k, bucket in enumerate(batch.column("bucket").to_pylist()):
@@ -243,6 +244,7 @@ def scorer(total: int, distinct: int) -> Callable:
     scale = math.log10(total + 0.5 * (distinct + 1))
 
     def run(texts: pa.Table, prices: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         kind, key = prices.column("kind").to_numpy(), prices.column("key").to_numpy()
         words = kind == WORD
         counts = Lookup(key[words], prices.column("n").filter(pa.array(words)).to_numpy().astype(np.float64))
@@ -276,7 +278,6 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
     """
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.pmod(crc, F.lit(5)) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // 2))  # larger buckets ask for fewer prices twice
     rows = written(rows.mapInArrow(dealt(bucket_bytes), PACKED), "texts")
     asked = written(rows.mapInArrow(gathered, "bucket bigint, kind int, key bigint, n bigint"), "asked")
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
