@@ -272,10 +272,10 @@ class Queries:
         p, item, near = [], [], []
         for part in range(0, len(passages), 4096):
             close = passages[part : part + 4096] @ self.vectors.T
-            at, q = np.nonzero(close >= cosine)
-            p.append(at + part)
-            item.append(self.owner[q])
-            near.append(close[at, q])
+            hits = np.flatnonzero(close >= cosine)
+            p.append(hits // len(self.owner) + part)
+            item.append(self.owner[hits % len(self.owner)])
+            near.append(close.ravel()[hits])
         at, which = self.verbatim.met(words, row, first)
         p, item = np.concatenate([*p, at]), np.concatenate([*item, which])
         near = np.concatenate([*near, np.full(len(at), -2.0, np.float32)])
