@@ -33,6 +33,8 @@ LONG_PIECE = 1 << 24
 OFFSET_BITS, PART_BITS = 31, 18
 SHARD_RECORDS = 16_000
 HOT_RECORDS = 4_000
+#: Runs at one anchor that a task sorts.
+BUSY_RUNS = 100_000
 
 
 def pieces(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -266,13 +268,36 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_anchors(seen: DataFrame, busy: int) -> DataFrame:
+    """(fp, doc, place, whole): the runs at anchors that occur again, and whether an earlier run of the same bytes makes the whole run a repeat; first runs stay only where other runs at the anchor differ.
+
+    Runs at one anchor are told apart by a window. Anchors of over ``busy`` runs are cut
+    into parts for it, so that no task sorts one alone; what a window over a part can't
+    know, the first run of its kind and whether kinds differ, is a partial aggregate
+    over these anchors alone and joined to them.
+    """
+    hot = written(seen.groupBy("fp").agg(F.count("*").alias("runs")).where(F.col("runs") > busy), "busy-anchors")
+    none = hot.isEmpty()
+    if not none:
+        seen = seen.join(hot, "fp", "left")
+    part = F.lit(0) if none else F.when(F.col("runs").isNotNull(), F.pmod(F.xxhash64("doc"), F.ceil(F.col("runs") / busy))).otherwise(F.lit(0))
+    age = F.rank().over(Window.partitionBy("fp", "part", "rec").orderBy("doc", "place"))
+    alike = Window.partitionBy("fp", "part")
+    ranked = seen.withColumn("part", part).withColumn("late", age > 1).withColumn("n", F.count("*").over(alike)).withColumn("varied", F.min("rec").over(alike) != F.max("rec").over(alike))
+    if not none:
+        kinds = seen.where("runs IS NOT NULL").groupBy("fp", "rec").agg(F.min(F.struct("doc", "place")).alias("first"))
+        kinds = written(kinds, "busy-kinds")
+        mixed_anchors = kinds.groupBy("fp").agg((F.count("*") > 1).alias("mixed"))
+        ranked = ranked.join(kinds.join(mixed_anchors, "fp"), ["fp", "rec"], "left")
+        busy_one = F.col("mixed").isNotNull()
+        ranked = ranked.withColumn("late", F.when(busy_one, F.struct("doc", "place") > F.col("first")).otherwise(F.col("late")))
+        ranked = ranked.withColumn("varied", F.coalesce("mixed", "varied")).withColumn("n", F.when(busy_one, F.lit(2)).otherwise(F.col("n")))
+    return ranked.where("n > 1 AND (late OR varied)").select("fp", "doc", "place", F.col("late").alias("whole"))
+
+
+def repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
     """(doc, start, stop): byte ranges whose union is what to remove; their upper bits are the text's ``part``. ``docs`` has ``doc``, ``part`` and ``text``."""
-    seen = docs.mapInArrow(anchored, "fp bigint, rec bigint, doc bigint, place bigint")
-    age = F.rank().over(Window.partitionBy("fp", "rec").orderBy("doc", "place"))
-    alike = Window.partitionBy("fp")
-    seen = seen.withColumn("age", age).withColumn("n", F.count("*").over(alike)).withColumn("varied", F.min("rec").over(alike) != F.max("rec").over(alike))
-    seen = written(seen.where("n > 1 AND (age > 1 OR varied)").select("fp", "doc", "place", (F.col("age") > 1).alias("whole")), "anchors")
+    seen = written(repeated_anchors(docs.mapInArrow(anchored, "fp bigint, rec bigint, doc bigint, place bigint"), busy), "anchors")
     begin = F.expr("shiftright(place, 14) - (shiftright(place, 7) & 127)")
     whole = seen.where("whole").select("doc", begin.alias("start"), (begin + F.expr("place & 127") + WINDOW).alias("stop"))
     open_runs = seen.where("NOT whole")
@@ -291,7 +316,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return whole.union(repeats.where("NOT hot").select("doc", "start", "stop")).union(across)
 
 
-def drop_repeated_spans(docs: DataFrame) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes left).
 
     A byte goes if a 100-byte string over it also starts earlier, in a smaller doc_id or
@@ -302,6 +327,6 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("bigint").alias("doc"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << PART_BITS)).alias("part"))
-    spans = repeated_spans(keyed.select("doc", "part", "text")).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(keyed.select("doc", "part", "text"), busy).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = keyed.join(spans, "doc", "left").select("doc_id", "part", "text", "spans")
     return joined.mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -70,7 +70,7 @@ def exact_spans(rows):
 def test_exact_spans(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(exactspans, "HOT_RECORDS", hot)
     monkeypatch.setattr(exactspans, "SHARD_RECORDS", 10 * hot)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exactspans.drop_repeated_spans(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exactspans.drop_repeated_spans(docs, busy=hot).collect()}
     assert got == exact_spans([(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()])
 
 
