@@ -17,6 +17,11 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def lean() -> None:
+    """From now on this worker gives back the memory of Arrow batches when they are done with, instead of keeping it for the next ones."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result hangs on every bit of ``x``."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.bytescan import ODD, buffers, groups_of_rows, mixed, word_hashes
+from lemmaflow.llm.bytescan import ODD, buffers, groups_of_rows, lean, mixed, word_hashes
 
 WIDTH = 1 << 14
 RANK = 256
@@ -100,6 +100,7 @@ def sketcher(wide: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         total = np.zeros((wide + 2) * WIDTH, np.int32)
         for batch in batches:
             data, at = buffers(batch.column("text"))
@@ -304,6 +305,7 @@ class Queries:
 
 def searcher(ids: list[int | None], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, cosine: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         table = basis * idf[:, None].astype(np.float32)
         queries = Queries(items, table)
         for batch in batches:

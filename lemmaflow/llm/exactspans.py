@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.bytescan import ODD, buffers, mixed, prefix_hashes
+from lemmaflow.llm.bytescan import ODD, buffers, lean, mixed, prefix_hashes
 from lemmaflow.plans.scratch import written
 
 WINDOW = 100
@@ -82,6 +82,7 @@ def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (fp, rec, doc, place): place packs the text's part, the anchor's byte offset, its distance from the first start and the run's length."""
+    lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
         doc, part = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
@@ -102,6 +103,7 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that a run of windows covers, for the runs asked for."""
+    lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
         wanted, part = batch.column("runs"), batch.column("part").to_numpy() << OFFSET_BITS
@@ -182,6 +184,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, place: np.ndarray, firs
 
 def shard_repeats(table: pa.Table) -> pa.Table:
     """Of one shard's records: runs of starts that repeat an earlier window (hot false), and, for spread anchors, each distinct window's first start (hot true)."""
+    lean()
     data, at = buffers(table.column("bytes").combine_chunks())
     text = data[at[0] : at[-1]]
     firsts, sizes = at[:-1] - at[0], np.diff(at)
@@ -246,6 +249,7 @@ def merged_repeats(table: pa.Table) -> pa.Table:
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of every text once its spans are gone."""
+    lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
         spans, part = batch.column("spans").to_pylist(), (batch.column("part").to_numpy() << OFFSET_BITS).tolist()

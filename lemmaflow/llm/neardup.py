@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.bytescan import ODD, buffers, groups_of_rows, mixed, word_hashes
+from lemmaflow.llm.bytescan import ODD, buffers, groups_of_rows, lean, mixed, word_hashes
 from lemmaflow.llm.columns import unused
 from lemmaflow.plans.components import connected_components
 from lemmaflow.plans.scratch import written
@@ -114,6 +114,7 @@ def bag_minhash(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_row
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: id, digest of the text, number of shingles, one hash for each band."""
+    lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
         for a, b in groups_of_rows(at):
@@ -145,6 +146,7 @@ def occurrences(slots: np.ndarray) -> Callable:
     """Codes rows whose slot is set: digest and one number for each shingle occurrence, so that a multiset becomes a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array((slots[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.bytescan import LOWER, ODD, SPACE, buffers, groups_of_rows, word_hashes
+from lemmaflow.llm.bytescan import LOWER, ODD, SPACE, buffers, groups_of_rows, lean, word_hashes
 from lemmaflow.plans.scratch import written
 
 DEPTH = 5
@@ -138,7 +138,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = x.merged()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["bucket", "kind", "key", "n"])
 
-    pa.set_memory_pool(pa.system_memory_pool())  # gives back what a large batch took
+    lean()
     now, found = None, (Counts(), Counts())
     for batch in batches:
         for k, bucket in enumerate(batch.column("bucket").to_pylist()):
@@ -244,7 +244,7 @@ def scorer(total: int, distinct: int) -> Callable:
     scale = math.log10(total + 0.5 * (distinct + 1))
 
     def run(texts: pa.Table, prices: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())
+        lean()
         kind, key = prices.column("kind").to_numpy(), prices.column("key").to_numpy()
         words = kind == WORD
         counts = Lookup(key[words], prices.column("n").filter(pa.array(words)).to_numpy().astype(np.float64))

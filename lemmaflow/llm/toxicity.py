@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lemmaflow.llm.bytescan import lean
 from lemmaflow.llm.columns import packed
 
 SAMPLE_ROWS = 12_000
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, widt
 
 def scorer(names: list[str], odds: np.ndarray, models: list[Linear]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = pa.array(names, pa.string())
         for batch in batches:
             x = sparse(listed(batch.column("f")), known, odds)
