@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     conf = {
-        "spark.master": "local[2]",
+        "spark.master": "local[4]",
         "spark.driver.memory": "3g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
