@@ -271,8 +271,7 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
 
     Rows whose crc32(doc_id as text) leaves 1 modulo 5 are held out; a null id counts as
     empty text. ``base_score`` is the sum over words and one end of log10((c + 0.5) /
-    (N + 0.5 (V + 1))). ``score`` is the suffix tree's log10 probability of the bytes, a
-    sum of single-precision logarithms.
+    (N + 0.5 (V + 1))). ``score`` is the suffix tree's log10 probability of the bytes.
     Null and empty texts hold the end alone. Repeated rows count and are scored each;
     without training rows N and V are 0 and the tree is uniform.
     """
@@ -284,8 +283,8 @@ def score_texts(docs: DataFrame, min_count: int = MIN_COUNT, bucket_bytes: int =
     words = counts.where("kind = 0").select("key", "n")
     sums = words.where("n > 0").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    price = words.select(F.lit(WORD).alias("kind"), "key", "n", F.lit(None).cast("float").alias("value"))
-    price = price.union(priced(counts.where("kind = 1").select("key", "n"), min_count).select(F.lit(FOLLOWS), "key", F.lit(None).cast("bigint"), F.col("value").cast("float")))
+    price = words.select(F.lit(WORD).alias("kind"), "key", "n", F.lit(None).cast("double").alias("value"))
+    price = price.union(priced(counts.where("kind = 1").select("key", "n"), min_count).select(F.lit(FOLLOWS), "key", F.lit(None).cast("bigint"), F.col("value")))
     known = asked.select("bucket", "kind", "key").join(price.hint("shuffle_hash"), ["kind", "key"]).select("bucket", "kind", "key", "n", "value")
     kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(scorer(total, distinct), kinds)
