@@ -86,9 +86,9 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
 def scanned(docs: DataFrame, reach: int, names: list[str]) -> DataFrame:
     """(row, text, s0, s1, s2, base, found): the named columns packed, the base spans by kind and together, and every reported span.
 
-    Only texts with a weak part and another part are linked, once for each different
-    text, by its digest, and joined back; all others pass by the join, so that their
-    texts are never shuffled.
+    Texts with a weak part and another part are linked once for each different text, by
+    its digest, and joined back; other rows get a key that nothing has, so that no task
+    gets them all.
     """
     none = F.array().cast(NO_SPANS)
     df = docs.select(packed(names), F.coalesce("text", F.lit("")).alias("text")).withColumn("maybe", F.col("text").rlike(GATE))
@@ -102,13 +102,11 @@ def scanned(docs: DataFrame, reach: int, names: list[str]) -> DataFrame:
     weak = F.concat(*[tagged(spans(p, mixed if kind == "opaque" else None), k) for k, (kind, p) in enumerate(WEAK, 3)])
     df = df.withColumn("base", F.concat(*[tagged(F.col(f"s{k}"), k) for k in range(3)])).withColumn("weak", weak)
     df = df.withColumn("open", (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
-    opened = df.where("open").withColumn("key", F.unhex(F.md5("text")))
+    df = df.withColumn("key", F.when(F.col("open"), F.unhex(F.md5("text"))).otherwise(F.encode(F.concat(F.lit("nothing to link "), F.rand(7).cast("string")), "UTF-8")))
     breaks = F.transform(match_spans(t, BREAK), lambda s: s["start"])
-    parts = opened.groupBy("key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"), F.first(breaks).alias("breaks"))
-    joined = opened.join(linked(parts, reach), "key", "left")
-    found = F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(TAGGED)))).alias("found")
-    kept = ["row", "text", "s0", "s1", "s2", "base"]
-    return joined.select(*kept, found).union(df.where("NOT open").select(*kept, F.sort_array("base")))
+    parts = df.where("open").groupBy("key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"), F.first(breaks).alias("breaks"))
+    df = df.drop("text", "maybe", "weak", "open").join(linked(parts, reach), "key", "left").withColumn("text", F.coalesce("row.text", F.lit("")))
+    return df.select("row", "text", "s0", "s1", "s2", "base", F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(TAGGED)))).alias("found"))
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
