@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.auditsql import FILTER_AUDIT, SOURCE_AUDIT
 from lemmaflow.llm.decontaminate import benchmark_leaks
 from lemmaflow.llm.exactspans import drop_repeated_spans
+from lemmaflow.llm.filteraudit import audit_filters
 from lemmaflow.llm.licenses import scan_licenses
 from lemmaflow.llm.mainhtml import extract_main_text
 from lemmaflow.llm.mixing import mix_sources
 from lemmaflow.llm.neardup import near_duplicates
 from lemmaflow.llm.quality import score_quality
 from lemmaflow.llm.secrets import scan_secrets
+from lemmaflow.llm.sourceaudit import audit_sources
 from lemmaflow.llm.suffixtree import score_texts
 from lemmaflow.llm.toxicity import score_toxicity
 from lemmaflow.sources.tables import table
@@ -61,6 +64,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -73,8 +84,10 @@ def queries() -> dict:
         "op8_suffix_tree": op8_suffix_tree,
         "op9_licenses": op9_licenses,
         "op10_secrets": op10_secrets,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_filter_interaction": op13_filter_interaction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_source_divergence": SOURCE_AUDIT, "op13_filter_interaction": FILTER_AUDIT}
