@@ -14,6 +14,7 @@ from lemmaflow.llm.mainhtml import extract_main_text
 from lemmaflow.llm.mixing import mix_sources
 from lemmaflow.llm.neardup import near_duplicates
 from lemmaflow.llm.quality import score_quality
+from lemmaflow.llm.sanitise import scan_private
 from lemmaflow.llm.secrets import scan_secrets
 from lemmaflow.llm.sourceaudit import audit_sources
 from lemmaflow.llm.suffixtree import score_texts
@@ -64,6 +65,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ def queries() -> dict:
         "op8_suffix_tree": op8_suffix_tree,
         "op9_licenses": op9_licenses,
         "op10_secrets": op10_secrets,
+        "op11_sanitisation": op11_sanitisation,
         "op12_source_divergence": op12_source_divergence,
         "op13_filter_interaction": op13_filter_interaction,
     }

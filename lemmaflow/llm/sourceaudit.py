@@ -109,7 +109,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 words = pa.table({"doc": row, "term": terms.dictionary_encode()})  # noqa: F841  DuckDB finds it by name
                 of = pa.table({"doc": np.arange(stop - k), "lang": batch.column("lang").slice(k, stop - k), "source": batch.column("source").slice(k, stop - k)})  # noqa: F841
-                found = db.execute("SELECT lang, source, term::VARCHAR AS term, sum(n)::BIGINT AS n, count(*) AS d FROM (SELECT doc, term, count(*) AS n FROM words GROUP BY doc, term) JOIN of USING (doc) GROUP BY ALL")
+                found = db.sql("SELECT lang, source, term::VARCHAR AS term, sum(n)::BIGINT AS n, count(*) AS d FROM (SELECT doc, term, count(*) AS n FROM words GROUP BY doc, term) JOIN of USING (doc) GROUP BY ALL")
                 yield from batches_of(found, COUNTED)
 
 
@@ -128,18 +128,17 @@ def shard(*questions: str, schema: str, compact: str | None = None) -> Callable[
             held, most, there = 0, COMPACT_ROWS, False
             for batch in batches:
                 more = pa.Table.from_batches([batch])  # noqa: F841
-                db.execute("INSERT INTO rows SELECT * FROM more" if there else "CREATE TABLE rows AS SELECT * FROM more")
+                db.execute("INSERT INTO rows SELECT * FROM more" if there else "CREATE TABLE rows AS SELECT * FROM more").fetchall()
                 there, held = True, held + batch.num_rows
                 if compact and held > most:
-                    db.execute(f"CREATE TABLE fewer AS {compact}")
-                    db.execute("DROP TABLE rows")
-                    db.execute("ALTER TABLE fewer RENAME TO rows")
-                    held = db.execute("SELECT count(*) FROM rows").fetchone()[0]
+                    for q in (f"CREATE TABLE fewer AS {compact}", "DROP TABLE rows", "ALTER TABLE fewer RENAME TO rows"):
+                        db.execute(q).fetchall()
+                    held = db.execute("SELECT count(*) FROM rows").fetchall()[0][0]
                     most = max(COMPACT_ROWS, 2 * held)
             if there:
                 for q in questions[:-1]:
-                    db.execute(q)
-                yield from batches_of(db.execute(questions[-1]), schema)
+                    db.execute(q).fetchall()
+                yield from batches_of(db.sql(questions[-1]), schema)
 
     return run
 
