@@ -66,8 +66,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return scan_private(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("found")
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

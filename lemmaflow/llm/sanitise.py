@@ -36,6 +36,8 @@ REACH, SUPPORT = 16, 3
 HINT, REVEAL = 0.75, 0.9
 #: Places of the map that spares words no entity is near the shuffle: a megabyte.
 MAP_BITS = 23
+#: Counts that a task holds before it adds up equal ones; more if there are more different terms.
+HELD_TERMS = 1 << 18
 
 # The base kinds in their order; after them the method's.
 BASE = ["email", "ip", "card", "phone"]
@@ -181,9 +183,9 @@ def holders(asked: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         bits = np.frombuffer(asked, np.uint8)
+        terms, sums, held, most = [], [], 0, HELD_TERMS
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            terms, sums = [], []
             for k, stop in groups_of_rows(at):
                 term, _, _, row = terms_of(data[at[k] : at[stop]], at[k : stop + 1] - at[k])
                 slot = term & ((1 << MAP_BITS) - 1)
@@ -196,12 +198,27 @@ def holders(asked: bytes):
                 found, n = np.unique(term[fresh], return_counts=True)
                 terms.append(found)
                 sums.append(n)
-            if terms:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms)), pa.array(np.concatenate(sums).astype(np.int64))], names=["term", "n"])
+                held += len(found)
+                if held > most:
+                    terms, sums = added_up(terms, sums)
+                    held = len(terms[0])
+                    most = max(HELD_TERMS, 2 * held)
+        if terms:
+            terms, sums = added_up(terms, sums)
+            for k in range(0, len(terms[0]), HELD_TERMS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[0][k : k + HELD_TERMS]) for x in (terms, sums)], names=["term", "n"])
 
     return run
 
 
+def added_up(terms: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The counts of equal terms as one."""
+    found, which = np.unique(np.concatenate(terms), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, which, np.concatenate(sums))
+    return [found], [total]
+
+
 def map_of(terms: DataFrame) -> bytes:
     """A bit for each place that a term falls on; the same megabyte whatever the number of terms."""
     width = 8 * 4096
@@ -247,17 +264,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_private(docs: DataFrame, hint: float = HINT, reveal: float = REVEAL) -> DataFrame:
+def scan_private(docs: DataFrame, hint: float = HINT, reveal: float = REVEAL, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with counts of the base kinds, the digest of their spans, and every span.
 
     ``found`` holds (kind number, start, stop, shape) in code points, stop exclusive, kinds
     as in ``KINDS``. Null and empty texts have no spans. Repeated rows count each as a
     document, but as one text for the support of a pair. A term that every document or
-    few texts hold reveals nothing. Columns of ``docs`` stay, apart from those that carry
-    the names added here. An empty table stays empty.
+    few texts hold reveals nothing. Columns of ``docs`` stay, or those named by ``carry``,
+    apart from those that have the names added here. An empty table stays empty.
     """
     counts = [F.col(c) for c in ADDED[:4]]
-    return judged_rows(docs, without(docs, ADDED), hint, reveal).select("row.*", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "found")
+    return judged_rows(docs, without(docs, ADDED) if carry is None else carry, hint, reveal).select("row.*", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "found")
 
 
 def sanitise(docs: DataFrame, hint: float = HINT, reveal: float = REVEAL) -> DataFrame:

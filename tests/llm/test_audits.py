@@ -198,7 +198,8 @@ def private():
     return [*out, *[(200 + k, copy) for k in range(5)], (501, None), (502, ""), (None, "call +1 555 0100 999"), (300, "Zorblax alone"), (301, "x " * 100000 + "zorblax.0@mail.example.com Zorblax " + "é " * 1000)]
 
 
-def test_sanitisation(spark, private):
+def test_sanitisation(spark, private, monkeypatch):
+    monkeypatch.setattr(sanitise, "HELD_TERMS", 50)
     docs = spark.createDataFrame([(*r, "x", "y") for r in private], "doc_id bigint, text string, kind string, digest string")
     for hint, reveal in ((sanitise.HINT, sanitise.REVEAL), (0.3, 0.6)):
         got = [tuple(r) for r in sanitise.scan_private(docs, hint, reveal).select("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()]
@@ -211,9 +212,9 @@ def test_sanitisation(spark, private):
 
 def test_sanitised_texts(spark, private):
     docs = spark.createDataFrame([(*r, "x") for r in private], "doc_id bigint, Text string, found string")
-    got = sanitise.sanitise(docs)
+    got = sanitise.sanitise(docs, 0.3, 0.6)
     assert got.columns == docs.columns
-    spans = {r.doc_id: r.spans for r in sanitise.scan_private(docs.select("doc_id", "Text")).collect()}
+    spans = {r.doc_id: r.spans for r in sanitise.scan_private(docs.select("doc_id", "Text"), 0.3, 0.6).collect()}
     was = dict(private)
     for r in got.collect():
         assert r.found == "x" and (spans[r.doc_id] or r.Text is None or r.Text == was[r.doc_id])
