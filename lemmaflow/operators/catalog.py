@@ -217,6 +217,22 @@ def assumption_problems(g: Graph) -> DataFrame:
     return gates.assumption_problems(held.select(F.col("id").alias("name"), "status", "origin", "assumptions"))
 
 
+def status_gate(g: Graph) -> DataFrame:
+    """Both gates over atoms and the lines of a report whose header says one too many, with another indented list below; the lines lie in many blocks."""
+    atoms, listed = status_report(g)
+    k = F.col("name").cast("bigint") % 5
+    held = F.when(k == 1, F.array(F.lit("b"), F.lit("a"))).when(k == 2, F.array(F.lit("a"), F.lit("sorryAx"))).when(k > 2, F.array().cast("array<string>"))
+    published = atoms.select(F.concat(F.lit("probe:"), "name").alias("name"), F.col("status").alias("verification-status"), F.col("origin").alias("status-origin"), held.alias("assumptions"))
+    listed = written(listed, "listed")
+    flags = F.concat(F.when(F.col("direct"), F.lit(" [direct]")).otherwise(F.lit("")), F.when(F.col("emitted"), F.lit("")).otherwise(F.lit(" [not emitted]")))
+    rows = listed.select((F.col("name").cast("bigint") + 10).alias("place"), F.concat(F.lit("  "), "name", flags, F.when(k == 0, F.lit(" ")).otherwise(F.lit(""))).alias("line"))
+    head = listed.agg(F.lit(5).cast("bigint").alias("place"), F.concat((F.count(F.lit(1)) + 1).cast("string"), F.lit(" constant(s) rest on an unexcused project sorry:")).alias("line"))
+    rest = g.trusted.select((F.col("id") + 10**12).alias("place"), F.concat(F.lit("  "), F.col("id").cast("string"), F.lit(" "), "reason").alias("line"))
+    other = g.spark.sql("SELECT * FROM VALUES (0L, 'Project'), (1L, '  17'), (999999999999L, '9 trusted constant(s) (T):') AS t(place, line)")
+    lines = rows.union(head).union(rest).union(other).select(F.lit("report").alias("path"), F.expr("place div 64").alias("block"), "place", "line")
+    return gates.status_gate(published, lines)
+
+
 def dump_of(g: Graph) -> Dump:
     """The derived declarations as a dump: names without meaning, one version each; auxiliaries are those without lines."""
     ref = lambda c: F.when(F.col(c) == D.SORRY, F.lit(T.SORRY)).otherwise(F.concat(F.lit("N"), F.col(c).cast("string")))
@@ -341,6 +357,7 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "added_dependencies": lambda g: gates.added_dependencies(*artifacts(g)),
     "status_problems": lambda g: gates.status_problems(*status_report(g)),
     "assumption_problems": assumption_problems,
+    "status_gate": status_gate,
     "line_ranges": line_ranges,
     "rust_source": rust_source,
     "extract_command": extract_command,

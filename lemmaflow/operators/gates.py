@@ -14,6 +14,7 @@ from lemmaflow.functions.names import without_prefix
 from lemmaflow.operators.audit import SEEDS, graph_divergences, missing_dependencies
 from lemmaflow.plans.fixpoint import reaching
 from lemmaflow.sources import artifact as A
+from lemmaflow.sources.lines import PLACE, carried
 
 # The mark of a status that the walk gave, the oldest version whose statuses can be read, the placeholder.
 ORIGIN = "kernel-taint"
@@ -88,23 +89,28 @@ def graph_gate(spark: SparkSession, path: str, tool: str) -> dict[str, DataFrame
     return {"divergences": graph_divergences(atom, edge), "missing": missing_dependencies(edge, atom), "without_status": atom.where("status IS NULL").select(F.col("id").alias("name"))}
 
 
-HEADER = r"(?m)^([0-9]+) constant\(s\) rest on an unexcused project sorry:$((?:\n  .*)*)"
+# The header of a report's list, and a listed line.
+HEADER = r"^([0-9]+) constant\(s\) rest on an unexcused project sorry:$"
+LISTED = r"^(.*?)( \[direct\])?( \[not emitted\])?$"
 
 
-def parse_report(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Listed constants (name, direct, emitted) and problems (name, problem) of a report (one row, ``value``).
+def parse_report(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listed constants (name, direct, emitted) and problems (name, problem) of a report's lines (path, block, place, line).
 
-    The indented lines under the header count, as many as it says; flags stand at the
-    end of a line, for a name may hold spaces.
+    The indented lines under the header count, as many as it says; any other line ends
+    the list. Flags stand at the end of a line, for a name may hold spaces; of lines
+    that list one name the last counts, and so does the last header.
     """
-    found = text.select(F.arrays_zip(F.regexp_extract_all("value", F.lit(HEADER), F.lit(1)).alias("n"), F.regexp_extract_all("value", F.lit(HEADER), F.lit(2)).alias("block")).alias("x"))
-    lines = lambda b: F.filter(F.split(b, "\n"), lambda x: x != "")
-    flat = F.flatten(F.transform("x", lambda y: lines(y["block"])))
-    line = found.select(F.explode(flat).alias("line")).select(F.trim("line").alias("line"))
-    listed = line.select(F.regexp_extract("line", r"^(.*?)( \[direct\])?( \[not emitted\])?$", 1).alias("name"), F.col("line").rlike(r" \[direct\](?: \[not emitted\])?$").alias("direct"), (~F.col("line").endswith(" [not emitted]")).alias("emitted"))
-    last = F.element_at("x", -1)
-    wrong = F.when(F.size("x") == 0, F.lit("no tainted header")).when(last["n"].cast("bigint") != F.size(flat), F.concat(F.lit("the header says "), last["n"], F.lit(", listed are "), F.size(flat).cast("string")))
-    return listed.distinct(), found.select(F.lit("report").alias("name"), wrong.alias("problem")).where("problem IS NOT NULL")
+    n = F.regexp_extract("line", HEADER, 1)
+    islands = carried(lines, F.when(~F.col("line").startswith("  "), n), "_run").withColumn("_n", n)
+    listed = F.col("line").startswith("  ") & (F.coalesce("_run", F.lit("")) != "")
+    place = F.struct(*PLACE)
+    row = islands.where(listed).select(F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line"), place.alias("at"))
+    part = row.select(F.regexp_extract("line", LISTED, 1).alias("name"), (F.regexp_extract("line", LISTED, 2) != "").alias("direct"), (F.regexp_extract("line", LISTED, 3) == "").alias("emitted"), "at")
+    names = part.groupBy("name").agg(F.max_by(F.struct("direct", "emitted"), "at").alias("x")).select("name", "x.*")
+    said = islands.agg(F.max_by("_n", F.when(F.col("_n") != "", place)).alias("said"), F.count_if(listed).alias("seen"))
+    wrong = F.when(F.col("said").isNull(), F.lit("no tainted header")).when(F.col("said").cast("decimal(38,0)") != F.col("seen"), F.concat(F.lit("the header says "), F.col("said"), F.lit(", listed are "), F.col("seen").cast("string")))
+    return names, said.select(F.lit("report").alias("name"), wrong.alias("problem")).where("problem IS NOT NULL")
 
 
 def assumption_problems(atoms: DataFrame, allow_missing: bool = False) -> DataFrame:
@@ -147,7 +153,7 @@ def status_problems(atoms: DataFrame, listed: DataFrame, allow_missing: bool = F
 
 
 def status_gate(atoms: DataFrame, report: DataFrame, allow_missing: bool = False, no_upgrade: bool = False) -> DataFrame:
-    """(name, problem) over an artifact's atoms and the report's text; empty if both tell the same of every atom."""
+    """(name, problem) over an artifact's atoms and the report's lines (path, block, place, line); empty if both tell the same of every atom."""
     plain = atoms.select(without_prefix(F.col("name")).alias("name"), F.col("`verification-status`").alias("status"), F.col("`status-origin`").alias("origin"), "assumptions")
     listed, problems = parse_report(report)
     return problems.union(assumption_problems(plain, allow_missing)).union(status_problems(plain, listed, allow_missing, no_upgrade))

@@ -103,6 +103,25 @@ LAST = "regexp_extract(name, '[^.]*$')"
 TARGET_LAST = "regexp_extract(t.name, '[^.]*$')"
 
 
+#: What a report lists, beside what the atoms say.
+COMPARED = (
+    ", listed AS (SELECT d.id, coalesce(v.verdict, '') = 'direct' OR d.id % 37 = 5 AND NOT (coalesce(v.verdict, '') IN ('direct', 'tainted') AND d.id % 31 <> 0) AS direct, NOT d.aux AND d.id % 41 <> 0 AS emitted FROM decl d JOIN verdict v ON v.id = d.id WHERE (v.verdict IN ('direct', 'tainted') AND d.id % 31 <> 0) OR d.id % 37 = 5),"
+    " x AS (SELECT coalesce(a.id, l.id) AS id, a.id IS NOT NULL AS here, l.id IS NOT NULL AS there, coalesce(l.direct, false) AS direct, l.emitted, a.status, a.origin FROM (SELECT status.* FROM status JOIN decl ON decl.id = status.id AND NOT decl.aux) a FULL JOIN listed l ON l.id = a.id)"
+)
+DISAGREE = (
+    " SELECT id::VARCHAR AS name, 'no status' AS problem FROM x WHERE here AND status IS NULL"
+    " UNION ALL SELECT id::VARCHAR, 'listed, but the origin says otherwise' FROM x WHERE here AND status IS NOT NULL AND there AND NOT direct AND origin IS NULL"
+    " UNION ALL SELECT id::VARCHAR, 'an origin, but not listed as tainted' FROM x WHERE here AND origin IS NOT NULL AND NOT (there AND NOT direct)"
+    " UNION ALL SELECT id::VARCHAR, 'trusted, but listed' FROM x WHERE status = 'trusted' AND there"
+    " UNION ALL SELECT id::VARCHAR, 'unverified, but not listed as direct' FROM x WHERE status = 'unverified' AND NOT (there AND direct)"
+    " UNION ALL SELECT id::VARCHAR, 'verified, but listed as direct' FROM x WHERE status = 'verified' AND there AND direct"
+    " UNION ALL SELECT id::VARCHAR, 'verified, but not listed' FROM x WHERE status = 'verified' AND NOT there"
+    " UNION ALL SELECT id::VARCHAR, 'transitively verified, but listed' FROM x WHERE status = 'transitively-verified' AND there"
+    " UNION ALL SELECT id::VARCHAR, 'listed as shown, but no atom' FROM x WHERE there AND emitted AND NOT here"
+    " UNION ALL SELECT id::VARCHAR, 'listed as not shown, but an atom' FROM x WHERE there AND NOT emitted AND here"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "decl_kind": ask("SELECT id, CASE ctor_kind WHEN 'defn' THEN CASE WHEN is_aeneas_generated THEN 'instance' WHEN known_attribute THEN 'projection' WHEN carrier THEN 'abbrev' ELSE 'def' END WHEN 'thm' THEN CASE WHEN known_attribute THEN 'projection' ELSE 'theorem' END WHEN 'induct' THEN CASE WHEN tagged THEN 'class' WHEN aux THEN 'structure' ELSE 'inductive' END ELSE ctor_kind END AS kind FROM decl", "decl"),
@@ -224,19 +243,11 @@ def oracle_sql() -> dict[str, str]:
             "reported",
         ),
         "added_dependencies": ask("SELECT a.id::VARCHAR AS atom, bucket, replace(target, 'probe:', '') AS target FROM (SELECT id, 'type' AS bucket, unnest(t) AS target FROM arrays_after UNION ALL SELECT id, 'term', unnest(v) FROM arrays_after) a JOIN reported USING (id) WHERE NOT EXISTS (SELECT 1 FROM arrays p WHERE p.id = a.id AND list_contains(CASE WHEN a.bucket = 'type' THEN p.t ELSE p.v END, a.target))", "arrays_after", "reported"),
-        "status_problems": ask(
-            ", listed AS (SELECT d.id, coalesce(v.verdict, '') = 'direct' OR d.id % 37 = 5 AND NOT (coalesce(v.verdict, '') IN ('direct', 'tainted') AND d.id % 31 <> 0) AS direct, NOT d.aux AND d.id % 41 <> 0 AS emitted FROM decl d JOIN verdict v ON v.id = d.id WHERE (v.verdict IN ('direct', 'tainted') AND d.id % 31 <> 0) OR d.id % 37 = 5),"
-            " x AS (SELECT coalesce(a.id, l.id) AS id, a.id IS NOT NULL AS here, l.id IS NOT NULL AS there, coalesce(l.direct, false) AS direct, l.emitted, a.status, a.origin FROM (SELECT status.* FROM status JOIN decl ON decl.id = status.id AND NOT decl.aux) a FULL JOIN listed l ON l.id = a.id)"
-            " SELECT id::VARCHAR AS name, 'no status' AS problem FROM x WHERE here AND status IS NULL"
-            " UNION ALL SELECT id::VARCHAR, 'listed, but the origin says otherwise' FROM x WHERE here AND status IS NOT NULL AND there AND NOT direct AND origin IS NULL"
-            " UNION ALL SELECT id::VARCHAR, 'an origin, but not listed as tainted' FROM x WHERE here AND origin IS NOT NULL AND NOT (there AND NOT direct)"
-            " UNION ALL SELECT id::VARCHAR, 'trusted, but listed' FROM x WHERE status = 'trusted' AND there"
-            " UNION ALL SELECT id::VARCHAR, 'unverified, but not listed as direct' FROM x WHERE status = 'unverified' AND NOT (there AND direct)"
-            " UNION ALL SELECT id::VARCHAR, 'verified, but listed as direct' FROM x WHERE status = 'verified' AND there AND direct"
-            " UNION ALL SELECT id::VARCHAR, 'verified, but not listed' FROM x WHERE status = 'verified' AND NOT there"
-            " UNION ALL SELECT id::VARCHAR, 'transitively verified, but listed' FROM x WHERE status = 'transitively-verified' AND there"
-            " UNION ALL SELECT id::VARCHAR, 'listed as shown, but no atom' FROM x WHERE there AND emitted AND NOT here"
-            " UNION ALL SELECT id::VARCHAR, 'listed as not shown, but an atom' FROM x WHERE there AND NOT emitted AND here",
+        "status_problems": ask(COMPARED + DISAGREE, "decl", "verdict", "status"),
+        "status_gate": ask(
+            COMPARED + DISAGREE + " UNION ALL SELECT 'report', 'the header says ' || (n + 1) || ', listed are ' || n FROM (SELECT count(*) AS n FROM listed)"
+            " UNION ALL SELECT id::VARCHAR, 'assumptions without a status' FROM x WHERE here AND status IS NULL AND id % 5 <> 0 UNION ALL SELECT id::VARCHAR, 'no assumptions' FROM x WHERE here AND status IS NOT NULL AND id % 5 = 0 UNION ALL SELECT id::VARCHAR, 'assumptions unsorted or repeated' FROM x WHERE here AND status IS NOT NULL AND id % 5 = 1"
+            " UNION ALL SELECT id::VARCHAR, 'tainted without the placeholder among its assumptions' FROM x WHERE here AND (status = 'unverified' OR origin IS NOT NULL) AND id % 5 IN (1, 3, 4)",
             "decl",
             "verdict",
             "status",

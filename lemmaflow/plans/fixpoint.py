@@ -1,54 +1,105 @@
-"""Recursive queries as semi-naive DataFrame loops.
-
-Every graph fact of this engine is a least fixpoint of linear rules, so one loop serves
-them all: extend the newest facts by one join, keep what is new, stop when nothing is.
-Each round is written to the shared folder, which cuts lineage and survives the loss of
-executors; nothing but counts come to the driver.
+"""Recursive queries as semi-naive DataFrame loops over state that stays where it is.
+
+Every graph fact of this engine is a least fixpoint of linear rules: what a node knows,
+all nodes with an edge to it know too. One loop serves them all. Facts are bits of
+64-bit words, so many labels of a node are one row. Edges and facts are written in
+buckets by node, each round appending its own, so a round joins them where they lie: its
+one exchange is that of the new facts. The tables are in the shared folder, which cuts
+lineage and survives the loss of executors; nothing but counts come to the driver.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaflow.plans.scratch import written, written_with
+from lemmaflow.plans.scratch import Buckets, written, written_with
 
+#: Edges of one bucket, up to as many buckets as the session has shuffle partitions.
+EDGES_PER_BUCKET = 1 << 13
+#: A round over at most so many new rows takes several steps, since its cost is that of a job.
+FEW_ROWS, HOPS = 1 << 17, 3
+#: Levels that a recursive query walks before the loop takes over.
+LEVELS = 4
+#: A node with more than this share of a bucket's edges, or more than so many, is a hub.
+HUB_SHARE, LEAST_HUB = 4, 100_000
 #: Shortcuts may make an edge table this many times as large.
 MOST_GROWTH = 3
-#: Steps that one round takes.
-HOPS = 3
-#: Tables that make up what is known before they are written as one.
-MOST_PARTS = 8
 
 
-def least_fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], hops: int = HOPS) -> DataFrame:
-    """All rows reachable from ``start``: ``step`` maps the newest rows to candidates of the same columns.
+def walker(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which tables that are bucketed by one of several join keys are joined as they lie."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
+def one_step(new: DataFrame, back: DataFrame, hubs: DataFrame | None, buckets: int) -> DataFrame:
+    """What follows from the facts ``new`` (id, word, bits) in one step, laid by node.
 
-    A round takes ``hops`` steps in one job, each without what earlier rounds know. Rows
-    that first appear at its last step are the next round's start: what follows from the
-    others is in the round already. How many there are is counted while they are
-    written, and the tables of past rounds are put together from time to time.
+    Edges into hubs aren't bucketed with the others: a shuffle that splits skewed
+    partitions joins them, and only the new facts of hubs meet them.
     """
-    keys = start.columns
-    one = F.count(F.lit(1))
-    frontier, seen = written_with(start.distinct(), "frontier", n=one)
-    known, parts, left = frontier, 1, seen["n"]
-    while left:
-        new, found = frontier, []
-        for k in range(1, hops + 1):
-            new = step(new).select(*keys).distinct().join(known, keys, "left_anti")
-            found.append(new.withColumn("_hop", F.lit(k)))
-        fresh = functools.reduce(DataFrame.union, found).groupBy(*keys).agg(F.min("_hop").alias("_hop"))
-        fresh, seen = written_with(fresh, "fresh", n=one, last=F.count_if(F.col("_hop") == hops))
-        frontier, left = fresh.where(F.col("_hop") == hops).select(*keys), seen["last"]
-        if seen["n"]:
-            known, parts = known.union(fresh.select(*keys)), parts + 1
-        if parts > MOST_PARTS and left:
-            known, parts = written(known, "known"), 1
-    return known
+    step = back.join(new, "id").select(F.col("src").alias("id"), "word", "bits")
+    if hubs is not None:
+        step = step.union(hubs.join(new, "id").select(F.col("src").alias("id"), "word", "bits"))
+    return step.repartition(buckets, "id").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def a_round(facts: DataFrame, last: int, back: DataFrame, hubs: DataFrame | None, buckets: int, hops: int) -> DataFrame:
+    """The facts (id, word, bits, fresh) that follow from those of round ``last`` in ``hops`` steps and aren't among ``facts``.
+
+    ``fresh`` are the bits first met by the last step: what follows from the others is
+    found in this round. With one step, the only exchange is that of the new facts.
+    """
+    new = facts.where(F.col("round") == last).select("id", "word", F.col("fresh").alias("bits")).where("bits <> 0")
+    step = one_step(new, back, hubs, buckets)
+    if hops == 1:
+        found = step.withColumn("early", F.lit(0).cast("bigint"))
+    else:
+        steps = [step.withColumn("early", F.col("bits"))]
+        for k in range(1, hops):
+            step = one_step(step, back, hubs, buckets)
+            steps.append(step.withColumn("early", F.col("bits") if k < hops - 1 else F.lit(0).cast("bigint")))
+        found = steps[0]
+        for more in steps[1:]:
+            found = found.union(more)
+        found = found.repartition(buckets, "id").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("early").alias("early"))
+    had = facts.groupBy("id", "word").agg(F.bit_or("bits").alias("had"))
+    without = lambda c, gone: F.col(c).bitwiseAND(F.bitwise_not(gone))
+    fresh = found.join(had, ["id", "word"], "left").select("id", "word", "early", without("bits", F.coalesce("had", F.lit(0).cast("bigint"))).alias("bits"))
+    return fresh.where("bits <> 0").select("id", "word", "bits", without("bits", F.col("early")).alias("fresh"), F.lit(last + 1).alias("round"))
+
+
+def spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``start``'s facts (id, word, bits) at their nodes and at all from which those can be reached over ``edges`` (src, dst).
+
+    A fact is a set bit of a word; the result has a row for each node and word, or
+    several with different bits. Null ends of edges lead nowhere.
+    """
+    spark = edges.sparkSession
+    plain, seen = written_with(edges.where("src <> dst").select("src", F.col("dst").alias("id")).distinct(), "edges", n=F.count(F.lit(1)))
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), seen["n"] // EDGES_PER_BUCKET + 1))
+    most, hubs = max(LEAST_HUB, seen["n"] // (HUB_SHARE * n)), None
+    if seen["n"] > most:
+        busy = written(plain.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("id"), "hubs")
+        if not busy.isEmpty():
+            hubs, plain = written(plain.join(busy, "id", "left_semi"), "hub_edges"), plain.join(busy, "id", "left_anti")
+    own = walker(spark)
+    with Buckets(own, n) as at:
+        back, facts = at.table("edges"), at.table("facts")
+        at.add(plain.repartition(n, "id"), back)
+        first = start.where("id IS NOT NULL AND bits <> 0").repartition(n, "id").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+        count = {"n": F.count(F.lit(1)), "left": F.count_if(F.col("fresh") != 0)}
+        seen, k = at.add(first.select("id", "word", "bits", F.col("bits").alias("fresh"), F.lit(0).alias("round")), facts, **count), 0
+        met = None if hubs is None else own.read.schema(hubs.schema).parquet(hubs.inputFiles()[0].rsplit("/", 1)[0])
+        while seen["left"]:
+            seen = at.add(a_round(own.table(facts[0]), k, own.table(back[0]), met, n, HOPS if seen["left"] <= FEW_ROWS else 1), facts, **count)
+            k += 1
+        return spark.read.schema(own.table(facts[0]).schema).parquet(facts[1]).select("id", "word", "bits")
 
 
 def with_shortcuts(edges: DataFrame, most_growth: float = MOST_GROWTH, rounds: int = 2) -> DataFrame:
@@ -74,28 +125,45 @@ def with_shortcuts(edges: DataFrame, most_growth: float = MOST_GROWTH, rounds: i
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Nodes (id) from which a node of ``targets`` (id) can be reached over ``edges`` (src, dst), the targets among them."""
-    back = with_shortcuts(edges)
-    return least_fixpoint(targets.select("id"), lambda new: back.join(new, back["dst"] == new["id"]).select(F.col("src").alias("id")))
+    one = F.lit(1).cast("bigint")
+    return spread(with_shortcuts(edges), targets.select("id", F.lit(0).cast("bigint").alias("word"), one.alias("bits"))).select("id")
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nodes (id) that can be reached from ``sources`` (id), which are among them."""
-    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reaching(flipped, sources)
+    """Nodes (id) that can be reached from ``sources`` (id), which are among them.
+
+    The first levels are one recursive query. Spark's recursion has no UNION that drops
+    what earlier levels met, so it pays for few levels alone: whatever the last of them
+    still finds is where the loop goes on.
+    """
+    spark = edges.sparkSession
+    sql = f"""
+        WITH RECURSIVE near(id, level) MAX RECURSION LEVEL {LEVELS + 2} AS (
+          SELECT DISTINCT id, 0 FROM {{sources}} WHERE id IS NOT NULL
+          UNION ALL SELECT DISTINCT e.dst, level + 1 FROM near JOIN {{edges}} e ON e.src = near.id WHERE level < {LEVELS} AND e.dst IS NOT NULL)
+        SELECT id, min(level) AS level FROM near GROUP BY id LIMIT ALL"""
+    near, seen = written_with(spark.sql(sql, sources=sources.select("id"), edges=edges.select("src", "dst")), "near", far=F.max("level"))
+    if (seen["far"] or 0) < LEVELS:
+        return near.select("id")
+    return reaching(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), near.select("id"))
 
 
 def labels_reaching(edges: DataFrame, own: DataFrame) -> DataFrame:
-    """(id, label) pairs: each node holds its ``own`` (id, label) and those of every node it can reach."""
-    back = with_shortcuts(edges)
-    step = lambda new: back.join(new, back["dst"] == new["id"]).select(F.col("src").alias("id"), "label")
-    return least_fixpoint(own.select("id", "label"), step)
+    """(id, label) pairs: each node holds its ``own`` (id, label) and those of every node it can reach.
+
+    Labels are numbered where they lie, 64 to a word.
+    """
+    number = written(own.where("label IS NOT NULL").select("label").distinct().sortWithinPartitions("label").withColumn("k", F.monotonically_increasing_id()), "labels")
+    number = number.select("label", F.shiftright("k", 6).alias("word"), F.col("k").bitwiseAND(63).cast("int").alias("bit"))
+    start = own.join(number, "label").select("id", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    held = spread(with_shortcuts(edges), start)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)) != 0)
+    return held.select("id", "word", F.explode(bits).alias("bit")).join(number, ["word", "bit"]).select("id", "label")
 
 
 def closure_pairs(edges: DataFrame, through: DataFrame, stop: DataFrame) -> DataFrame:
     """(src, dst) with ``src`` in ``through``, ``dst`` in ``stop`` and only nodes of ``through`` between."""
     inner = edges.join(through.select(F.col("id").alias("src")), "src", "left_semi")
-    last = inner.join(stop.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    last = inner.join(stop.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("label"))
     middle = inner.join(through.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    back = with_shortcuts(middle)
-    step = lambda new: back.alias("m").join(new.alias("n"), F.col("m.dst") == F.col("n.src")).select(F.col("m.src").alias("src"), F.col("n.dst").alias("dst"))
-    return least_fixpoint(last, step)
+    return labels_reaching(middle, last.distinct()).select(F.col("id").alias("src"), F.col("label").alias("dst"))

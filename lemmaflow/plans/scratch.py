@@ -46,3 +46,34 @@ def written_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFram
     seen = Observation()
     out = written(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
     return out, defaultdict(int, seen.get)
+
+
+class Buckets:
+    """Tables in the shared folder that are bucketed by the column ``id``, and so joined on it without a shuffle.
+
+    Buckets belong to a table's entry in the session's catalog. The entries go when the
+    block ends; the files stay, for whoever reads them by path.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.names: list[str] = []
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def table(self, what: str) -> tuple[str, str]:
+        """A name for a table and the folder of its files."""
+        self.names.append(name := f"lemmaflow_{what}_{uuid.uuid4().hex}")
+        return name, f"{shared_folder(self.spark)}/lemmaflow/{name}"
+
+    def add(self, df: DataFrame, table: tuple[str, str], **measures: Column) -> dict:
+        """Appends ``df``, whose rows lie by bucket, and gives aggregates over its rows."""
+        seen = Observation()
+        df = df.observe(seen, *[m.alias(k) for k, m in measures.items()]) if measures else df
+        df.write.mode("append").format("parquet").option("compression", "zstd").option("path", table[1]).bucketBy(self.buckets, "id").saveAsTable(table[0])
+        return defaultdict(int, seen.get) if measures else {}

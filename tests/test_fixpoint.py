@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.plans.components import connected_components
-from lemmaflow.plans.fixpoint import closure_pairs, labels_reaching, least_fixpoint, reachable, reaching
+from lemmaflow.plans import fixpoint
+from lemmaflow.plans.fixpoint import closure_pairs, labels_reaching, reachable, reaching, spread
+from lemmaflow.plans.scratch import Buckets
 
 
 def edges(spark, pairs):
@@ -35,12 +37,27 @@ def test_who_reaches_the_targets(spark):
         assert ids(reaching(edges(spark, pairs), spark.createDataFrame([(t,) for t in targets], "id string"))) == search(pairs, targets)
 
 
-@pytest.mark.parametrize("hops", [1, 2, 5])
-def test_any_number_of_hops_a_round_gives_the_same(spark, hops):
-    pairs = [(str(k), str(k + 1)) for k in range(20)] + [("7", "2"), ("30", "31"), ("31", "30"), ("31", "5")]
-    e = edges(spark, pairs)
-    got = least_fixpoint(spark.createDataFrame([("9",)], "id string"), lambda new: e.join(new, e["dst"] == new["id"]).select(F.col("src").alias("id")), hops=hops)
-    assert sorted(r.id for r in got.collect()) == sorted(search(pairs, ["9"]))
+@pytest.mark.parametrize(("hops", "few", "bucket", "hub"), [(1, 1000, 1 << 16, 1000), (2, 1000, 4, 1000), (5, 3, 8, 1000), (3, 1000, 4, 3)])
+def test_any_number_of_hops_buckets_and_hubs_gives_the_same(spark, monkeypatch, hops, few, bucket, hub):
+    for name, value in (("HOPS", hops), ("FEW_ROWS", few), ("EDGES_PER_BUCKET", bucket), ("LEAST_HUB", hub), ("HUB_SHARE", 1)):
+        monkeypatch.setattr(fixpoint, name, value)
+    pairs = [(str(k), str(k + 1)) for k in range(20)] + [("7", "2"), ("30", "31"), ("31", "30"), ("31", "5"), ("4", "4"), (None, "9"), ("3", None)] + [(f"h{k}", "9") for k in range(20)] + [("h1", "h2"), ("x", "h7")]
+    facts = spark.createDataFrame([("9", 0, 1), ("9", 0, 4), ("9", 3, -1 << 63), ("2", 0, 2), (None, 0, 1)], "id string, word bigint, bits bigint")
+    got = spread(edges(spark, pairs), facts).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")).collect()
+    nine, two = (search([p for p in pairs if None not in p], [t]) for t in ("9", "2"))
+    assert {(r.id, r.word): r.bits for r in got} == {(v, 0): 5 * (v in nine) + 2 * (v in two) for v in nine | two} | {(v, 3): -1 << 63 for v in nine}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("lemmaflow_edges", "lemmaflow_facts"))]
+
+
+def test_a_round_exchanges_its_new_facts_alone(spark):
+    own = fixpoint.walker(spark)
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    with Buckets(own, 2) as at:
+        back, facts = at.table("edges"), at.table("facts")
+        at.add(own.range(50).selectExpr("id", "id + 1 AS src").repartition(2, "id"), back)
+        at.add(own.range(5).selectExpr("id", "0L AS word", "1L AS bits", "1L AS fresh", "0 AS round").repartition(2, "id"), facts)
+        plan = fixpoint.a_round(own.table(facts[0]), 0, own.table(back[0]), None, 2, 1)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
 
 
 def test_reachable_runs_forward(spark):

@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.operators import audit, gates
 from lemmaflow.sources import artifact as A
+from lemmaflow.sources.lines import lines_of, numbered, read_lines
 
 TOOL = {"name": "exporter", "version": "0.20.0"}
 
@@ -77,7 +79,7 @@ REPORT = """Project of 3 modules
 
 def test_status_gate(spark, tmp_path):
     data = {"probe:bad name": atom("unverified", assumptions=["sorryAx"]), "probe:b": atom("verified", assumptions=["ax", "sorryAx"], **{"status-origin": "kernel-taint"}), "probe:c": atom(assumptions=[]), "probe:t": atom("trusted", assumptions=["t"])}
-    report = lambda text: spark.createDataFrame([(text,)], "value string")
+    report = lambda text: lines_of(spark.createDataFrame([("r", text)], "path string, value string"))
     atoms = A.read_atoms(spark, save(tmp_path, data))
     assert gates.status_gate(atoms, report(REPORT)).count() == 0
     assert {r.problem for r in gates.status_gate(atoms, report(REPORT.replace("2 constant", "3 constant"))).collect()} == {"the header says 3, listed are 2"}
@@ -147,7 +149,7 @@ def test_example_artifact_passes_every_gate(spark, tmp_path):
     assert atoms.count() == 9 and A.invalid_atoms(atoms).count() == 0
     assert gates.graph_gate(spark, path, "exporter")["divergences"].count() == 0
     report = "2 constant(s) rest on an unexcused project sorry:\n  Example.open [direct]\n  Example.after\n"
-    assert gates.status_gate(atoms, spark.createDataFrame([(report,)], "value string")).count() == 0
+    assert gates.status_gate(atoms, lines_of(spark.createDataFrame([("r", report)], "path string, value string"))).count() == 0
     assert {r.name for r in gates.seeds(atoms).collect()} == {"probe:Example.open"}
     A.write_lines(atoms, str(tmp_path / "lines"))
     assert sorted(map(str, A.read_lines(spark, str(tmp_path / "lines")).collect())) == sorted(map(str, atoms.collect()))
@@ -167,3 +169,49 @@ def test_molecules_and_specification_entries(spark, tmp_path):
     assert back == {"a": (True, (1, 2)), "b": (False, None)}
     with pytest.raises(A.ArtifactError, match="no code-name"):
         A.read_molecules(spark, save(tmp_path, {"k": {"rust-path": ""}}))
+
+
+def plain_report(text):
+    """The listed constants and the last header's number, line by line."""
+    listed, said, seen, inside = {}, None, 0, False
+    for line in text.splitlines():
+        head = re.fullmatch(r"([0-9]+) constant\(s\) rest on an unexcused project sorry:", line)
+        if head:
+            inside, said = True, int(head[1])
+        elif not line.startswith("  "):
+            inside = False
+        elif inside:
+            seen += 1
+            m = re.fullmatch(r"(.*?)( \[direct\])?( \[not emitted\])?", line.strip())
+            listed[m[1]] = (m[2] is not None, m[3] is None)
+    return listed, said, seen
+
+
+def test_a_long_report_in_small_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    head = "{} constant(s) rest on an unexcused project sorry:"
+    lines = ["  not listed", head.format(7), "  early", "end"] + [head.format(100_000)]
+    lines += [f"  some name{k} {rng.choice(['', 'of [direct]', '[direct] [not emitted]', '[not emitted]', '[not emitted] [direct]'])} " for k in range(100_000)]
+    lines += ["  some name5", "", "  after an empty line", "3 trusted constant(s) (T):", "  t axiom"]
+    path = tmp_path / "report.txt"
+    path.write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        read = read_lines(spark, str(path))
+        listed, problems = gates.parse_report(read)
+        want, said, seen = plain_report("\n".join(lines))
+        assert read.select("block").distinct().count() > 10
+        assert {r.name: (r.direct, r.emitted) for r in listed.collect()} == want and len(want) >= 100_001
+        assert [tuple(r) for r in problems.collect()] == [("report", f"the header says {said}, listed are {seen}")]
+        assert [r.line for r in numbered(read).orderBy("line_no").collect()] == lines
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text", ["", "  x", "1 constant(s) rest on an unexcused project sorry:", "x\r\n1 constant(s) rest on an unexcused project sorry:\r\n  a [direct]\r\n   \r\nz"])
+def test_short_reports(spark, text):
+    listed, problems = gates.parse_report(lines_of(spark.createDataFrame([("r", text)], "path string, value string")))
+    want, said, seen = plain_report(text)
+    assert {r.name: (r.direct, r.emitted) for r in listed.collect()} == want
+    assert [r.problem for r in problems.collect()] == (["no tainted header"] if said is None else [] if said == seen else [f"the header says {said}, listed are {seen}"])
+    assert gates.parse_report(lines_of(spark.createDataFrame([], "path string, value string")))[1].first().problem == "no tainted header"
