@@ -56,7 +56,8 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     ``parts`` has (key, base, weak, breaks), one row a text. Parts that a base span
     covers are dropped, but still count as partners. The ends of parts and the breaks of
     a text stand in one order; the last end before a part, or the first beginning after
-    it, of each role is all that must be looked at.
+    it, of each role is all that must be looked at. Every frame grows as it goes, what
+    lies ahead in a descending order, so a text of n parts takes time as n.
     """
     ends = lambda x: F.array(*[F.struct(x[e].alias("at"), F.lit(e).alias("what"), x.alias("part")) for e in ("start", "stop")])
     stops = F.transform("breaks", lambda c: F.struct(c.alias("at"), F.lit("break").alias("what"), F.lit(None).cast("struct<start:int,kind:int,stop:int>").alias("part")))
@@ -64,7 +65,8 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     role = F.get(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("part.kind"))
     events = events.select("key", F.col("x.at").alias("at"), F.col("x.what").alias("what"), F.col("x.part").alias("part")).withColumn("role", role)
     order = Window.partitionBy("key").orderBy("at")
-    before, under, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(0, Window.unboundedFollowing)
+    before, under = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("key").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     pick = lambda what, r=None: F.when((F.col("what") == what) & (F.lit(True) if r is None else F.col("role") == r), F.col("at"))
     roles = sorted(set(ROLE.values()))
     seen = events.withColumns({
