@@ -29,12 +29,10 @@ SPAN = WINDOW - GRAM + 1
 LOW = np.uint64((1 << 26) - 1)
 SCAN_BYTES = 1 << 17
 LONG_PIECE = 1 << 24
-#: A place is an offset and, above it, 18 bits of the text's hash, which tell apart texts under one id.
-OFFSET_BITS, PART_BITS = 31, 18
 SHARD_RECORDS = 16_000
 HOT_RECORDS = 4_000
-#: Runs at one anchor that a task sorts.
-BUSY_RUNS = 100_000
+#: Runs at one anchor that a task sorts, and busier anchors, the busiest first, that are cut into parts.
+BUSY_RUNS, MOST_BUSY = 100_000, 10_000
 
 
 def pieces(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -81,11 +79,11 @@ def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, rec, doc, place): place packs the text's part, the anchor's byte offset, its distance from the first start and the run's length."""
+    """Rows (fp, rec, doc, place): place packs the anchor's byte offset, its distance from the first start and the run's length."""
     lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        doc, part = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
+        doc = batch.column("doc").to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         for rows, starts, stops in pieces(at):
             sizes = stops - starts
@@ -95,7 +93,7 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(sizes)
             gram, place, first, last, record = anchors_of(text, ends)
             piece = np.searchsorted(ends, place, side="right")
-            offset = (part[rows[piece]] << OFFSET_BITS) + place - (ends - sizes)[piece] + starts[piece] - at[rows[piece]]
+            offset = place - (ends - sizes)[piece] + starts[piece] - at[rows[piece]]
             out.append((gram.view(np.int64), record.view(np.int64), doc[rows[piece]], (offset << 14) | ((place - first) << 7) | (last - first)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["fp", "rec", "doc", "place"])
@@ -106,16 +104,16 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        wanted, part = batch.column("runs"), batch.column("part").to_numpy() << OFFSET_BITS
+        wanted = batch.column("runs")
         counts = np.diff(np.asarray(wanted.offsets))
         runs = wanted.flatten()
         row = np.repeat(np.arange(len(counts)), counts)
         place = runs.field("place").to_numpy()
-        start = at[row] + (place >> 14) - part[row] - ((place >> 7) & 127)
+        start = at[row] + (place >> 14) - ((place >> 7) & 127)
         stop = start + (place & 127) + WINDOW
         ok = (start >= at[row]) & (stop <= at[row + 1])
         text = pa.array([data[a:b].tobytes() for a, b in zip(start[ok], stop[ok], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(runs.field("fp").to_numpy()[ok]), pa.array(batch.column("doc").to_numpy()[row[ok]]), pa.array((start - at[row] + part[row])[ok]), text], names=["fp", "doc", "start", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(runs.field("fp").to_numpy()[ok]), pa.array(batch.column("doc").to_numpy()[row[ok]]), pa.array((start - at[row])[ok]), text], names=["fp", "doc", "start", "bytes"])
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,15 +250,14 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lean()
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        spans, part = batch.column("spans").to_pylist(), (batch.column("part").to_numpy() << OFFSET_BITS).tolist()
+        spans = batch.column("spans").to_pylist()
         n_removed, n_spans, digests = [], [], []
         for k, own in enumerate(spans):
             text = data[at[k] : at[k + 1]]
-            own = [(s["start"] - part[k], s["stop"] - part[k]) for s in own or () if s["start"] >> OFFSET_BITS == part[k] >> OFFSET_BITS]
             if own:
                 step = np.zeros(len(text) + 1, np.int64)
-                np.add.at(step, [a for a, _ in own], 1)
-                np.add.at(step, [b for _, b in own], -1)
+                np.add.at(step, [x["start"] for x in own], 1)
+                np.add.at(step, [x["stop"] for x in own], -1)
                 gone = np.cumsum(step)[:-1] > 0
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
@@ -275,38 +272,38 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_anchors(seen: DataFrame, busy: int) -> DataFrame:
     """(fp, doc, place, whole): the runs at anchors that occur again, and whether an earlier run of the same bytes makes the whole run a repeat; first runs stay only where other runs at the anchor differ.
 
-    Runs at one anchor are told apart by a window. Anchors of over ``busy`` runs are cut
-    into parts for it, so that no task sorts one alone; what a window over a part can't
-    know, the first run of its kind and whether kinds differ, is a partial aggregate
-    over these anchors alone and joined to them.
+    Runs at one anchor are told apart by a window. Anchors of over ``busy`` runs, the
+    ``MOST_BUSY`` busiest, are cut into parts for it, so that no task sorts one alone. A
+    run that isn't the first of its bytes in its part is a repeat whatever other parts
+    hold; the parts' firsts alone, which are few where runs are alike, are compared again.
     """
-    hot = written(seen.groupBy("fp").agg(F.count("*").alias("runs")).where(F.col("runs") > busy), "busy-anchors")
-    none = hot.isEmpty()
-    if not none:
-        seen = seen.join(hot, "fp", "left")
-    part = F.lit(0) if none else F.when(F.col("runs").isNotNull(), F.pmod(F.xxhash64("doc"), F.ceil(F.col("runs") / busy))).otherwise(F.lit(0))
+    counts = written(seen.groupBy("fp").agg(F.count("*").alias("runs")).where(F.col("runs") > busy), "busy-anchors")
+    hot = [r["fp"] for r in counts.orderBy(F.desc("runs"), "fp").limit(MOST_BUSY).collect()]
+    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = seen.withColumn("hot", is_hot).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "place"), F.lit(parts))).otherwise(0))
     age = F.rank().over(Window.partitionBy("fp", "part", "rec").orderBy("doc", "place"))
     alike = Window.partitionBy("fp", "part")
-    ranked = seen.withColumn("part", part).withColumn("late", age > 1).withColumn("n", F.count("*").over(alike)).withColumn("varied", F.min("rec").over(alike) != F.max("rec").over(alike))
-    if not none:
-        kinds = seen.where("runs IS NOT NULL").groupBy("fp", "rec").agg(F.min(F.struct("doc", "place")).alias("first"))
-        kinds = written(kinds, "busy-kinds")
-        mixed_anchors = kinds.groupBy("fp").agg((F.count("*") > 1).alias("mixed"))
-        ranked = ranked.join(kinds.join(mixed_anchors, "fp"), ["fp", "rec"], "left")
-        busy_one = F.col("mixed").isNotNull()
-        ranked = ranked.withColumn("late", F.when(busy_one, F.struct("doc", "place") > F.col("first")).otherwise(F.col("late")))
-        ranked = ranked.withColumn("varied", F.coalesce("mixed", "varied")).withColumn("n", F.when(busy_one, F.lit(2)).otherwise(F.col("n")))
-    return ranked.where("n > 1 AND (late OR varied)").select("fp", "doc", "place", F.col("late").alias("whole"))
+    ranked = cut.withColumn("late", age > 1).withColumn("n", F.count("*").over(alike)).withColumn("varied", F.min("rec").over(alike) != F.max("rec").over(alike))
+    kept = ranked.where("hot OR n > 1 AND (late OR varied)").select("fp", "rec", "doc", "place", F.col("late").alias("whole"), (F.col("hot") & ~F.col("late")).alias("open"))
+    if not hot:
+        return kept.select("fp", "doc", "place", "whole")
+    kept = written(kept, "runs")
+    firsts = kept.where("open")
+    mixed_up = [r["fp"] for r in firsts.groupBy("fp").agg((F.min("rec") != F.max("rec")).alias("varied")).where("varied").collect()]
+    ever = F.rank().over(Window.partitionBy("fp", "rec").orderBy("doc", "place"))
+    settled = firsts.withColumn("whole", ever > 1).where(F.col("whole") | (F.col("fp").isin(mixed_up) if mixed_up else F.lit(False)))
+    return kept.where("NOT open").union(settled).select("fp", "doc", "place", "whole")
 
 
 def repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
-    """(doc, start, stop): byte ranges whose union is what to remove; their upper bits are the text's ``part``. ``docs`` has ``doc``, ``part`` and ``text``."""
+    """(doc, start, stop): byte ranges whose union is what to remove. ``docs`` has ``doc``, which has one text, and ``text``."""
     seen = written(repeated_anchors(docs.mapInArrow(anchored, "fp bigint, rec bigint, doc bigint, place bigint"), busy), "anchors")
     begin = F.expr("shiftright(place, 14) - (shiftright(place, 7) & 127)")
     whole = seen.where("whole").select("doc", begin.alias("start"), (begin + F.expr("place & 127") + WINDOW).alias("stop"))
     open_runs = seen.where("NOT whole")
     by_doc = open_runs.groupBy("doc").agg(F.collect_set(F.struct("fp", "place")).alias("runs"))
-    found = docs.join(by_doc, "doc").dropDuplicates(["doc", "part"]).mapInArrow(fetched, "fp bigint, doc bigint, start bigint, bytes binary")
+    found = docs.join(by_doc, "doc").dropDuplicates(["doc"]).mapInArrow(fetched, "fp bigint, doc bigint, start bigint, bytes binary")
     records = written(found, "records")
     hot = records.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT_RECORDS)
     shards = max(1, records.count() // SHARD_RECORDS)
@@ -320,6 +317,21 @@ def repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
     return whole.union(repeats.where("NOT hot").select("doc", "start", "stop")).union(across)
 
 
+def numbered(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (doc, text, ...) with a ``doc`` that no two different texts share.
+
+    Ids mostly have one text, and stay. If any has several, all texts are numbered by id,
+    then digest: ids and digests alone are sorted, over all tasks, and joined back.
+    """
+    marks = keyed.select("doc", F.unhex(F.sha2("text", 256)).alias("digest"))
+    if marks.groupBy("doc").agg((F.min("digest") != F.max("digest")).alias("several")).where("several").isEmpty():
+        return keyed
+    order = written(marks.distinct().orderBy("doc", "digest").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    rest = [c for c in keyed.columns if c != "doc"]
+    joined = keyed.withColumn("digest", F.unhex(F.sha2("text", 256))).join(order, ["doc", "digest"])
+    return written(joined.select(F.col("number").alias("doc"), *rest), "numbered")
+
+
 def drop_repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes left).
 
@@ -327,10 +339,10 @@ def drop_repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
     in the same text; strings are judged on the input. Null text is empty. A null doc_id
     counts as the smallest id. Rows that repeat an id with the same text are one
     document, and each gets its answer; different texts under one id are documents of
-    their own, in the order of their hashes. Texts under 100 bytes hold no string.
+    their own, in the order of their SHA-256. Texts under 100 bytes hold no string.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("bigint").alias("doc"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << PART_BITS)).alias("part"))
-    spans = repeated_spans(keyed.select("doc", "part", "text"), busy).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = keyed.join(spans, "doc", "left").select("doc_id", "part", "text", "spans")
+    keyed = numbered(docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("bigint").alias("doc"), text.alias("text")))
+    spans = repeated_spans(keyed.select("doc", "text"), busy).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = keyed.join(spans, "doc", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

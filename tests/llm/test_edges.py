@@ -1,10 +1,12 @@
 """Columns with clashing names, repeated ids, very long texts, and plain versions of what the operators decide."""
 
+import hashlib
 import json
 import math
 import random
 import re
 import struct
+import time
 from pathlib import Path
 
 import pytest
@@ -65,6 +67,29 @@ def test_different_texts_under_one_id(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(rows).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("busy", [100_000, 3])
+def test_thousands_of_texts_without_an_id(spark, busy):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    twice, line = word(150), word(130)
+    texts_ = [word(rng.randrange(60, 200)) for _ in range(1500)] + [twice + word(9) + twice] + [word(20) + line + word(k % 7) for k in range(500)]
+    rows = [(None, t) for t in texts_] + [(7, t) for t in texts_[1400:1600]] + [(3, texts_[1999]), (3, texts_[1999]), (4, line + "x"), (4, line + "y")]
+    number = {k: n for n, k in enumerate(sorted({(-1 if d is None else d, hashlib.sha256(t.encode()).digest()) for d, t in rows}))}
+    numbered = [(number[-1 if d is None else d, hashlib.sha256(t.encode()).digest()], t) for d, t in rows]
+    want = exact_spans(sorted(set(numbered)))
+    got = exactspans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), busy=busy).collect()
+    assert sorted((r.doc_id or -1, *r[1:]) for r in got) == sorted((d or -1, *want[n]) for (d, _), (n, _) in zip(rows, numbered, strict=True))
+    assert want[number[-1, hashlib.sha256(texts_[1500].encode()).digest()]][1] >= 150
+
+
+def test_many_parts_of_one_text_are_linked_in_linear_time(spark):
+    text = "".join(f"user=abc{k} " + ("https://h.example/x " if k % 2 else "\n\n") for k in range(50_000))
+    began = time.time()
+    found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().found
+    assert time.time() - began < 60
+    assert len(found) == 50_000 + 25_000 - 1  # the first stands alone in its paragraph
+
+
 def test_texts_of_several_megabytes(spark, marks):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
