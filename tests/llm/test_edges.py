@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lemmaflow.llm import decontaminate, exactspans, licenses, mixing, neardup, quality, secrets, suffixtree, toxicity
+from lemmaflow.llm import decontaminate, exactspans, licenses, mainhtml, mixing, neardup, quality, secrets, suffixtree, toxicity
 from lemmaflow.llm.columns import unused
 from tests.llm.test_operators import LOWER, exact_spans, sentence, split, texts
 
@@ -90,6 +90,36 @@ def test_many_parts_of_one_text_are_linked_in_linear_time(spark):
     assert len(found) == 50_000 + 25_000 - 1  # the first stands alone in its paragraph
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<a " * 1_700_000, None),
+        ("<a " * 1_700_000 + "><p>x</p>", "x"),
+        ('<a "' * 1_000_000 + "><p>x</p>", "x"),
+        ("<div>" * 100_000 + "x", "x"),
+        ("<div>" * 100_000 + "x" + "</div>" * 100_000 + "<p>y</p>", "x"),
+        ("<nav>" * 50_000 + "no" + "</nav>" * 50_000 + "<p>y</p>", "y"),
+        ("<svg>" * 100_000 + "<p>y</p>", "y"),
+        ("<!--" * 500_000, ""),
+        ("<p>y</p><!x" + "<!x" * 500_000, None),
+        ("<i>" * 50_000 + "</b>" * 50_000 + "y", "y"),
+        ("<p>y " + "&amp;" * 200_000, "y " + "&" * 200_000),
+    ],
+)
+def test_pages_that_are_broken_or_deep_take_seconds(source, text):
+    began = time.time()
+    page = mainhtml.Page(source)
+    best = page.best()
+    got = page.along({best[0]} if best else set()) or page.along(set())
+    assert time.time() - began < 20 and (text is None or got == text)
+
+
+@pytest.mark.parametrize("name", ["social-policy", "share-price", "related-work", "menu-history", "alert-levels", "banner-art", "comments-on-law"])
+def test_a_noise_word_in_a_class_of_an_article_is_no_noise(name):
+    page = mainhtml.Page(f"<body><nav>no</nav><article><p>One two three.</p><section class='{name}'><p>Four five six.</p></section><div class='share-buttons'>no</div><div class='comments'><p>no</p></div><div class='ad-300x250'>no</div><div id='related_posts'>no</div></article><div class='{name}'>no</div></body>")
+    assert page.along({page.best()[0]}) == "One two three.\nFour five six."
+
+
 def test_texts_of_several_megabytes(spark, marks):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
