@@ -123,10 +123,47 @@ def with_shortcuts(edges: DataFrame, most_growth: float = MOST_GROWTH, rounds: i
     return edges
 
 
+def contracted(edges: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``edges`` (src, dst) without the nodes that only pass on what one other node knows, and (id, to): whose knowledge each of those has.
+
+    A node outside ``own`` (id) with one way out knows what its successor knows. Chains
+    of such nodes are followed by doubling, so one of n nodes takes log n rounds, not n.
+    Chains that end in a cycle of their own lead nowhere and go.
+    """
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    single = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).where("n = 1").select(F.col("src").alias("id"), "to")
+    alias, seen = written_with(single.join(own.select("id").distinct(), "id", "left_anti"), "alias", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return edges, None
+    gone, cyclic = alias.select("id"), True
+    for _ in range(seen["n"].bit_length() + 1):
+        jump = alias.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        alias, seen = written_with(alias.join(jump, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "alias", moved=F.count_if("moved"))
+        alias = alias.select("id", "to")
+        if not seen["moved"]:
+            cyclic = False
+            break
+    rest = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(alias.select(F.col("id").alias("dst"), "to"), "dst", "left").select("src", F.coalesce("to", "dst").alias("dst"))
+    if cyclic:
+        lost = gone.select(F.col("id").alias("to"))
+        alias = alias.join(lost, "to", "left_anti").select("id", "to")
+        rest = rest.join(lost.select(F.col("to").alias("dst")), "dst", "left_anti").select("src", "dst")
+    return rest, alias
+
+
+def known_everywhere(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``spread`` over fewer nodes and longer edges: what only passes facts on is left out and told at the end."""
+    rest, alias = contracted(edges, start)
+    held = spread(with_shortcuts(rest), start)
+    if alias is None:
+        return held
+    return held.union(alias.join(held.withColumnRenamed("id", "to"), "to").select("id", "word", "bits"))
+
+
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Nodes (id) from which a node of ``targets`` (id) can be reached over ``edges`` (src, dst), the targets among them."""
-    one = F.lit(1).cast("bigint")
-    return spread(with_shortcuts(edges), targets.select("id", F.lit(0).cast("bigint").alias("word"), one.alias("bits"))).select("id")
+    start = targets.select("id", F.lit(0).cast("bigint").alias("word"), F.lit(1).cast("bigint").alias("bits"))
+    return known_everywhere(edges, start).select("id")
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -156,7 +193,7 @@ def labels_reaching(edges: DataFrame, own: DataFrame) -> DataFrame:
     number = written(own.where("label IS NOT NULL").select("label").distinct().sortWithinPartitions("label").withColumn("k", F.monotonically_increasing_id()), "labels")
     number = number.select("label", F.shiftright("k", 6).alias("word"), F.col("k").bitwiseAND(63).cast("int").alias("bit"))
     start = own.join(number, "label").select("id", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
-    held = spread(with_shortcuts(edges), start)
+    held = known_everywhere(edges, start)
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)) != 0)
     return held.select("id", "word", F.explode(bits).alias("bit")).join(number, ["word", "bit"]).select("id", "label")
 

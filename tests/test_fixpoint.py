@@ -88,6 +88,26 @@ def test_a_long_chain_completes(spark):
     assert len(ids(reaching(edges(spark, chain), spark.createDataFrame([("60",)], "id string")))) == 61
 
 
+def test_a_chain_of_100000_completes(spark):
+    chain = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst")
+    assert reaching(chain, spark.createDataFrame([(100_000,)], "id bigint")).count() == 100_001
+    own = spark.createDataFrame([(100_000, "end"), (40_000, "middle"), (40_000, "end")], "id bigint, label string")
+    got = labels_reaching(chain, own).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {"end": 100_001, "middle": 40_001}
+
+
+def test_contraction_keeps_what_is_reached(spark):
+    rng = random.Random(13)
+    for size, many in ((60, 55), (40, 45), (25, 20)):
+        pairs = [(str(rng.randrange(size)), str(rng.randrange(size))) for _ in range(many)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("f", "d"), ("f", "0")]
+        targets = ["0", "7", str(size - 1)]
+        one = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+        rest, alias = fixpoint.contracted(edges(spark, pairs), one(targets))
+        assert rest.count() < len(set(pairs)) and not ids(alias) & set(targets)
+        assert {r[0] for r in rest.collect()}.isdisjoint(ids(alias))
+        assert ids(reaching(edges(spark, pairs), one(targets))) == search(pairs, targets)
+
+
 def test_closure_stops_at_emitted_nodes(spark):
     rng = random.Random(8)
     for _ in range(3):
