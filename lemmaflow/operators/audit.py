@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.names import is_realised_theorem
+from lemmaflow.operators.graph import merge_classes
 from lemmaflow.plans.fixpoint import reaching
 
 # Statuses and kinds that the gates look at.
@@ -99,3 +101,35 @@ def hidden_by_position(edge: DataFrame, closure: DataFrame, hosts: DataFrame) ->
     seen = own.select("src", "dst", F.lit(True).alias("in_type")).where("role = 'type'").union(own.select("src", "dst", F.lit(False).alias("in_type"))).distinct()
     lost = used.join(closure.select(F.col("src").alias("aux"), "dst"), "aux").where("src <> dst").select("src", "dst", "role", (F.col("role") == "type").alias("in_type")).distinct().join(seen, ["src", "dst", "in_type"], "left_anti")
     return used.groupBy("role").agg(F.count("*").alias("n_uses")).join(lost.groupBy("role").agg(F.count("*").alias("n_hidden")), "role", "left").select("role", "n_uses", F.coalesce("n_hidden", F.lit(0)).alias("n_hidden"))
+
+
+#: Names that a note lists.
+MOST_LISTED = 10
+
+
+def listings(found: DataFrame, most: int = MOST_LISTED) -> DataFrame:
+    """(note, n, names) of ``found`` (note, name): how many names a note has, and the first ``most`` of them in order, with what is left out counted.
+
+    Only the first names of each task's share travel, so a note may have any number.
+    """
+    rows = found.where("name IS NOT NULL").distinct()
+    order = Window.partitionBy("note").orderBy("name")
+    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    shown = first.groupBy("note").agg(F.array_sort(F.collect_list("name")).alias("shown"))
+    counts = rows.groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(", … and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return counts.join(shown, "note").select("note", "n", F.concat(F.array_join("shown", ", "), more).alias("names"))
+
+
+def run_notes(version: DataFrame, generated: DataFrame, ambiguous: DataFrame, roots: DataFrame, duplicates: DataFrame, collisions: DataFrame, most: int = MOST_LISTED) -> DataFrame:
+    """One table of what a run has to say: (note, n, names).
+
+    ``version`` (name, module, in_project) gives names that modules share, told apart by
+    whether the compiler made them; the others have one column ``name`` each.
+    """
+    classes = merge_classes(version)
+    kind = F.when(F.col("class") == "cross", F.lit("declared outside too")).when(is_realised_theorem(F.col("name")), F.lit("realised in several modules")).otherwise(F.lit("declared in several modules"))
+    found = classes.select(kind.alias("note"), "name")
+    for note, names in (("generated axioms", generated), ("several primary specifications", ambiguous), ("trusted roots", roots), ("repeated names", duplicates), ("colliding names", collisions)):
+        found = found.union(names.select(F.lit(note).alias("note"), F.col("name").cast("string").alias("name")))
+    return listings(found, most)

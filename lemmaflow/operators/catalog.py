@@ -233,6 +233,13 @@ def status_gate(g: Graph) -> DataFrame:
     return gates.status_gate(published, lines)
 
 
+def run_notes(g: Graph) -> DataFrame:
+    """Every note of a run over the derived tables; names of one statement in five are given the ending of what the compiler makes."""
+    version = g.version.withColumn("name", F.when(F.col("type_hash") == "h1", F.concat("name", F.lit(".eq_1"))).otherwise(F.col("name")))
+    named = lambda df, c: df.select(F.col(c).cast("string").alias("name"))
+    return A.run_notes(version, named(COLUMNS["generated_axioms"](g), "id"), named(COLUMNS["ambiguous_primary_specs"](g), "target"), named(COLUMNS["dependency_roots"](g), "root"), named(G.duplicate_names(g.decl), "code_name"), coimport_collisions(g).select("name"))
+
+
 def dump_of(g: Graph) -> Dump:
     """The derived declarations as a dump: names without meaning, one version each; auxiliaries are those without lines."""
     ref = lambda c: F.when(F.col(c) == D.SORRY, F.lit(T.SORRY)).otherwise(F.concat(F.lit("N"), F.col(c).cast("string")))
@@ -358,6 +365,7 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "status_problems": lambda g: gates.status_problems(*status_report(g)),
     "assumption_problems": assumption_problems,
     "status_gate": status_gate,
+    "run_notes": run_notes,
     "line_ranges": line_ranges,
     "rust_source": rust_source,
     "extract_command": extract_command,

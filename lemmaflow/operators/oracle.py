@@ -122,7 +122,7 @@ DISAGREE = (
 )
 
 
-def oracle_sql() -> dict[str, str]:
+def questions() -> dict[str, str]:
     return {
         "decl_kind": ask("SELECT id, CASE ctor_kind WHEN 'defn' THEN CASE WHEN is_aeneas_generated THEN 'instance' WHEN known_attribute THEN 'projection' WHEN carrier THEN 'abbrev' ELSE 'def' END WHEN 'thm' THEN CASE WHEN known_attribute THEN 'projection' ELSE 'theorem' END WHEN 'induct' THEN CASE WHEN tagged THEN 'class' WHEN aux THEN 'structure' ELSE 'inductive' END ELSE ctor_kind END AS kind FROM decl", "decl"),
         "internal_name_filter": ask(f"SELECT id, starts_with(name, '_') OR contains(name, '._') OR contains(name, '[') OR contains(name, 'proof_') OR contains(name, 'match_') OR {SUFFIX_TEST} AS is_internal, {SUFFIX_TEST} AS is_structural, regexp_matches({LAST}, '^(eq_def|eq_unfold|congr_simp|(eq|congr|hcongr|congr_eq)_[0-9]+)$') AS is_realised FROM decl", "decl"),
@@ -273,3 +273,23 @@ def oracle_sql() -> dict[str, str]:
         "line_ranges": ask("SELECT id, CAST(CASE WHEN id % 3 = 2 AND id % 2 = 1 THEN 0 ELSE id END AS INT) AS lines_start, CAST(CASE id % 3 WHEN 0 THEN id + 5 WHEN 1 THEN id + 7 ELSE CASE WHEN id % 2 = 1 THEN 0 ELSE id END END AS INT) AS lines_end FROM decl", "decl"),
         "rust_source": ask("SELECT id, CASE id % 4 WHEN 0 THEN 'src/' || kind || '.rs' WHEN 1 THEN '/root/.cargo/registry/x.rs' END AS source, id % 4 = 0 AS is_relevant FROM decl", "decl"),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    out = questions()
+    realised = "CAST(regexp_extract(name, '_([0-9]+)$', 1) AS INT) % 5 = 1"
+    made = lambda c: f"CASE WHEN {realised} THEN {c} || '.eq_1' ELSE {c} END"
+    notes = [
+        f"SELECT CASE WHEN {realised} THEN 'realised in several modules' ELSE 'declared in several modules' END AS note, {made('name')} AS name FROM ({out['merged_decls']})",
+        f"SELECT 'declared outside too', {made('name')} FROM ({out['cross_boundary']})",
+        f"SELECT 'generated axioms', id::VARCHAR FROM ({out['generated_axioms']})",
+        f"SELECT 'several primary specifications', target::VARCHAR FROM ({out['ambiguous_primary_specs']})",
+        f"SELECT 'trusted roots', root FROM ({out['dependency_roots']})",
+        f"SELECT 'repeated names', code_name FROM ({out['duplicate_names']})",
+        f"SELECT 'colliding names', name FROM ({out['coimport_collisions']})",
+    ]
+    out["run_notes"] = (
+        f"WITH found AS (SELECT DISTINCT note, name FROM ({' UNION ALL '.join(notes)})), placed AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY name) AS place FROM found)"
+        " SELECT note, count(*) AS n, string_agg(name, ', ' ORDER BY name) FILTER (place <= 10) || CASE WHEN count(*) > 10 THEN ', … and ' || (count(*) - 10) || ' more' ELSE '' END AS names FROM placed GROUP BY note"
+    )
+    return out

@@ -49,9 +49,7 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """(name, atom as variant), one row for each entry."""
-    docs = documents(spark, path)
-    docs.createOrReplaceTempView("lemmaflow_artifact")
-    return spark.sql("SELECT e.key AS name, e.value AS atom FROM lemmaflow_artifact, LATERAL variant_explode(body) AS e")
+    return spark.sql("SELECT e.key AS name, e.value AS atom FROM {docs} AS d, LATERAL variant_explode(d.body) AS e", docs=documents(spark, path))
 
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions.names import config_flag, has_suffix, output_name, toml_field
+from lemmaflow.sources.lines import numbered
 
 
 @dataclass
@@ -79,6 +80,47 @@ def default_atoms_path(listing: DataFrame, package: str, version: str) -> str |
     return listing.agg(F.coalesce(own, newest)).first()[0]
 
 
+def listed_files(spark: SparkSession, folder: str, pattern: str, deep: bool = False) -> DataFrame:
+    """(path, modified, size) of a folder's files by name, from the file system alone: nothing is read. A folder that isn't there is empty."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(folder)
+        return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modified timestamp, size bigint")
+
+
+def package_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of the files in ``folder`` that say what package it is."""
+    paths = [r["path"] for name in ("lakefile.toml", "lake-manifest.json") for r in listed_files(spark, folder, name).collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, text string")
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def find_atoms(spark: SparkSession, folder: str, commit: str | None = None) -> str | None:
+    """The artifact that belongs to the project in ``folder``: its own version's, or else the newest of the package by time."""
+    folder = folder.rstrip("/")
+    package, version = package_info(package_files(spark, folder), folder.rsplit("/", 1)[-1], commit)
+    return default_atoms_path(listed_files(spark, f"{folder}/{PROBES}", "*.json"), package, version)
+
+
+def source_lines(spark: SparkSession, folder: str, pattern: str = "*.lean") -> DataFrame:
+    """(path, line_no, text) of every source file under ``folder``, paths relative to it; hidden folders are left out.
+
+    Files are read in the blocks that Spark splits them into, so a file of any length is
+    the work of many tasks.
+    """
+    files = listed_files(spark, folder, pattern, deep=True)
+    if files.isEmpty():
+        return spark.createDataFrame([], "path string, line_no bigint, text string")
+    text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    root = F.lit(folder.rstrip("/").split("://")[-1].removeprefix("file:") + "/")
+    return numbered(lines).select(F.element_at(F.split("path", F.concat(F.lit(r"\Q"), root, F.lit(r"\E")), 2), -1).alias("path"), "line_no", F.col("line").alias("text"))
+
+
 def answers(lines: DataFrame, schema: str) -> DataFrame:
     """Helper output decoded: the last line with text of ``lines`` (line_no, value) as JSON."""
     last = lines.where("trim(value) <> ''").agg(F.max_by("value", "line_no").alias("value"))

@@ -215,3 +215,10 @@ def test_short_reports(spark, text):
     assert {r.name: (r.direct, r.emitted) for r in listed.collect()} == want
     assert [r.problem for r in problems.collect()] == (["no tainted header"] if said is None else [] if said == seen else [f"the header says {said}, listed are {seen}"])
     assert gates.parse_report(lines_of(spark.createDataFrame([], "path string, value string")))[1].first().problem == "no tainted header"
+
+
+def test_listings_are_capped(spark):
+    rows = [("a", f"n{k:03}") for k in range(25)] * 2 + [("b", "z"), ("b", "y"), ("b", None), ("c", None)] + [("d", str(k)) for k in range(10)]
+    got = {r.note: (r.n, r.names) for r in audit.listings(spark.createDataFrame(rows, "note string, name string")).collect()}
+    assert got == {"a": (25, ", ".join(f"n{k:03}" for k in range(10)) + ", … and 15 more"), "b": (2, "y, z"), "d": (10, ", ".join(map(str, range(10))))}
+    assert audit.listings(spark.createDataFrame([], "note string, name string")).count() == 0

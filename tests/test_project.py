@@ -1,6 +1,8 @@
 """Configuration, package files, workspace answers and targets."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,32 @@ def test_package_and_paths(spark):
     assert P.default_atoms_path(listing(("p/lean_other_3.json", 9)), "my-pkg", "1.2.0") is None
 
 
+def test_a_project_folder_alone(spark, tmp_path):
+    root = tmp_path / "proj"
+    (root / "My" / "Sub").mkdir(parents=True)
+    (root / ".hidden").mkdir()
+    assert P.find_atoms(spark, str(root)) is None and P.source_lines(spark, str(root)).count() == 0
+    (root / "lakefile.toml").write_text('name = "my-pkg"\nversion = "1.2.0"\n')
+    probes = root / ".verilib" / "probes"
+    probes.mkdir(parents=True)
+    for name, age in (("lean_my_pkg_0.9.json", 50), ("lean_my_pkg_1.0.json", 10), ("lean_other_2.json", 1), ("lean_my_pkg_1.1.txt", 0)):
+        (probes / name).write_text("{}")
+        os.utime(probes / name, (time.time() - age, time.time() - age))
+    assert P.find_atoms(spark, str(root)).endswith("/lean_my_pkg_1.0.json")
+    (probes / "lean_my_pkg_1.2.0.json").write_text("{}")
+    os.utime(probes / "lean_my_pkg_1.2.0.json", (0, 0))
+    assert P.find_atoms(spark, str(root) + "/").endswith("/lean_my_pkg_1.2.0.json")
+    files = {"My/A.lean": "theorem a : T\n  b\n\nend", "My/Sub/B.lean": "\n".join(f"line {k}" for k in range(3000)), "Top.lean": "x"}
+    for name, text in {**files, ".hidden/C.lean": "no", "My/note.txt": "no"}.items():
+        (root / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [tuple(r) for r in P.source_lines(spark, str(root)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted((name, k, line) for name, text in files.items() for k, line in enumerate(text.split("\n"), 1))
+
+
 def test_answers_and_requests(spark):
     lines = spark.createDataFrame([(0, "shell hook says hello"), (1, '{"libs": ["A"]}'), (2, "  ")], "line_no int, value string")
     assert P.answers(lines, "libs array<string>").first().libs == ["A"]
