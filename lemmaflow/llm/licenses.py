@@ -297,7 +297,8 @@ def scan_licenses(docs: DataFrame, extra_rules: list[dict] | None = None) -> Dat
     ``detections`` holds (start, stop, priority, rank, label, score) in word positions,
     stop exclusive. ``score`` is that of the surest detection, 0.3 if only a base phrase
     stands, else 0. Null and empty texts have no words: counts 0, places null, labels
-    empty. ``extra_rules`` pass their own keywords alone, not the gate of the built-in
+    empty. A text's words meet all keywords once; only rules of those that it has are
+    tried. ``extra_rules`` pass their own keywords alone, not the gate of the built-in
     ones. Rows are judged one by one, so ties and repeated rows don't matter. Columns of
     ``docs`` stay, apart from those that carry the names added here.
     """
@@ -312,7 +313,10 @@ def scan_licenses(docs: DataFrame, extra_rules: list[dict] | None = None) -> Dat
     wanted = lambda rows: F.filter(table(rows), lambda r: F.exists(r["keywords"], lambda k: w.contains(F.concat(F.lit(" "), k, F.lit(" ")))))
     hits = lambda rows: F.flatten(F.transform(wanted(rows), lambda r: places(w, r)))
     none = F.array().cast(FOUND)
-    found = F.when(w.rlike(GATE), hits(rules())).otherwise(none)
+    built_in = rules()
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in built_in for k in r["keywords"]})])
+    of_words = lambda there: F.flatten(F.transform(F.filter(table(built_in), lambda r: F.arrays_overlap(r["keywords"], there)), lambda r: places(w, r)))
+    found = F.when(w.rlike(GATE), let(F.array_intersect(F.split(w, " "), keywords), of_words)).otherwise(none)
     df = df.withColumn("found", F.concat(found, hits(extra)) if extra else found)
     df = df.withColumn("detections", F.when(F.size("found") > 0, outermost(F.col("found"))).otherwise(none))
     label = F.create_map(*[F.lit(v) for kv in BASE.items() for v in kv])
