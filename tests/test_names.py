@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lemmaflow.functions import lexer
 from lemmaflow.functions import names as N
-from lemmaflow.functions.lexer import strip_lines, strip_sources, stripped
+from lemmaflow.functions.lexer import chunk_map, follow, strip_lines, strip_sources, stripped
 from lemmaflow.operators.headers import scan_headers
 
 
@@ -88,6 +90,48 @@ def test_lexer_against_a_plain_one():
         assert strip_lines(lines) == plain_code(lines), lines
 
 
+PIECES = ["--", "/-", "-/", "-/", '"', "'", "\\", "{", "}", "}", "!", 's!"', 'r#"', 'r##"', '"#', '"##', 'r"', "«", "x", "'n'", " ", "#"]
+
+
+def test_chunks_compose_to_the_lexer():
+    rng = random.Random(5)
+    for _ in range(3000):
+        lines = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 14))]
+        size, state, depth, at = rng.randrange(1, 5), "code", 0, lexer.Lexer()
+        for k in range(0, len(lines), size):
+            state, depth = follow(state, depth, chunk_map(lines[k : k + size]))
+            for line in lines[k : k + size]:
+                at.line(line)
+            assert (state, depth) == (at.state, at.depth), (lines, size, k)
+    for entry in [("comment", 3), ("hole", 2), ("inner", 5), ("raw", 2), ("raw", 9), ("text", 0), ("string", 0)]:
+        for _ in range(400):
+            lines = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 6))]
+            at = lexer.Lexer(*entry)
+            for line in lines:
+                at.line(line)
+            assert follow(*entry, chunk_map(lines)) == (at.state, at.depth), (entry, lines)
+
+
+def test_sources_in_chunks(spark, monkeypatch):
+    """Files of many chunks, with comments and strings over several of them, repeated and null lines."""
+    monkeypatch.setattr(lexer, "CHUNK", 64)
+    rng = random.Random(6)
+    files = {f: ["".join(rng.choice([*PIECES, *["word "] * 40]) for _ in range(rng.randrange(6))) for _ in range(n)] for f, n in (("a", 1), ("b", 700), ("c", 5000))}
+    rows = [(f, k, t or None) for f, lines in files.items() for k, t in enumerate(lines, 1)]
+    rng.shuffle(rows)
+    got = strip_sources(spark.createDataFrame(rows, "path string, line_no int, text string")).collect()
+    assert sorted((r.path, r.line_no, r.code) for r in got) == sorted((f, k, c) for f, lines in files.items() for k, c in enumerate(strip_lines(lines), 1))
+    assert strip_sources(spark.createDataFrame([], "path string, line_no int, text string")).count() == 0
+
+
+def test_chunks_take_time_as_they_are_long():
+    """Marks that close again and again, in every state."""
+    start = time.perf_counter()
+    for line in ("-/ -/", "}", '"#', '"} {"', "/- -/ -/"):
+        chunk_map([line] * lexer.CHUNK)
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize(
     ("source", "code"),
     [
