@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaflow.plans.scratch import shared_folder
+from lemmaflow.sources.jsonobject import DocumentError, read_members, surroundings
+
 # The atom's fields in the published document.
 LINES = "struct<`lines-start`:int,`lines-end`:int>"
 ALWAYS = [("display-name", "string"), ("kind", "string"), ("language", "string"), ("dependencies", "array<string>"), ("type-dependencies", "array<string>"), ("term-dependencies", "array<string>"), ("code-module", "string"), ("code-path", "string")]
@@ -28,38 +32,35 @@ class ArtifactError(ValueError):
     """A document that breaks the contract."""
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(body): the object of atoms of each document, unwrapped from an envelope: an object with a string ``schema`` and ``data``."""
-    text = spark.read.text(path, wholetext=True)
-    v = text.select(F.parse_json("value").alias("v"))
-    wrapped = F.schema_of_variant(F.try_variant_get("v", "$.schema", "variant")) == "STRING"
-    data = F.try_variant_get("v", "$.data", "variant")
-    return v.select(F.when(wrapped & data.isNotNull(), data).otherwise(F.col("v")).alias("body"))
-
-
 # The envelope around a document's data.
 ENVELOPE = "struct<schema:string,`schema-version`:string,tool:struct<name:string,version:string,command:string>,source:struct<repo:string,commit:string,language:string,package:string,`package-version`:string>,timestamp:string>"
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """What stands around the data of each document; null fields where it is bare."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
+    """What stands around the data of each document; null fields where it is bare. The data itself isn't parsed."""
+    return surroundings(spark, path).select(F.from_json("around", ENVELOPE).alias("e")).select("e.*")
 
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
-    """(name, atom as variant), one row for each entry."""
-    return spark.sql("SELECT e.key AS name, e.value AS atom FROM {docs} AS d, LATERAL variant_explode(d.body) AS e", docs=documents(spark, path))
+def entries(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """(name, atom as variant), one row for each entry of the documents at ``path``; with ``parts`` the files of a folder are one document.
 
+    An envelope is an object with a string ``schema`` and ``data``. A document of any
+    size is read by many tasks; see ``read_members``.
+    """
+    try:
+        return read_members(spark, path, parts).select("name", F.col("value").alias("atom"))
+    except DocumentError as e:
+        raise ArtifactError(str(e)) from e
 
-def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+
+def read_atoms(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """The atoms of an artifact, a column for each field, with the reader's defaults.
 
     Missing flags are false, but relevant and in-package are true; a missing language is
     ``lean``. A status origin or assumption list that is present but null, and a
     protected flag that is no boolean, are errors.
     """
-    return typed_atoms(entries(spark, path))
+    return typed_atoms(entries(spark, path, parts))
 
 
 def typed_atoms(found: DataFrame) -> DataFrame:
@@ -99,24 +100,54 @@ def quoted(text: Column) -> Column:
     return whole.substr(F.lit(2), F.length(whole) - 2)
 
 
-def write_document(rows: DataFrame, path: str, envelope: dict) -> None:
+def joined(spark: SparkSession, parts: str, path: str) -> None:
+    """One file, ``part-00000.json`` in the folder ``path``, of the part files in the folder ``parts``, joined as bytes in order of their names.
+
+    The file system has no way to join files that every store knows, so their bytes are
+    copied through a buffer of a megabyte; nothing is parsed or held.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    files, out_files = source.getFileSystem(conf), target.getFileSystem(conf)
+    if out_files.exists(target):
+        raise FileExistsError(path)
+    unfinished, whole = hadoop.fs.Path(target, "_whole"), hadoop.fs.Path(target, "part-00000.json")
+    out = out_files.create(unfinished)
+    try:
+        for part in sorted(str(s.getPath()) for s in files.listStatus(source) if s.getPath().getName().startswith("part-")):
+            read = files.open(hadoop.fs.Path(part))
+            try:
+                hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+            finally:
+                read.close()
+    finally:
+        out.close()
+    out_files.rename(unfinished, whole)
+
+
+def write_document(rows: DataFrame, path: str, envelope: dict, whole: bool = True) -> None:
     """Writes one JSON document of ``rows`` (name, body as JSON) as text, names in descending order; duplicate names keep one body.
 
-    ``envelope`` has schema, tool, source and timestamp. A JSON document is one file by
-    its nature, so one task writes it; ``write_lines`` writes tables of any size.
+    ``envelope`` has schema, tool, source and timestamp. Tasks write sorted ranges side by
+    side, which in order of their names are the document; ``whole`` joins them into one
+    file. Without it they stay as they are, for ``read_atoms`` with ``parts``.
     """
+    spark = rows.sparkSession
     head = json.dumps(envelope | {"schema-version": SCHEMA_VERSION}, indent=2)[:-2] + ',\n  "data": {'
     one = rows.groupBy("name").agg(F.min("body").alias("body"))
     lines = one.select("name", F.concat(F.lit("    "), quoted(F.col("name")), F.lit(": "), "body").alias("line"))
-    last = lines.agg(F.min("name")).first()[0]
-    lines = lines.select(F.lit(1).alias("part"), "name", F.concat("line", F.when(F.col("name") == F.lit(last), F.lit("")).otherwise(F.lit(","))).alias("line"))
-    frame = rows.sparkSession.createDataFrame([(0, "", head), (2, "", "  }\n}")], "part int, name string, line string")
-    lines.union(frame).orderBy("part", F.desc("name")).select("line").coalesce(1).write.text(path)
+    least = rows.agg(F.min("name")).first()[0]
+    lines = lines.select(F.lit(1).alias("part"), "name", F.concat("line", F.when(F.col("name") == F.lit(least), F.lit("")).otherwise(F.lit(","))).alias("line"))
+    frame = spark.createDataFrame([(0, "", head), (2, "", "  }\n}")], "part int, name string, line string")
+    parts = f"{shared_folder(spark)}/lemmaflow/document-{uuid.uuid4().hex}" if whole else path
+    lines.union(frame).orderBy("part", F.desc("name")).select("line").write.text(parts)
+    if whole:
+        joined(spark, parts, path)
 
 
-def write_artifact(atoms: DataFrame, path: str, envelope: dict) -> None:
+def write_artifact(atoms: DataFrame, path: str, envelope: dict, whole: bool = True) -> None:
     """The atoms as one document; see ``write_document``."""
-    write_document(atoms.select("name", atom_json(atoms).alias("body")), path, envelope)
+    write_document(atoms.select("name", atom_json(atoms).alias("body")), path, envelope, whole)
 
 
 def write_lines(atoms: DataFrame, path: str) -> None:

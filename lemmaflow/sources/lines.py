@@ -42,3 +42,17 @@ def numbered(lines: DataFrame) -> DataFrame:
     ahead = sizes.select("path", "block", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     own = lines.withColumn("_own", F.row_number().over(Window.partitionBy("path", "block").orderBy("place")))
     return own.join(ahead, ["path", "block"]).withColumn("line_no", F.col("_ahead") + F.col("_own")).drop("_own", "_ahead")
+
+
+def running(lines: DataFrame, **values: Column) -> DataFrame:
+    """``lines`` with the sums of whole numbers over the lines above in the same file, a column for each."""
+    names = list(values)
+    x = lines.withColumns({f"_v_{n}": v.cast("bigint") for n, v in values.items()})
+    above = lambda window, n, c: F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(n)
+    sums = x.groupBy("path", "block").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    down = Window.partitionBy("path").orderBy("block")
+    ahead = sums.select("path", "block", *[above(down, f"_a_{n}", f"_s_{n}") for n in names])
+    within = Window.partitionBy("path", "block").orderBy("place")
+    here = x.select("*", *[above(within, f"_o_{n}", f"_v_{n}") for n in names])
+    out = here.join(ahead, ["path", "block"]).withColumns({n: F.col(f"_a_{n}") + F.col(f"_o_{n}") for n in names})
+    return out.drop(*[f"_{k}_{n}" for k in "vao" for n in names])
