@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from lemmaflow.operators import graph as G
 from lemmaflow.operators import headers as H
 from lemmaflow.operators import trust as T
 from lemmaflow.operators.commands import Dump
-from lemmaflow.plans.scratch import written
+from lemmaflow.plans.scratch import shared_folder, written
 from lemmaflow.sources import derived as D
+from lemmaflow.sources.artifact import entries, write_document
 from lemmaflow.sources.tables import table
 
 
@@ -268,6 +270,20 @@ def check_axioms_command(g: Graph) -> DataFrame:
     return commands.check_axioms(dump_of(g))["tainted"].select("name", "is_emitted", "is_direct")
 
 
+def check_axioms_trusted(g: Graph) -> DataFrame:
+    return commands.check_axioms(dump_of(g))["trusted"].select("name", "reason", "is_statement_tainted")
+
+
+def document_entries(g: Graph) -> DataFrame:
+    """Declarations written as one document side by side and read back by cutting it; names and texts hold the marks that it is cut at."""
+    text = F.concat(F.lit('} "'), "kind", F.lit('": {\\'))
+    body = F.to_json(F.struct("kind", text.alias("text"), F.struct("lines_start").alias("place")))
+    path = f"{shared_folder(g.spark)}/lemmaflow/entries-{uuid.uuid4().hex}"
+    write_document(g.decl.select(F.concat(F.lit('probe:{"'), "id").alias("name"), body.alias("body")), path, {"schema": "x", "inputs": [{"data": {}}]}, whole=False)
+    value = lambda at, kind: F.try_variant_get("atom", at, kind)
+    return entries(g.spark, path, parts=True).select("name", value("$.kind", "string").alias("kind"), value("$.text", "string").alias("text"), value("$.place.lines_start", "int").alias("lines_start"))
+
+
 def viewify_command(g: Graph) -> DataFrame:
     shown = commands.extract(dump_of(g), skip_verify=True)
     return commands.viewify(commands.published(shown)).select("view_key", "code_lines")
@@ -370,7 +386,9 @@ COLUMNS: dict[str, Callable[[Graph], DataFrame]] = {
     "rust_source": rust_source,
     "extract_command": extract_command,
     "check_axioms_command": check_axioms_command,
+    "check_axioms_trusted": check_axioms_trusted,
     "viewify_command": viewify_command,
+    "document_entries": document_entries,
     "strip_comments": strip_comments,
 }
 

@@ -268,6 +268,8 @@ def questions() -> dict[str, str]:
             "c_first",
             "trusted",
         ),
+        "check_axioms_trusted": ask("SELECT 'N' || id AS name, reason, id IN (SELECT id FROM c_taint) AS is_statement_tainted FROM trusted", "c_taint", "trusted"),
+        "document_entries": ask("SELECT 'probe:{\"' || id AS name, kind, '} \"' || kind || '\": {\\' AS text, lines_start FROM decl", "decl"),
         "check_axioms_command": ask("SELECT 'N' || id AS name, NOT (SELECT aux FROM decl d WHERE d.id = c_taint.id) AS is_emitted, id IN (SELECT src FROM c_walk WHERE dst = -1) AS is_direct FROM c_taint", "c_taint", "decl"),
         "viewify_command": ask("SELECT replace(module, '.', '/') || '.lean/probe:N' || id AS view_key, (id + 1) || '-' || (id + 2) AS code_lines FROM decl WHERE in_project AND NOT aux AND ends_with(module, '.Funs')", "decl"),
         "line_ranges": ask("SELECT id, CAST(CASE WHEN id % 3 = 2 AND id % 2 = 1 THEN 0 ELSE id END AS INT) AS lines_start, CAST(CASE id % 3 WHEN 0 THEN id + 5 WHEN 1 THEN id + 7 ELSE CASE WHEN id % 2 = 1 THEN 0 ELSE id END END AS INT) AS lines_end FROM decl", "decl"),

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
-NAMES = "extract_command check_axioms_command viewify_command fold_classes primary_spec_rules ambiguous_primary_specs attribute_scan tag_audit head_lines fold_stats fixpoint_bodies companion_heads merged_location closure_problems loaded_differences missing_builds dependency_roots generated_axioms example_module already_contained shape_histogram proof_carriers hidden_by_position compare_artifacts added_dependencies status_problems status_gate run_notes assumption_problems rule3_candidates assumption_report assumption_category_counts artifact_diff status_counts unhide_contaminated import_closure decl_kind internal_name_filter emitted_decls trusted_base merged_trust walk_edges dependency_union external_split verification_status assumption_sets fold_recovered_edges merged_decls duplicate_versions coimport_collisions specs primary_spec derived_instance_clusters companion_theorems narrow_closure ownership owners_exact_cover view_molecules missing_dependencies graph_check line_ranges rust_source".split()
+NAMES = "document_entries check_axioms_trusted extract_command check_axioms_command viewify_command fold_classes primary_spec_rules ambiguous_primary_specs attribute_scan tag_audit head_lines fold_stats fixpoint_bodies companion_heads merged_location closure_problems loaded_differences missing_builds dependency_roots generated_axioms example_module already_contained shape_histogram proof_carriers hidden_by_position compare_artifacts added_dependencies status_problems status_gate run_notes assumption_problems rule3_candidates assumption_report assumption_category_counts artifact_diff status_counts unhide_contaminated import_closure decl_kind internal_name_filter emitted_decls trusted_base merged_trust walk_edges dependency_union external_split verification_status assumption_sets fold_recovered_edges merged_decls duplicate_versions coimport_collisions specs primary_spec derived_instance_clusters companion_theorems narrow_closure ownership owners_exact_cover view_molecules missing_dependencies graph_check line_ranges rust_source".split()
 
 
 @pytest.fixture(scope="module")
