@@ -2,8 +2,9 @@
 
 Earlier probabilities used in training are out-of-fold, so that a later model learns how
 far to trust them. Features are the distinct words of a text and four-letter word
-beginnings, those that tell the labels apart best. The models are fitted on a bounded
-sample of labelled rows; every document is scored whole.
+beginnings, those that tell the labels apart best. The models are fitted in one task on a
+bounded sample of labelled rows, and only their weights come to the driver; every document
+is scored whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lemmaflow.llm.bytescan import lean
 from lemmaflow.llm.columns import packed
+from lemmaflow.plans.scratch import written
 
 SAMPLE_ROWS = 12_000
 FEATURES = 2_048
@@ -43,10 +45,10 @@ def features(text: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Features and labels of at most ``rows`` labelled ids, those with the lowest hash; that bound lets them be broadcast."""
+    """Features and labels of at most ``rows`` labelled ids, those with the lowest hash; that bound lets them be broadcast. An id with several texts counts by the least."""
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
     return found.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), features(F.col("text")).alias("features"))
 
 
@@ -70,6 +72,12 @@ class Linear:
     def __init__(self, width: int):
         self.w, self.b = np.zeros(width), 0.0
 
+    @classmethod
+    def of(cls, w: list[float], extra: list[float], b: float) -> Linear:
+        model = cls(len(w))
+        model.w, model.extra, model.b = np.array(w, float), np.array(extra, float), b
+        return model
+
     def fit(self, x: Sparse, extra: np.ndarray, y: np.ndarray) -> Linear:
         n, k = len(y), extra.shape[1]
         mass = np.bincount(x.row, weights=np.abs(x.value), minlength=n) + extra.sum(axis=1) + 1.0
@@ -142,22 +150,43 @@ def fit_chain(x: Sparse, truth: dict[str, np.ndarray], folds: np.ndarray) -> lis
     return models
 
 
+MODEL = "place int, w array<double>, extra array<double>, b double"
+
+
+def trainer(names: list[str], odds: list[float]) -> Callable[[pa.Table], pa.Table]:
+    """Fits the chain on a table of training rows; its weights, a row for each model."""
+
+    def run(train: pa.Table) -> pa.Table:
+        lean()
+        train = train.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+        lists = listed(train.column("f"))
+        x = sparse(lists, pa.array(names, pa.string()), np.array(odds))
+        toxic = train.column("toxic").to_numpy() > 0
+        row, words = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), lists.flatten()
+        has = lambda ws: np.bincount(row[pc.is_in(words, value_set=pa.array(ws, pa.string())).to_numpy(zero_copy_only=False)], minlength=len(lists)) > 0
+        truth = {c: toxic & has(ws) for c, ws in CATEGORIES.items()} | {"toxic": toxic}
+        models = fit_chain(x, truth, train.column("fold").to_numpy())
+        return pa.table({
+            "place": pa.array(range(len(models)), pa.int32()),
+            "w": pa.array([m.w for m in models], pa.list_(pa.float64())),
+            "extra": pa.array([m.extra for m in models], pa.list_(pa.float64())),
+            "b": pa.array([m.b for m in models], pa.float64()),
+        })
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, width: int = FEATURES) -> tuple[list[str], np.ndarray, list[Linear]]:
     """The chosen features, their log odds and the chain. Without both classes in the sample there is no feature and no model."""
-    rows = sample(docs, labels, sample_rows)
+    rows = written(sample(docs, labels, sample_rows), "labelled")
     names, odds = telling(rows, width)
     if not names:
         return [], np.zeros(0), []
     lexicon = [w for ws in CATEGORIES.values() for w in ws]
     held = F.array(*[F.lit(w) for w in dict.fromkeys([*names, *lexicon])])
-    train = rows.select("doc_id", "toxic", "fold", F.array_intersect("features", held).alias("f")).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    lists = listed(train.column("f"))
-    x = sparse(lists, pa.array(names, pa.string()), np.array(odds))
-    toxic = train.column("toxic").to_numpy() > 0
-    row, words = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), lists.flatten()
-    has = lambda ws: np.bincount(row[pc.is_in(words, value_set=pa.array(ws, pa.string())).to_numpy(zero_copy_only=False)], minlength=len(lists)) > 0
-    truth = {c: toxic & has(ws) for c, ws in CATEGORIES.items()} | {"toxic": toxic}
-    return names, np.array(odds), fit_chain(x, truth, train.column("fold").to_numpy())
+    train = rows.select("doc_id", "toxic", "fold", F.array_intersect("features", held).alias("f"))
+    models = [Linear.of(r["w"], r["extra"], r["b"]) for r in train.groupBy().applyInArrow(trainer(names, odds), MODEL).orderBy("place").collect()]
+    return names, np.array(odds), models
 
 
 def scorer(names: list[str], odds: np.ndarray, models: list[Linear]) -> Callable:
