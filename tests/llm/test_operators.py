@@ -162,6 +162,13 @@ def test_toxicity(spark, labelled, empty):
     assert kept.columns == rows.columns and kept.count() == rows.count() - len(bad) - 1
 
 
+def test_a_labelled_id_trains_with_one_text_however_often_it_occurs(spark):
+    rows = spark.createDataFrame([(1, "beta word", "en", "s", 9)] * 40 + [(1, "alpha word", "en", "s", 10), (1, None, "en", "s", 0), (2, None, "en", "s", 0), (3, "no label", "en", "s", 8)], SCHEMA)
+    marks = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: (r.toxic, sorted(r.features)) for r in toxicity.sample(rows, marks, 10).collect()}
+    assert got == {1: (1, ["alpha", "word"]), 2: (0, [])} and toxicity.sample(rows, marks, 10).count() == 2
+
+
 def test_quality_counts(spark, docs, empty):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
