@@ -244,9 +244,9 @@ def check_axioms(dump: Dump) -> dict[str, DataFrame]:
     bad = a.verdict.where("verdict IN ('direct', 'tainted')")
     tainted = bad.join(a.decl.select("id", "name", "module", F.col("is_visible").alias("is_emitted")), "id").join(direct, "id", "left")
     base = a.trusted.join(a.decl.select("id", "name", "module", "type_pp"), "id").join(bad.select("id", F.lit(True).alias("is_statement_tainted")), "id", "left")
-    pairs = written(assumption_table(a), "pairs")
+    held = written(T.assumption_holders(a.decl, a.edge, a.trusted, T.SORRY, T.STANDARD_AXIOMS, extra=a.extra), "held")
     facts = a.decl.join(a.trusted, "id", "left").select("id", F.when(F.col("ctor_kind") == "axiom", F.lit("axiom")).otherwise(F.col("kind")).alias("kind"), "in_project", F.col("is_bv_decide_type").alias("is_bv_decide"), N.is_native_axiom(F.col("name")).alias("is_native"), "is_universe_typed", "axiom_version", "reason")
-    report = T.assumption_report(pairs, a.decl, T.assumption_category(facts, T.SORRY, T.STANDARD_AXIOMS, T.COMPILER_AXIOMS))
+    report = T.assumption_report(held, T.assumption_category(facts, T.SORRY, T.STANDARD_AXIOMS, T.COMPILER_AXIOMS))
     seen = a.decl.where("in_project AND is_visible")
     place = G.merged_location(a.constant.where("in_project").select(F.col("name_id").alias("name"), "module", "owner_module", F.lit(True).alias("selected"), "range_start", "range_end")).withColumnRenamed("name", "id")
     audit = H.tag_audit(seen, sources_of(seen.drop("module").join(place, "id"), dump).select("id", "attributes", "shows_tag", "names_tag"))

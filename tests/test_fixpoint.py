@@ -60,6 +60,15 @@ def test_a_round_exchanges_its_new_facts_alone(spark):
         assert plan.count("Exchange") == 1, plan
 
 
+def test_a_round_broadcasts_nothing(spark):
+    own = fixpoint.walker(spark)
+    with Buckets(own, 2) as at:
+        back, facts = at.table("edges"), at.table("facts")
+        at.add(own.range(50).selectExpr("id", "id + 1 AS src").repartition(2, "id"), back)
+        at.add(own.range(5).selectExpr("id", "0L AS word", "1L AS bits", "1L AS fresh", "0 AS round").repartition(2, "id"), facts)
+        assert "Broadcast" not in fixpoint.a_round(own.table(facts[0]), 0, own.table(back[0]), None, 2, 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reachable_runs_forward(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")])
     assert ids(reachable(e, spark.createDataFrame([("a",)], "id string"))) == set("abc")

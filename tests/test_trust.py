@@ -92,3 +92,29 @@ def test_folded_edges_skip_the_host(spark):
     closure = G.fold_closure(edge, frame(spark, [("aux",)], "id string"), frame(spark, [("H1",), ("H2",), ("L",)], "id string"))
     got = G.folded_edges(edge, closure, frame(spark, [("H1",), ("H2",)], "id string"))
     assert {(r.src, r.dst) for r in got.collect()} == {("H1", "L"), ("H2", "H1"), ("H2", "L")}
+
+
+def test_labels_in_use_and_their_holders_agree_with_the_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"n{k}" for k in range(40)]
+    inside = {n for k, n in enumerate(names) if k % 3}
+    trusted = [n for n in sorted(inside) if rng.random() < 0.25]
+    d = frame(spark, [(n, "axiom" if k % 4 == 0 else "def", n in inside) for k, n in enumerate(names)] + [("s", "axiom", False)], "id string, kind string, in_project boolean")
+    edge = frame(spark, [(rng.choice(names), rng.choice([*names, "s"]), rng.choice(["type", "value"])) for _ in range(60)] + [("n1", "s", "value")], "src string, dst string, role string")
+    given = (d, edge, frame(spark, [(n, "external") for n in trusted], "id string, reason string"), "s", ["n0", "n4"])
+    want = {}
+    for r in T.assumption_pairs(*given).collect():
+        want[r.label] = want.get(r.label, 0) + (r.id in inside)
+    want = {label: n for label, n in want.items() if n}
+    assert {r.label: r.n for r in T.assumption_holders(*given).collect()} == want
+    for each in ("labels_reaching", "label_counts"):
+        monkeypatch.setattr(T, each, None)
+    used = [r.label for r in T.labels_in_use(*given).collect()]
+    assert sorted(used) == sorted(want)
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    d = frame(spark, [("a", True), ("b", True)], "id string, in_project boolean")
+    edge, trusted = frame(spark, [("a", "b", "value")], "src string, dst string, role string"), frame(spark, [("b", "axiom")], "id string, reason string")
+    for df in (T.walk_edges(edge, d, trusted), T.verdicts(d, trusted, d.select("id"), d.select("id"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
