@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions.names import SPEC_ATTRIBUTES, SPEC_TARGET_KINDS, is_internal, is_structural_member, last_part, user_name
 from lemmaflow.plans.fixpoint import closure_pairs, reachable
+from lemmaflow.plans.scratch import sized
 
 VALUED = ["defn", "thm", "opaque"]
 
@@ -307,21 +308,26 @@ def ambiguous_primary_specs(spec: DataFrame, atom: DataFrame) -> DataFrame:
     return spec.join(tagged, "source", "left_semi").groupBy("target").agg(F.count_distinct("source").alias("n_tagged")).where("n_tagged > 1")
 
 
-def derived_instance_clusters(decl: DataFrame, cell: int = 64) -> DataFrame:
+def derived_instance_clusters(decl: DataFrame) -> DataFrame:
     """Ids (id) of instances strictly within the lines of an inductive, structure or class of their module, and of members under such an instance's name.
 
-    Lines are dealt into cells, so the range join is an equality join on module and
-    cell; a type meets an instance in the cell where the instance begins.
+    A declaration lies in a type that begins above it and ends no earlier, or begins no
+    later and ends below it: two running maxima over the lines of a module where
+    anything begins, one row a line, so no type meets a declaration as a pair.
     """
-    hosts = decl.where(F.col("kind").isin("inductive", "structure", "class")).select("module", F.col("range_start").alias("a"), F.col("range_end").alias("b"))
-    hosts = hosts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / cell), F.floor(F.col("b") / cell))))
-    placed = decl.where("range_start IS NOT NULL").withColumn("cell", F.floor(F.col("range_start") / cell))
-    covered = placed.join(hosts, ["module", "cell"]).where("a <= range_start AND range_end <= b AND (a < range_start OR range_end < b)")
-    covered = covered.select("id", "name", "kind", "module").distinct()
+    placed = decl.where("range_start IS NOT NULL")
+    host = F.col("kind").isin("inductive", "structure", "class")
+    line = placed.groupBy("module", "range_start").agg(F.max(F.when(host, F.col("range_end"))).alias("end"))
+    so_far = Window.partitionBy("module").orderBy("range_start")
+    above, upto = F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    line = line.select("module", "range_start", above.alias("above"), upto.alias("upto"))
+    covered = placed.join(sized(line), ["module", "range_start"]).where("above >= range_end OR upto > range_end").select("id", "name", "kind", "module")
     instances = covered.where("kind = 'instance'")
     parts = F.split("name", r"\.")
-    above = covered.withColumn("ancestor", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))))
-    members = above.join(instances.select(F.col("name").alias("ancestor"), "module").distinct(), ["ancestor", "module"], "left_semi")
+    named = covered.select("name", "module").distinct()
+    above = named.withColumn("ancestor", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))))
+    under = above.join(instances.select(F.col("name").alias("ancestor"), "module").distinct(), ["ancestor", "module"], "left_semi").select("name", "module").distinct()
+    members = covered.join(under, ["name", "module"], "left_semi")
     return instances.select("id").union(members.select("id")).distinct()
 
 

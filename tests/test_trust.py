@@ -118,3 +118,15 @@ def test_sides_that_grow_are_not_broadcast(spark):
     edge, trusted = frame(spark, [("a", "b", "value")], "src string, dst string, role string"), frame(spark, [("b", "axiom")], "id string, reason string")
     for df in (T.walk_edges(edge, d, trusted), T.verdicts(d, trusted, d.select("id"), d.select("id"))):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_types_and_declarations_of_a_module_never_meet_as_pairs(spark):
+    rng = random.Random(3)
+    rows = [(k, f"M.n{k % 9}" + (".x" if k % 4 == 0 else ""), f"m{k % 2}", a := rng.choice([None, *range(1, 200)]), a and a + rng.randrange(-2, 90), rng.choice(["structure", "class", "instance", "def"])) for k in range(300)]
+    d = frame(spark, rows, "id long, name string, module string, range_start int, range_end int, kind string")
+    inside = {r for r in rows if r[3] and any(h[5] in ("structure", "class") and h[3] and h[2] == r[2] and h[3] <= r[3] and r[4] <= h[4] and (h[3] < r[3] or r[4] < h[4]) for h in rows)}
+    made = {(r[1], r[2]) for r in inside if r[5] == "instance"}
+    found = G.derived_instance_clusters(d)
+    assert {r.id for r in found.collect()} == {r[0] for r in inside if any(m == r[2] and (r[1] == n or r[1].startswith(n + ".")) for n, m in made)}
+    plan = G.derived_instance_clusters(frame(spark, [(k, "M.n", "m", 1, 9, "structure") for k in range(50)], "id long, name string, module string, range_start int, range_end int, kind string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(FLOOR" not in plan and "module" in plan
