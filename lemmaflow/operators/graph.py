@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions.names import SPEC_ATTRIBUTES, SPEC_TARGET_KINDS, is_internal, is_structural_member, last_part, user_name
 from lemmaflow.plans.fixpoint import closure_pairs, reachable
-from lemmaflow.plans.scratch import sized
+from lemmaflow.plans.scratch import sized, written
 
 VALUED = ["defn", "thm", "opaque"]
 
@@ -177,11 +177,12 @@ def already_contained(message: Column) -> Column:
 
 
 def import_closure(module: DataFrame, module_import: DataFrame, targets: DataFrame) -> DataFrame:
-    """Modules of the build folder (module) reached from ``targets`` (module) over imports; those outside aren't followed."""
+    """Modules of the build folder (module) reached from ``targets`` (module) over imports, which are written once for all levels; those outside aren't followed."""
     inside = module.where("in_build_dir").select("module")
     edge = module_import.join(inside, "module", "left_semi").join(inside.select(F.col("module").alias("imported")), "imported", "left_semi")
+    edge = written(edge.select(F.col("module").alias("src"), F.col("imported").alias("dst")), "imports")
     start = targets.join(inside, "module", "left_semi").select(F.col("module").alias("id"))
-    return reachable(edge.select(F.col("module").alias("src"), F.col("imported").alias("dst")), start).withColumnRenamed("id", "module")
+    return reachable(edge, start).withColumnRenamed("id", "module")
 
 
 def unresolved_imports(module: DataFrame, module_import: DataFrame) -> DataFrame:
@@ -196,6 +197,7 @@ def closure_problems(module: DataFrame, module_import: DataFrame, targets: DataF
     target lies outside the build folder.
     """
     known = module.select("module")
+    module_import = written(module_import.select("module", "imported"), "imports")
     closure = import_closure(module, module_import, targets)
     lost = unresolved_imports(module, module_import.join(closure, "module", "left_semi")).select(F.col("imported").alias("module"), F.lit("unresolved").alias("problem"), F.col("module").alias("importer"))
     none = F.lit(None).cast("string")
