@@ -18,7 +18,7 @@ from lemmaflow.functions.lexer import strip_sources
 from lemmaflow.operators import graph as G
 from lemmaflow.operators import headers as H
 from lemmaflow.operators import trust as T
-from lemmaflow.plans.scratch import written
+from lemmaflow.plans.scratch import sized, written
 from lemmaflow.sources import artifact as A
 from lemmaflow.sources.project import Config, flagged
 
@@ -102,7 +102,7 @@ def analyse(dump: Dump, project: DataFrame | None = None) -> Analysis:
     constant = written(constant, "constant")
     inside = constant.where("in_project")
     own = inside.select("name_id").distinct()
-    outside = constant.where("NOT in_project AND is_kept").join(own, "name_id", "left_anti")
+    outside = constant.where("NOT in_project AND is_kept").join(sized(own), "name_id", "left_anti")
     edge = written(G.constant_edges(inside.unionByName(outside)), "edge")
     merges = written(G.merge_classes(constant.select(F.col("name_id").alias("name"), "module", "in_project")), "merges")
     several = merges.select(F.col("name").alias("id"))
@@ -118,14 +118,14 @@ def analyse(dump: Dump, project: DataFrame | None = None) -> Analysis:
         *[F.bool_or(F.col("is_kept") & F.col(c)).alias(c) for c in either],
     )
     axiom = G.axiom_versions(constant).withColumn("a", F.lit(True))
-    decl = decl.join(axiom, "id", "left").withColumn("axiom_version", F.coalesce("a", F.lit(False))).drop("a").withColumnRenamed("owner_module", "module")
+    decl = decl.join(sized(axiom), "id", "left").withColumn("axiom_version", F.coalesce("a", F.lit(False))).drop("a").withColumnRenamed("owner_module", "module")
     decl = decl.withColumn("kind", N.decl_kind(F.col("ctor_kind"), {k: F.col(k) for k in ("is_instance", "is_projection", "is_abbrev", "is_class", "is_structure")}))
     decl = decl.withColumns({"module_external": N.is_external_module(F.col("module")), "is_visible": ~N.is_internal(F.col("name")) & ~F.col("ctor_kind").isin("ctor", "rec") & F.col("has_range")})
     decl = written(G.companion_heads(decl), "decl")
-    plain = T.trust_base(decl.join(several, "id", "left_anti"))
+    plain = T.trust_base(decl.join(sized(several), "id", "left_anti"))
     kind = F.when(F.col("ctor_kind") == "axiom", F.lit("axiom")).otherwise(F.lit("other"))
     versions = inside.select(F.col("name_id").alias("id"), "module", kind.alias("kind"), N.is_external_module(F.col("module")).alias("module_external"), F.when(F.col("ctor_kind") == "thm", F.lit(True)).otherwise(F.col("type_is_prop")).alias("type_is_prop"))
-    trusted = written(plain.union(T.merged_trust(versions.join(several, "id", "left_semi"))), "trusted")
+    trusted = written(plain.union(T.merged_trust(versions.join(sized(several), "id", "left_semi"))), "trusted")
     walk = written(T.walk_edges(edge, decl, trusted), "walk")
     verdict = written(T.verdicts(decl, trusted, T.tainted(walk, T.SORRY), T.direct_carriers(walk, T.SORRY)), "verdict")
     return Analysis(constant, project, decl, edge, G.outside_edges(constant), walk, trusted, verdict, merges)
@@ -147,9 +147,9 @@ def assumption_table(a: Analysis) -> DataFrame:
 
 def assumptions(a: Analysis) -> DataFrame:
     """(id, assumptions): sorted names, empty where a declaration rests on nothing."""
-    named = assumption_table(a).join(a.decl.select(F.col("id").alias("label"), "name"), "label", "left")
+    named = assumption_table(a).join(sized(a.decl.select(F.col("id").alias("label"), "name")), "label", "left")
     held = named.groupBy("id").agg(F.array_sort(F.collect_set(F.coalesce("name", "label"))).alias("assumptions"))
-    return a.decl.where("in_project").select("id").join(held, "id", "left").select("id", F.coalesce("assumptions", F.array().cast("array<string>")).alias("assumptions"))
+    return a.decl.where("in_project").select("id").join(sized(held), "id", "left").select("id", F.coalesce("assumptions", F.array().cast("array<string>")).alias("assumptions"))
 
 
 def sources_of(shown: DataFrame, dump: Dump) -> DataFrame:
@@ -157,11 +157,11 @@ def sources_of(shown: DataFrame, dump: Dump) -> DataFrame:
     path = N.module_path(F.col("module"))
     if dump.source_file is None:
         known = H.declared_attributes(shown, shown.sparkSession.createDataFrame([], "id string, attributes array<string>, head string"))
-        return shown.withColumn("code_path", path).join(known, "id")
+        return shown.withColumn("code_path", path).join(sized(known), "id")
     placed = written(H.located(path, dump.source_file, shown), "placed")
     code = written(strip_sources(dump.source_file), "code")
     scan = H.scan_headers(placed.select("id", F.col("code_path").alias("path"), "range_start", "range_end"), code)
-    return placed.join(H.declared_attributes(placed, scan), "id")
+    return placed.join(sized(H.declared_attributes(placed, scan)), "id")
 
 
 def extract(dump: Dump, config: Config | None = None, module_prefix: str | None = None, libraries: DataFrame | None = None, skip_verify: bool = False, skip_enrich: bool = False) -> DataFrame:
@@ -179,24 +179,24 @@ def extract(dump: Dump, config: Config | None = None, module_prefix: str | None
     versions = a.constant.where("in_project").join(chosen.select("module", F.lit(True).alias("s")), "module", "left").withColumn("selected", F.coalesce("s", F.lit(False)))
     place = G.merged_location(versions.select(F.col("name_id").alias("name"), "module", "owner_module", "selected", "range_start", "range_end")).withColumnRenamed("name", "id")
     shape = ~N.is_internal(F.col("name")) & ~F.col("ctor_kind").isin("ctor", "rec")
-    shown = written(a.decl.where(F.col("in_project") & shape).drop("module").join(place, "id"), "shown")
+    shown = written(a.decl.where(F.col("in_project") & shape).drop("module").join(sized(place), "id"), "shown")
     ids = shown.select("id")
     emitted = written(G.constant_edges(a.constant.where("in_project"), emitted=True), "emitted")
     classes = G.fold_classes(emitted.select(F.col("dst").alias("id")).union(a.decl.select("id")), a.decl)
-    foldable = classes.where("class = 'foldable'").select("id").join(ids, "id", "left_anti")
+    foldable = classes.where("class = 'foldable'").select("id").join(sized(ids), "id", "left_anti")
     closure = G.fold_closure(emitted, foldable, ids)
     folded = G.folded_edges(emitted, closure, ids).withColumn("role", F.lit("value"))
-    seen = a.decl.join(ids.withColumn("s", F.lit(True)), "id", "left").withColumn("is_shown", F.coalesce("s", F.lit(False)))
+    seen = a.decl.join(sized(ids.withColumn("s", F.lit(True))), "id", "left").withColumn("is_shown", F.coalesce("s", F.lit(False)))
     dropped = a.decl.where(N.is_internal(F.col("name"))).select("id").union(G.fixpoint_bodies(seen))
-    every = emitted.unionByName(folded).distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    every = emitted.unionByName(folded).distinct().join(sized(ids.withColumnRenamed("id", "src")), "src", "left_semi")
     selected_names = versions.where("selected").select(F.col("name_id").alias("id")).distinct()
     every = written(G.external_split(every, selected_names, dropped), "dependencies")
-    coded = every.join(a.decl.select(F.col("id").alias("dst"), N.with_prefix(F.col("name")).alias("code")), "dst", "left").withColumn("dst", F.coalesce("code", N.with_prefix(F.col("dst"))))
+    coded = every.join(sized(a.decl.select(F.col("id").alias("dst"), N.with_prefix(F.col("name")).alias("code"))), "dst", "left").withColumn("dst", F.coalesce("code", N.with_prefix(F.col("dst"))))
     inner, outer = G.dependency_arrays(coded.where("NOT external")), G.dependency_arrays(coded.where("external"))
-    atoms = shown.join(inner.withColumnRenamed("src", "id"), "id", "left").join(outer.select(F.col("src").alias("id"), F.col("type_deps").alias("type_deps_external"), F.col("term_deps").alias("term_deps_external")), "id", "left")
+    atoms = shown.join(sized(inner.withColumnRenamed("src", "id")), "id", "left").join(sized(outer.select(F.col("src").alias("id"), F.col("type_deps").alias("type_deps_external"), F.col("term_deps").alias("term_deps_external"))), "id", "left")
     made = G.companion_theorems(a.decl.where("in_project")).union(G.derived_instance_clusters(shown)).distinct().withColumn("made", F.lit(True))
     body = a.decl.select(F.regexp_replace("name", "_body$", "").alias("name"), F.col("docstring").alias("of_body")).where(a.decl["name"].endswith("_body")).groupBy("name").agg(F.min("of_body").alias("of_body"))
-    atoms = sources_of(atoms.join(made, "id", "left"), dump).join(body, "name", "left").withColumns({
+    atoms = sources_of(atoms.join(sized(made), "id", "left"), dump).join(sized(body), "name", "left").withColumns({
         "code_name": N.with_prefix(F.col("name")),
         "display_name": N.last_part(F.col("name")),
         "rust_source": F.coalesce(N.rust_source(F.col("docstring")), N.rust_source(F.col("body_docstring")), N.rust_source(F.col("of_body"))),
@@ -212,11 +212,11 @@ def extract(dump: Dump, config: Config | None = None, module_prefix: str | None
     atoms = flagged(atoms, config).withColumn("is_relevant", F.coalesce(N.is_relevant_source(F.col("rust_source"), config.relevant_crate), F.lit(False)))
     atoms = written(atoms, "atoms")
     relation = written(G.specs(atoms, every.where("NOT external AND role <> 'value'"), every.where("NOT external")), "specs")
-    listed = relation.join(atoms.select(F.col("id").alias("source"), "code_name"), "source").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("code_name")).alias("specs"))
-    best = G.primary_specs(relation, atoms).join(atoms.select(F.col("id").alias("source"), F.col("code_name").alias("primary_spec")), "source").select(F.col("target").alias("id"), "primary_spec")
-    out = atoms.join(listed, "id", "left").join(best, "id", "left").join(T.stamped(a.verdict, skip_enrich, skip_verify), "id", "left")
+    listed = relation.join(sized(atoms.select(F.col("id").alias("source"), "code_name")), "source").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("code_name")).alias("specs"))
+    best = G.primary_specs(relation, atoms).join(sized(atoms.select(F.col("id").alias("source"), F.col("code_name").alias("primary_spec"))), "source").select(F.col("target").alias("id"), "primary_spec")
+    out = atoms.join(sized(listed), "id", "left").join(sized(best), "id", "left").join(sized(T.stamped(a.verdict, skip_enrich, skip_verify)), "id", "left")
     if not skip_verify:
-        out = out.join(assumptions(a), "id", "left")
+        out = out.join(sized(assumptions(a)), "id", "left")
     return out if skip_enrich else T.unhidden(out)
 
 
@@ -242,14 +242,14 @@ def check_axioms(dump: Dump) -> dict[str, DataFrame]:
     a = analyse(dump)
     direct = T.direct_carriers(a.walk, T.SORRY).withColumn("is_direct", F.lit(True))
     bad = a.verdict.where("verdict IN ('direct', 'tainted')")
-    tainted = bad.join(a.decl.select("id", "name", "module", F.col("is_visible").alias("is_emitted")), "id").join(direct, "id", "left")
-    base = a.trusted.join(a.decl.select("id", "name", "module", "type_pp"), "id").join(bad.select("id", F.lit(True).alias("is_statement_tainted")), "id", "left")
+    tainted = bad.join(sized(a.decl.select("id", "name", "module", F.col("is_visible").alias("is_emitted"))), "id").join(sized(direct), "id", "left")
+    base = a.trusted.join(sized(a.decl.select("id", "name", "module", "type_pp")), "id").join(sized(bad.select("id", F.lit(True).alias("is_statement_tainted"))), "id", "left")
     held = written(T.assumption_holders(a.decl, a.edge, a.trusted, T.SORRY, T.STANDARD_AXIOMS, extra=a.extra), "held")
-    facts = a.decl.join(a.trusted, "id", "left").select("id", F.when(F.col("ctor_kind") == "axiom", F.lit("axiom")).otherwise(F.col("kind")).alias("kind"), "in_project", F.col("is_bv_decide_type").alias("is_bv_decide"), N.is_native_axiom(F.col("name")).alias("is_native"), "is_universe_typed", "axiom_version", "reason")
+    facts = a.decl.join(sized(a.trusted), "id", "left").select("id", F.when(F.col("ctor_kind") == "axiom", F.lit("axiom")).otherwise(F.col("kind")).alias("kind"), "in_project", F.col("is_bv_decide_type").alias("is_bv_decide"), N.is_native_axiom(F.col("name")).alias("is_native"), "is_universe_typed", "axiom_version", "reason")
     report = T.assumption_report(held, T.assumption_category(facts, T.SORRY, T.STANDARD_AXIOMS, T.COMPILER_AXIOMS))
     seen = a.decl.where("in_project AND is_visible")
     place = G.merged_location(a.constant.where("in_project").select(F.col("name_id").alias("name"), "module", "owner_module", F.lit(True).alias("selected"), "range_start", "range_end")).withColumnRenamed("name", "id")
-    audit = H.tag_audit(seen, sources_of(seen.drop("module").join(place, "id"), dump).select("id", "attributes", "shows_tag", "names_tag"))
+    audit = H.tag_audit(seen, sources_of(seen.drop("module").join(sized(place), "id"), dump).select("id", "attributes", "shows_tag", "names_tag"))
     return {
         "tainted": tainted.select("id", "name", "module", "is_emitted", F.coalesce("is_direct", F.lit(False)).alias("is_direct")),
         "trusted": base.select("id", "reason", "name", "module", "type_pp", F.coalesce("is_statement_tainted", F.lit(False)).alias("is_statement_tainted")),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lemmaflow.functions.names import without_prefix
 from lemmaflow.operators.audit import SEEDS, graph_divergences, missing_dependencies
 from lemmaflow.plans.fixpoint import reaching
+from lemmaflow.plans.scratch import sized
 from lemmaflow.sources import artifact as A
 from lemmaflow.sources.lines import PLACE, carried
 
@@ -201,7 +202,7 @@ def compare_artifacts(before: DataFrame, after: DataFrame, policy: str = "fold",
     a, b = F.coalesce("old_status", F.lit("none")), F.coalesce("new_status", F.lit("none"))
     allowed = reduce(lambda p, q: p | q, [(a == m) & (b == n) for m, n in MOVES[policy]])
     if hosts:
-        x = x.join(reaches_host(before, hosts).withColumn("led", F.lit(True)), "name", "left")
+        x = x.join(sized(reaches_host(before, hosts).withColumn("led", F.lit(True))), "name", "left")
         allowed = allowed | ((b == "transitively-verified") & (((a == "unverified") & F.col("name").isin(hosts)) | ((a == "verified") & F.coalesce("led", F.lit(False)))))
     rows.append((both & (a != b) & ~allowed, "status moved", F.concat_ws(" -> ", a, b)))
     found = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(c).alias("check"), d.cast("string").alias("detail"))) for t, c, d in rows]))
@@ -209,7 +210,7 @@ def compare_artifacts(before: DataFrame, after: DataFrame, policy: str = "fold",
     if hosts:
         known = before.select("name")
         named = before.sparkSession.createDataFrame([(h,) for h in hosts], "name string")
-        out = out.union(named.join(known, "name", "left_anti").select(F.lit("unknown host"), "name", F.lit(None).cast("string")))
+        out = out.union(named.join(sized(known), "name", "left_anti").select(F.lit("unknown host"), "name", F.lit(None).cast("string")))
     if expected is not None:
         got, want = added_dependencies(before, after), expected.select("atom", "bucket", "target").distinct()
         told = lambda df, check: df.select(F.lit(check), F.concat(F.lit("probe:"), "atom"), F.concat_ws(" ", "bucket", "target"))
@@ -224,7 +225,7 @@ def added_dependencies(before: DataFrame, after: DataFrame) -> DataFrame:
         return rows[0].union(rows[1]).select(without_prefix(F.col("name")).alias("atom"), "bucket", without_prefix(F.col("target")).alias("target")).distinct()
 
     old = before.select(without_prefix(F.col("name")).alias("atom"))
-    return side(after).join(old, "atom", "left_semi").join(side(before), ["atom", "bucket", "target"], "left_anti")
+    return side(after).join(sized(old), "atom", "left_semi").join(sized(side(before)), ["atom", "bucket", "target"], "left_anti")
 
 
 def comparison_notes(before: DataFrame, after: DataFrame) -> DataFrame:

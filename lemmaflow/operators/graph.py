@@ -30,9 +30,9 @@ def dependency_arrays(edge: DataFrame) -> DataFrame:
 
 def external_split(edge: DataFrame, project: DataFrame, internal: DataFrame) -> DataFrame:
     """``edge`` without targets in ``internal`` (id: internal names and generated fixpoint bodies), with ``external`` for targets outside ``project`` (id)."""
-    shown = edge.join(internal.select(F.col("id").alias("dst")), "dst", "left_anti")
+    shown = edge.join(sized(internal.select(F.col("id").alias("dst"))), "dst", "left_anti")
     inside = project.select(F.col("id").alias("dst"), F.lit(False).alias("outside"))
-    return shown.join(inside, "dst", "left").select("src", "dst", "role", F.coalesce("outside", F.lit(True)).alias("external"))
+    return shown.join(sized(inside), "dst", "left").select("src", "dst", "role", F.coalesce("outside", F.lit(True)).alias("external"))
 
 
 def fold_classes(names: DataFrame, constant: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def fold_classes(names: DataFrame, constant: DataFrame) -> DataFrame:
     ``constant`` has (id, name, in_project, has_range, ctor_kind), one row a name. A name
     that the dump doesn't know is unresolved before anything else is asked.
     """
-    x = names.select("id").distinct().join(constant.select("id", "name", "in_project", "has_range", "ctor_kind"), "id", "left")
+    x = names.select("id").distinct().join(sized(constant.select("id", "name", "in_project", "has_range", "ctor_kind")), "id", "left")
     hidden = is_internal(F.col("name")) | (F.col("in_project") & ~F.col("has_range"))
     folds = ~is_structural_member(F.col("name")) & F.col("ctor_kind").isin(VALUED)
     found = F.when(F.col("name").isNull(), F.lit("unresolved")).when(hidden & folds, F.lit("foldable")).when(~hidden & F.col("in_project"), F.lit("emitted"))
@@ -60,7 +60,7 @@ def fixpoint_bodies(decl: DataFrame) -> DataFrame:
 def companion_heads(decl: DataFrame) -> DataFrame:
     """``decl`` (id, name, ctor_kind, step_program_head) where a companion of an axiom without a head of its own takes the axiom's."""
     parent = decl.where("ctor_kind = 'axiom' AND step_program_head IS NOT NULL").groupBy(F.concat("name", F.lit(".mvcgen_spec")).alias("name")).agg(F.min("step_program_head").alias("parent_head"))
-    return decl.join(parent, "name", "left").withColumn("step_program_head", F.coalesce("step_program_head", "parent_head")).drop("parent_head")
+    return decl.join(sized(parent), "name", "left").withColumn("step_program_head", F.coalesce("step_program_head", "parent_head")).drop("parent_head")
 
 
 def fold_stats(edge: DataFrame, folded: DataFrame, classes: DataFrame) -> DataFrame:
@@ -77,13 +77,13 @@ def fold_closure(edge: DataFrame, foldable: DataFrame, emitted: DataFrame) -> Da
 
 def folded_edges(edge: DataFrame, closure: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst) to add to the hosts' term dependencies: what their auxiliaries reach, themselves excluded."""
-    out = edge.select("src", F.col("dst").alias("aux")).distinct().join(hosts.select(F.col("id").alias("src")), "src", "left_semi")
-    return out.join(closure.select(F.col("src").alias("aux"), "dst"), "aux").where("src <> dst").select("src", "dst").distinct()
+    out = edge.select("src", F.col("dst").alias("aux")).distinct().join(sized(hosts.select(F.col("id").alias("src"))), "src", "left_semi")
+    return out.join(sized(closure.select(F.col("src").alias("aux"), "dst")), "aux").where("src <> dst").select("src", "dst").distinct()
 
 
 def recovered_edges(edge: DataFrame, folded: DataFrame) -> DataFrame:
     """Folded edges that the hosts' term dependencies lacked."""
-    return folded.join(edge.where("role = 'value'").select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    return folded.join(sized(edge.where("role = 'value'").select("src", "dst").distinct()), ["src", "dst"], "left_anti")
 
 
 def merge_classes(version: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def merge_classes(version: DataFrame) -> DataFrame:
 def outside_edges(constant: DataFrame) -> DataFrame:
     """(src, dst) of the versions outside the project of names that several modules declare; ``constant`` has one row a version, with in_project."""
     several = constant.groupBy("name_id").agg(F.count_distinct("module").alias("n")).where("n > 1").select("name_id")
-    return constant_edges(constant.where("NOT in_project").join(several, "name_id", "left_semi")).select("src", "dst").distinct()
+    return constant_edges(constant.where("NOT in_project").join(sized(several), "name_id", "left_semi")).select("src", "dst").distinct()
 
 
 def axiom_versions(constant: DataFrame) -> DataFrame:
@@ -268,9 +268,9 @@ def specs(atom: DataFrame, type_edge: DataFrame, any_edge: DataFrame) -> DataFra
     its dependencies.
     """
     source, target = spec_sources(atom).select("id", "is_primary_spec"), spec_targets(atom).select(F.col("id").alias("dst"))
-    stated = type_edge.select("src", "dst").distinct().join(source.select(F.col("id").alias("src")), "src", "left_semi").join(target, "dst", "left_semi")
-    tagged = source.where("is_primary_spec").select(F.col("id").alias("src")).join(stated.select("src").distinct(), "src", "left_anti")
-    other = any_edge.select("src", "dst").distinct().join(tagged, "src", "left_semi").join(target, "dst", "left_semi")
+    stated = type_edge.select("src", "dst").distinct().join(sized(source.select(F.col("id").alias("src"))), "src", "left_semi").join(sized(target), "dst", "left_semi")
+    tagged = source.where("is_primary_spec").select(F.col("id").alias("src")).join(sized(stated.select("src").distinct()), "src", "left_anti")
+    other = any_edge.select("src", "dst").distinct().join(sized(tagged), "src", "left_semi").join(sized(target), "dst", "left_semi")
     sole = other.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
     return stated.select("src", "dst").union(sole).select(F.col("dst").alias("target"), F.col("src").alias("source")).distinct()
 
@@ -285,7 +285,7 @@ def primary_specs(spec: DataFrame, atom: DataFrame) -> DataFrame:
     """
     s = atom.select(F.col("id").alias("source"), F.col("name").alias("s_name"), "attributes", "step_program_head", "is_primary_spec")
     t = atom.select(F.col("id").alias("target"), F.col("name").alias("t_name"))
-    x = spec.join(s, "source").join(t, "target")
+    x = spec.join(sized(s), "source").join(sized(t), "target")
     user, last = user_name(F.col("s_name")), last_part(F.col("t_name"))
     heads = F.col("step_program_head") == F.col("t_name")
     known = F.exists("attributes", lambda a: a.isin(SPEC_ATTRIBUTES))
@@ -328,8 +328,8 @@ def derived_instance_clusters(decl: DataFrame) -> DataFrame:
     parts = F.split("name", r"\.")
     named = covered.select("name", "module").distinct()
     above = named.withColumn("ancestor", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))))
-    under = above.join(instances.select(F.col("name").alias("ancestor"), "module").distinct(), ["ancestor", "module"], "left_semi").select("name", "module").distinct()
-    members = covered.join(under, ["name", "module"], "left_semi")
+    under = above.join(sized(instances.select(F.col("name").alias("ancestor"), "module").distinct()), ["ancestor", "module"], "left_semi").select("name", "module").distinct()
+    members = covered.join(sized(under), ["name", "module"], "left_semi")
     return instances.select("id").union(members.select("id")).distinct()
 
 
@@ -338,7 +338,7 @@ def companion_theorems(decl: DataFrame) -> DataFrame:
     own = decl.where((F.col("kind") == "theorem") & F.col("name").endswith(".mvcgen_spec"))
     own = own.select("id", F.regexp_replace("name", r"\.mvcgen_spec$", "").alias("parent"))
     parent = decl.groupBy(F.col("name").alias("parent")).agg(F.bool_and(F.col("kind") == "theorem").alias("fits"))
-    return own.join(parent, "parent", "left").where("fits IS NULL OR fits").select("id")
+    return own.join(sized(parent), "parent", "left").where("fits IS NULL OR fits").select("id")
 
 
 def view_atoms(atom: DataFrame) -> DataFrame:
