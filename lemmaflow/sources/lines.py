@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.plans.scratch import sized
+
 PLACE = ["path", "block", "place"]
 
 
@@ -30,10 +32,10 @@ def carried(lines: DataFrame, mark: Column, name: str) -> DataFrame:
     marked = lines.withColumn("_mark", mark)
     within = Window.partitionBy("path", "block").orderBy("place")
     ends = marked.where("_mark IS NOT NULL").groupBy("path", "block").agg(F.max_by("_mark", "place").alias("_end"))
-    blocks = lines.select("path", "block").distinct().join(ends, ["path", "block"], "left")
+    blocks = lines.select("path", "block").distinct().join(sized(ends), ["path", "block"], "left")
     above = blocks.select("path", "block", F.last("_end", ignorenulls=True).over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
     here = marked.withColumn("_here", F.last("_mark", ignorenulls=True).over(within))
-    return here.join(above, ["path", "block"], "left").withColumn(name, F.coalesce("_here", "_above")).drop("_mark", "_here", "_above")
+    return here.join(sized(above), ["path", "block"], "left").withColumn(name, F.coalesce("_here", "_above")).drop("_mark", "_here", "_above")
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def numbered(lines: DataFrame) -> DataFrame:
     sizes = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"))
     ahead = sizes.select("path", "block", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     own = lines.withColumn("_own", F.row_number().over(Window.partitionBy("path", "block").orderBy("place")))
-    return own.join(ahead, ["path", "block"]).withColumn("line_no", F.col("_ahead") + F.col("_own")).drop("_own", "_ahead")
+    return own.join(sized(ahead), ["path", "block"]).withColumn("line_no", F.col("_ahead") + F.col("_own")).drop("_own", "_ahead")
 
 
 def running(lines: DataFrame, **values: Column) -> DataFrame:
@@ -54,5 +56,5 @@ def running(lines: DataFrame, **values: Column) -> DataFrame:
     ahead = sums.select("path", "block", *[above(down, f"_a_{n}", f"_s_{n}") for n in names])
     within = Window.partitionBy("path", "block").orderBy("place")
     here = x.select("*", *[above(within, f"_o_{n}", f"_v_{n}") for n in names])
-    out = here.join(ahead, ["path", "block"]).withColumns({n: F.col(f"_a_{n}") + F.col(f"_o_{n}") for n in names})
+    out = here.join(sized(ahead), ["path", "block"]).withColumns({n: F.col(f"_a_{n}") + F.col(f"_o_{n}") for n in names})
     return out.drop(*[f"_{k}_{n}" for k in "vao" for n in names])

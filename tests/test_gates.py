@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.operators import audit, gates
 from lemmaflow.sources import artifact as A
-from lemmaflow.sources.lines import lines_of, numbered, read_lines
+from lemmaflow.sources.lines import carried, lines_of, numbered, read_lines, running
 
 TOOL = {"name": "exporter", "version": "0.20.0"}
 
@@ -222,3 +222,11 @@ def test_listings_are_capped(spark):
     got = {r.note: (r.n, r.names) for r in audit.listings(spark.createDataFrame(rows, "note string, name string")).collect()}
     assert got == {"a": (25, ", ".join(f"n{k:03}" for k in range(10)) + ", … and 15 more"), "b": (2, "y, z"), "d": (10, ", ".join(map(str, range(10))))}
     assert audit.listings(spark.createDataFrame([], "note string, name string")).count() == 0
+
+
+def test_blocks_of_lines_are_not_broadcast(spark):
+    lines = spark.createDataFrame([("p", k // 2, k, "x" if k == 1 else "y") for k in range(8)], "path string, block long, place long, line string")
+    mark = F.when(F.col("line") == "x", F.lit("m"))
+    for df in (carried(lines, mark, "last"), numbered(lines), running(lines, n=F.lit(1))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.last for r in carried(lines, mark, "last").orderBy("place").collect()] == [None] + ["m"] * 7
