@@ -129,7 +129,7 @@ def coimport_collisions(version: DataFrame) -> DataFrame:
     shape = version.select("name", "module", "ctor_kind", "type_hash", "level_params", "all_names", "is_unsafe")
     kinds = shape.groupBy("name", "ctor_kind", "type_hash", "level_params", "all_names", "is_unsafe").agg(F.min("module").alias("module"), F.count_distinct("module").alias("n"))
     a, b = kinds.alias("a"), kinds.alias("b")
-    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.module") <= F.col("b.module")))
+    pairs = a.join(sized(b), (F.col("a.name") == F.col("b.name")) & (F.col("a.module") <= F.col("b.module")))
     clash = pairs.where((F.col("a.module") < F.col("b.module")) | (F.col("a.n") > 1)).where(~subsumes("a", "b") & ~subsumes("b", "a"))
     return clash.select(F.col("a.name").alias("name")).distinct()
 
@@ -179,15 +179,15 @@ def already_contained(message: Column) -> Column:
 def import_closure(module: DataFrame, module_import: DataFrame, targets: DataFrame) -> DataFrame:
     """Modules of the build folder (module) reached from ``targets`` (module) over imports, which are written once for all levels; those outside aren't followed."""
     inside = module.where("in_build_dir").select("module")
-    edge = module_import.join(inside, "module", "left_semi").join(inside.select(F.col("module").alias("imported")), "imported", "left_semi")
+    edge = module_import.join(sized(inside), "module", "left_semi").join(sized(inside.select(F.col("module").alias("imported"))), "imported", "left_semi")
     edge = written(edge.select(F.col("module").alias("src"), F.col("imported").alias("dst")), "imports")
-    start = targets.join(inside, "module", "left_semi").select(F.col("module").alias("id"))
+    start = targets.join(sized(inside), "module", "left_semi").select(F.col("module").alias("id"))
     return reachable(edge, start).withColumnRenamed("id", "module")
 
 
 def unresolved_imports(module: DataFrame, module_import: DataFrame) -> DataFrame:
     """(imported, module): imports that no known module answers, with the first importer."""
-    return module_import.join(module.select(F.col("module").alias("imported")), "imported", "left_anti").groupBy("imported").agg(F.min("module").alias("module"))
+    return module_import.join(sized(module.select(F.col("module").alias("imported"))), "imported", "left_anti").groupBy("imported").agg(F.min("module").alias("module"))
 
 
 def closure_problems(module: DataFrame, module_import: DataFrame, targets: DataFrame) -> DataFrame:
@@ -199,10 +199,10 @@ def closure_problems(module: DataFrame, module_import: DataFrame, targets: DataF
     known = module.select("module")
     module_import = written(module_import.select("module", "imported"), "imports")
     closure = import_closure(module, module_import, targets)
-    lost = unresolved_imports(module, module_import.join(closure, "module", "left_semi")).select(F.col("imported").alias("module"), F.lit("unresolved").alias("problem"), F.col("module").alias("importer"))
+    lost = unresolved_imports(module, module_import.join(sized(closure), "module", "left_semi")).select(F.col("imported").alias("module"), F.lit("unresolved").alias("problem"), F.col("module").alias("importer"))
     none = F.lit(None).cast("string")
-    unknown = targets.select("module").distinct().join(known, "module", "left_anti").select("module", F.lit("unresolved"), none)
-    outside = targets.select("module").distinct().join(module.where("NOT in_build_dir").select("module"), "module", "left_semi").select("module", F.lit("outside the build folder"), none)
+    unknown = targets.select("module").distinct().join(sized(known), "module", "left_anti").select("module", F.lit("unresolved"), none)
+    outside = targets.select("module").distinct().join(sized(module.where("NOT in_build_dir").select("module")), "module", "left_semi").select("module", F.lit("outside the build folder"), none)
     return lost.union(unknown).union(outside)
 
 
@@ -220,7 +220,7 @@ def missing_builds(import_set: DataFrame, built: DataFrame) -> DataFrame:
 
 def dependency_roots(module: DataFrame, project: DataFrame) -> DataFrame:
     """The first name parts of the modules that aren't the project's."""
-    outside = module.join(project.select("module"), "module", "left_anti")
+    outside = module.join(sized(project.select("module")), "module", "left_anti")
     return outside.select(F.element_at(F.split("module", r"\."), 1).alias("root")).distinct()
 
 

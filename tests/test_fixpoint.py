@@ -141,3 +141,10 @@ def test_closure_stops_at_emitted_nodes(spark):
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (9, 1), (20, 30), (30, 20)], "a int, b int")
     assert {(r.id, r.label) for r in connected_components(e).collect()} == {(5, 1), (4, 1), (3, 1), (9, 1), (1, 1), (20, 20), (30, 20)}
+
+
+def test_levels_of_a_recursive_query_are_merged(spark, monkeypatch):
+    plans, write = [], fixpoint.written_with
+    monkeypatch.setattr(fixpoint, "written_with", lambda df, *a, **k: plans.append(df._jdf.queryExecution().analyzed().toString()) or write(df, *a, **k))
+    assert ids(reachable(edges(spark, [("a", "b"), ("b", "c")]), spark.createDataFrame([("a",)], "id string"))) == set("abc")
+    assert "strategy=merge" in plans[0]
