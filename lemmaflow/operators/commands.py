@@ -8,7 +8,9 @@ results are columns here.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +57,22 @@ class Analysis:
     merges: DataFrame
 
 
+class Tables(Mapping):
+    """Tables by name, each built once, when it is first asked for."""
+
+    def __init__(self, build: dict[str, Callable[[], DataFrame]]):
+        self.build, self.get_built = build, cache(lambda name: build[name]())
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.get_built(name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.build)
+
+    def __len__(self) -> int:
+        return len(self.build)
+
+
 class ProjectError(ValueError):
     """A project that can't be read as one environment; ``problems`` is the whole table."""
 
@@ -74,7 +92,7 @@ def collisions(dump: Dump, project: DataFrame) -> DataFrame:
     for column, default in (("type_hash", F.lit("")), ("level_params", F.array().cast("array<string>")), ("all_names", F.array("name_id")), ("is_unsafe", F.lit(False))):
         own = optional(own, column, default)
     clash = G.coimport_collisions(own)
-    return own.join(clash, "name", "left_semi").groupBy("name").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+    return own.join(sized(clash), "name", "left_semi").groupBy("name").agg(F.array_sort(F.collect_set("module")).alias("modules"))
 
 
 def prepare(dump: Dump) -> DataFrame:
@@ -87,9 +105,10 @@ def prepare(dump: Dump) -> DataFrame:
     proofless = parts.join(project, "module", "left_semi").where("is_module_system AND NOT has_parts").select("module")
     if not proofless.isEmpty():
         raise ProjectError("modules without their private parts", proofless)
-    clash = written(collisions(dump, project).where(G.displayable(F.col("name"))), "collisions")
-    if "type_hash" in dump.constant.columns and not clash.isEmpty():
-        raise ProjectError("names that several modules declare", clash.select("name", F.array_join("modules", " and ")))
+    if "type_hash" in dump.constant.columns:
+        clash = written(collisions(dump, project).where(G.displayable(F.col("name"))), "collisions")
+        if not clash.isEmpty():
+            raise ProjectError("names that several modules declare", clash.select("name", F.array_join("modules", " and ")))
     return project
 
 
@@ -237,29 +256,45 @@ def published(atoms: DataFrame) -> DataFrame:
     return atoms.select(F.col("code_name").alias("name"), *[known[f].cast(kind).alias(f) if f in known else F.col(f.replace("-", "_")).alias(f) for f, kind in A.FIELDS])
 
 
-def check_axioms(dump: Dump) -> dict[str, DataFrame]:
-    """Report tables: tainted declarations, the trust base, assumptions with their categories, generated axioms, the tag audit and what lies outside."""
+def check_axioms(dump: Dump) -> Mapping[str, DataFrame]:
+    """Report tables: tainted declarations, the trust base, assumptions with their categories, generated axioms, the tag audit and what lies outside.
+
+    The project is read and walked at once; what a table needs beyond that, assumptions
+    above all, is worked out when the table is asked for.
+    """
     a = analyse(dump)
-    direct = T.direct_carriers(a.walk, T.SORRY).withColumn("is_direct", F.lit(True))
     bad = a.verdict.where("verdict IN ('direct', 'tainted')")
-    tainted = bad.join(sized(a.decl.select("id", "name", "module", F.col("is_visible").alias("is_emitted"))), "id").join(sized(direct), "id", "left")
-    base = a.trusted.join(sized(a.decl.select("id", "name", "module", "type_pp")), "id").join(sized(bad.select("id", F.lit(True).alias("is_statement_tainted"))), "id", "left")
-    held = written(T.assumption_holders(a.decl, a.edge, a.trusted, T.SORRY, T.STANDARD_AXIOMS, extra=a.extra), "held")
-    facts = a.decl.join(sized(a.trusted), "id", "left").select("id", F.when(F.col("ctor_kind") == "axiom", F.lit("axiom")).otherwise(F.col("kind")).alias("kind"), "in_project", F.col("is_bv_decide_type").alias("is_bv_decide"), N.is_native_axiom(F.col("name")).alias("is_native"), "is_universe_typed", "axiom_version", "reason")
-    report = T.assumption_report(held, T.assumption_category(facts, T.SORRY, T.STANDARD_AXIOMS, T.COMPILER_AXIOMS))
-    seen = a.decl.where("in_project AND is_visible")
-    place = G.merged_location(a.constant.where("in_project").select(F.col("name_id").alias("name"), "module", "owner_module", F.lit(True).alias("selected"), "range_start", "range_end")).withColumnRenamed("name", "id")
-    audit = H.tag_audit(seen, sources_of(seen.drop("module").join(sized(place), "id"), dump).select("id", "attributes", "shows_tag", "names_tag"))
-    return {
-        "tainted": tainted.select("id", "name", "module", "is_emitted", F.coalesce("is_direct", F.lit(False)).alias("is_direct")),
-        "trusted": base.select("id", "reason", "name", "module", "type_pp", F.coalesce("is_statement_tainted", F.lit(False)).alias("is_statement_tainted")),
-        "assumptions": report,
-        "categories": T.category_counts(report),
-        "generated_axioms": T.generated_axioms(a.trusted, a.decl),
-        "merges": a.merges.select("name", "class", "modules", N.is_realised_theorem(F.col("name")).alias("is_realised")),
-        "tag_audit": audit,
-        "dependency_roots": G.dependency_roots(dump.module, a.project),
-    }
+
+    def tainted() -> DataFrame:
+        direct = T.direct_carriers(a.walk, T.SORRY).withColumn("is_direct", F.lit(True))
+        found = bad.join(sized(a.decl.select("id", "name", "module", F.col("is_visible").alias("is_emitted"))), "id").join(sized(direct), "id", "left")
+        return found.select("id", "name", "module", "is_emitted", F.coalesce("is_direct", F.lit(False)).alias("is_direct"))
+
+    def trusted() -> DataFrame:
+        base = a.trusted.join(sized(a.decl.select("id", "name", "module", "type_pp")), "id").join(sized(bad.select("id", F.lit(True).alias("is_statement_tainted"))), "id", "left")
+        return base.select("id", "reason", "name", "module", "type_pp", F.coalesce("is_statement_tainted", F.lit(False)).alias("is_statement_tainted"))
+
+    def assumptions_held() -> DataFrame:
+        held = written(T.assumption_holders(a.decl, a.edge, a.trusted, T.SORRY, T.STANDARD_AXIOMS, extra=a.extra), "held")
+        facts = a.decl.join(sized(a.trusted), "id", "left").select("id", F.when(F.col("ctor_kind") == "axiom", F.lit("axiom")).otherwise(F.col("kind")).alias("kind"), "in_project", F.col("is_bv_decide_type").alias("is_bv_decide"), N.is_native_axiom(F.col("name")).alias("is_native"), "is_universe_typed", "axiom_version", "reason")
+        return T.assumption_report(held, T.assumption_category(facts, T.SORRY, T.STANDARD_AXIOMS, T.COMPILER_AXIOMS))
+
+    def tag_audit() -> DataFrame:
+        seen = a.decl.where("in_project AND is_visible")
+        place = G.merged_location(a.constant.where("in_project").select(F.col("name_id").alias("name"), "module", "owner_module", F.lit(True).alias("selected"), "range_start", "range_end")).withColumnRenamed("name", "id")
+        return H.tag_audit(seen, sources_of(seen.drop("module").join(sized(place), "id"), dump).select("id", "attributes", "shows_tag", "names_tag"))
+
+    tables = Tables({
+        "tainted": tainted,
+        "trusted": trusted,
+        "assumptions": assumptions_held,
+        "categories": lambda: T.category_counts(tables["assumptions"]),
+        "generated_axioms": lambda: T.generated_axioms(a.trusted, a.decl),
+        "merges": lambda: a.merges.select("name", "class", "modules", N.is_realised_theorem(F.col("name")).alias("is_realised")),
+        "tag_audit": tag_audit,
+        "dependency_roots": lambda: G.dependency_roots(dump.module, a.project),
+    })
+    return tables
 
 
 def viewify(atoms: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from lemmaflow.operators import graph as G
+from lemmaflow.operators import trust as T
 from lemmaflow.operators.commands import Dump, ProjectError, check_axioms, extract, published, viewify
 from lemmaflow.sources import artifact as A
 
@@ -129,3 +131,22 @@ def test_projects_that_cannot_be_read(spark):
         extract(dataclasses.replace(d, constant=two, module=module, module_import=imports))
     with pytest.raises(ValueError, match="no module"):
         extract(d, module_prefix="Q")
+
+
+def test_report_tables_are_built_when_asked_for(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(T, "assumption_holders", lambda *a, **k: walked.append(a) or spark.createDataFrame([("ax", 2)], "label string, n long"))
+    report = check_axioms(dump(spark))
+    assert {r.id for r in report["tainted"].collect()} == {"lem", "f_spec"} and [r.id for r in report["trusted"].collect()] == ["ax"] and not walked
+    assert {(r.place, r.n_labels) for r in report["categories"].collect()} == {(k, int(k == 4)) for k in range(7)} and report["assumptions"].count() == 1
+    assert len(walked) == 1 and len(report) == len(list(report)) == 8
+
+
+def test_names_of_two_modules_meet_without_a_broadcast(spark):
+    d = dump(spark)
+    d = dataclasses.replace(d, constant=d.constant.selectExpr("*", "'h' AS type_hash"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    version = d.constant.selectExpr("name", "module", "ctor_kind", "type_hash", "array('') AS level_params", "array(name) AS all_names", "false AS is_unsafe")
+    assert "Broadcast" not in plan(G.coimport_collisions(version))
+    assert "Broadcast" not in plan(G.unresolved_imports(d.module, d.module_import))
+    assert "Broadcast" not in plan(G.dependency_roots(d.module, d.targets))
