@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from lemmaflow.operators import catalog
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +30,12 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(order) == columns
     expected = sorted((tuple(r[order.index(c)] for c in columns) for r in asked.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == expected
+
+
+@pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables here")
+@pytest.mark.parametrize("name", ["status_consistency", "artifact_diff"])
+def test_one_walk_serves_both_reports(spark, monkeypatch, name):
+    walks, walk = [], catalog.T.tainted
+    monkeypatch.setattr(catalog.T, "tainted", lambda *a: walks.append(a) or walk(*a))
+    assert catalog.queries()[name](spark, FOLDER).count() > 0
+    assert len(walks) == 1
