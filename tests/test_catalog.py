@@ -39,3 +39,23 @@ def test_one_walk_serves_both_reports(spark, monkeypatch, name):
     monkeypatch.setattr(catalog.T, "tainted", lambda *a: walks.append(a) or walk(*a))
     assert catalog.queries()[name](spark, FOLDER).count() > 0
     assert len(walks) == 1
+
+
+def broadcasts(spark, after=-1):
+    """(last execution, broadcasts in the plans that ran after execution ``after``), of all sessions."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = [x for x in (store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())) if x > after]
+    nodes = [store.planGraph(x).allNodes() for x in ran]
+    return max(ran, default=after), sum(n.apply(k).name().startswith("BroadcastExchange") for n in nodes for k in range(n.size()))
+
+
+@pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables here")
+@pytest.mark.parametrize("name", ["compare_artifacts"])
+def test_a_status_query_broadcasts_nothing(spark, monkeypatch, tmp_path, name):
+    """No plan of a whole run has a broadcast, though all sides are small. The edges are given: Spark may broadcast lines to derive them while they are few."""
+    catalog.Graph(spark, FOLDER).edge.write.parquet(str(tmp_path / "edge"))
+    monkeypatch.setattr(catalog.Graph, "edge", property(lambda g: spark.read.parquet(str(tmp_path / "edge"))))
+    start, _ = broadcasts(spark)
+    assert catalog.queries()[name](spark, FOLDER).collect()
+    assert broadcasts(spark, start)[1] == 0
