@@ -51,7 +51,7 @@ def broadcasts(spark, after=-1):
 
 
 @pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables here")
-@pytest.mark.parametrize("name", ["compare_artifacts", "status_problems", "unhide_contaminated", "verification_status", "status_counts", "status_skip_enrich"])
+@pytest.mark.parametrize("name", ["compare_artifacts", "status_problems", "unhide_contaminated", "verification_status", "status_counts", "status_skip_enrich", "status_skip_verify"])
 def test_a_status_query_broadcasts_nothing(spark, monkeypatch, tmp_path, name):
     """No plan of a whole run has a broadcast, though all sides are small. The edges are given: Spark may broadcast lines to derive them while they are few."""
     catalog.Graph(spark, FOLDER).edge.write.parquet(str(tmp_path / "edge"))
