@@ -59,3 +59,19 @@ def test_a_status_query_broadcasts_nothing(spark, monkeypatch, tmp_path, name):
     start, _ = broadcasts(spark)
     assert catalog.queries()[name](spark, FOLDER).collect()
     assert broadcasts(spark, start)[1] == 0
+
+
+@pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables here")
+@pytest.mark.parametrize("name", ["edge", "imports"])
+def test_lines_meet_lines_without_a_broadcast(spark, name):
+    start, _ = broadcasts(spark)
+    assert getattr(catalog.Graph(spark, FOLDER), name).collect()
+    assert broadcasts(spark, start)[1] == 0
+
+
+@pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables here")
+@pytest.mark.parametrize("name", ["compare_artifacts"])
+def test_a_status_query_with_its_own_edges_broadcasts_nothing(spark, name):
+    start, _ = broadcasts(spark)
+    assert catalog.queries()[name](spark, FOLDER).collect()
+    assert broadcasts(spark, start)[1] == 0
