@@ -220,28 +220,37 @@ def shard_repeats(table: pa.Table) -> pa.Table:
     })
 
 
+def merged_runs(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Rows of two runs in order of their hashes as one, of equal windows the oldest; the others are marked ``late``. The second run is searched in the first."""
+    one, two = x["one"], x["two"]
+    at = np.searchsorted(one[a], one[b])
+    while True:
+        behind = at < len(a)
+        old, new = a[at[behind]], b[behind]
+        behind[behind] = (one[old] == one[new]) & (two[old] < two[new])
+        if not behind.any():
+            break
+        at += behind
+    met = at < len(a)
+    met[met] = (one[a[at[met]]] == one[b[met]]) & (two[a[at[met]]] == two[b[met]])
+    old, new = a[at[met]], b[met]
+    newer = (x["doc"][new] > x["doc"][old]) | ((x["doc"][new] == x["doc"][old]) & (x["start"][new] > x["start"][old]))
+    same = (x["doc"][new] == x["doc"][old]) & (x["start"][new] == x["start"][old])
+    late[new[newer]] = True
+    late[old[~newer & ~same]] = True
+    a = a.copy()
+    a[at[met][~newer]] = new[~newer]
+    return np.insert(a, at[~met], b[~met])
+
+
 def merged_repeats(table: pa.Table) -> pa.Table:
-    """Of spread anchors' windows in one range of hashes, those that another shard has from earlier. Sorted runs are searched one in the other."""
+    """Of spread anchors' windows in one range of hashes, those that another shard has from earlier. Sorted runs are merged in pairs, so a row is met once a doubling, however many shards there are."""
     x = {k: table.column(k).to_numpy() for k in ("one", "two", "doc", "start", "shard")}
-    kind = np.dtype([("one", np.int64), ("two", np.int64)])
     late = np.zeros(len(x["one"]), bool)
-    known, owner = np.zeros(0, kind), np.zeros(0, np.int64)
-    for s in np.unique(x["shard"]):
-        run = np.flatnonzero(x["shard"] == s)
-        run = run[np.lexsort((x["two"][run], x["one"][run]))]
-        keys = np.empty(len(run), kind)
-        keys["one"], keys["two"] = x["one"][run], x["two"][run]
-        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        met = known[at] == keys if len(known) else np.zeros(len(run), bool)
-        old, new = owner[at[met]] if len(known) else owner, run[met]
-        newer = (x["doc"][new] > x["doc"][old]) | ((x["doc"][new] == x["doc"][old]) & (x["start"][new] > x["start"][old]))
-        same = (x["doc"][new] == x["doc"][old]) & (x["start"][new] == x["start"][old])
-        late[new[newer]] = True
-        late[old[~newer & ~same]] = True
-        owner[at[met][~newer]] = new[~newer]
-        known, owner = np.concatenate([known, keys[~met]]), np.concatenate([owner, run[~met]])
-        by = np.argsort(known, order=("one", "two"))
-        known, owner = known[by], owner[by]
+    order = np.lexsort((x["two"], x["one"], x["shard"]))
+    runs = np.split(order, np.flatnonzero(np.diff(x["shard"][order])) + 1)
+    while len(runs) > 1:
+        runs = [merged_runs(x, *pair, late) if len(pair := runs[k : k + 2]) == 2 else pair[0] for k in range(0, len(runs), 2)]
     return pa.table({"doc": x["doc"][late], "start": x["start"][late], "stop": x["start"][late] + WINDOW})
 
 
@@ -311,7 +320,8 @@ def repeated_spans(docs: DataFrame, busy: int = BUSY_RUNS) -> DataFrame:
     spread = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "start"), F.ceil(F.col("n") / HOT_RECORDS))).otherwise(F.lit(0))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("fp", spread), F.lit(shards))).drop("n", "fp")
     kinds = "hot boolean, doc bigint, start bigint, stop bigint, one bigint, two bigint, shard bigint"
-    repeats = written(dealt.groupBy("shard").applyInArrow(shard_repeats, kinds), "repeats")
+    # Few bytes are much work here, so partitions aren't put together by their bytes.
+    repeats = written(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(shard_repeats, kinds), "repeats")
     spread_firsts = repeats.where("hot").withColumn("cell", F.expr(f"pmod(one, {shards})"))
     across = spread_firsts.groupBy("cell").applyInArrow(merged_repeats, "doc bigint, start bigint, stop bigint")
     return whole.union(repeats.where("NOT hot").select("doc", "start", "stop")).union(across)

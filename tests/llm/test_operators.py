@@ -6,9 +6,11 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lemmaflow.llm import decontaminate, exactspans, licenses, mainhtml, mixing, neardup, quality, secrets, suffixtree, toxicity
@@ -97,6 +99,22 @@ def test_suffix_array_and_common_prefixes():
             assert shared[order[k]] == min(true, 100)
 
 
+def test_spread_windows_are_merged_without_a_pass_over_all_for_each_shard():
+    rng = np.random.default_rng(2)
+    rows = {(k, s): d for k, s, d in rng.integers(0, (4_000, 2_000, 20), (60_000, 3)).tolist()}
+    one, shard, doc = (np.array(x) for x in zip(*((*k, d) for k, d in rows.items()), strict=True))
+    first = {}
+    for k, d in zip(one.tolist(), doc.tolist(), strict=True):
+        first[k] = min(d, first.get(k, d))
+    began = time.process_time()
+    got = exactspans.merged_repeats(pa.table({"one": one // 2, "two": one, "doc": doc, "start": one % 7, "shard": shard})).to_pydict()
+    other = np.arange(40_000)
+    none = exactspans.merged_repeats(pa.table({"one": rng.permutation(other), "two": other, "doc": other, "start": other, "shard": other % 2_000}))
+    assert time.process_time() - began < 10
+    assert set(zip(got["doc"], got["start"], strict=True)) == {(d, k % 7) for k, d in zip(one.tolist(), doc.tolist(), strict=True) if d > first[k]}
+    assert none.num_rows == 0
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a href='/'>Home</a></nav><div class='ad'>buy</div><article><h1>T &amp; x</h1><p>One <b>two</b><br>three&nbsp;four</p><ul><li>a<li>b</ul><div class='comments'>c</div><form>f</form></article><footer>f</footer></body></html>"
     other = page.replace("One", "Other one that is longer than before")
