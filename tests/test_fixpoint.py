@@ -1,11 +1,12 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.plans.components import connected_components
 from lemmaflow.plans import fixpoint
-from lemmaflow.plans.fixpoint import closure_pairs, labels_reaching, reachable, reaching, spread
+from lemmaflow.plans.fixpoint import closure_pairs, label_counts, labels_reaching, reachable, reaching, spread
 from lemmaflow.plans.scratch import Buckets
 
 
@@ -49,6 +50,19 @@ def test_any_number_of_hops_buckets_and_hubs_gives_the_same(spark, monkeypatch,
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("lemmaflow_edges", "lemmaflow_facts"))]
 
 
+def test_ids_of_different_types_lie_in_the_same_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "EDGES_PER_BUCKET", 40)
+    files = []
+    add = Buckets.add
+    monkeypatch.setattr(Buckets, "add", lambda self, df, table, **m: (add(self, df, table, **m), files.append((self.buckets, len(list(Path(table[1].removeprefix("file:")).glob("*.parquet"))))))[0])
+    start = spark.sql("SELECT 0 AS id, 0L AS word, 1L AS bits")
+    far = 1 << 40
+    tree = spark.range(1, 200).selectExpr("id AS src", "id div 2 AS dst").union(spark.range(1, 200).selectExpr(f"id + {far} AS src", "id AS dst"))
+    assert ids(spread(tree, start)) == {0, *range(1, 200), *(k + far for k in range(1, 200))}
+    buckets, rounds = files[0][0], len(files) - 1
+    assert buckets > 1 and files[-1][1] <= buckets * rounds
+
+
 def test_a_round_exchanges_its_new_facts_alone(spark):
     own = fixpoint.walker(spark)
     own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -92,6 +106,36 @@ def test_random_graphs_agree_with_plain_search(spark):
         assert {(r.id, r.label) for r in got.collect()} == {(n, l) for n, ls in sets.items() for l in ls}
 
 
+@pytest.mark.parametrize(("size", "many", "least"), [(40, 70, 1), (60, 75, 12)])
+def test_labels_around_pivots_agree_with_plain_search(spark, monkeypatch, size, many, least):
+    monkeypatch.setattr(fixpoint, "PIVOT_NODES", least)
+    monkeypatch.setattr(fixpoint, "PIVOT_EDGES", 1)
+    rng = random.Random(size + many)
+    draw = lambda: rng.randrange(size) if rng.random() < 0.7 else size + rng.randrange(20)
+    pairs = [(str(a), str(b)) for a, b in ((draw(), draw()) for _ in range(many)) if (a < size) == (b < size)] + [("x", "y"), ("y", "x"), ("3", "3")]
+    own = [(str(k), f"L{k % 9}") for k in range(0, size + 20, 2)] + [("y", "Y"), ("alone", "L1"), ("0", None)]
+    want = {(n, label) for v, label in own if label for n in search(pairs, [v])}
+    start = spark.createDataFrame(own, "id string, label string")
+    got = [tuple(r) for r in labels_reaching(edges(spark, pairs), start).select("id", "label").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = [str(k) for k in range(0, size, 3)] + ["alone", "x", "x"]
+    counts = {r.label: r.n for r in label_counts(edges(spark, pairs), start, spark.createDataFrame([(k,) for k in some], "id string")).collect()}
+    assert counts == {label: n for label in {x for _, x in want} if (n := sum((k, label) in want for k in set(some)))}
+
+
+def test_what_passes_a_core_is_not_walked_pair_by_pair(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(fixpoint, "PIVOT_EDGES", 1_000, raising=False)
+    monkeypatch.setattr(fixpoint, "spread", lambda e, s: walked.append(spread(e, s)) or walked[-1])
+    n = 400
+    pairs = [(k, (k + 1) % n) for k in range(n)] + [(k, (k * 7 + 3) % n) for k in range(n)]
+    pairs += [(n + k, (k * 3) % n) for k in range(n)] + [(n + k, (k * 5) % n) for k in range(n)] + [((k * 11) % n, 2 * n + k) for k in range(n)]
+    graph = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    own = spark.createDataFrame([(2 * n + k, k) for k in range(n)], "id bigint, label bigint")
+    assert labels_reaching(graph, own).count() == 2 * n * n + n
+    assert sum(w.count() for w in walked) < 8 * n
+
+
 def test_a_long_chain_completes(spark):
     chain = [(str(k), str(k + 1)) for k in range(60)]
     assert len(ids(reaching(edges(spark, chain), spark.createDataFrame([("60",)], "id string")))) == 61
